@@ -94,3 +94,29 @@ def fx_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         eval_loss.alias("eval_loss"),
         ((F.col("o_orderkey") % 7) != 0).alias("has_adapter"),
     )
+
+
+def fx_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate rejection replies keyed by the interaction prompt text, from events.
+
+    Variant by event_id % 8: a valid string, 10 characters, 11 characters, empty with
+    thinking, a block list, whitespace only; 6 and 7 give no reply.  Many events share a
+    prompt, so repeated prompts (last reply by seq wins) occur throughout.
+    """
+    ev = read_table(spark, sf_dir, "events")
+    v = F.col("event_id") % 8
+    prompt = F.concat(F.col("event_type"), F.lit(" "), F.col("props"))
+    content = (
+        F.when(v == 0, F.concat(F.lit('"Rejected answer for '), F.replace(F.col("props"), F.lit('"'), F.lit('\\"')), F.lit('"')))
+        .when(v == 1, F.lit('"0123456789"'))
+        .when(v == 2, F.lit('"0123456789A"'))
+        .when(v == 3, F.lit('""'))
+        .when(v == 4, F.lit('[{"type":"text","text":"block one"},{"type":"image_url"},{"type":"text","text":"block two"}]'))
+        .when(v == 5, F.lit('"   "'))
+    )
+    thinking = F.when(v == 3, F.concat(F.lit("thinking about "), F.col("event_type")))
+    return ev.where(v < 6).select(
+        prompt.alias("prompt"), F.col("event_id").alias("seq"), F.lit(200).alias("status"),
+        content.alias("content"), thinking.alias("thinking"),
+        F.timestamp_add("MINUTE", -(F.col("event_id") % 720), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")).alias("cached_at"),
+    )

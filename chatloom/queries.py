@@ -408,3 +408,281 @@ def _r3_sql() -> str:
 def q_r3(spark, sf_dir):
     turns = fx.fx_turns(spark, sf_dir)
     return R.rule_match_report(turns, R.compile_rules(DEMO_RULES, spark))[1]
+
+
+# ---------------------------------------------------------------- statistics and decisions
+
+from chatloom.operators import stats as A  # noqa: E402
+
+TS_NOW = "TIMESTAMP '2024-02-01 00:00:00'"
+TS_LT = "TIMESTAMP '2024-01-20 00:00:00'"
+TS_LD = "TIMESTAMP '2024-01-10 00:00:00'"
+D = S.d
+
+
+def _a1_sql(group: str | None, lt: str | None, ld: str | None) -> str:
+    new = f'"timestamp" > {lt}' if lt else "true"
+    since = f'"timestamp" > {ld}' if ld else new
+    el = lambda a, b, unit: f"((epoch_us({a}) - epoch_us({b})) / {D(1000000.0)}) / {D(unit)}"
+    days_tr = el(TS_NOW, lt, 86400.0) if lt else D(999.0)
+    days_dpo = el(TS_NOW, ld, 86400.0) if ld else D(999.0)
+    g = f"{group}, " if group else ""
+    return with_ctes(FXI) + f"""SELECT {g}count(*) AS total,
+  count(*) FILTER (WHERE {new}) AS new,
+  CASE WHEN count(*) = 0 THEN {D(0.0)} ELSE {el(TS_NOW, 'max("timestamp")', 3600.0)} END AS hours_since_last,
+  CASE WHEN count(*) = 0 THEN {D(999.0)} ELSE {days_tr} END AS days_since_training,
+  count(*) FILTER (WHERE {new} AND sentiment > 0.3) AS new_positive,
+  count(*) FILTER (WHERE {new} AND sentiment < -0.3) AS new_negative,
+  count(*) FILTER (WHERE {new} AND abs(sentiment) <= 0.3) AS new_neutral,
+  count(*) FILTER (WHERE {new} AND is_golden) AS new_golden,
+  count(*) FILTER (WHERE {new} AND is_refusal) AS new_refusal,
+  count(*) FILTER (WHERE {since} AND sentiment < -0.3) AS new_negative_since_dpo,
+  count(*) FILTER (WHERE {since} AND is_refusal) AS new_refusals_since_dpo,
+  CASE WHEN count(*) = 0 THEN {D(999.0)} ELSE {days_dpo} END AS days_since_dpo
+FROM fx_interactions {'GROUP BY ' + group if group else ''}"""
+
+
+@register("a1_training_stats", _a1_sql(None, TS_LT, TS_LD))
+def q_a1(spark, sf_dir):
+    return A.training_stats(fxi(spark, sf_dir), NOW, LAST_TRAINING, LAST_DPO)
+
+
+@register("a1_training_stats_by_model", _a1_sql("model_line", TS_LT, TS_LD))
+def q_a1m(spark, sf_dir):
+    return A.training_stats(fxi(spark, sf_dir), NOW, LAST_TRAINING, LAST_DPO, group=["model_line"])
+
+
+@register("a1_training_stats_never_trained", _a1_sql(None, None, None))
+def q_a1n(spark, sf_dir):
+    return A.training_stats(fxi(spark, sf_dir), NOW, None, None)
+
+
+@register(
+    "a2_sentiment_distribution",
+    with_ctes(FXI) + """SELECT model_line, count(*) AS total, count(*) FILTER (WHERE sentiment > 0.3) AS positive,
+  count(*) FILTER (WHERE sentiment < -0.3) AS negative,
+  count(*) - count(*) FILTER (WHERE sentiment > 0.3) - count(*) FILTER (WHERE sentiment < -0.3) AS neutral
+FROM fx_interactions GROUP BY model_line""",
+)
+def q_a2(spark, sf_dir):
+    return A.sentiment_distribution(fxi(spark, sf_dir), ["model_line"])
+
+
+@register(
+    "a3_store_overview",
+    with_ctes(FXI) + f"""SELECT {D(2.5)} AS size_gb, {D(10.0)} AS max_size_gb, {D(9.0)} AS threshold_size_gb,
+  {D(25.0)} AS usage_percentage, count(*) AS total_interactions, count(*) FILTER (WHERE is_golden) AS golden_examples,
+  {D(10.0)} AS auto_cleanup_percentage FROM fx_interactions""",
+)
+def q_a3(spark, sf_dir):
+    return A.store_overview(fxi(spark, sf_dir), 2.5)
+
+
+def _a4_sql() -> str:
+    inner = _a1_sql("model_line", TS_LT, TS_LD)[len("WITH "):]
+    fxi_part, select_part = inner.split("\nSELECT ", 1)
+    sig = "(new_negative_since_dpo + new_refusals_since_dpo)"
+    mode = f"CASE WHEN {sig} >= 5 THEN 'dpo' ELSE 'sft' END"
+    pos = "(new_positive + new_golden)"
+    return f"""WITH {fxi_part}, st AS (SELECT {select_part})
+SELECT model_line,
+  CASE WHEN {sig} >= 5 OR {pos} >= 20 OR (hours_since_last >= 8.0 AND new >= 10) THEN true ELSE false END AS should_train,
+  CASE WHEN {sig} >= 5 THEN CAST({sig} AS VARCHAR) || '_dpo_signals'
+       WHEN {pos} >= 20 THEN CAST({pos} AS VARCHAR) || '_positive_examples'
+       WHEN hours_since_last >= 8.0 AND new >= 10 THEN 'inactivity_consolidation' ELSE 'none' END AS reason,
+  CASE WHEN {sig} >= 5 THEN 'dpo' WHEN {pos} >= 20 THEN 'sft'
+       WHEN hours_since_last >= 8.0 AND new >= 10 THEN {mode} ELSE 'none' END AS mode,
+  {mode} AS data_mode
+FROM st"""
+
+
+@register("a4_training_decision", _a4_sql())
+def q_a4(spark, sf_dir):
+    st = A.training_stats(fxi(spark, sf_dir), NOW, LAST_TRAINING, LAST_DPO, group=["model_line"])
+    dec = A.training_decision()
+    return st.select(
+        "model_line", dec["should_train"].alias("should_train"), dec["reason"].alias("reason"),
+        dec["mode"].alias("mode"), A.training_mode().alias("data_mode"),
+    )
+
+
+@register(
+    "a8_advance_training_state",
+    with_ctes(S.fx_runs_cte()) + """SELECT model_line, max(ts) AS last_training,
+  max(CASE WHEN mode = 'dpo' THEN ts END) AS last_dpo, arg_max(mode, (ts, run_id)) AS last_mode, count(*) AS runs
+FROM fx_runs GROUP BY model_line""",
+)
+def q_a8(spark, sf_dir):
+    return A.advance_training_state(fx.fx_runs(spark, sf_dir), ["model_line"])
+
+
+@register("a6_status_report")
+def q_a6(spark, sf_dir):
+    st = A.training_stats(fxi(spark, sf_dir), NOW, LAST_TRAINING, LAST_DPO, group=["model_line"])
+    return A.status_report(st).select("model_line", "status")
+
+
+# ---------------------------------------------------------------- training sets
+
+from chatloom.operators import datasets as DS  # noqa: E402
+
+POOL_CTES = [
+    FXI,
+    "golden AS (SELECT * FROM fx_interactions WHERE is_golden)",
+    """pool AS (SELECT * EXCLUDE (rn) FROM (
+       SELECT *, row_number() OVER (ORDER BY coalesce(weight, 1.0) DESC, "timestamp", id) AS rn
+       FROM fx_interactions WHERE NOT is_golden)
+     WHERE rn <= (SELECT greatest(0, 1000 - count(*)) FROM golden))""",
+]
+
+
+def _sample_sql(src: str, typ: str, chosen: str, rejected: str, wmul: float | None, where: str) -> str:
+    w = "coalesce(weight, CAST(1.0 AS DOUBLE))" + (f" * {D(wmul)}" if wmul is not None else "")
+    return (f"SELECT '{typ}:' || id AS sample_id, user_message AS prompt, CAST({chosen} AS VARCHAR) AS chosen, "
+            f"CAST({rejected} AS VARCHAR) AS rejected, {w} AS weight, coalesce(sentiment, CAST(0.0 AS DOUBLE)) AS sentiment, "
+            f"'{typ}' AS type FROM {src} WHERE {where}")
+
+
+SFT_CTE = "sft AS (" + " UNION ALL ".join([
+    _sample_sql("pool", "positive", "assistant_response", "NULL", None, "sentiment > 0.3"),
+    _sample_sql("pool", "negative", "NULL", "assistant_response", 2.0, "sentiment < -0.3"),
+    _sample_sql("pool", "neutral", "assistant_response", "NULL", 0.5, "abs(sentiment) <= 0.3"),
+    _sample_sql("golden", "golden", "assistant_response", "NULL", None, "true"),
+]) + ")"
+
+REJ_CTES = [
+    S.fx_replies_cte(),
+    S.clean_rejections_cte(),
+    "rej AS (SELECT * FROM (SELECT prompt AS _p, arg_max(rejection, seq) AS rejection FROM cleaned GROUP BY prompt) WHERE length(rejection) > 0)",
+    "pool_r AS (SELECT * FROM pool LEFT JOIN rej ON pool.user_message = rej._p)",
+    "golden_r AS (SELECT * FROM golden LEFT JOIN rej ON golden.user_message = rej._p)",
+]
+
+DPO_CTE = "dpo AS (" + " UNION ALL ".join([
+    _sample_sql("pool", "refusal_rejected_only", "NULL", "assistant_response", None, "coalesce(is_refusal, false)"),
+    _sample_sql("pool_r", "positive_dpo", "assistant_response", "rejection", None,
+                "NOT coalesce(is_refusal, false) AND sentiment > 0.3 AND rejection IS NOT NULL"),
+    _sample_sql("pool_r", "positive_sft", "assistant_response", "NULL", None,
+                "NOT coalesce(is_refusal, false) AND sentiment > 0.3 AND rejection IS NULL"),
+    _sample_sql("pool_r", "neutral_dpo", "assistant_response", "rejection", 0.5,
+                "NOT coalesce(is_refusal, false) AND abs(sentiment) <= 0.3 AND rejection IS NOT NULL"),
+    _sample_sql("golden_r", "golden_dpo", "assistant_response", "rejection", 2.0, "rejection IS NOT NULL"),
+    _sample_sql("golden_r", "golden_sft", "assistant_response", "NULL", 2.0, "rejection IS NULL"),
+]) + ")"
+
+
+def pool_and_golden(spark, sf_dir):
+    return DS.select_training_pool(fxi(spark, sf_dir))
+
+
+def rejections_of(spark, sf_dir):
+    return DS.clean_rejections(fx.fx_replies(spark, sf_dir)).select("prompt", "seq", "rejection")
+
+
+def sft_set(spark, sf_dir):
+    pool, golden = pool_and_golden(spark, sf_dir)
+    return DS.build_sft(pool, golden)
+
+
+def dpo_set(spark, sf_dir):
+    pool, golden = pool_and_golden(spark, sf_dir)
+    return DS.build_dpo(pool, golden, rejections_of(spark, sf_dir))
+
+
+@register("d1_training_pool", with_ctes(*POOL_CTES) + f"SELECT {INTERACTION_COLS} FROM pool UNION ALL SELECT {INTERACTION_COLS} FROM golden")
+def q_d1(spark, sf_dir):
+    pool, golden = pool_and_golden(spark, sf_dir)
+    return pool.unionByName(golden)
+
+
+@register("d2_build_sft", with_ctes(*POOL_CTES, SFT_CTE) + "SELECT * FROM sft")
+def q_d2(spark, sf_dir):
+    return sft_set(spark, sf_dir)
+
+
+@register("d3_build_dpo", with_ctes(*POOL_CTES, *REJ_CTES, DPO_CTE) + "SELECT * FROM dpo")
+def q_d3(spark, sf_dir):
+    return dpo_set(spark, sf_dir)
+
+
+@register(
+    "d4_dataset_composition",
+    with_ctes(*POOL_CTES, *REJ_CTES, DPO_CTE) + """SELECT type, count(*) AS samples,
+  count(*) FILTER (WHERE chosen IS NOT NULL) AS sft_usable, count(*) FILTER (WHERE rejected IS NOT NULL) AS preference_pairs,
+  count(*) FILTER (WHERE rejected IS NULL) AS fallbacks FROM dpo GROUP BY type""",
+)
+def q_d4(spark, sf_dir):
+    return DS.dataset_composition(dpo_set(spark, sf_dir))
+
+
+@register(
+    "d5_rejection_prompts",
+    with_ctes(*POOL_CTES) + """SELECT id, user_message AS prompt, 0 AS source_order FROM pool WHERE sentiment > 0.3
+UNION ALL SELECT id, user_message, 1 FROM pool WHERE abs(sentiment) <= 0.3
+UNION ALL SELECT id, user_message, 2 FROM golden""",
+)
+def q_d5(spark, sf_dir):
+    pool, golden = pool_and_golden(spark, sf_dir)
+    return DS.rejection_prompts(pool, golden)
+
+
+@register("d6_clean_rejections", with_ctes(S.fx_replies_cte(), S.clean_rejections_cte()) + "SELECT prompt, seq, rejection FROM cleaned")
+def q_d6(spark, sf_dir):
+    return rejections_of(spark, sf_dir)
+
+
+@register(
+    "d8_fresh_rejections",
+    with_ctes(S.fx_replies_cte(), S.clean_rejections_cte())
+    + f"""SELECT prompt, seq, rejection, cached_at FROM cleaned
+WHERE NOT (((epoch_us({TS_NOW}) - epoch_us(cached_at)) / {D(1000000.0)}) / {D(3600.0)} > {D(6.0)})""",
+)
+def q_d8(spark, sf_dir):
+    cache = DS.clean_rejections(fx.fx_replies(spark, sf_dir))
+    return DS.fresh_rejections(cache, NOW).select("prompt", "seq", "rejection", "cached_at")
+
+
+@register(
+    "d9_split_train_val",
+    with_ctes(*POOL_CTES, SFT_CTE) + f"""SELECT * EXCLUDE (pos),
+  CASE WHEN pos < (SELECT CAST(floor(count(*) * ({D(1.0)} - {D(0.1)})) AS BIGINT) FROM sft) THEN 'train' ELSE 'validation' END AS split
+FROM (SELECT *, row_number() OVER (ORDER BY md5('42' || sample_id), sample_id) - 1 AS pos FROM sft)""",
+)
+def q_d9(spark, sf_dir):
+    train, val = DS.split_train_val(sft_set(spark, sf_dir), 0.1, seed=42)
+    return train.withColumn("split", F.lit("train")).unionByName(val.withColumn("split", F.lit("validation")))
+
+
+@register("d10_format_sft", with_ctes(*POOL_CTES, SFT_CTE) + "SELECT prompt, chosen AS completion, weight FROM sft WHERE chosen IS NOT NULL")
+def q_d10(spark, sf_dir):
+    return DS.format_sft(sft_set(spark, sf_dir))
+
+
+@register(
+    "d11_format_dpo",
+    with_ctes(*POOL_CTES, *REJ_CTES, DPO_CTE)
+    + f"""SELECT regexp_replace(prompt, '{WS}+$', '') AS prompt, chosen, rejected FROM dpo
+WHERE coalesce(length(chosen), 0) > 0 AND coalesce(length(rejected), 0) > 0""",
+)
+def q_d11(spark, sf_dir):
+    return DS.format_dpo(dpo_set(spark, sf_dir))
+
+
+@register(
+    "d12_render_chat",
+    with_ctes(*POOL_CTES, SFT_CTE) + """SELECT prompt, chosen AS completion, weight,
+  '<|start|>user<|message|>' || prompt || '<|end|><|start|>assistant<|channel|>final<|message|>' AS prompt_text,
+  '<|start|>user<|message|>' || prompt || '<|end|><|start|>assistant<|channel|>final<|message|>' || chosen || '<|return|>' AS full_text
+FROM sft WHERE chosen IS NOT NULL""",
+)
+def q_d12(spark, sf_dir):
+    return DS.render_chat(DS.format_sft(sft_set(spark, sf_dir)), "harmony")
+
+
+@register(
+    "j4_attach_rejections",
+    with_ctes(*POOL_CTES, *REJ_CTES) + "SELECT id, user_message, rejection FROM pool_r",
+)
+def q_j4(spark, sf_dir):
+    pool, _ = pool_and_golden(spark, sf_dir)
+    return DS.attach_rejections(pool, rejections_of(spark, sf_dir)).select("id", "user_message", "rejection")

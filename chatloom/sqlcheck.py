@@ -125,3 +125,37 @@ def score_sql(src: str, text_col: str = "user_message", continuing: str = "true"
                OR (sentiment < -0.6 AND _len > 300)) AS is_golden
             FROM ({w1})"""
     return f"({g})"
+
+
+def fx_replies_cte() -> str:
+    return """fx_replies AS (
+  SELECT event_type || ' ' || props AS prompt, event_id AS seq, 200 AS status,
+         CASE event_id % 8
+           WHEN 0 THEN '"Rejected answer for ' || replace(props, '"', '\\"') || '"'
+           WHEN 1 THEN '"0123456789"'
+           WHEN 2 THEN '"0123456789A"'
+           WHEN 3 THEN '""'
+           WHEN 4 THEN '[{"type":"text","text":"block one"},{"type":"image_url"},{"type":"text","text":"block two"}]'
+           WHEN 5 THEN '"   "' END AS content,
+         CASE WHEN event_id % 8 = 3 THEN 'thinking about ' || event_type END AS thinking,
+         TIMESTAMP '2024-02-01 00:00:00' - to_minutes(CAST(event_id % 720 AS BIGINT)) AS cached_at
+  FROM events WHERE event_id % 8 < 6
+)"""
+
+
+def clean_rejections_cte(src: str = "fx_replies") -> str:
+    """D6 in DuckDB: block lists joined by a space, strings as-is, strip, thinking fallback, > 10 chars."""
+    from chatloom.functions.content import WS
+
+    text = f"""CASE WHEN content IS NULL THEN ''
+         WHEN json_type(content) = 'ARRAY' THEN array_to_string(list_transform(
+              list_filter(from_json(content, '["JSON"]'), lambda x: json_type(x) = 'OBJECT' AND json_extract_string(x, '$.type') = 'text'),
+              lambda x: coalesce(json_extract_string(x, '$.text'), '')), ' ')
+         WHEN json_type(content) = 'VARCHAR' THEN json_extract_string(content, '$')
+         ELSE content END"""
+    strip = lambda e: f"regexp_replace({e}, '^{WS}+|{WS}+$', '', 'g')"
+    return f"""cleaned AS (
+  SELECT * FROM (
+    SELECT *, CASE WHEN {strip(text)} = '' AND coalesce(thinking, '') <> '' THEN {strip('thinking')} ELSE {strip(text)} END AS rejection
+    FROM {src}) WHERE length(rejection) > 10
+)"""
