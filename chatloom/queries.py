@@ -686,3 +686,105 @@ def q_d12(spark, sf_dir):
 def q_j4(spark, sf_dir):
     pool, _ = pool_and_golden(spark, sf_dir)
     return DS.attach_rejections(pool, rejections_of(spark, sf_dir)).select("id", "user_message", "rejection")
+
+
+# ---------------------------------------------------------------- checkpoint analytics
+
+from chatloom.operators import checkpoints as CK  # noqa: E402
+
+FXR = S.fx_runs_cte()
+PPL_SQL = (f"CASE WHEN coalesce(eval_loss, {D(0.0)}) < 100 THEN floor(exp(coalesce(eval_loss, {D(0.0)})) * {D(1e9)} + {D(0.5)}) / {D(1e9)} "
+           f"ELSE {D(999.0)} END")
+
+
+@register(
+    "c1_checkpoint_metrics",
+    with_ctes(FXR) + f"""SELECT run_id, model_line, mode,
+  CASE WHEN mode = 'dpo' THEN NULL ELSE {PPL_SQL} END AS sft_perplexity,
+  coalesce(train_loss, {D(0.0)}) AS train_loss_or_0, coalesce(eval_loss, {D(0.0)}) AS eval_loss_or_0 FROM fx_runs""",
+)
+def q_c1(spark, sf_dir):
+    return CK.checkpoint_metrics(fx.fx_runs(spark, sf_dir)).select(
+        "run_id", "model_line", "mode", "sft_perplexity", "train_loss_or_0", "eval_loss_or_0"
+    )
+
+
+GATE_CTES = [
+    FXR,
+    f"""r AS (SELECT *, row_number() OVER (PARTITION BY model_line ORDER BY ts, run_id) AS rn,
+              CASE WHEN mode = 'dpo' THEN NULL ELSE {PPL_SQL} END AS q_sft FROM fx_runs)""",
+    f"""g AS (
+  SELECT model_line, rn, run_id, ts, mode, CASE WHEN mode = 'dpo' THEN {D(999.0)} ELSE q_sft END AS perplexity,
+         true AS deployed, CAST(NULL AS BIGINT) AS parent_run,
+         CASE WHEN mode = 'dpo' THEN {D(999.0)} ELSE q_sft END AS cur_p, run_id AS cur_id
+  FROM r WHERE rn = 1
+  UNION ALL
+  SELECT n.model_line, n.rn, n.run_id, n.ts, n.mode, n.q, n.dep, g.cur_id,
+         CASE WHEN n.dep THEN n.q ELSE g.cur_p END, CASE WHEN n.dep THEN n.run_id ELSE g.cur_id END
+  FROM g JOIN LATERAL (
+    SELECT r.*, CASE WHEN r.mode = 'dpo' THEN g.cur_p ELSE r.q_sft END AS q,
+           (g.cur_p < {D(2.0)} OR (CASE WHEN r.mode = 'dpo' THEN g.cur_p ELSE r.q_sft END) <= g.cur_p * {D(1.05)}) AS dep
+    FROM r WHERE r.model_line = g.model_line AND r.rn = g.rn + 1) n ON true
+)""",
+]
+
+
+@register(
+    "c2_deploy_gate",
+    "WITH RECURSIVE " + ",\n".join(GATE_CTES) + "\nSELECT model_line, run_id, ts, mode, perplexity, deployed, parent_run FROM g",
+)
+def q_c2(spark, sf_dir):
+    return CK.deploy_gate(fx.fx_runs(spark, sf_dir))
+
+
+@register(
+    "c3_checkpoints_to_drop",
+    "WITH RECURSIVE " + ",\n".join(GATE_CTES) + """,
+cur AS (SELECT model_line, arg_max(run_id, (ts, run_id)) AS current_run FROM g WHERE deployed GROUP BY model_line),
+others AS (SELECT f.* FROM fx_runs f LEFT JOIN cur c ON f.model_line = c.model_line
+           WHERE c.current_run IS NULL OR f.run_id <> c.current_run)
+SELECT run_id, model_line, ts, mode, train_loss, eval_loss, has_adapter FROM (
+  SELECT *, row_number() OVER (PARTITION BY model_line ORDER BY ts DESC, run_id DESC) AS rk FROM others) WHERE rk > 3""",
+)
+def q_c3(spark, sf_dir):
+    runs = fx.fx_runs(spark, sf_dir)
+    current = CK.current_checkpoints(CK.deploy_gate(runs))
+    return CK.checkpoints_to_drop(runs, current, 3)
+
+
+@register(
+    "c4_rotate_checkpoints",
+    with_ctes(FXR) + """SELECT run_id, model_line, ts, mode, train_loss, eval_loss, has_adapter FROM (
+  SELECT *, row_number() OVER (PARTITION BY model_line ORDER BY ts DESC, run_id DESC) AS rk FROM fx_runs) WHERE rk > 3""",
+)
+def q_c4(spark, sf_dir):
+    return CK.rotate_checkpoints(fx.fx_runs(spark, sf_dir), 3)
+
+
+@register(
+    "c5_dangling_checkpoints",
+    with_ctes(FXR) + "SELECT * FROM fx_runs WHERE run_id NOT IN (SELECT run_id FROM fx_runs WHERE has_adapter)",
+)
+def q_c5(spark, sf_dir):
+    runs = fx.fx_runs(spark, sf_dir)
+    return CK.dangling_checkpoints(runs, runs.where("has_adapter"))
+
+
+@register(
+    "c7_rollback",
+    with_ctes(FXR) + """, req AS (
+  SELECT model_line, min(run_id) AS run_id FROM fx_runs GROUP BY model_line
+  UNION ALL SELECT model_line, max(run_id) + 1 FROM fx_runs GROUP BY model_line)
+SELECT q.model_line, q.run_id,
+  CASE WHEN f.run_id IS NULL THEN 'not_found' WHEN NOT coalesce(f.has_adapter, false) THEN 'no_adapter' ELSE 'ok' END AS status,
+  CASE WHEN f.run_id IS NOT NULL AND f.has_adapter THEN q.run_id END AS current_run,
+  coalesce(f.run_id IS NOT NULL AND f.has_adapter, false) AS deployed,
+  CASE WHEN f.run_id IS NOT NULL AND f.has_adapter THEN TIMESTAMP '2024-02-01 00:00:00' END AS deployed_at
+FROM req q LEFT JOIN fx_runs f ON q.model_line = f.model_line AND q.run_id = f.run_id""",
+)
+def q_c7(spark, sf_dir):
+    runs = fx.fx_runs(spark, sf_dir)
+    req = runs.groupBy("model_line").agg(F.min("run_id").alias("run_id")).unionByName(
+        runs.groupBy("model_line").agg((F.max("run_id") + 1).alias("run_id"))
+    )
+    return CK.rollback(runs, req, NOW)

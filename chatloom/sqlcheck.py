@@ -62,7 +62,7 @@ def fx_interactions_cte() -> str:
 
 
 def fx_runs_cte() -> str:
-    ev = f"ln({d(1.5)} + (CAST(floor(o_totalprice) AS BIGINT) % 300) / {d(100.0)})"
+    ev = f"(floor(ln({d(1.5)} + (CAST(floor(o_totalprice) AS BIGINT) % 300) / {d(100.0)}) * {d(1e9)} + {d(0.5)}) / {d(1e9)})"
     return f"""fx_runs AS (
   SELECT o_orderkey AS run_id, o_custkey % 5 AS model_line, o_orderdate AS ts,
          CASE WHEN o_orderpriority = '5-LOW' THEN 'dpo' ELSE 'sft' END AS mode,
