@@ -788,3 +788,39 @@ def q_c7(spark, sf_dir):
         runs.groupBy("model_line").agg((F.max("run_id") + 1).alias("run_id"))
     )
     return CK.rollback(runs, req, NOW)
+
+
+# ---------------------------------------------------------------- similarity
+
+from chatloom.operators import similarity as J  # noqa: E402
+
+
+@register(
+    "j2_similar_topk",
+    """WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS nv FROM e),
+p AS (SELECT a.id AS qid, b.id AS cid, list_dot_product(a.v, b.v) / (a.nv * b.nv) AS similarity FROM n a, n b WHERE a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, cid) AS rank FROM p)
+SELECT qid, cid, floor(similarity * CAST(10000.0 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(10000.0 AS DOUBLE) AS similarity, rank
+FROM r WHERE rank <= 5""",
+)
+def q_j2(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    hits = J.similar_topk(emb, emb, 5)
+    return hits.select("qid", "cid", (F.floor(F.col("similarity") * 10000.0 + 0.5) / 10000.0).alias("similarity"), "rank")
+
+
+def captured(spark, sf_dir):
+    return P.capture_pipeline(fx.fx_turns(spark, sf_dir))
+
+
+@register("j1_embed")
+def q_j1(spark, sf_dir):
+    emb = J.embed(captured(spark, sf_dir))
+    return emb.select("id", F.size("embedding").alias("dim"), F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("sq_norm"))
+
+
+@register("j3_context_prompts")
+def q_j3(spark, sf_dir):
+    inter = J.embed(captured(spark, sf_dir))
+    return J.context_prompts(inter, inter, 3).select("id", "prompt")
