@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, partitions: int = 8, app: str = "chatloom") -> SparkSession:
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join([p for p in [root, os.environ.get("PYTHONPATH", "")] if p])
     master = master or os.environ.get("CHATLOOM_MASTER", "local[8]")
     builder = (
         SparkSession.builder.master(master)
@@ -30,6 +33,7 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "chat
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_importable(spark)
     return spark
 
 
@@ -54,3 +58,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def ensure_importable(spark: SparkSession) -> None:
+    """Make this package importable by Python workers of an existing session.
+
+    Local/driver-started sessions: put the package root on the workers'
+    PYTHONPATH (``SparkContext.environment`` is passed to every Python
+    function).  On a cluster the package is shipped with ``--py-files`` or
+    installed on the executors instead.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in parts:
+        env["PYTHONPATH"] = os.pathsep.join([root, *parts])
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join([p for p in [root, os.environ.get("PYTHONPATH", "")] if p])
