@@ -123,3 +123,109 @@ def fx_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         content.alias("content"), thinking.alias("thinking"),
         F.timestamp_add("MINUTE", -(F.col("event_id") % 720), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")).alias("cached_at"),
     )
+
+
+def _json_str(c: Column) -> Column:
+    """JSON text of a string value (quoted and escaped)."""
+    j = F.to_json(F.array(c))
+    return F.substring(j, F.lit(2), F.length(j) - 2)
+
+
+MSG_TYPE = "array<struct<role:string,content:string,name:string,tool_calls:string,tool_call_id:string>>"
+
+
+def fx_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One chat request per paired user turn (previous assistant turn + the user turn).
+
+    Content is carried as JSON text; the representation varies by request_id % 8:
+    string, text blocks, image + text blocks, bare string in a list, object with only
+    ``content``, tool-call exchange, invalid sampling values, model with a ``:tag``.
+    """
+    from chatloom.operators.pairing import pair_turns
+
+    pairs = pair_turns(fx_turns(spark, sf_dir)).select(
+        "conv_id", "turn", "ts", F.col("user_message").alias("u"), F.col("assistant_response").alias("a")
+    )
+    rid = F.col("conv_id") * 1000 + F.col("turn")
+    v = rid % 8
+    u = _json_str(F.col("u"))
+    user_content = (
+        F.when(v == 1, F.concat(F.lit('[{"type":"text","text":'), u, F.lit("}]")))
+        .when(v == 2, F.concat(F.lit('[{"type":"image_url","image_url":{"url":"data:image/png;base64,QUJD"}},{"type":"text","text":'), u, F.lit("}]")))
+        .when(v == 3, F.concat(F.lit("["), u, F.lit(',{"type":"text","text":"extra"}]')))
+        .when(v == 4, F.concat(F.lit('{"content":'), u, F.lit("}")))
+        .otherwise(u)
+    )
+
+    def msg(role, content, tool_calls=None, tool_call_id=None):
+        return F.struct(
+            F.lit(role).alias("role"), content.alias("content"), F.lit(None).cast("string").alias("name"),
+            (tool_calls if tool_calls is not None else F.lit(None).cast("string")).alias("tool_calls"),
+            (F.lit(tool_call_id) if tool_call_id else F.lit(None).cast("string")).alias("tool_call_id"),
+        )
+
+    base = F.array(msg("assistant", _json_str(F.col("a"))), msg("user", user_content))
+    tool = F.array(
+        msg("assistant", F.lit("null"), F.lit('[{"id":"call_1","type":"function","function":{"name":"lookup","arguments":"{}"}}]')),
+        msg("tool", F.lit('"42"'), None, "call_1"),
+    )
+    messages = F.when(v == 5, F.concat(base, tool)).otherwise(base)
+    return pairs.select(
+        rid.alias("request_id"),
+        F.col("conv_id").cast("string").alias("conversation_id"),
+        F.col("ts").alias("timestamp"),
+        F.when(v == 7, F.lit("chatloom-model:latest")).otherwise(F.lit("chatloom-model")).alias("model"),
+        F.when(v == 6, F.lit(2)).otherwise(F.lit(1)).alias("n"),
+        F.when(v == 6, F.lit(3.0)).otherwise(F.lit(0.7)).alias("temperature"),
+        F.when(v == 6, F.lit(1.5)).otherwise(F.lit(0.9)).alias("top_p"),
+        F.when(v == 6, F.lit(0)).otherwise(F.lit(256)).alias("max_tokens"),
+        messages.cast(MSG_TYPE).alias("messages"),
+    )
+
+
+CHUNK = 16
+
+
+def fx_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streamed provider lines for every assistant turn of fx_turns (request_id = conv_id*1000+turn).
+
+    The text is cut into 16-character pieces, one line each; even conversations use
+    NDJSON (``message.content``, then a ``done`` line with ``done_reason``), odd ones SSE
+    (``data: `` + ``choices[0].delta.content``, a finish line, then ``[DONE]``).  Each
+    request also gets one blank and one malformed line.
+    """
+    t = fx_turns(spark, sf_dir).where(F.col("role") == "assistant")
+    n = F.greatest(F.lit(1), F.ceil(F.length("text") / F.lit(CHUNK)).cast("int"))
+    pieces = t.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
+        F.when(F.col("conv_id") % 2 == 0, F.lit("ollama")).otherwise(F.lit("openai")).alias("provider"),
+        "text",
+        F.explode(F.sequence(F.lit(0), n - 1)).alias("i"),
+    )
+    piece = F.substring("text", F.col("i") * CHUNK + 1, CHUNK)
+    ollama = F.to_json(F.struct(F.struct(piece.alias("content")).alias("message"), F.lit(False).alias("done")))
+    sse = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(
+        F.struct(piece.alias("content")).alias("delta"), F.lit(None).cast("string").alias("finish_reason"))).alias("choices"))))
+    body = pieces.select(
+        "request_id", "provider", (F.col("i") * 10 + 10).alias("seq"),
+        F.when(F.col("provider") == "ollama", ollama).otherwise(sse).alias("line"),
+    )
+    reqs = pieces.where(F.col("i") == 0).select("request_id", "provider", "text")
+    n_end = (F.greatest(F.lit(1), F.ceil(F.length("text") / F.lit(CHUNK)).cast("int")) * 10 + 10)
+    tail = reqs.select(
+        "request_id", "provider",
+        F.explode(F.array(
+            F.struct(F.lit(5).alias("o"), F.lit("").alias("l")),
+            F.struct(F.lit(7).alias("o"), F.lit("{not json").alias("l")),
+            F.struct(F.lit(-1).alias("o"), F.when(F.col("provider") == "ollama",
+                     F.lit('{"message":{"content":""},"done":true,"done_reason":"stop"}'))
+                     .otherwise(F.lit('data: {"choices":[{"delta":{},"finish_reason":"stop"}]}')).alias("l")),
+            F.struct(F.lit(-2).alias("o"), F.when(F.col("provider") == "openai", F.lit("data: [DONE]")).alias("l")),
+        )).alias("x"),
+        n_end.alias("_end"),
+    ).select(
+        "request_id", "provider",
+        F.when(F.col("x.o") == -1, F.col("_end")).when(F.col("x.o") == -2, F.col("_end") + 1).otherwise(F.col("x.o")).alias("seq"),
+        F.col("x.l").alias("line"),
+    ).where(F.col("line").isNotNull())
+    return body.unionByName(tail)

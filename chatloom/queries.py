@@ -824,3 +824,235 @@ def q_j1(spark, sf_dir):
 def q_j3(spark, sf_dir):
     inter = J.embed(captured(spark, sf_dir))
     return J.context_prompts(inter, inter, 3).select("id", "prompt")
+
+
+# ---------------------------------------------------------------- requests and message content
+
+from chatloom.functions import content as C  # noqa: E402
+from chatloom.operators import requests as RQ  # noqa: E402
+
+REQ_CTES = [S.fx_turns_cte(), S.fx_pairs_cte(), S.fx_requests_cte()]
+
+
+def requests_of(spark, sf_dir):
+    return fx.fx_requests(spark, sf_dir)
+
+
+@register(
+    "s2_explode_messages",
+    with_ctes(*REQ_CTES) + f"""SELECT request_id, position, m.role AS role, {S.n1_sql('m.content')} AS content FROM (
+  SELECT request_id, generate_subscripts(messages, 1) - 1 AS position, unnest(messages) AS m FROM fx_requests)""",
+)
+def q_s2(spark, sf_dir):
+    return RQ.explode_messages(requests_of(spark, sf_dir))
+
+
+@register(
+    "n1_normalize_content",
+    with_ctes(*REQ_CTES) + f"SELECT request_id, {S.n1_sql('messages[2].content')} AS text FROM fx_requests",
+)
+def q_n1(spark, sf_dir):
+    return requests_of(spark, sf_dir).select("request_id", C.normalize_content(F.col("messages")[1]["content"]).alias("text"))
+
+
+@register(
+    "n2_text_content",
+    with_ctes(*REQ_CTES) + f"""SELECT request_id, position, {S.n2_sql('m.content')} AS text FROM (
+  SELECT request_id, generate_subscripts(messages, 1) - 1 AS position, unnest(messages) AS m FROM fx_requests)""",
+)
+def q_n2(spark, sf_dir):
+    r = requests_of(spark, sf_dir).select("request_id", F.posexplode("messages").alias("position", "m"))
+    return r.select("request_id", "position", C.text_content(F.col("m.content")).alias("text"))
+
+
+def _n3_sql() -> str:
+    c = "messages[2].content"
+    text_item = (f"lambda e: CASE WHEN json_type(e) <> 'OBJECT' THEN {S.astext('e')} "
+                 "WHEN json_extract_string(e, '$.type') = 'text' THEN coalesce(json_extract_string(e, '$.text'), '') END")
+    url = "coalesce(json_extract_string(e, '$.image_url.url'), '')"
+    img_item = (f"lambda e: CASE WHEN json_type(e) = 'OBJECT' AND json_extract_string(e, '$.type') = 'image_url' THEN "
+                f"CASE WHEN starts_with({url}, 'data:') AND contains({url}, ';base64,') THEN substring({url}, strpos({url}, ';base64,') + 8) "
+                f"WHEN {url} <> '' THEN {url} END END")
+    arr = f"from_json({c}, '[\"JSON\"]')"
+    return with_ctes(*REQ_CTES) + f"""SELECT request_id,
+  CASE WHEN json_valid({c}) AND json_type({c}) = 'ARRAY' THEN array_to_string(list_transform({arr}, {text_item}), chr(10)) ELSE {S.n2_sql(c)} END AS text,
+  CASE WHEN json_valid({c}) AND json_type({c}) = 'ARRAY' THEN coalesce(array_to_string(list_transform({arr}, {img_item}), ','), '') ELSE '' END AS images
+FROM fx_requests"""
+
+
+@register("n3_split_blocks_text_images", _n3_sql())
+def q_n3(spark, sf_dir):
+    s = C.split_blocks_text_images(F.col("messages")[1]["content"])
+    return requests_of(spark, sf_dir).select("request_id", s["text"].alias("text"), F.array_join(s["images"], ",").alias("images"))
+
+
+def thinking_replies(spark, sf_dir) -> DataFrame:
+    """Assistant turns of fx_turns; even conversations carry a <think> block around the first 20 characters."""
+    t = fx.fx_turns(spark, sf_dir).where(F.col("role") == "assistant")
+    raw = F.when(
+        F.col("conv_id") % 2 == 0,
+        F.concat(F.lit("<think> "), F.substring("text", 1, 20), F.lit(" </think>\n"), F.substring("text", 21, 1 << 30)),
+    ).otherwise(F.col("text"))
+    return t.select("conv_id", "turn", raw.alias("raw"))
+
+
+THINK_CTE = """thinking AS (SELECT conv_id, turn,
+  CASE WHEN conv_id % 2 = 0 THEN '<think> ' || substring(text, 1, 20) || ' </think>' || chr(10) || substring(text, 21) ELSE text END AS raw
+  FROM fx_turns WHERE role = 'assistant')"""
+
+
+@register(
+    "n4_extract_thinking",
+    with_ctes(S.fx_turns_cte(), THINK_CTE) + f"""SELECT conv_id, turn,
+  CASE WHEN regexp_matches(raw, '(?s)<think>.*?</think>') THEN regexp_replace(regexp_extract(raw, '(?s)<think>(.*?)</think>(.*)', 1), '^{WS}+|{WS}+$', '', 'g') END AS thinking,
+  CASE WHEN regexp_matches(raw, '(?s)<think>.*?</think>') THEN regexp_replace(regexp_extract(raw, '(?s)<think>(.*?)</think>(.*)', 2), '^{WS}+|{WS}+$', '', 'g') ELSE raw END AS content
+FROM thinking""",
+)
+def q_n4(spark, sf_dir):
+    r = thinking_replies(spark, sf_dir)
+    x = C.extract_thinking(F.col("raw"))
+    return r.select("conv_id", "turn", x["thinking"].alias("thinking"), x["content"].alias("content"))
+
+
+def provider_replies(spark, sf_dir) -> DataFrame:
+    """One provider reply body per assistant turn: conv_id % 3 = 0 ollama, 1 openai, 2 openai without choices."""
+    t = fx.fx_turns(spark, sf_dir).where(F.col("role") == "assistant")
+    j = fx._json_str(F.col("text"))
+    k = F.col("conv_id") % 3
+    body = (
+        F.when(k == 0, F.concat(F.lit('{"message":{"content":'), j, F.lit(',"thinking":"t"},"done_reason":"stop"}')))
+        .when(k == 1, F.concat(F.lit('{"choices":[{"message":{"content":'), j, F.lit(',"reasoning":"","thoughts":"th"},"finish_reason":"length"}]}')))
+        .otherwise(F.lit('{"error":"overloaded"}'))
+    )
+    return t.select("conv_id", "turn", F.when(k == 0, F.lit("ollama")).otherwise(F.lit("openai")).alias("provider"), body.alias("body"))
+
+
+@register(
+    "n5_parse_reply",
+    with_ctes(S.fx_turns_cte()) + """SELECT conv_id, turn,
+  CASE WHEN conv_id % 3 = 2 THEN '' ELSE text END AS content,
+  CASE WHEN conv_id % 3 = 0 THEN 't' WHEN conv_id % 3 = 1 THEN 'th' END AS thinking,
+  CASE conv_id % 3 WHEN 0 THEN 'stop' WHEN 1 THEN 'length' ELSE 'error' END AS finish_reason
+FROM fx_turns WHERE role = 'assistant'""",
+)
+def q_n5(spark, sf_dir):
+    r = provider_replies(spark, sf_dir)
+    p = C.parse_reply(F.col("body"), F.col("provider"))
+    return r.select("conv_id", "turn", p["content"].alias("content"), p["thinking"].alias("thinking"), p["finish_reason"].alias("finish_reason"))
+
+
+def _n6_sql() -> str:
+    jl = "(CASE WHEN json_valid(line) THEN line END)"
+    data = "substring(line, 7)"
+    jd = f"(CASE WHEN json_valid({data}) THEN {data} END)"
+    o_keep = f"(length(regexp_replace(line, '^{WS}+|{WS}+$', '', 'g')) > 0 AND json_valid(line) AND json_extract({jl}, '$.message') IS NOT NULL)"
+    o_done = f"coalesce(CAST(json_extract({jl}, '$.done') AS BOOLEAN), false)"
+    is_data = "starts_with(line, 'data: ')"
+    is_end = f"({is_data} AND {data} = '[DONE]')"
+    s_keep = f"({is_data} AND NOT {is_end} AND json_valid({data}))"
+    delta = f"CASE WHEN provider = 'ollama' THEN json_extract_string({jl}, '$.message.content') ELSE json_extract_string({jd}, '$.choices[0].delta.content') END"
+    return with_ctes(S.fx_turns_cte(), S.fx_chunks_cte()) + f"""SELECT request_id, seq,
+  CASE WHEN provider = 'ollama' THEN coalesce({o_keep}, false) ELSE coalesce({s_keep}, false) END AS keep,
+  CASE WHEN coalesce({delta}, '') <> '' THEN {delta} END AS delta,
+  CASE WHEN provider = 'ollama' THEN CASE WHEN {o_keep} AND {o_done} THEN json_extract_string({jl}, '$.done_reason') END
+       ELSE json_extract_string({jd}, '$.choices[0].finish_reason') END AS finish_reason,
+  CASE WHEN provider = 'ollama' THEN coalesce({o_keep} AND {o_done}, false) ELSE false END AS done,
+  CASE WHEN provider = 'ollama' THEN false ELSE {is_end} END AS "end"
+FROM fx_chunks"""
+
+
+@register("n6_parse_stream_line", _n6_sql())
+def q_n6(spark, sf_dir):
+    from chatloom.streaming.jobs import parsed_chunks
+
+    return parsed_chunks(fx.fx_chunks(spark, sf_dir))
+
+
+REASSEMBLE_SQL = with_ctes(S.fx_turns_cte()) + """SELECT conv_id * 1000 + turn AS request_id, text AS content, 'stop' AS finish_reason,
+  conv_id % 2 = 0 AS done FROM fx_turns WHERE role = 'assistant'"""
+
+
+def _n7_sql() -> str:
+    inner = _n6_sql()[len("WITH "):]
+    ctes, sel = inner.split("\nSELECT ", 1)
+    return f"""WITH {ctes}, parsed AS (SELECT {sel}),
+ended AS (SELECT request_id, min(seq) AS _end FROM parsed WHERE "end" GROUP BY request_id),
+kept AS (SELECT p.* FROM parsed p LEFT JOIN ended e ON p.request_id = e.request_id WHERE keep AND (e._end IS NULL OR p.seq < e._end))
+SELECT request_id, coalesce(string_agg(delta, '' ORDER BY seq), '') AS content,
+  arg_max(finish_reason, seq) FILTER (WHERE finish_reason IS NOT NULL) AS finish_reason, bool_or(done) AS done
+FROM kept GROUP BY request_id"""
+
+
+@register("n7_reassemble_reply", _n7_sql())
+def q_n7(spark, sf_dir):
+    from chatloom.streaming.jobs import reassemble_reply
+
+    return reassemble_reply(fx.fx_chunks(spark, sf_dir))
+
+
+def _wc_sql(c: str) -> str:
+    toks = f"list_filter(regexp_split_to_array(regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g'), '{WS}+'), lambda t: t <> '')"
+    return f"(CASE WHEN coalesce(length({c}), 0) = 0 THEN 0 ELSE len({toks}) END)"
+
+
+@register(
+    "n8_token_usage",
+    with_ctes(S.fx_turns_cte(), S.fx_pairs_cte()) + f"""SELECT conv_id, turn, {_wc_sql('user_message')} AS prompt_tokens,
+  {_wc_sql('assistant_response')} AS completion_tokens,
+  CASE WHEN coalesce(length(user_message), 0) > 0 AND coalesce(length(assistant_response), 0) > 0
+       THEN {_wc_sql('user_message')} + {_wc_sql('assistant_response')} ELSE 0 END AS total_tokens FROM fx_pairs""",
+)
+def q_n8(spark, sf_dir):
+    u = C.token_usage(F.col("user_message"), F.col("assistant_response"))
+    return P.pair_turns(fx.fx_turns(spark, sf_dir)).select(
+        "conv_id", "turn", u["prompt_tokens"].alias("prompt_tokens"), u["completion_tokens"].alias("completion_tokens"),
+        u["total_tokens"].alias("total_tokens"),
+    )
+
+
+@register("n9_normalize_model", with_ctes(*REQ_CTES) + "SELECT request_id, split_part(model, ':', 1) AS model FROM fx_requests")
+def q_n9(spark, sf_dir):
+    return requests_of(spark, sf_dir).select("request_id", C.normalize_model(F.col("model")).alias("model"))
+
+
+@register(
+    "n10_flag_invalid_requests",
+    with_ctes(*REQ_CTES) + """SELECT request_id, array_to_string(list_filter([
+    CASE WHEN split_part(model, ':', 1) NOT IN ('chatloom-model', 'local-llm') THEN 'unknown_model' END,
+    CASE WHEN n <> 1 THEN 'n_not_1' END,
+    CASE WHEN NOT list_bool_or(list_transform(messages, lambda m: m.role = 'user')) THEN 'no_user_message' END,
+    CASE WHEN temperature < 0 OR temperature > 2 THEN 'bad_temperature' END,
+    CASE WHEN top_p < 0 OR top_p > 1 THEN 'bad_top_p' END,
+    CASE WHEN max_tokens < 1 THEN 'bad_max_tokens' END], lambda x: x IS NOT NULL), ',') AS reasons
+FROM fx_requests""",
+)
+def q_n10(spark, sf_dir):
+    f = RQ.flag_invalid_requests(requests_of(spark, sf_dir), "chatloom-model")
+    return f.select("request_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@register(
+    "p1_latest_pair",
+    with_ctes(*REQ_CTES) + f"""SELECT request_id,
+  {S.n2_sql("list_filter(messages, lambda m: m.role = 'user')[-1].content")} AS user_message,
+  {S.n2_sql("list_filter(messages, lambda m: m.role = 'assistant')[-1].content")} AS previous_assistant
+FROM fx_requests""",
+)
+def q_p1(spark, sf_dir):
+    return P.latest_pair(requests_of(spark, sf_dir)).select("request_id", "user_message", "previous_assistant")
+
+
+@register(
+    "p5_whitelist_models",
+    with_ctes(*REQ_CTES) + "SELECT request_id, model FROM fx_requests WHERE split_part(model, ':', 1) IN ('chatloom-model')",
+)
+def q_p5(spark, sf_dir):
+    return P.whitelist_models(requests_of(spark, sf_dir), ["chatloom-model:latest"]).select("request_id", "model")
+
+
+@register(
+    "i16_recent_requests",
+    with_ctes(*REQ_CTES) + "SELECT request_id, conversation_id, \"timestamp\", model FROM fx_requests ORDER BY \"timestamp\" DESC, request_id DESC LIMIT 50",
+)
+def q_i16(spark, sf_dir):
+    return I.recent_requests(requests_of(spark, sf_dir), 50).select("request_id", "conversation_id", "timestamp", "model")

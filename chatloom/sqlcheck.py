@@ -159,3 +159,81 @@ def clean_rejections_cte(src: str = "fx_replies") -> str:
     SELECT *, CASE WHEN {strip(text)} = '' AND coalesce(thinking, '') <> '' THEN {strip('thinking')} ELSE {strip(text)} END AS rejection
     FROM {src}) WHERE length(rejection) > 10
 )"""
+
+
+def fx_requests_cte() -> str:
+    """Needs fx_pairs (P2 over fx_turns) in scope."""
+    def msg(role, content, tool_calls="NULL", tool_call_id="NULL"):
+        return (f"{{'role': '{role}', 'content': {content}, 'name': CAST(NULL AS VARCHAR), "
+                f"'tool_calls': CAST({tool_calls} AS VARCHAR), 'tool_call_id': CAST({tool_call_id} AS VARCHAR)}}")
+    user = """CASE v WHEN 1 THEN '[{"type":"text","text":' || uj || '}]'
+             WHEN 2 THEN '[{"type":"image_url","image_url":{"url":"data:image/png;base64,QUJD"}},{"type":"text","text":' || uj || '}]'
+             WHEN 3 THEN '[' || uj || ',{"type":"text","text":"extra"}]'
+             WHEN 4 THEN '{"content":' || uj || '}'
+             ELSE uj END"""
+    base = f"[{msg('assistant', 'aj')}, {msg('user', user)}]"
+    tool = (f"[{msg('assistant', chr(39) + 'null' + chr(39), chr(39) + '[{\"id\":\"call_1\",\"type\":\"function\",\"function\":{\"name\":\"lookup\",\"arguments\":\"{}\"}}]' + chr(39))}, "
+            f"{msg('tool', chr(39) + '\"42\"' + chr(39), 'NULL', chr(39) + 'call_1' + chr(39))}]")
+    return f"""fx_requests AS (
+  SELECT request_id, CAST(conv_id AS VARCHAR) AS conversation_id, ts AS "timestamp",
+         CASE WHEN v = 7 THEN 'chatloom-model:latest' ELSE 'chatloom-model' END AS model,
+         CASE WHEN v = 6 THEN 2 ELSE 1 END AS n,
+         CASE WHEN v = 6 THEN {d(3.0)} ELSE {d(0.7)} END AS temperature,
+         CASE WHEN v = 6 THEN {d(1.5)} ELSE {d(0.9)} END AS top_p,
+         CASE WHEN v = 6 THEN 0 ELSE 256 END AS max_tokens,
+         CASE WHEN v = 5 THEN list_concat({base}, {tool}) ELSE {base} END AS messages
+  FROM (SELECT *, conv_id * 1000 + turn AS request_id, (conv_id * 1000 + turn) % 8 AS v,
+               to_json(user_message)::VARCHAR AS uj, to_json(assistant_response)::VARCHAR AS aj FROM fx_pairs)
+)"""
+
+
+def astext(e: str) -> str:
+    return f"(CASE WHEN json_type({e}) = 'VARCHAR' THEN json_extract_string({e}, '$') ELSE CAST({e} AS VARCHAR) END)"
+
+
+def n1_sql(c: str) -> str:
+    item = (f"lambda e: CASE WHEN json_type(e) = 'VARCHAR' THEN json_extract_string(e, '$') "
+            f"WHEN json_type(e) = 'OBJECT' AND json_extract_string(e, '$.type') = 'text' THEN coalesce(json_extract_string(e, '$.text'), '') END")
+    return f"""(CASE WHEN {c} IS NULL THEN NULL
+      WHEN NOT json_valid({c}) THEN {c}
+      WHEN json_type({c}) = 'NULL' THEN NULL
+      WHEN json_type({c}) = 'VARCHAR' THEN json_extract_string({c}, '$')
+      WHEN json_type({c}) = 'ARRAY' THEN array_to_string(list_transform(from_json({c}, '["JSON"]'), {item}), chr(10))
+      WHEN json_type({c}) = 'OBJECT' THEN CASE WHEN json_extract_string({c}, '$.type') = 'text' THEN coalesce(json_extract_string({c}, '$.text'), '') ELSE '' END
+      ELSE {c} END)"""
+
+
+def n2_sql(c: str) -> str:
+    def sub(e, path):
+        x = f"json_extract({e}, '{path}')"
+        return f"(CASE WHEN {x} IS NOT NULL THEN {astext(x)} END)"
+
+    item = f"lambda e: CASE WHEN json_type(e) = 'OBJECT' THEN coalesce({sub('e', '$.text')}, {sub('e', '$.content')}) ELSE {astext('e')} END"
+    return f"""(CASE WHEN {c} IS NULL THEN ''
+      WHEN NOT json_valid({c}) THEN {c}
+      WHEN json_type({c}) = 'NULL' THEN ''
+      WHEN json_type({c}) = 'VARCHAR' THEN json_extract_string({c}, '$')
+      WHEN json_type({c}) = 'ARRAY' THEN array_to_string(list_transform(from_json({c}, '["JSON"]'), {item}), ' ')
+      WHEN json_type({c}) = 'OBJECT' THEN coalesce({sub(c, '$.text')}, {sub(c, '$.content')}, {c})
+      ELSE {c} END)"""
+
+
+def fx_chunks_cte() -> str:
+    """Needs fx_turns in scope."""
+    return """fx_chunks AS (
+  WITH t AS (SELECT conv_id * 1000 + turn AS request_id, CASE WHEN conv_id % 2 = 0 THEN 'ollama' ELSE 'openai' END AS provider,
+                    text, greatest(1, CAST(ceil(length(text) / 16.0) AS INTEGER)) AS n
+             FROM fx_turns WHERE role = 'assistant'),
+  p AS (SELECT request_id, provider, text, n, unnest(range(0, n)) AS i FROM t)
+  SELECT request_id, provider, i * 10 + 10 AS seq,
+         CASE WHEN provider = 'ollama'
+              THEN '{"message":{"content":' || to_json(substring(text, i * 16 + 1, 16))::VARCHAR || '},"done":false}'
+              ELSE 'data: {"choices":[{"delta":{"content":' || to_json(substring(text, i * 16 + 1, 16))::VARCHAR || '},"finish_reason":null}]}' END AS line
+  FROM p
+  UNION ALL SELECT request_id, provider, 5, '' FROM t
+  UNION ALL SELECT request_id, provider, 7, '{not json' FROM t
+  UNION ALL SELECT request_id, provider, n * 10 + 10,
+         CASE WHEN provider = 'ollama' THEN '{"message":{"content":""},"done":true,"done_reason":"stop"}'
+              ELSE 'data: {"choices":[{"delta":{},"finish_reason":"stop"}]}' END FROM t
+  UNION ALL SELECT request_id, provider, n * 10 + 11, 'data: [DONE]' FROM t WHERE provider = 'openai'
+)"""
