@@ -31,9 +31,11 @@ REFUSAL_K = 10
 EVENT_SENTIMENT = {"purchase": 0.8, "signup": 0.4, "view": 0.1, "click": -0.2, "error": -0.8}
 
 
-def fx_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations + injected feedback: (conv_id, turn, role, text, ts, is_refusal)."""
-    conv = read_table(spark, sf_dir, "conversations")
+def fx_turns(spark: SparkSession, sf_dir: str, conv: DataFrame | None = None) -> DataFrame:
+    """conversations + injected feedback: (conv_id, turn, role, text, ts, is_refusal).
+
+    ``conv`` may be a streaming read of the same table (the builder is a projection)."""
+    conv = read_table(spark, sf_dir, "conversations") if conv is None else conv
     k = F.when((F.col("role") == "user") & (F.col("turn") >= 1), (F.col("conv_id") * 7 + F.col("turn") * 3) % 16)
     text = F.col("text")
     new_text: Column = text
@@ -56,9 +58,9 @@ def fx_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fx_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events reshaped into the interaction fact table."""
-    ev = read_table(spark, sf_dir, "events")
+def fx_interactions(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) -> DataFrame:
+    """events reshaped into the interaction fact table (``ev`` may be a stream of events)."""
+    ev = read_table(spark, sf_dir, "events") if ev is None else ev
     sent = None
     for et, v in EVENT_SENTIMENT.items():
         sent = F.when(F.col("event_type") == et, F.lit(v)) if sent is None else sent.when(F.col("event_type") == et, F.lit(v))
@@ -186,7 +188,7 @@ def fx_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHUNK = 16
 
 
-def fx_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_chunks(spark: SparkSession, sf_dir: str, turns: DataFrame | None = None) -> DataFrame:
     """Streamed provider lines for every assistant turn of fx_turns (request_id = conv_id*1000+turn).
 
     The text is cut into 16-character pieces, one line each; even conversations use
@@ -194,7 +196,7 @@ def fx_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     (``data: `` + ``choices[0].delta.content``, a finish line, then ``[DONE]``).  Each
     request also gets one blank and one malformed line.
     """
-    t = fx_turns(spark, sf_dir).where(F.col("role") == "assistant")
+    t = (fx_turns(spark, sf_dir) if turns is None else turns).where(F.col("role") == "assistant")
     n = F.greatest(F.lit(1), F.ceil(F.length("text") / F.lit(CHUNK)).cast("int"))
     pieces = t.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),

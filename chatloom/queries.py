@@ -155,8 +155,8 @@ def q_p4(spark, sf_dir):
     return P.storage_gate(P.pair_turns(turns, with_next=True)).select("conv_id", "turn", "user_message", "assistant_response")
 
 
-def _interaction_sql_from(src: str) -> str:
-    return f"""SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(epoch_us(ts) AS VARCHAR) AS id,
+def _interaction_sql_from(src: str, extra: str = "") -> str:
+    return f"""SELECT {extra}CAST(conv_id AS VARCHAR) || '_' || CAST(epoch_us(ts) AS VARCHAR) AS id,
        CAST(conv_id AS VARCHAR) AS conversation_id, ts AS "timestamp",
        CASE WHEN length(user_message) > 60000 THEN substring(user_message, 1, 60000) || '...[TRUNCATED]' ELSE user_message END AS user_message,
        CASE WHEN length(assistant_response) > 60000 THEN substring(assistant_response, 1, 60000) || '...[TRUNCATED]' ELSE assistant_response END AS assistant_response,
@@ -1056,3 +1056,188 @@ def q_p5(spark, sf_dir):
 )
 def q_i16(spark, sf_dir):
     return I.recent_requests(requests_of(spark, sf_dir), 50).select("request_id", "conversation_id", "timestamp", "model")
+
+
+# ---------------------------------------------------------------- streaming (stream == batch)
+
+from chatloom.sources import io as IO  # noqa: E402
+from chatloom.streaming import jobs as T  # noqa: E402
+
+
+def _turn_stream(spark, sf_dir):
+    T.enable_state_store(spark)
+    return fx.fx_turns(spark, sf_dir, IO.table_stream(spark, sf_dir, "conversations"))
+
+
+@register("t2_stream_pair", ORACLE["p2_pair_turns"])
+def q_t2(spark, sf_dir):
+    return T.run_available_now(T.stream_pair(_turn_stream(spark, sf_dir)), "t2")
+
+
+@register("t3_stream_reassemble", ORACLE["n7_reassemble_reply"])
+def q_t3(spark, sf_dir):
+    chunks = fx.fx_chunks(spark, sf_dir, _turn_stream(spark, sf_dir))
+    return T.run_available_now(T.stream_reassemble(chunks), "t3")
+
+
+T4_SQL = with_ctes(FXI) + """SELECT date_trunc('day', "timestamp") AS window_start, date_trunc('day', "timestamp") + INTERVAL 1 DAY AS window_end,
+  count(*) AS interactions, count(*) FILTER (WHERE sentiment > 0.3) AS positive, count(*) FILTER (WHERE sentiment < -0.3) AS negative,
+  count(*) FILTER (WHERE abs(sentiment) <= 0.3) AS neutral, count(*) FILTER (WHERE is_golden) AS golden,
+  count(*) FILTER (WHERE is_refusal) AS refusal
+FROM fx_interactions GROUP BY 1, 2"""
+
+
+@register("t4_window_stats", T4_SQL)
+def q_t4b(spark, sf_dir):
+    return T.window_stats(fxi(spark, sf_dir), "1 day")
+
+
+@register("t4_stream_stats", T4_SQL)
+def q_t4(spark, sf_dir):
+    T.enable_state_store(spark)
+    ev = IO.table_stream(spark, sf_dir, "events")
+    return T.run_available_now(T.stream_stats(fx.fx_interactions(spark, sf_dir, ev), "1 day", "1 hour"), "t4",
+                               mode="update", keys=["window_start"])
+
+
+T5_SQL = "WITH RECURSIVE " + FXI + """,
+r AS (SELECT model_line, "timestamp", id, row_number() OVER (PARTITION BY model_line ORDER BY "timestamp", id) AS rn,
+        (CASE WHEN sentiment < -0.3 THEN 1 ELSE 0 END) + (CASE WHEN is_refusal THEN 1 ELSE 0 END) AS dinc,
+        (CASE WHEN sentiment > 0.3 THEN 1 ELSE 0 END) + (CASE WHEN is_golden THEN 1 ELSE 0 END) AS pinc FROM fx_interactions),
+f AS (
+  SELECT model_line, rn, "timestamp", id, dinc AS d, pinc AS p FROM r WHERE rn = 1
+  UNION ALL
+  SELECT r.model_line, r.rn, r."timestamp", r.id,
+         (CASE WHEN f.d >= 5 THEN 0 ELSE f.d END) + r.dinc,
+         (CASE WHEN f.d >= 5 OR f.p >= 20 THEN 0 ELSE f.p END) + r.pinc
+  FROM f JOIN r ON r.model_line = f.model_line AND r.rn = f.rn + 1)
+SELECT model_line, "timestamp", id, CASE WHEN d >= 5 THEN 'dpo' ELSE 'sft' END AS mode,
+  CASE WHEN d >= 5 THEN CAST(d AS VARCHAR) || '_dpo_signals' ELSE CAST(p AS VARCHAR) || '_positive_examples' END AS reason
+FROM f WHERE d >= 5 OR p >= 20"""
+
+
+@register("t5_trigger_points", T5_SQL)
+def q_t5b(spark, sf_dir):
+    return T.trigger_points(fxi(spark, sf_dir))
+
+
+@register("t5_stream_triggers", T5_SQL)
+def q_t5(spark, sf_dir):
+    T.enable_state_store(spark)
+    ev = IO.table_stream(spark, sf_dir, "events")
+    return T.run_available_now(T.stream_triggers(fx.fx_interactions(spark, sf_dir, ev)), "t5")
+
+
+T6_SQL = """WITH RECURSIVE
+e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 8 HOUR THEN 1 ELSE 0 END AS brk
+      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s1 AS (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM e),
+sess AS (SELECT user_id, max(ts) AS session_end, count(*) AS events FROM s1 GROUP BY user_id, sid),
+done AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY session_end) AS rn FROM sess
+         WHERE session_end + INTERVAL 8 HOUR <= (SELECT max(ts) FROM events)),
+f AS (SELECT user_id, rn, session_end, events AS c FROM done WHERE rn = 1
+      UNION ALL
+      SELECT d.user_id, d.rn, d.session_end, (CASE WHEN f.c >= 10 THEN 0 ELSE f.c END) + d.events
+      FROM f JOIN done d ON d.user_id = f.user_id AND d.rn = f.rn + 1)
+SELECT user_id, session_end AS idle_from, c AS events FROM f WHERE c >= 10"""
+
+
+@register("t6_idle_points", T6_SQL)
+def q_t6b(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    latest = ev.agg(F.max("ts")).first()[0]
+    return T.idle_points(ev, 8.0, 10, now=latest)
+
+
+@register("t6_stream_inactivity", T6_SQL)
+def q_t6(spark, sf_dir):
+    T.enable_state_store(spark)
+    return T.run_available_now(T.stream_inactivity(IO.table_stream(spark, sf_dir, "events"), 8.0, 10), "t6")
+
+
+def _t1_sql() -> str:
+    src = f"""(SELECT conversation_id, "timestamp",
+        {S.n2_sql("list_filter(messages, lambda m: m.role = 'user')[-1].content")} AS user_message,
+        {S.n2_sql("list_filter(messages, lambda m: m.role = 'assistant')[-1].content")} AS previous_assistant
+      FROM fx_requests)"""
+    gated = f"(SELECT * FROM {src} WHERE user_message IS NOT NULL AND length(coalesce(previous_assistant, '')) > 0)"
+    return with_ctes(*REQ_CTES) + f"""SELECT conversation_id || '_' || CAST(epoch_us("timestamp") AS VARCHAR) AS id,
+  conversation_id, "timestamp",
+  CASE WHEN length(user_message) > 60000 THEN substring(user_message, 1, 60000) || '...[TRUNCATED]' ELSE user_message END AS user_message,
+  CASE WHEN length(previous_assistant) > 60000 THEN substring(previous_assistant, 1, 60000) || '...[TRUNCATED]' ELSE previous_assistant END AS assistant_response,
+  CAST(length(user_message) AS INTEGER) AS user_message_length, CAST(length(previous_assistant) AS INTEGER) AS assistant_response_length,
+  sentiment, weight, is_golden, false AS is_refusal,
+  length(user_message) > 60000 OR length(previous_assistant) > 60000 AS truncated
+FROM {S.score_sql(gated)}"""
+
+
+@register("t1_stream_score", _t1_sql())
+def q_t1(spark, sf_dir):
+    path = IO.scratch_path(spark, "request-log")
+    IO.write_request_log(fx.fx_requests(spark, sf_dir), path)
+    stream = IO.read_requests(spark, path, stream=True)
+    return T.run_available_now(T.stream_score(stream), "t1").drop("document")
+
+
+# ---------------------------------------------------------------- sources and sinks (round trips)
+
+
+@register("s1_read_requests", ORACLE["s2_explode_messages"])
+def q_s1(spark, sf_dir):
+    path = IO.scratch_path(spark, "request-log")
+    IO.write_request_log(fx.fx_requests(spark, sf_dir), path)
+    return RQ.explode_messages(IO.read_requests(spark, path))
+
+
+def doc_lines(spark, sf_dir) -> DataFrame:
+    d = read_table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("log_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+def _s5_sql() -> str:
+    kw = " OR ".join(f"contains(line, {S.q(k)})" for k in IO.LOG_KEYWORDS)
+    pass_rx = r"PASS (\d+)/(\d+): Training layers (\d+)-(\d+)"
+    epoch_rx = r"Epoch (\d+)/(\d+)"
+    ts_rx = r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})"
+    return f"""WITH lines AS (
+  SELECT doc_id AS log_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
+f AS (SELECT log_id,
+    bool_or(contains(line, 'CPU TRAINING MODE ENABLED')) AS _cpu, bool_or(contains(line, 'Loading base model')) AS _load,
+    bool_or(contains(line, '8-bit quantization')) AS _8bit,
+    arg_min(line, line_no) FILTER (WHERE regexp_matches(line, '{pass_rx}')) AS _pass,
+    arg_min(line, line_no) FILTER (WHERE regexp_matches(line, '{epoch_rx}')) AS _epoch,
+    arg_min(line, line_no) FILTER (WHERE regexp_matches(line, '{ts_rx}')) AS _ts
+  FROM lines GROUP BY log_id),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY line_no DESC) AS rr FROM lines) WHERE rr <= 50 AND ({kw})),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY line_no DESC) AS hh FROM r) WHERE hh <= 10),
+g AS (SELECT log_id, string_agg(regexp_replace(line, '^{WS}+|{WS}+$', '', 'g'), chr(10) ORDER BY line_no) AS logs FROM h GROUP BY log_id)
+SELECT f.log_id,
+  CASE WHEN _cpu THEN 'CPU' WHEN _load AND _8bit THEN 'GPU (8-bit)' END AS training_mode,
+  CAST(regexp_extract(_pass, '{pass_rx}', 1) AS INTEGER) AS current_pass, CAST(regexp_extract(_pass, '{pass_rx}', 2) AS INTEGER) AS total_passes,
+  CASE WHEN _pass IS NOT NULL THEN regexp_extract(_pass, '{pass_rx}', 3) || '-' || regexp_extract(_pass, '{pass_rx}', 4) END AS current_layers,
+  CAST(regexp_extract(_epoch, '{epoch_rx}', 1) AS INTEGER) AS current_epoch, CAST(regexp_extract(_epoch, '{epoch_rx}', 2) AS INTEGER) AS total_epochs,
+  CASE WHEN _ts IS NOT NULL THEN regexp_extract(_ts, '{ts_rx}', 1) END AS last_log_time,
+  coalesce(g.logs, '') AS logs
+FROM f LEFT JOIN g ON f.log_id = g.log_id"""
+
+
+@register("s5_scan_training_logs", _s5_sql())
+def q_s5(spark, sf_dir):
+    return IO.scan_training_logs(doc_lines(spark, sf_dir)).withColumn("logs", F.array_join("logs", "\n"))
+
+
+@register(
+    "s6_write_interactions",
+    with_ctes(S.fx_turns_cte(), _gated_pairs_sql()) + _interaction_sql_from("gated", 'CAST(ts AS DATE) AS "date", '),
+)
+def q_s6(spark, sf_dir):
+    path = IO.scratch_path(spark, "interactions")
+    IO.write_interactions(P.capture_pipeline(fx.fx_turns(spark, sf_dir)).drop("document"), path)
+    return spark.read.parquet(path)
+
+
+@register("s7_export_training_set", ORACLE["d10_format_sft"])
+def q_s7(spark, sf_dir):
+    path = IO.scratch_path(spark, "sft-export")
+    IO.export_training_set(DS.format_sft(sft_set(spark, sf_dir)), path)
+    return spark.read.schema("prompt string, completion string, weight double").json(path)
