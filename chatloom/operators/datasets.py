@@ -1,6 +1,7 @@
 """Training-set construction.
 
-Sets are UNION ALLs of filtered projections of the interaction table; the
+A set is one pass over (pool + golden rows): every row emits the samples
+whose class conditions hold (UNION ALL semantics, overlaps kept).  The
 rejection lookup is an equi-join on the prompt text after a per-prompt
 ``max_by`` (one row per prompt on the lookup side, so a hot prompt on the
 sample side only meets a single lookup row; AQE splits a skewed side).
@@ -30,18 +31,6 @@ def _s() -> Column:
     return F.coalesce(F.col("sentiment"), F.lit(0.0))
 
 
-def _sample(df: DataFrame, typ: str, chosen: Column, rejected: Column, weight: Column) -> DataFrame:
-    return df.select(
-        F.concat(F.lit(typ + ":"), F.col("id")).alias("sample_id"),
-        F.col("user_message").alias("prompt"),
-        chosen.cast("string").alias("chosen"),
-        rejected.cast("string").alias("rejected"),
-        weight.alias("weight"),
-        _s().alias("sentiment"),
-        F.lit(typ).alias("type"),
-    )
-
-
 def select_training_pool(df: DataFrame, cfg: Thresholds = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(pool, golden): all golden rows plus the top max(0, top_n - golden) non-golden by weight."""
     golden = golden_examples(df)
@@ -58,27 +47,67 @@ def _classes(df: DataFrame, cfg: Thresholds):
     )
 
 
+def _explode_samples(df: DataFrame, candidates: list[tuple[Column, str, Column, Column, Column]]) -> DataFrame:
+    """One pass: each row emits the samples whose condition holds (classes may overlap)."""
+    structs = [
+        F.when(
+            cond,
+            F.struct(
+                F.concat(F.lit(typ + ":"), F.col("id")).alias("sample_id"),
+                F.col("user_message").alias("prompt"),
+                chosen.cast("string").alias("chosen"),
+                rejected.cast("string").alias("rejected"),
+                weight.alias("weight"),
+                _s().alias("sentiment"),
+                F.lit(typ).alias("type"),
+            ),
+        )
+        for cond, typ, chosen, rejected, weight in candidates
+    ]
+    return df.select(F.explode(F.array_compact(F.array(*structs))).alias("_x")).select("_x.*")
+
+
+def _tagged(pool: DataFrame, golden: DataFrame) -> DataFrame:
+    cols = ["id", "user_message", "assistant_response", "weight", "sentiment", "is_refusal"]
+    return pool.select(*cols, F.lit(False).alias("_from_golden")).unionByName(
+        golden.select(*cols, F.lit(True).alias("_from_golden"))
+    )
+
+
 def build_sft(pool: DataFrame, golden: DataFrame, cfg: Thresholds = DEFAULT) -> DataFrame:
-    """Positive (chosen, w), negative (rejected only, 2w), neutral (chosen, 0.5w), golden (chosen, w)."""
-    pos, neg, neu = _classes(pool, cfg)
+    """Positive (chosen, w), negative (rejected only, 2w), neutral (chosen, 0.5w), golden (chosen, w).
+
+    Classes are independent flags, so with asymmetric thresholds a pool row can
+    yield two samples; one pass over pool + golden emits them all.
+    """
+    s = F.col("sentiment")
+    g = F.col("_from_golden")
     ar = F.col("assistant_response")
     nul = F.lit(None).cast("string")
-    return (
-        _sample(pos, "positive", ar, nul, _w())
-        .unionByName(_sample(neg, "negative", nul, ar, _w() * F.lit(2.0)))
-        .unionByName(_sample(neu, "neutral", ar, nul, _w() * F.lit(0.5)))
-        .unionByName(_sample(golden, "golden", ar, nul, _w()))
-    )
+    return _explode_samples(_tagged(pool, golden), [
+        (~g & (s > F.lit(cfg.positive)), "positive", ar, nul, _w()),
+        (~g & (s < F.lit(cfg.negative)), "negative", nul, ar, _w() * F.lit(2.0)),
+        (~g & (F.abs(s) <= F.lit(cfg.neutral_band)), "neutral", ar, nul, _w() * F.lit(0.5)),
+        (g, "golden", ar, nul, _w()),
+    ])
 
 
 def latest_rejections(rejections: DataFrame) -> DataFrame:
-    """J4 lookup side: one rejection per prompt, the last (highest seq) wins; empty = missing."""
-    last = rejections.groupBy("prompt").agg(F.max_by("rejection", "seq").alias("rejection"))
-    return last.where(F.coalesce(F.length("rejection"), F.lit(0)) > 0)
+    """J4 lookup side: one rejection per prompt, the last (highest seq) non-empty one wins.
+
+    A partial (map-side) aggregation, so a prompt with many replies costs one row per task.
+    """
+    present = F.coalesce(F.length("rejection"), F.lit(0)) > 0
+    last = rejections.groupBy("prompt").agg(F.max_by("rejection", F.when(present, F.col("seq"))).alias("rejection"))
+    return last.where(F.col("rejection").isNotNull())
 
 
 def attach_rejections(samples: DataFrame, rejections: DataFrame, prompt: str = "user_message") -> DataFrame:
-    """Left equi-join on the exact prompt text; adds ``rejection`` (null when missing)."""
+    """Left equi-join on the exact prompt text; adds ``rejection`` (null when missing).
+
+    The lookup side holds one row per prompt; a hot prompt on the sample side is
+    split by AQE's skew-join handling.
+    """
     lookup = latest_rejections(rejections).withColumnRenamed("prompt", "_p")
     return samples.join(lookup, samples[prompt] == lookup["_p"], "left").drop("_p")
 
@@ -86,24 +115,25 @@ def attach_rejections(samples: DataFrame, rejections: DataFrame, prompt: str = "
 def build_dpo(pool: DataFrame, golden: DataFrame, rejections: DataFrame, cfg: Thresholds = DEFAULT) -> DataFrame:
     """D3: refusals first (rejected only), then positive / neutral / golden with their
     rejections (fallbacks as stated); negatives are dropped.  The refusal split applies to
-    the pool only."""
+    the pool only.  One join of (pool + golden) with the per-prompt lookup, one projection."""
+    s = F.col("sentiment")
+    g = F.col("_from_golden")
     refusal = F.coalesce(F.col("is_refusal"), F.lit(False))
     ar = F.col("assistant_response")
-    nul = F.lit(None).cast("string")
-    refusals = pool.where(refusal)
-    rest = attach_rejections(pool.where(~refusal), rejections)
-    pos, _neg, neu = _classes(rest, cfg)
-    gold = attach_rejections(golden, rejections)
-    has = F.col("rejection").isNotNull()
     rej = F.col("rejection")
-    return (
-        _sample(refusals, "refusal_rejected_only", nul, ar, _w())
-        .unionByName(_sample(pos.where(has), "positive_dpo", ar, rej, _w()))
-        .unionByName(_sample(pos.where(~has), "positive_sft", ar, nul, _w()))
-        .unionByName(_sample(neu.where(has), "neutral_dpo", ar, rej, _w() * F.lit(0.5)))
-        .unionByName(_sample(gold.where(has), "golden_dpo", ar, rej, _w() * F.lit(2.0)))
-        .unionByName(_sample(gold.where(~has), "golden_sft", ar, nul, _w() * F.lit(2.0)))
-    )
+    has = rej.isNotNull()
+    nul = F.lit(None).cast("string")
+    pos = ~g & ~refusal & (s > F.lit(cfg.positive))
+    neu = ~g & ~refusal & (F.abs(s) <= F.lit(cfg.neutral_band))
+    joined = attach_rejections(_tagged(pool, golden), rejections)
+    return _explode_samples(joined, [
+        (~g & refusal, "refusal_rejected_only", nul, ar, _w()),
+        (pos & has, "positive_dpo", ar, rej, _w()),
+        (pos & ~has, "positive_sft", ar, nul, _w()),
+        (neu & has, "neutral_dpo", ar, rej, _w() * F.lit(0.5)),
+        (g & has, "golden_dpo", ar, rej, _w() * F.lit(2.0)),
+        (g & ~has, "golden_sft", ar, nul, _w() * F.lit(2.0)),
+    ])
 
 
 def dataset_composition(ds: DataFrame) -> DataFrame:
@@ -127,12 +157,19 @@ def rejection_prompts(pool: DataFrame, golden: DataFrame, cfg: Thresholds = DEFA
     return part(pos, 0).unionByName(part(neu, 1)).unionByName(part(golden, 2))
 
 
-def clean_rejections(replies: DataFrame, content: str = "content", thinking: str = "thinking") -> DataFrame:
+def clean_rejections(replies: DataFrame, content: str = "content", thinking: str = "thinking",
+                     drop_short: bool = True) -> DataFrame:
     """List content -> text blocks joined by a space, else the string; strip; if
-    empty use stripped thinking; keep only results longer than 10 characters."""
-    v = F.try_parse_json(F.col(content))
-    kind = F.schema_of_variant(v)
-    arr = F.try_variant_get(v, "$", "array<variant>")
+    empty use stripped thinking; keep only results longer than 10 characters.
+
+    The JSON is parsed once into a column and read from there.  With
+    ``drop_short=False`` short results are kept as a null ``rejection`` instead of
+    being filtered, so a downstream aggregate can skip them without a filter that
+    the optimizer would inline (and re-evaluate) below the parse.
+    """
+    staged = replies.select("*", F.try_parse_json(F.col(content)).alias("_v"))
+    staged = staged.select("*", F.schema_of_variant("_v").alias("_k"))
+    arr = F.try_variant_get("_v", "$", "array<variant>")
     blocks = F.array_join(
         F.transform(
             F.filter(arr, lambda e: F.schema_of_variant(e).startswith("OBJECT") & (F.try_variant_get(e, "$.type", "string") == "text")),
@@ -142,14 +179,17 @@ def clean_rejections(replies: DataFrame, content: str = "content", thinking: str
     )
     text = (
         F.when(F.col(content).isNull(), F.lit(""))
-        .when(kind.startswith("ARRAY"), blocks)
-        .when(kind == "STRING", F.try_variant_get(v, "$", "string"))
+        .when(F.col("_k").startswith("ARRAY"), blocks)
+        .when(F.col("_k") == "STRING", F.try_variant_get("_v", "$", "string"))
         .otherwise(F.col(content))
     )
     strip = lambda c: F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
-    cleaned = strip(text)
-    cleaned = F.when((cleaned == "") & (F.coalesce(F.col(thinking), F.lit("")) != ""), strip(F.col(thinking))).otherwise(cleaned)
-    return replies.withColumn("rejection", cleaned).where(F.length("rejection") > 10)
+    staged = staged.select("*", strip(text).alias("_c"))
+    cleaned = F.when((F.col("_c") == "") & (F.coalesce(F.col(thinking), F.lit("")) != ""), strip(F.col(thinking))).otherwise(F.col("_c"))
+    staged = staged.select("*", cleaned.alias("_r")).drop("_v", "_k", "_c")
+    if drop_short:
+        return staged.withColumnRenamed("_r", "rejection").where(F.length("rejection") > 10)
+    return staged.withColumn("rejection", F.when(F.length("_r") > 10, F.col("_r"))).drop("_r")
 
 
 def fresh_rejections(cache: DataFrame, now, cfg: Thresholds = DEFAULT) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from chatloom.config import DEFAULT, Thresholds
 from chatloom.functions import content as C
 from chatloom.functions.scoring import score
-from chatloom.plans.ordering import carry
+from chatloom.plans.ordering import carry_many
 
 WS = C.WS
 
@@ -75,9 +75,11 @@ def pair_turns(
     ``with_next`` the immediately following turn's (role, text) is attached as
     ``next_role`` / ``next_text`` (needed by the storage gate).
     """
-    t = carry(turns, key, list(order), F.when(F.col(role) == "assistant", F.col(text)), "assistant_response", "last")
+    specs = [(F.when(F.col(role) == "assistant", F.col(text)), "assistant_response", "last")]
+    if with_next:
+        specs.append((F.struct(F.col(role).alias("r"), F.col(text).alias("t")), "_next", "first"))
+    t = carry_many(turns, key, list(order), specs)
     if with_next:
-        t = carry(t, key, list(order), F.struct(F.col(role).alias("r"), F.col(text).alias("t")), "_next", "first")
         t = t.withColumn("next_role", F.col("_next.r")).withColumn("next_text", F.col("_next.t")).drop("_next")
     t = t.where((F.col(role) == "user") & F.col("assistant_response").isNotNull())
     return t.withColumnRenamed(text, "user_message")

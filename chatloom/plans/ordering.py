@@ -43,38 +43,58 @@ def carry(
     out: str,
     direction: str = "last",
 ) -> DataFrame:
-    """Running value per key without a per-key single task.
+    """Running value per key without a per-key single task (see ``carry_many``)."""
+    return carry_many(df, key, order, [(value, out, direction)])
 
-    ``direction="last"``: the last non-null ``value`` among rows *before* each
-    row (by ``order``) with the same key.  ``direction="first"``: the first
-    non-null ``value`` among rows *after* it.  Exact for any key skew.
+
+def carry_many(
+    df: DataFrame,
+    key: str | Sequence[str],
+    order: Sequence[str],
+    specs: Sequence[tuple[Column, str, str]],
+) -> DataFrame:
+    """Several running values per key in one pass; exact for any key skew.
+
+    Each spec is (value, out, direction).  ``direction="last"``: the last
+    non-null ``value`` among rows *before* each row (by ``order``) with the
+    same key; ``"first"``: the first non-null ``value`` among rows *after* it.
+
+    Plan: one range exchange on (key, order) tags segments; one hash exchange
+    on (segment, key) evaluates all in-segment windows and, reused, the
+    per-(segment, key) edge values; the edges (one row per segment and key,
+    bounded by partitions + keys) are stitched across segments by key.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    seg = range_segments(df.withColumn("_cv", value), keys + list(order))
+    staged = df
+    for i, (value, _out, _dir) in enumerate(specs):
+        staged = staged.withColumn(f"_cv{i}", value)
+    seg = range_segments(staged, keys + list(order))
     order_cols = [F.col(c) for c in order]
-    if direction == "last":
-        w = Window.partitionBy(SEG, *keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-        local = F.last("_cv", ignorenulls=True).over(w)
-        pick = F.max_by("_cv", F.when(F.col("_cv").isNotNull(), F.struct(*order_cols)))
-        sw = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
-        across = F.last("_edge", ignorenulls=True).over(sw)
-    elif direction == "first":
-        w = Window.partitionBy(SEG, *keys).orderBy(*order_cols).rowsBetween(1, Window.unboundedFollowing)
-        local = F.first("_cv", ignorenulls=True).over(w)
-        pick = F.min_by("_cv", F.when(F.col("_cv").isNotNull(), F.struct(*order_cols)))
-        sw = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(1, Window.unboundedFollowing)
-        across = F.first("_edge", ignorenulls=True).over(sw)
-    else:
-        raise ValueError(direction)
-    # One row per (segment, key): bounded by partitions + keys, never by rows per key.
-    edges = seg.groupBy(SEG, *keys).agg(pick.alias("_edge"))
-    carried = edges.select(SEG, *keys, across.alias("_carry"))
-    local_df = seg.withColumn("_local", local)
-    return (
-        local_df.join(carried, [SEG, *keys], "left")
-        .withColumn(out, F.coalesce(F.col("_local"), F.col("_carry")))
-        .drop("_cv", "_local", "_carry", SEG)
-    )
+    w_before = Window.partitionBy(SEG, *keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    w_after = Window.partitionBy(SEG, *keys).orderBy(*order_cols).rowsBetween(1, Window.unboundedFollowing)
+    s_before = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+    s_after = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(1, Window.unboundedFollowing)
+    locals_, picks, acrosses = [], [], []
+    for i, (_value, _out, direction) in enumerate(specs):
+        cv = F.col(f"_cv{i}")
+        present = F.when(cv.isNotNull(), F.struct(*order_cols))
+        if direction == "last":
+            locals_.append(F.last(cv, ignorenulls=True).over(w_before).alias(f"_local{i}"))
+            picks.append(F.max_by(cv, present).alias(f"_edge{i}"))
+            acrosses.append(F.last(f"_edge{i}", ignorenulls=True).over(s_before).alias(f"_carry{i}"))
+        elif direction == "first":
+            locals_.append(F.first(cv, ignorenulls=True).over(w_after).alias(f"_local{i}"))
+            picks.append(F.min_by(cv, present).alias(f"_edge{i}"))
+            acrosses.append(F.first(f"_edge{i}", ignorenulls=True).over(s_after).alias(f"_carry{i}"))
+        else:
+            raise ValueError(direction)
+    edges = seg.groupBy(SEG, *keys).agg(*picks)
+    carried = edges.select(SEG, *keys, *acrosses)
+    out = seg.select("*", *locals_).join(carried, [SEG, *keys], "left")
+    for i, (_value, name, _dir) in enumerate(specs):
+        out = out.withColumn(name, F.coalesce(F.col(f"_local{i}"), F.col(f"_carry{i}")))
+    drop = [c for i in range(len(specs)) for c in (f"_cv{i}", f"_local{i}", f"_carry{i}")]
+    return out.drop(*drop, SEG)
 
 
 def global_index(df: DataFrame, order: Sequence[str | Column], out: str = "_idx") -> DataFrame:

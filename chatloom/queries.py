@@ -553,7 +553,7 @@ SFT_CTE = "sft AS (" + " UNION ALL ".join([
 REJ_CTES = [
     S.fx_replies_cte(),
     S.clean_rejections_cte(),
-    "rej AS (SELECT * FROM (SELECT prompt AS _p, arg_max(rejection, seq) AS rejection FROM cleaned GROUP BY prompt) WHERE length(rejection) > 0)",
+    "rej AS (SELECT * FROM (SELECT prompt AS _p, arg_max(rejection, seq) FILTER (WHERE length(rejection) > 0) AS rejection FROM cleaned GROUP BY prompt) WHERE rejection IS NOT NULL)",
     "pool_r AS (SELECT * FROM pool LEFT JOIN rej ON pool.user_message = rej._p)",
     "golden_r AS (SELECT * FROM golden LEFT JOIN rej ON golden.user_message = rej._p)",
 ]
@@ -575,8 +575,8 @@ def pool_and_golden(spark, sf_dir):
     return DS.select_training_pool(fxi(spark, sf_dir))
 
 
-def rejections_of(spark, sf_dir):
-    return DS.clean_rejections(fx.fx_replies(spark, sf_dir)).select("prompt", "seq", "rejection")
+def rejections_of(spark, sf_dir, drop_short: bool = True):
+    return DS.clean_rejections(fx.fx_replies(spark, sf_dir), drop_short=drop_short).select("prompt", "seq", "rejection")
 
 
 def sft_set(spark, sf_dir):
@@ -586,7 +586,7 @@ def sft_set(spark, sf_dir):
 
 def dpo_set(spark, sf_dir):
     pool, golden = pool_and_golden(spark, sf_dir)
-    return DS.build_dpo(pool, golden, rejections_of(spark, sf_dir))
+    return DS.build_dpo(pool, golden, rejections_of(spark, sf_dir, drop_short=False))
 
 
 @register("d1_training_pool", with_ctes(*POOL_CTES) + f"SELECT {INTERACTION_COLS} FROM pool UNION ALL SELECT {INTERACTION_COLS} FROM golden")
@@ -685,7 +685,7 @@ def q_d12(spark, sf_dir):
 )
 def q_j4(spark, sf_dir):
     pool, _ = pool_and_golden(spark, sf_dir)
-    return DS.attach_rejections(pool, rejections_of(spark, sf_dir)).select("id", "user_message", "rejection")
+    return DS.attach_rejections(pool, rejections_of(spark, sf_dir, drop_short=False)).select("id", "user_message", "rejection")
 
 
 # ---------------------------------------------------------------- checkpoint analytics
