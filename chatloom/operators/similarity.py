@@ -45,7 +45,7 @@ def embed(df: DataFrame, text_col: str = "document", out: str = "embedding", dim
 
 
 def _block_topk(k: int):
-    def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fn(key, pdf):
         q = pdf[pdf["_side"] == 0]
         c = pdf[pdf["_side"] == 1]
         if q.empty or c.empty:
