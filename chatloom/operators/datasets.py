@@ -251,16 +251,16 @@ def whitespace_hash_ids(text: Column, vocab: int = 32000) -> Column:
     return F.transform(toks, lambda t: (F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("bigint") % (vocab - 1)) + 1)
 
 
-def tokenize_with_mask(ds: DataFrame, max_len: int = 256, vocab: int = 32000, pad_id: int = 0) -> DataFrame:
-    """D13 with the default tokenizer (pluggable tokenizers: ``batchfn.tokenize_with``).
+def masks_from_ids(ds: DataFrame, full_ids: Column, prompt_ids: Column, max_len: int = 256, pad_id: int = 0) -> DataFrame:
+    """Truncate / pad token ids and derive attention mask, prompt_len and labels natively.
 
-    input_ids = full text ids truncated to max_len and padded; prompt_len =
-    prompt ids truncated to max_len // 2; labels = input_ids with the first
-    prompt_len positions set to -100 (padding is not masked, as in the reference).
+    input_ids = full ids truncated to max_len and padded with ``pad_id``;
+    prompt_len = prompt ids truncated to max_len // 2; labels = input_ids with the
+    first prompt_len positions set to -100 (padding is not masked in labels).
     """
-    ids = F.slice(whitespace_hash_ids(F.col("full_text"), vocab), 1, max_len)
-    prompt_len = F.least(F.size(whitespace_hash_ids(F.col("prompt_text"), vocab)), F.lit(max_len // 2))
-    staged = ds.withColumn("_ids", ids).withColumn("prompt_len", prompt_len)
+    staged = ds.withColumn("_ids", F.slice(full_ids, 1, max_len)).withColumn(
+        "prompt_len", F.least(F.size(prompt_ids), F.lit(max_len // 2))
+    )
     n = F.size("_ids")
     pad = F.array_repeat(F.lit(pad_id).cast("bigint"), F.lit(max_len) - n)
     staged = staged.withColumn("input_ids", F.concat("_ids", pad)).withColumn(
@@ -268,3 +268,13 @@ def tokenize_with_mask(ds: DataFrame, max_len: int = 256, vocab: int = 32000, pa
     )
     labels = F.transform("input_ids", lambda x, i: F.when(i < F.col("prompt_len"), F.lit(-100).cast("bigint")).otherwise(x))
     return staged.withColumn("labels", labels).drop("_ids")
+
+
+def tokenize_with_mask(ds: DataFrame, max_len: int = 256, vocab: int = 32000, pad_id: int = 0) -> DataFrame:
+    """D13 with the default tokenizer (pluggable tokenizers: ``batchfn.tokenize_with``).
+
+    Runs entirely in the JVM: whitespace tokens, md5-derived ids, then ``masks_from_ids``.
+    """
+    return masks_from_ids(
+        ds, whitespace_hash_ids(F.col("full_text"), vocab), whitespace_hash_ids(F.col("prompt_text"), vocab), max_len, pad_id
+    )

@@ -34,7 +34,9 @@ def embed(df: DataFrame, text_col: str = "document", out: str = "embedding", dim
         normed = Normalizer(inputCol="_tf", outputCol="_vec", p=2.0).transform(tf)
         return normed.withColumn(out, vector_to_array("_vec", "float32")).drop("_toks", "_tf", "_vec")
 
-    schema = df.schema.add(out, "array<float>")
+    from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+
+    schema = StructType(df.schema.fields + [StructField(out, ArrayType(FloatType()))])
 
     def run(batches):
         for pdf in batches:

@@ -199,9 +199,8 @@ def in_schedule_window(ts: Column, cfg: Thresholds = DEFAULT) -> Column:
         return F.lit(True)
     hh, mm = (int(x) for x in cfg.schedule_time.split(":"))
     local = F.from_utc_timestamp(ts.cast("timestamp"), cfg.schedule_timezone)
-    secs = (F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)).cast("double") + (
-        (_micros(local) % 1_000_000) / F.lit(1_000_000.0)
-    )
+    micro_of_minute = F.second(local).cast("bigint") * 1_000_000 + (_micros(local) % 1_000_000)
+    secs = (F.hour(local) * 3600 + F.minute(local) * 60).cast("double") + micro_of_minute / F.lit(1_000_000.0)
     diff = F.abs(secs - F.lit(float(hh * 3600 + mm * 60))) / F.lit(60.0)
     diff = F.when(diff > 720, F.lit(1440.0) - diff).otherwise(diff)
     return diff <= F.lit(float(cfg.schedule_window_minutes))

@@ -1241,3 +1241,87 @@ def q_s7(spark, sf_dir):
     path = IO.scratch_path(spark, "sft-export")
     IO.export_training_set(DS.format_sft(sft_set(spark, sf_dir)), path)
     return spark.read.schema("prompt string, completion string, weight double").json(path)
+
+
+# ---------------------------------------------------------------- signals, pluggable model steps, schedule
+
+from chatloom.operators import batchfn as BF  # noqa: E402
+
+
+@register(
+    "e3_sentiment_signals",
+    with_ctes(S.fx_turns_cte(), S.fx_pairs_cte()) + f"""SELECT conv_id, turn,
+  CASE WHEN _sn > 0 THEN 'strong_negative(' || _sn || ')' WHEN _sp > 0 THEN 'strong_positive(' || _sp || ')'
+  ELSE array_to_string(list_filter([
+    CASE WHEN _mn > _mp THEN 'moderate_negative(' || _mn || ')' WHEN _mp > _mn THEN 'moderate_positive(' || _mp || ')' END,
+    CASE WHEN _len < 10 AND _cont THEN 'very_short' END,
+    CASE WHEN _q > 2 THEN 'many_questions(' || _q || ')' END,
+    CASE WHEN _e > 0 THEN (CASE WHEN _s2 >= 0 THEN 'enthusiastic' ELSE 'frustrated' END) END,
+    CASE WHEN _in > 0 THEN 'instruction(' || _in || ')' END,
+    CASE WHEN _cont AND _s4 = 0 THEN 'continuation' END], lambda x: x IS NOT NULL), ',') END AS signals
+FROM {S.score_sql('fx_pairs', keep_steps=True)}""",
+)
+def q_e3(spark, sf_dir):
+    s = scoring.score(P.pair_turns(fx.fx_turns(spark, sf_dir)), "user_message", with_signals=True)
+    return s.select("conv_id", "turn", F.array_join("signals", ",").alias("signals"))
+
+
+@register("e5_model_sentiment")
+def q_e5(spark, sf_dir):
+    pairs = P.pair_turns(fx.fx_turns(spark, sf_dir))
+    return BF.model_sentiment(pairs).select("conv_id", "turn", "model_sentiment")
+
+
+@register("d7_generate_rejections")
+def q_d7(spark, sf_dir):
+    pool, golden = pool_and_golden(spark, sf_dir)
+    rejections, report = BF.generate_rejections(DS.rejection_prompts(pool, golden))
+    return rejections
+
+
+def _d13_sql() -> str:
+    def ids(col):
+        toks = f"list_filter(regexp_split_to_array(regexp_replace({col}, '^{WS}+|{WS}+$', '', 'g'), '{WS}+'), lambda t: t <> '')"
+        return f"list_transform({toks}, lambda t: (CAST('0x' || substr(md5(t), 1, 6) AS BIGINT) % 31999) + 1)"
+
+    body = DS.TEMPLATES["harmony"]
+    pt = f"'{body[0]}' || prompt || '{body[1]}'"
+    return with_ctes(*POOL_CTES, SFT_CTE) + f"""SELECT prompt, prompt_len, array_to_string(input_ids, ' ') AS input_ids,
+  list_sum(attention_mask) AS attended, array_to_string(list_transform(input_ids, lambda x, i: CASE WHEN i <= prompt_len THEN -100 ELSE x END), ' ') AS labels
+FROM (SELECT prompt, least(len({ids(pt)}), 128) AS prompt_len,
+        list_resize({ids(pt + " || chosen || '" + body[2] + "'")}[1:256], 256, 0) AS input_ids,
+        list_resize(list_transform({ids(pt + " || chosen || '" + body[2] + "'")}[1:256], lambda x: 1), 256, 0) AS attention_mask
+      FROM sft WHERE chosen IS NOT NULL)"""
+
+
+@register("d13_tokenize_with_mask", _d13_sql())
+def q_d13(spark, sf_dir):
+    ds = DS.render_chat(DS.format_sft(sft_set(spark, sf_dir)), "harmony")
+    t = DS.tokenize_with_mask(ds, 256)
+    return t.select(
+        "prompt", "prompt_len", F.array_join("input_ids", " ").alias("input_ids"),
+        F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("attended"),
+        F.array_join("labels", " ").alias("labels"),
+    )
+
+
+@register("d13_tokenize_custom")
+def q_d13c(spark, sf_dir):
+    ds = DS.render_chat(DS.format_sft(sft_set(spark, sf_dir)), "chatml")
+    t = BF.tokenize_with(ds, BF.char_tokenizer, 256)
+    return t.select("prompt", "prompt_len", F.size("input_ids").alias("n_ids"), F.array_join("labels", " ").alias("labels"))
+
+
+SCHEDULED = DEFAULT.__class__(schedule_enabled=True)
+
+
+@register(
+    "a7_in_schedule_window",
+    """SELECT event_id, (CASE WHEN d > 720 THEN 1440 - d ELSE d END) <= CAST(60.0 AS DOUBLE) AS in_window FROM (
+  SELECT event_id, abs((CAST(extract(hour FROM l) * 3600 + extract(minute FROM l) * 60 AS DOUBLE)
+                        + extract(microsecond FROM l) / CAST(1000000.0 AS DOUBLE)) - CAST(3600.0 AS DOUBLE)) / CAST(60.0 AS DOUBLE) AS d
+  FROM (SELECT event_id, timezone('America/New_York', ts AT TIME ZONE 'UTC') AS l FROM events))""",
+)
+def q_a7(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    return ev.select("event_id", A.in_schedule_window(F.col("ts"), SCHEDULED).alias("in_window"))

@@ -87,7 +87,8 @@ def fx_pairs_cte(drop_prompt_like: bool = False) -> str:
 )"""
 
 
-def score_sql(src: str, text_col: str = "user_message", continuing: str = "true", cfg: Thresholds = DEFAULT) -> str:
+def score_sql(src: str, text_col: str = "user_message", continuing: str = "true", cfg: Thresholds = DEFAULT,
+              keep_steps: bool = False) -> str:
     """Subquery adding sentiment, weight, is_golden to every column of ``src``."""
     low = f"lower({text_col})"
     c0 = f"""SELECT *,
@@ -120,7 +121,8 @@ def score_sql(src: str, text_col: str = "user_message", continuing: str = "true"
                   * ({d(1.0)} + abs(sentiment) * {d(0.5)}) AS _w1 FROM ({s6})"""
     w1 = f"""SELECT *, least(CASE WHEN _len > 500 THEN _w1 * {d(2.0)} WHEN _len > 200 THEN _w1 * {d(1.5)}
                              WHEN _len < 20 THEN _w1 * {d(0.7)} ELSE _w1 END, {d(5.0)}) AS weight FROM ({w0})"""
-    g = f"""SELECT * EXCLUDE (_sp, _sn, _mp, _mn, _in, _q, _e, _len, _dir, _cont, _s0, _s1, _s2, _s3, _s4, _s5, _w1),
+    excl = "_w1" if keep_steps else "_sp, _sn, _mp, _mn, _in, _q, _e, _len, _dir, _cont, _s0, _s1, _s2, _s3, _s4, _s5, _w1"
+    g = f"""SELECT * EXCLUDE ({excl}),
               (weight >= 5.0 OR sentiment >= 0.7 OR (abs(sentiment) >= 0.3 AND _dir)
                OR (sentiment < -0.6 AND _len > 300)) AS is_golden
             FROM ({w1})"""
