@@ -142,3 +142,43 @@ def rollback(ckpts: DataFrame, requests: DataFrame, now) -> DataFrame:
         ok.alias("deployed"),
         F.when(ok, F.lit(now).cast("timestamp_ntz")).alias("deployed_at"),
     )
+
+
+def training_progress(meta: DataFrame, states: DataFrame, pass_dirs: DataFrame, now, active_seconds: int = 600) -> DataFrame:
+    """Progress of the latest run's passes, in pass order.
+
+    ``meta``: (run, pass_dir, timestamp, train_loss, train_samples, val_samples,
+    epochs); ``states``: (run, pass_dir, _st = latest checkpoint's trainer state);
+    ``pass_dirs``: every pass directory that exists.  The latest run is the one with
+    the newest pass timestamp.  Training is active when its last reported pass is
+    younger than ``active_seconds``; then, if fewer passes reported than exist, the
+    last one is marked incomplete and is the current pass.
+    """
+    if isinstance(now, str):
+        now = dt.datetime.fromisoformat(now)
+    latest = meta.groupBy("run").agg(F.max("timestamp").alias("_t")).orderBy(F.col("_t").desc(), F.col("run").desc()).limit(1)
+    passes = meta.join(latest.select("run"), "run").join(states, ["run", "pass_dir"], "left")
+    total = pass_dirs.join(latest.select("run"), "run").groupBy("run").agg(F.count(F.lit(1)).alias("total_passes"))
+    pass_no = F.regexp_extract("pass_dir", r"^pass_([0-9]+)_", 1).cast("int")
+    layers = F.concat(F.regexp_extract("pass_dir", r"^pass_[0-9]+_[^_]+_([^_]+)_", 1), F.lit("-"),
+                      F.regexp_extract("pass_dir", r"^pass_[0-9]+_[^_]+_[^_]+_([^_/]+)", 1))
+    p = passes.select(
+        "run", pass_no.alias("pass_number"), layers.alias("layers"), "train_loss", "train_samples", "val_samples", "epochs",
+        "timestamp", F.col("_st.epoch").alias("epoch"), F.col("_st.global_step").alias("global_step"),
+        F.col("_st.max_steps").alias("max_steps"), F.col("_st._last.eval_loss").alias("eval_loss"),
+        F.col("_st._last.eval_runtime").alias("eval_runtime"),
+    ).join(total, "run", "left")
+    w = Window.partitionBy("run")
+    last_ts = F.max_by("timestamp", "pass_number").over(w)
+    reported = F.count(F.lit(1)).over(w)
+    age = (F.unix_micros(F.lit(now).cast("timestamp_ntz").cast("timestamp"))
+           - F.unix_micros(F.to_timestamp(F.regexp_replace(last_ts, "Z$", "")).cast("timestamp"))) / F.lit(1_000_000.0)
+    active = age < active_seconds
+    partial = active & (reported < F.col("total_passes"))
+    is_last = F.col("pass_number") == F.max("pass_number").over(w)
+    return p.select(
+        F.col("run").alias("checkpoint_id"), "*",
+        active.alias("training_active"),
+        F.when(partial, reported).otherwise(F.col("total_passes")).alias("current_pass"),
+        (~(partial & is_last)).alias("completed"),
+    ).drop("run").orderBy("pass_number")

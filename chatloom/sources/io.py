@@ -109,7 +109,6 @@ def read_training_history(spark: SparkSession, directory: str) -> DataFrame:
     Ascending by timestamp.
     """
     root = directory.rstrip("/")
-    rx_run = r"/([^/]+)/(pass_[^/]+/)?(checkpoint-[^/]+/)?[^/]+\.json$"
     meta = (
         spark.read.schema(META_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED")
         .option("recursiveFileLookup", True).option("pathGlobFilter", "training_metadata.json").json(root)
@@ -231,3 +230,46 @@ def write_interactions_stream(stream: DataFrame, path: str, checkpoint: str):
 def export_training_set(ds: DataFrame, path: str) -> None:
     """SFT or DPO rows as JSON lines for a trainer."""
     ds.write.mode("overwrite").json(path)
+
+
+PASS_STATE_SCHEMA = (
+    "epoch double, global_step bigint, max_steps bigint, "
+    "log_history array<struct<eval_loss:double,eval_runtime:double,loss:double,step:bigint>>"
+)
+
+
+def read_pass_tree(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files of sequential runs: (pass metadata, latest trainer state per pass, pass directories seen).
+
+    A pass directory is any ``<run>/pass_N_layers_A_B/`` holding at least one file.
+    """
+    root = directory.rstrip("/")
+    strip_root = r"^.*?" + _escape(root.split("://")[-1]) + "/"
+    rel = F.regexp_replace(F.col("_metadata.file_path"), strip_root, "")
+    run = F.regexp_extract("_rel", r"^([^/]+)/", 1)
+    pdir = F.regexp_extract("_rel", r"^[^/]+/(pass_[0-9]+_[^/]+)/", 1)
+    meta = (
+        spark.read.schema(META_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED")
+        .option("recursiveFileLookup", True).option("pathGlobFilter", "training_metadata.json").json(root)
+        .withColumn("_rel", rel).select(run.alias("run"), pdir.alias("pass_dir"), "*")
+        .where(F.col("pass_dir") != "").drop("_rel")
+    )
+    states = (
+        spark.read.schema(PASS_STATE_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED")
+        .option("recursiveFileLookup", True).option("pathGlobFilter", "trainer_state.json").json(root)
+        .withColumn("_rel", rel)
+        .select(run.alias("run"), pdir.alias("pass_dir"),
+                F.regexp_extract("_rel", r"checkpoint-([0-9]+)/trainer_state\.json$", 1).cast("bigint").alias("_k"),
+                "epoch", "global_step", "max_steps", F.element_at("log_history", -1).alias("_last"))
+        .where((F.col("pass_dir") != "") & F.col("_k").isNotNull())
+        .groupBy("run", "pass_dir")
+        .agg(F.max_by(F.struct("epoch", "global_step", "max_steps", "_last"), "_k").alias("_st"))
+    )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    dirs = (
+        files.withColumn("_rel", F.regexp_replace("path", strip_root, ""))
+        .select(F.regexp_extract("_rel", r"^([^/]+)/", 1).alias("run"),
+                F.regexp_extract("_rel", r"^[^/]+/(pass_[0-9]+_[^/]+)/", 1).alias("pass_dir"))
+        .where(F.col("pass_dir") != "").distinct()
+    )
+    return meta, states, dirs

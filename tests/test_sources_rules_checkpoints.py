@@ -147,3 +147,28 @@ def test_request_log_round_trip(spark, sf_small, tmp_path):
     a = explode_messages(back.where(F.col("_corrupt_record").isNull()))
     b = explode_messages(req)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_training_progress(spark, tmp_path):
+    root = tmp_path / "ckpts"
+    run = root / "checkpoint_20240105"
+    for i, (name, ts) in enumerate((("pass_1_layers_0_4", "2024-01-05T10:00:00"), ("pass_2_layers_5_9", "2024-01-05T10:55:00")), 1):
+        p = run / name
+        (p / "checkpoint-3").mkdir(parents=True)
+        (p / "training_metadata.json").write_text(json.dumps({"timestamp": ts, "train_loss": 0.5 * i, "epochs": 3}))
+        (p / "checkpoint-3" / "trainer_state.json").write_text(json.dumps(
+            {"epoch": 1.0 * i, "global_step": 3 * i, "max_steps": 9, "log_history": [{"eval_loss": 0.4 * i, "eval_runtime": 2.0}]}))
+    (run / "pass_3_layers_10_14").mkdir()
+    (run / "pass_3_layers_10_14" / "train.log").write_text("started")
+    old = root / "checkpoint_20231201" / "pass_1_layers_0_4"
+    old.mkdir(parents=True)
+    (old / "training_metadata.json").write_text(json.dumps({"timestamp": "2023-12-01T00:00:00", "train_loss": 2.0}))
+    meta, states, dirs = IO.read_pass_tree(spark, str(root))
+    rows = CK.training_progress(meta, states, dirs, "2024-01-05T11:00:00").collect()
+    assert [r.pass_number for r in rows] == [1, 2]
+    assert all(r.checkpoint_id == "checkpoint_20240105" for r in rows)
+    assert rows[0].training_active and rows[0].current_pass == 2 and rows[0].total_passes == 3
+    assert [r.completed for r in rows] == [True, False]
+    assert rows[1].eval_loss == 0.8 and rows[1].global_step == 6 and rows[1].layers == "5-9"
+    later = CK.training_progress(meta, states, dirs, "2024-01-05T12:00:00").collect()
+    assert not later[0].training_active and later[0].current_pass == 3 and all(r.completed for r in later)
