@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from chatloom.config import DEFAULT, Thresholds
 from chatloom.functions.content import WS
 from chatloom.operators.interactions import golden_examples, top_by_weight
-from chatloom.plans.ordering import global_index
+from chatloom.plans.ordering import before_boundary, kth_boundary
 
 SAMPLE_COLS = ("sample_id", "prompt", "chosen", "rejected", "weight", "sentiment", "type")
 
@@ -205,14 +205,16 @@ def split_train_val(ds: DataFrame, fraction: float | None = None, seed: int = 42
                     cfg: Thresholds = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Seeded shuffle by md5(seed || key); the first int(n * (1 - fraction)) rows train.
 
-    The index is exact and computed without an unpartitioned window.
+    The boundary position is exact (range-sorted narrow columns, no unpartitioned
+    window); ``key`` must be unique.
     """
     fraction = cfg.validation_split if fraction is None else fraction
     n = ds.count()
     k = int(n * (1 - float(fraction)))
-    shuffled = global_index(ds.withColumn("_h", F.md5(F.concat(F.lit(str(seed)), F.col(key)))), [F.col("_h"), F.col(key)], "_pos")
-    base = shuffled.drop("_h")
-    return base.where(F.col("_pos") < k).drop("_pos"), base.where(F.col("_pos") >= k).drop("_pos")
+    order = [F.md5(F.concat(F.lit(str(seed)), F.col(key))), F.col(key)]
+    # Exact position k from a sort of (hash, key) only; the set is split by predicate.
+    first_k = before_boundary(order, kth_boundary(ds, order, k))
+    return ds.where(first_k), ds.where(~first_k)
 
 
 def format_sft(ds: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from chatloom.config import DEFAULT, Thresholds
 from chatloom.functions.scoring import golden as golden_rule
-from chatloom.plans.ordering import global_index
+from chatloom.plans.ordering import before_boundary, kth_boundary
 
 TRUNC_MARK = "...[TRUNCATED]"
 
@@ -99,12 +99,23 @@ def apply_updates(df: DataFrame, updates: DataFrame) -> DataFrame:
     """Overwrite sentiment / weight / is_golden only where the update supplies a value.
 
     ``updates`` has ``id`` and any of ``sentiment``, ``weight``, ``is_golden``
-    (null = not supplied); other columns are ignored.
+    (null = not supplied); other columns are ignored.  When an id repeats, the
+    value with the highest ``seq`` wins if the updates carry a ``seq`` column;
+    without one, repeated ids should not occur (one of the supplied values is taken).
     """
     fields = [c for c in ("sentiment", "weight", "is_golden") if c in updates.columns]
-    u = updates.select(F.col("id").cast("string").alias("id"), *[F.col(c).alias(f"_u_{c}") for c in fields])
-    # One update per id: the last supplied value wins when an id repeats.
-    u = u.groupBy("id").agg(*[F.last(f"_u_{c}", ignorenulls=True).alias(f"_u_{c}") for c in fields])
+    has_seq = "seq" in updates.columns
+    u = updates.select(
+        F.col("id").cast("string").alias("id"), *[F.col(c).alias(f"_u_{c}") for c in fields],
+        (F.col("seq") if has_seq else F.lit(0)).alias("_seq"),
+    )
+
+    def pick(c: str) -> Column:
+        v = F.col(f"_u_{c}")
+        return (F.max_by(v, F.when(v.isNotNull(), F.col("_seq"))) if has_seq else F.first(v, ignorenulls=True)).alias(f"_u_{c}")
+
+    # Partial aggregation: one row per id and task before the shuffle.
+    u = u.groupBy("id").agg(*[pick(c) for c in fields])
     joined = df.join(u, "id", "left")
     for c in fields:
         joined = joined.withColumn(c, F.coalesce(F.col(f"_u_{c}"), F.col(c)))
@@ -166,9 +177,9 @@ def prune_by_weight(df: DataFrame, threshold: float | None = None, cfg: Threshol
 def prune_lowest(df: DataFrame, fraction: float | None = None, cfg: Thresholds = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Drop the int(n * fraction) lowest-weight non-golden rows (ties by timestamp, id).
 
-    One count, then the exact global index of the non-golden rows over
-    (weight, timestamp, id); rows with index < k are deleted.  Golden rows are
-    never candidates.
+    One count, then the exact k-th row of the non-golden rows in (weight,
+    timestamp, id) order from a range sort of those three columns; the rows
+    before it are deleted.  Golden rows are never candidates.
     """
     fraction = cfg.cleanup_fraction if fraction is None else fraction
     is_g = F.coalesce(F.col("is_golden"), F.lit(False))
@@ -177,10 +188,12 @@ def prune_lowest(df: DataFrame, fraction: float | None = None, cfg: Thresholds =
     k = int(n * float(fraction))
     if k <= 0:
         return df, df.limit(0)
-    indexed = global_index(candidates, [_weight(), F.col("timestamp"), F.col("id")], "_rank")
-    kept = indexed.where(F.col("_rank") >= k).drop("_rank").unionByName(df.where(is_g))
-    deleted = indexed.where(F.col("_rank") < k).drop("_rank")
-    return kept, deleted
+    order = [_weight(), F.col("timestamp"), F.col("id")]
+    # Exact k-th row from a sort of the narrow order columns only; the wide table
+    # is then split by a predicate (no wide shuffle, no join back).
+    boundary = kth_boundary(candidates, order, k)
+    low = ~is_g & before_boundary(order, boundary)
+    return df.where(~low), df.where(low)
 
 
 def dataset_size_gb(spark: SparkSession, path: str) -> float:

@@ -47,11 +47,21 @@ def carry(
     return carry_many(df, key, order, [(value, out, direction)])
 
 
+def hottest_key_share(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """(rows of the largest key, total rows): one scan of the key columns with a
+    partial (map-side) count per key, so even a hot key costs one row per task."""
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    r = per_key.agg(F.max("_n").alias("m"), F.sum("_n").alias("t")).first()
+    return int(r.m or 0), int(r.t or 0)
+
+
 def carry_many(
     df: DataFrame,
     key: str | Sequence[str],
     order: Sequence[str],
     specs: Sequence[tuple[Column, str, str]],
+    strategy: str = "auto",
+    hot_factor: float = 2.0,
 ) -> DataFrame:
     """Several running values per key in one pass; exact for any key skew.
 
@@ -59,12 +69,21 @@ def carry_many(
     non-null ``value`` among rows *before* each row (by ``order``) with the
     same key; ``"first"``: the first non-null ``value`` among rows *after* it.
 
-    Plan: one range exchange on (key, order) tags segments; one hash exchange
-    on (segment, key) evaluates all in-segment windows and, reused, the
-    per-(segment, key) edge values; the edges (one row per segment and key,
+    ``strategy="auto"`` measures the largest key first.  When no key holds more
+    than ``hot_factor`` times a partition's share of the rows, a plain window
+    partitioned by the key is exact and needs a single shuffle.  Otherwise (or
+    with ``strategy="segmented"``) the segmented plan runs: a range exchange on
+    (key, order) tags segments, a hash exchange on (segment, key) evaluates the
+    in-segment windows, and the edge values (one row per segment and key,
     bounded by partitions + keys) are stitched across segments by key.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    if strategy == "auto":
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        hottest, total = hottest_key_share(df, keys)
+        strategy = "keyed" if hottest <= max(1.0, hot_factor * total / max(1, parts)) else "segmented"
+    if strategy == "keyed":
+        return _carry_keyed(df, keys, order, specs)
     staged = df
     for i, (value, _out, _dir) in enumerate(specs):
         staged = staged.withColumn(f"_cv{i}", value)
@@ -97,6 +116,22 @@ def carry_many(
     return out.drop(*drop, SEG)
 
 
+def _carry_keyed(df: DataFrame, keys: list[str], order: Sequence[str], specs) -> DataFrame:
+    """The single-shuffle form of ``carry_many`` for data without a hot key."""
+    order_cols = [F.col(c) for c in order]
+    before = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(1, Window.unboundedFollowing)
+    cols = []
+    for value, name, direction in specs:
+        if direction == "last":
+            cols.append(F.last(value, ignorenulls=True).over(before).alias(name))
+        elif direction == "first":
+            cols.append(F.first(value, ignorenulls=True).over(after).alias(name))
+        else:
+            raise ValueError(direction)
+    return df.select("*", *cols)
+
+
 def global_index(df: DataFrame, order: Sequence[str | Column], out: str = "_idx") -> DataFrame:
     """Exact 0-based position of each row in the total order ``order``.
 
@@ -120,3 +155,25 @@ def global_index(df: DataFrame, order: Sequence[str | Column], out: str = "_idx"
         .withColumn(out, F.col("_off") + F.col("_local"))
         .drop("_off", "_local", SEG)
     )
+
+
+def kth_boundary(df: DataFrame, order: Sequence[Column], k: int):
+    """The order values of the row at 0-based position ``k`` in the total order, or None.
+
+    Only the narrow order columns are range-sorted; one row reaches the driver.
+    Rows before the boundary are exactly ``struct(order) < boundary``.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    narrow = df.select(*[c.alias(n) for c, n in zip(order, names)])
+    hit = global_index(narrow, [F.col(n) for n in names], "_pos").where(F.col("_pos") == k).select(*names).first()
+    if hit is None:
+        return None
+    types = {f.name: f.dataType for f in narrow.schema.fields}
+    return F.struct(*[F.lit(hit[n]).cast(types[n]).alias(n) for n in names])
+
+
+def before_boundary(order: Sequence[Column], boundary: Column | None) -> Column:
+    """Predicate: the row sorts strictly before ``boundary`` (all rows when None)."""
+    if boundary is None:
+        return F.lit(True)
+    return F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)]) < boundary

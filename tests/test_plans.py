@@ -23,11 +23,11 @@ def _skewed_turns(spark, n_hot=3000, n_cold=200, seed=7):
 
 def test_carry_matches_windows_under_skew(spark):
     df = _skewed_turns(spark)
-    got = carry_many(
-        df, "conv_id", ["turn"],
-        [(F.when(F.col("role") == "assistant", F.col("text")), "prev_asst", "last"),
-         (F.col("text"), "next_text", "first")],
-    )
+    specs = [(F.when(F.col("role") == "assistant", F.col("text")), "prev_asst", "last"),
+             (F.col("text"), "next_text", "first")]
+    got = carry_many(df, "conv_id", ["turn"], specs)  # auto: the hot key forces the segmented plan
+    seg = carry_many(df, "conv_id", ["turn"], specs, strategy="segmented")
+    keyed = carry_many(df, "conv_id", ["turn"], specs, strategy="keyed")
     w_prev = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     w_next = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
     want = df.select(
@@ -35,8 +35,17 @@ def test_carry_matches_windows_under_skew(spark):
         F.last(F.when(F.col("role") == "assistant", F.col("text")), True).over(w_prev).alias("prev_asst"),
         F.first("text", True).over(w_next).alias("next_text"),
     )
-    assert got.count() == df.count()
-    assert got.exceptAll(want.select(*got.columns)).count() == 0
+    for out in (got, seg, keyed):
+        assert out.count() == df.count()
+        assert out.exceptAll(want.select(*out.columns)).count() == 0
+
+
+def test_carry_auto_detects_hot_key(spark):
+    from chatloom.plans.ordering import hottest_key_share
+
+    df = _skewed_turns(spark)
+    hottest, total = hottest_key_share(df, ["conv_id"])
+    assert hottest == 3000 and total == df.count()
 
 
 def test_global_index_is_exact(spark):
