@@ -67,9 +67,64 @@ def bounded(pattern: str) -> str:
     return f"(?:^|{_NON_WORD})(?:{pattern})(?:$|{_NON_WORD})"
 
 
+def _top_level_alternatives(pattern: str) -> list[str]:
+    parts, depth, cur = [], 0, ""
+    for ch in pattern:
+        if ch == "(":
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+        if ch == "|" and depth == 0:
+            parts.append(cur)
+            cur = ""
+        else:
+            cur += ch
+    parts.append(cur)
+    return parts
+
+
+def required_literals(pattern: str) -> list[str] | None:
+    """Substrings of which every match of ``pattern`` contains at least one.
+
+    Each top-level alternative contributes its literal prefix (up to the first
+    group or metacharacter; a character made optional by ``?``/``*`` is dropped).
+    Returns None when some alternative has no literal prefix (no prefilter).
+    """
+    lits = []
+    for alt in _top_level_alternatives(pattern):
+        lit = ""
+        for i, ch in enumerate(alt):
+            if ch in "()[]{}.\\^$|":
+                break
+            if ch in "?*":
+                lit = lit[:-1]
+                break
+            if ch == "+":
+                break
+            lit += ch
+        if not lit:
+            return None
+        lits.append(lit)
+    return lits
+
+
 def family_count(lower_text: Column, family: str) -> Column:
-    """Number of patterns of ``family`` that match ``lower_text`` at least once."""
-    terms = [lower_text.rlike(bounded(p)).cast("int") for p in FAMILIES[family]]
+    """Number of patterns of ``family`` that match ``lower_text`` at least once.
+
+    Each regex runs only when the text contains one of the literals every match
+    needs (plain substring search), so texts without feedback words skip it.
+    """
+    terms = []
+    for p in FAMILIES[family]:
+        hit = lower_text.rlike(bounded(p))
+        lits = required_literals(p)
+        if lits:
+            maybe = None
+            for lit in lits:
+                c = lower_text.contains(lit)
+                maybe = c if maybe is None else (maybe | c)
+            hit = F.when(maybe, hit).otherwise(F.lit(False))
+        terms.append(hit.cast("int"))
     total = terms[0]
     for t in terms[1:]:
         total = total + t

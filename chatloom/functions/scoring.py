@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from chatloom.config import DEFAULT, Thresholds
 from chatloom.functions import lexicon
 
-_COUNT_COLS = ("_sp", "_sn", "_mp", "_mn", "_in")
 
 
 def lexicon_counts(text: Column) -> dict[str, Column]:
@@ -33,43 +32,48 @@ def char_count(text: Column, ch: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
 
 
-def _steps(sp, sn, mp, mn, inst, n_q, n_e, length, continuing: Column, cfg: Thresholds) -> dict[str, Column]:
-    """E2 step by step on precomputed counts; keeps the reference's floating-point order."""
-    st = {}
-    s = (
+def _with_sentiment_steps(df: DataFrame, cfg: Thresholds) -> DataFrame:
+    """E2 as one column per step (``_s0`` .. ``_s5``), keeping the reference's
+    floating-point order.  Each step reads the previous step's column, so no
+    step's expression is repeated inside a later one (the nested form would
+    duplicate earlier steps exponentially in the generated code)."""
+    c = {k: F.col(k) for k in ("_sp", "_sn", "_mp", "_mn", "_in", "_q", "_e", "_len", "_cont")}
+    mn, mp = c["_mn"], c["_mp"]
+    out = df.withColumn(
+        "_s0",
         F.when(mn > mp, F.lit(0.0) - F.lit(0.4) * (mn / (mn + mp + 1)))
         .when(mp > mn, F.lit(0.0) + F.lit(0.4) * (mp / (mn + mp + 1)))
-        .otherwise(F.lit(0.0))
+        .otherwise(F.lit(0.0)),
     )
-    s = F.when((length < 10) & continuing, s - F.lit(0.1)).otherwise(s)
-    s = F.when(n_q > 2, s - F.lit(0.15)).otherwise(s)
-    st["before_bang"] = s
-    bang = F.lit(0.1) * F.least(n_e, F.lit(2))
-    s = F.when(n_e > 0, F.when(s >= 0, s + bang).otherwise(s - bang)).otherwise(s)
-    s = F.when(inst > 0, F.greatest(s, F.lit(0.3))).otherwise(s)
-    st["before_baseline"] = s
-    s = F.when(continuing & (s == 0), F.lit(cfg.continuation)).otherwise(s)
-    s = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s))
-    st["sentiment"] = (
-        F.when(sn > 0, F.lit(-0.8) * F.least(sn / F.lit(2.0), F.lit(1.0)))
-        .when(sp > 0, F.lit(0.8) * F.least(sp / F.lit(2.0), F.lit(1.0)))
-        .otherwise(s)
+    out = out.withColumn("_s1", F.when((c["_len"] < 10) & c["_cont"], F.col("_s0") - F.lit(0.1)).otherwise(F.col("_s0")))
+    out = out.withColumn("_s2", F.when(c["_q"] > 2, F.col("_s1") - F.lit(0.15)).otherwise(F.col("_s1")))
+    bang = F.lit(0.1) * F.least(c["_e"], F.lit(2))
+    out = out.withColumn(
+        "_s3",
+        F.when(c["_e"] > 0, F.when(F.col("_s2") >= 0, F.col("_s2") + bang).otherwise(F.col("_s2") - bang)).otherwise(F.col("_s2")),
+    )
+    out = out.withColumn("_s4", F.when(c["_in"] > 0, F.greatest(F.col("_s3"), F.lit(0.3))).otherwise(F.col("_s3")))
+    out = out.withColumn("_s5", F.when(c["_cont"] & (F.col("_s4") == 0), F.lit(cfg.continuation)).otherwise(F.col("_s4")))
+    return out.withColumn(
+        "sentiment",
+        F.when(c["_sn"] > 0, F.lit(-0.8) * F.least(c["_sn"] / F.lit(2.0), F.lit(1.0)))
+        .when(c["_sp"] > 0, F.lit(0.8) * F.least(c["_sp"] / F.lit(2.0), F.lit(1.0)))
+        .otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_s5")))),
     )
-    return st
-
-
-def _sentiment_from(sp, sn, mp, mn, inst, n_q, n_e, length, continuing: Column, cfg: Thresholds) -> Column:
-    return _steps(sp, sn, mp, mn, inst, n_q, n_e, length, continuing, cfg)["sentiment"]
 
 
-def _weight_from(inst, sentiment: Column, length, cfg: Thresholds) -> Column:
-    """Multiplicative weight capped at 5.0."""
+def _weight_base(inst, sentiment: Column, cfg: Thresholds) -> Column:
+    """E6, first part: instruction boost times (1 + |s| * 0.5)."""
     w = (
         F.when(inst >= 2, F.lit(1.0) * F.lit(cfg.instruction_boost))
         .when(inst == 1, F.lit(1.0) * F.lit(1.3))
         .otherwise(F.lit(1.0))
     )
-    w = w * (F.lit(1.0) + F.abs(sentiment) * F.lit(0.5))
+    return w * (F.lit(1.0) + F.abs(sentiment) * F.lit(0.5))
+
+
+def _weight_length(w: Column, length) -> Column:
+    """E6, second part: length factor, then the 5.0 cap."""
     w = (
         F.when(length > 500, w * F.lit(2.0))
         .when(length > 200, w * F.lit(1.5))
@@ -89,19 +93,20 @@ def _golden_from(sentiment: Column, weight: Column, length, directive: Column) -
     )
 
 
-def _signals_from(sp, sn, mp, mn, inst, n_q, n_e, length, continuing, cfg: Thresholds) -> Column:
-    """Names of the signals that fired, in evaluation order."""
-    st = _steps(sp, sn, mp, mn, inst, n_q, n_e, length, continuing, cfg)
+def _signals_col() -> Column:
+    """E3 over the step columns: names of the signals that fired, in evaluation order."""
+    sp, sn, mp, mn, inst = (F.col(k) for k in ("_sp", "_sn", "_mp", "_mn", "_in"))
+    n_q, n_e, length, cont = (F.col(k) for k in ("_q", "_e", "_len", "_cont"))
     tail = F.array_compact(
         F.array(
             F.when(mn > mp, F.format_string("moderate_negative(%d)", mn)).when(
                 mp > mn, F.format_string("moderate_positive(%d)", mp)
             ),
-            F.when((length < 10) & continuing, F.lit("very_short")),
+            F.when((length < 10) & cont, F.lit("very_short")),
             F.when(n_q > 2, F.format_string("many_questions(%d)", n_q)),
-            F.when(n_e > 0, F.when(st["before_bang"] >= 0, F.lit("enthusiastic")).otherwise(F.lit("frustrated"))),
+            F.when(n_e > 0, F.when(F.col("_s2") >= 0, F.lit("enthusiastic")).otherwise(F.lit("frustrated"))),
             F.when(inst > 0, F.format_string("instruction(%d)", inst)),
-            F.when(continuing & (st["before_baseline"] == 0), F.lit("continuation")),
+            F.when(cont & (F.col("_s4") == 0), F.lit("continuation")),
         )
     )
     return (
@@ -138,17 +143,15 @@ def score(
         lexicon.directive_hit(F.lower(text)).alias("_dir"),
         cont.alias("_cont"),
     )
-    c = {k: F.col(k) for k in ("_sp", "_sn", "_mp", "_mn", "_in", "_q", "_e", "_len", "_dir", "_cont")}
-    sent = _sentiment_from(c["_sp"], c["_sn"], c["_mp"], c["_mn"], c["_in"], c["_q"], c["_e"], c["_len"], c["_cont"], cfg)
-    staged = staged.withColumn("sentiment", sent)
-    staged = staged.withColumn("weight", _weight_from(c["_in"], F.col("sentiment"), c["_len"], cfg))
+    c = {k: F.col(k) for k in ("_in", "_len", "_dir")}
+    staged = _with_sentiment_steps(staged, cfg)
+    staged = staged.withColumn("_w0", _weight_base(c["_in"], F.col("sentiment"), cfg))
+    staged = staged.withColumn("weight", _weight_length(F.col("_w0"), c["_len"]))
     staged = staged.withColumn("is_golden", _golden_from(F.col("sentiment"), F.col("weight"), c["_len"], c["_dir"]))
     if with_signals:
-        staged = staged.withColumn(
-            "signals",
-            _signals_from(c["_sp"], c["_sn"], c["_mp"], c["_mn"], c["_in"], c["_q"], c["_e"], c["_len"], c["_cont"], cfg),
-        )
-    return staged.drop("_sp", "_sn", "_mp", "_mn", "_in", "_q", "_e", "_len", "_dir", "_cont")
+        staged = staged.withColumn("signals", _signals_col())
+    return staged.drop("_sp", "_sn", "_mp", "_mn", "_in", "_q", "_e", "_len", "_dir", "_cont",
+                       "_s0", "_s1", "_s2", "_s3", "_s4", "_s5", "_w0")
 
 
 def with_lexicon_counts(df: DataFrame, text_col: str) -> DataFrame:

@@ -1325,3 +1325,69 @@ SCHEDULED = DEFAULT.__class__(schedule_enabled=True)
 def q_a7(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
     return ev.select("event_id", A.in_schedule_window(F.col("ts"), SCHEDULED).alias("in_window"))
+
+
+# ---------------------------------------------------------------- explicit weight / golden / size queries
+
+
+@register(
+    "e6_interaction_weight",
+    with_ctes(S.fx_turns_cte(), S.fx_pairs_cte()) + f"SELECT conv_id, turn, weight FROM {S.score_sql('fx_pairs')}",
+)
+def q_e6(spark, sf_dir):
+    return scored_pairs(spark, sf_dir).select("conv_id", "turn", "weight")
+
+
+@register(
+    "e7_is_golden",
+    with_ctes(S.fx_turns_cte(), S.fx_pairs_cte()) + f"SELECT conv_id, turn, is_golden FROM {S.score_sql('fx_pairs')} WHERE is_golden",
+)
+def q_e7(spark, sf_dir):
+    return scored_pairs(spark, sf_dir).where("is_golden").select("conv_id", "turn", "is_golden")
+
+
+@register(
+    "i13_prune_if_oversize",
+    with_ctes(FXI)
+    + f"""SELECT {INTERACTION_COLS}, CAST("timestamp" AS DATE) AS "date" FROM (
+  SELECT *, row_number() OVER (ORDER BY coalesce(weight, 1.0), "timestamp", id) - 1 AS rk FROM fx_interactions WHERE NOT is_golden)
+WHERE rk >= (SELECT CAST(floor(count(*) * CAST(0.1 AS DOUBLE)) AS BIGINT) FROM fx_interactions WHERE NOT is_golden)
+UNION ALL SELECT {INTERACTION_COLS}, CAST("timestamp" AS DATE) AS "date" FROM fx_interactions WHERE is_golden""",
+)
+def q_i13(spark, sf_dir):
+    """Store the interactions (S6), measure the stored bytes (I13) and prune the lowest
+    10 % because the store is over 90 % of a limit set just below its size."""
+    from dataclasses import replace
+
+    path = IO.scratch_path(spark, "store")
+    IO.write_interactions(fxi(spark, sf_dir), path)
+    size = I.dataset_size_gb(spark, path)
+    cfg = replace(DEFAULT, max_size_gb=size / 0.95)
+    pruned, kept = I.prune_if_oversize(spark, path, cfg)
+    return kept
+
+
+def _a6_sql() -> str:
+    inner = _a1_sql("model_line", TS_LT, TS_LD)[len("WITH "):]
+    fxi_part, select_part = inner.split("\nSELECT ", 1)
+    sig = "(new_negative_since_dpo + new_refusals_since_dpo)"
+    pos = "(new_positive + new_golden)"
+    nl = "chr(10)"
+    lines = [
+        "printf('Total interactions: %d', total)",
+        "printf('New interactions since last training: %d', new)",
+        "printf('  └─ Positive: %d, Negative: %d, Neutral: %d, Golden: %d', new_positive, new_negative, new_neutral, new_golden)",
+        "printf('Hours since last interaction: %.1f', hours_since_last)",
+        "printf('Days since last training: %.1f', days_since_training)",
+        "printf('Days since last DPO training: %.1f', days_since_dpo)",
+        "printf('New negatives since DPO: %d', new_negative_since_dpo)",
+        f"{nl} || 'Trigger Status:'",
+        f"printf('%s %d/%d (%d negative + %d refusals)', CASE WHEN {sig} >= 5 THEN '✓ DPO threshold met:' ELSE '  DPO threshold:' END, {sig}, 5, new_negative_since_dpo, new_refusals_since_dpo)",
+        f"printf('%s %d/%d positive/golden', CASE WHEN {pos} >= 20 THEN '✓ SFT threshold met:' ELSE '  SFT threshold:' END, {pos}, 20)",
+        "CASE WHEN hours_since_last >= 8.0 THEN printf('✓ Inactivity threshold met: %.1fh/8h', hours_since_last) END",
+    ]
+    return f"""WITH {fxi_part}, st AS (SELECT {select_part})
+SELECT model_line, array_to_string(list_filter([{', '.join(lines)}], lambda x: x IS NOT NULL), {nl}) AS status FROM st"""
+
+
+ORACLE["a6_status_report"] = _a6_sql()
