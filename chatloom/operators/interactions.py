@@ -65,9 +65,19 @@ def build_interactions(pairs: DataFrame, cfg: Thresholds = DEFAULT) -> DataFrame
     )
 
 
+def _date_floor(df: DataFrame, ts_lower: Column) -> Column:
+    """Partition predicate implied by ``timestamp >= ts_lower`` on a table stored by
+    ``write_interactions`` (partitioned by ``date``); true when there is no such column."""
+    if "date" in df.columns:
+        return F.col("date") >= F.to_date(ts_lower)
+    return F.lit(True)
+
+
 def interactions_since(df: DataFrame, since=None, limit: int | None = None) -> DataFrame:
-    """Rows with timestamp > since, ascending; ``limit`` keeps the latest N."""
-    out = df if since is None else df.where(F.col("timestamp") > _ts(since))
+    """Rows with timestamp > since, ascending; ``limit`` keeps the latest N.
+
+    On a date-partitioned store the implied ``date`` bound prunes partitions."""
+    out = df if since is None else df.where(_date_floor(df, _ts(since)) & (F.col("timestamp") > _ts(since)))
     if limit:
         out = out.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(int(limit))
     return out.orderBy("timestamp", "id")
@@ -164,7 +174,10 @@ def prune_by_age(df: DataFrame, now, days: int | None = None, cfg: Thresholds =
     days = cfg.max_age_days if days is None else days
     cutoff = _ts(now) - F.expr(f"INTERVAL {int(days)} DAYS")
     old = (F.col("timestamp") < cutoff) & ~F.coalesce(F.col("is_golden"), F.lit(False))
-    return df.where(~old), df.where(old)
+    deleted = df.where(old)
+    if "date" in df.columns:  # date-partitioned store: only partitions up to the cutoff date
+        deleted = df.where((F.col("date") <= F.to_date(cutoff)) & old)
+    return df.where(~old), deleted
 
 
 def prune_by_weight(df: DataFrame, threshold: float | None = None, cfg: Thresholds = DEFAULT) -> tuple[DataFrame, DataFrame]:
@@ -234,7 +247,8 @@ def list_interactions(
     if is_golden is not None:
         out = out.where(F.coalesce(F.col("is_golden"), F.lit(False)) == F.lit(bool(is_golden)))
     if hours:
-        out = out.where(F.col("timestamp") >= _ts(now) - F.expr(f"INTERVAL {int(hours)} HOURS"))
+        lower = _ts(now) - F.expr(f"INTERVAL {int(hours)} HOURS")
+        out = out.where(_date_floor(out, lower) & (F.col("timestamp") >= lower))
     total = out.count()
     page = out.orderBy(F.col("timestamp").desc(), F.col("id").desc()).offset(int(skip)).limit(int(limit))
     return page.select(

@@ -81,3 +81,18 @@ def test_truncation(spark):
     assert r.truncated and r.user_message_length == 60001
     assert r.user_message == "x" * 60000 + "...[TRUNCATED]"
     assert r.id == "c_1704067200000000"
+
+
+def test_partition_pruning_on_stored_table(spark, sf_small, tmp_path):
+    from chatloom.sources import io as IO
+
+    path = str(tmp_path / "store")
+    IO.write_interactions(fx.fx_interactions(spark, sf_small), path)
+    stored = spark.read.parquet(path)
+    since = I.interactions_since(stored, dt.datetime(2024, 1, 25))
+    plan = since._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "date#" in plan
+    want = fx.fx_interactions(spark, sf_small).where(F.col("timestamp") > dt.datetime(2024, 1, 25)).count()
+    assert since.count() == want
+    kept, deleted = I.prune_by_age(stored, dt.datetime(2024, 2, 1), 20)
+    assert kept.count() + deleted.count() == stored.count()
