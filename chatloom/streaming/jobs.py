@@ -93,10 +93,16 @@ PAIR_SCHEMA = "conv_id bigint, turn bigint, user_message string, assistant_respo
 
 
 class PairProcessor(StatefulProcessor):
-    """Remembers the last assistant text per conversation across micro-batches."""
+    """Remembers the last assistant text per conversation across micro-batches.
+
+    With a TTL the remembered text expires after that long without an update, so
+    state of finished conversations does not accumulate."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last_assistant", "text string")
+        self.last = handle.getValueState("last_assistant", "text string", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows), ignore_index=True).sort_values("turn", kind="mergesort")
@@ -122,14 +128,18 @@ class PairProcessor(StatefulProcessor):
         pass
 
 
-def stream_pair(turns: DataFrame) -> DataFrame:
+def stream_pair(turns: DataFrame, state_ttl_hours: float | None = None) -> DataFrame:
     """Pair each user turn with the last earlier assistant turn of its conversation.
 
     Within a micro-batch rows are ordered by turn; a turn arriving after its
-    successor's batch pairs with the state at arrival.
+    successor's batch pairs with the state at arrival.  For a continuously running
+    stream pass ``state_ttl_hours`` so conversation state expires after that much
+    processing time without an update (processing-time mode; not for ``availableNow``
+    drains, which keep scheduling no-data batches while TTL state is pending).
     """
+    ttl = int(state_ttl_hours * 3600 * 1000) if state_ttl_hours else None
     return turns.select("conv_id", "turn", "role", "text").groupBy("conv_id").transformWithStateInPandas(
-        PairProcessor(), PAIR_SCHEMA, "Append", "None"
+        PairProcessor(ttl), PAIR_SCHEMA, "Append", "ProcessingTime" if ttl else "None"
     )
 
 
@@ -160,10 +170,17 @@ def reassemble_reply(chunks: DataFrame) -> DataFrame:
 
 
 class ReassembleProcessor(StatefulProcessor):
-    """Buffer parsed chunks per request; emit the reply once it is finished."""
+    """Buffer parsed chunks per request; emit the reply once it is finished.
+
+    Buffers of requests that never finish expire after the TTL."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.buf = handle.getListState("chunks", "seq bigint, delta string, finish_reason string, done boolean, end boolean")
+        self.buf = handle.getListState(
+            "chunks", "seq bigint, delta string, finish_reason string, done boolean, end boolean", self.ttl_ms
+        )
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows), ignore_index=True)
@@ -190,10 +207,15 @@ class ReassembleProcessor(StatefulProcessor):
         pass
 
 
-def stream_reassemble(chunks: DataFrame) -> DataFrame:
-    """N7 incrementally; a reply is emitted when its done / finish line has arrived."""
+def stream_reassemble(chunks: DataFrame, state_ttl_hours: float | None = None) -> DataFrame:
+    """N7 incrementally; a reply is emitted when its done / finish line has arrived.
+    On a continuously running stream, ``state_ttl_hours`` expires buffers of abandoned
+    requests (processing-time mode, as for ``stream_pair``)."""
+    ttl = int(state_ttl_hours * 3600 * 1000) if state_ttl_hours else None
     p = parsed_chunks(chunks).where(F.col("keep") | F.col("end")).drop("keep")
-    return p.groupBy("request_id").transformWithStateInPandas(ReassembleProcessor(), REPLY_SCHEMA, "Append", "None")
+    return p.groupBy("request_id").transformWithStateInPandas(
+        ReassembleProcessor(ttl), REPLY_SCHEMA, "Append", "ProcessingTime" if ttl else "None"
+    )
 
 
 # ----------------------------------------------------------------------------- T4
