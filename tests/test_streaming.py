@@ -83,3 +83,17 @@ def test_reassembly_across_batches(spark, sf_small, tmp_path, state_store):
     text = fx.fx_turns(spark, sf_small).where("role = 'assistant'").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.col("text").alias("content"))
     assert got.select("request_id", "content").exceptAll(text).count() == 0
+
+
+def test_interaction_sink_stream(spark, sf_small, tmp_path, state_store):
+    from chatloom.sources import io as IO
+
+    inter = fx.fx_interactions(spark, sf_small)
+    src = str(tmp_path / "src")
+    _write_batches(inter, src, [F.col("timestamp") < dt.datetime(2024, 1, 15), F.col("timestamp") >= dt.datetime(2024, 1, 15)])
+    out = str(tmp_path / "store")
+    q = IO.write_interactions_stream(_stream(spark, src, inter.schema), out, str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    back = spark.read.parquet(out)
+    assert back.drop("date").exceptAll(inter).count() == 0 and back.count() == inter.count()
+    assert "date" in back.columns
