@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from chatloom.functions.scoring import parse_score_reply
+from chatloom.session import cut_lineage
 
 Scorer = Callable[[list[str]], list[tuple[int, str]]]
 Generator = Callable[[list[str]], list[tuple[int, str | None, str | None]]]
@@ -82,6 +83,7 @@ def generate_rejections(prompts: DataFrame, generator_factory: Callable[[], Gene
     from chatloom.operators.datasets import clean_rejections
 
     distinct = prompts.select(F.col(prompt_col).alias("prompt")).where(F.col("prompt").isNotNull()).distinct()
+    # (report below reads the pinned replies and the distinct prompts once more)
 
     def run(batches: Iterable[pd.DataFrame]):
         gen = generator_factory()
@@ -93,7 +95,9 @@ def generate_rejections(prompts: DataFrame, generator_factory: Callable[[], Gene
             pdf = pdf.assign(status=[r[0] for r in replies], content=[r[1] for r in replies], thinking=[r[2] for r in replies])
             yield pdf
 
-    raw = distinct.mapInPandas(run, "prompt string, status int, content string, thinking string")
+    # Generated once: the replies feed both outputs, and a sampling model must not be
+    # asked twice (its answers could differ); the checkpoint also survives executor loss.
+    raw = cut_lineage(distinct.mapInPandas(run, "prompt string, status int, content string, thinking string"))
     ok = clean_rejections(raw.where(F.col("status") == 200)).select("prompt", F.lit(0).cast("bigint").alias("seq"), "rejection")
     report = (
         distinct.join(ok.select("prompt", F.lit(True).alias("_ok")), "prompt", "left")

@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatloom.session import cut_lineage
+
 SEG = "_seg"
 
 
@@ -25,14 +27,18 @@ def _cols(xs: Sequence[str | Column]) -> list[Column]:
 
 
 def range_segments(df: DataFrame, order: Sequence[str | Column], num_partitions: int | None = None) -> DataFrame:
-    """Range-partition on ``order`` and tag each row with its segment id.
-
-    Segment ids increase with ``order``; the range exchange is computed once
-    per query, so the tag is stable across task retries.
+    """Range-partition on ``order`` and tag each row with its segment id, pinned.
+
+    Segment ids increase with ``order``.  Every range exchange samples its own
+    bounds (the sampling seed depends on the RDD), so two consumers of an
+    unpinned frame could be planned as two exchanges with different bounds.
+    The tagged frame is therefore cut with a reliable checkpoint into the shared
+    checkpoint folder: all consumers read the same segments, and a lost executor
+    re-reads them instead of re-sampling.
     """
     cols = _cols(order)
     parted = df.repartitionByRange(num_partitions, *cols) if num_partitions else df.repartitionByRange(*cols)
-    return parted.withColumn(SEG, F.spark_partition_id())
+    return cut_lineage(parted.withColumn(SEG, F.spark_partition_id()))
 
 
 def carry(
