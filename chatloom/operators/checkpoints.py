@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.config import DEFAULT, Thresholds
+from chatloom.plans.fsm import Machine, scan
 
 GATE_SCHEMA = (
     "model_line bigint, run_id bigint, ts timestamp_ntz, mode string, perplexity double, "
@@ -72,16 +73,96 @@ def _gate_fold(min_ppl: float, tolerance: float):
     return fold
 
 
+class GateMachine(Machine):
+    """C2 as an ordered fold: state = (deployed perplexity, deployed run) or None.
+
+    Segment summary (for a segment entered with an unknown state): an SFT run can
+    only be the first to deploy if its perplexity is a strict prefix minimum of
+    the segment's SFT perplexities (a "record"), and after that deployment the
+    rest of the segment no longer depends on the entry.  The trajectories started
+    at each record are simulated together and merged as soon as they coincide;
+    consecutive records with the same exit form one group (threshold, exit).  An
+    entry baseline p then exits through the first group whose smallest record is
+    <= p x tolerance (the very first group when p is below the sanity floor), or
+    keeps p (with the last DPO run as current) when no SFT run deploys.
+    """
+
+    def __init__(self, min_ppl: float, tolerance: float):
+        self.min_ppl = min_ppl
+        self.tol = tolerance
+        self.initial = None
+
+    def step(self, state, row):
+        p, cid = state if state is not None else (None, None)
+        q = (999.0 if p is None else p) if row.mode == "dpo" else float(row.sft_perplexity)
+        deploy = p is None or p < self.min_ppl or q <= p * self.tol
+        out = {"model_line": row.model_line, "run_id": row.run_id, "ts": row.ts, "mode": row.mode,
+               "perplexity": q, "deployed": bool(deploy), "parent_run": cid}
+        return ((q, int(row.run_id)) if deploy else state), out
+
+    def summary_start(self):
+        return {"none": None, "traj": {}, "records": [], "min_q": float("inf"), "last_dpo": None}
+
+    def summary_feed(self, acc, row):
+        acc["none"] = self.step(acc["none"], row)[0]
+        moved: dict = {}
+        for st, recs in acc["traj"].items():
+            moved.setdefault(self.step(st, row)[0], []).extend(recs)
+        if row.mode == "dpo":
+            acc["last_dpo"] = int(row.run_id)
+        else:
+            q = float(row.sft_perplexity)
+            if q < acc["min_q"]:
+                acc["min_q"] = q
+                acc["records"].append(q)
+                moved.setdefault((q, int(row.run_id)), []).append(len(acc["records"]) - 1)
+        acc["traj"] = moved
+        return acc
+
+    def summary_finish(self, acc):
+        exits = [None] * len(acc["records"])
+        for st, recs in acc["traj"].items():
+            for k in recs:
+                exits[k] = list(st)
+        groups = []
+        for k, ex in enumerate(exits):
+            if groups and groups[-1][1] == ex:
+                groups[-1][0] = acc["records"][k]
+            else:
+                groups.append([acc["records"][k], ex])
+        return {"groups": groups, "none": list(acc["none"]) if acc["none"] is not None else None,
+                "last_dpo": acc["last_dpo"]}
+
+    def resume(self, summary, entry):
+        if entry is None:
+            return tuple(summary["none"]) if summary["none"] is not None else None
+        p0, c0 = entry
+        groups = summary["groups"]
+        if groups and p0 < self.min_ppl:
+            return tuple(groups[0][1])
+        t = p0 * self.tol
+        for min_r, ex in groups:
+            if min_r <= t:
+                return tuple(ex)
+        return (p0, summary["last_dpo"] if summary["last_dpo"] is not None else c0)
+
+
 def deploy_gate(runs: DataFrame, cfg: Thresholds = DEFAULT) -> DataFrame:
     """Per model line in (ts, run_id) order, deploy when nothing is deployed, the
     deployed perplexity is below the sanity floor, or new <= tolerance x deployed.
 
-    Only deployed runs become the next baseline and parent.  The dependence on
-    the previous decision makes this an ordered fold per model line; it runs as
-    one Arrow batch per model line over four narrow columns (the run log is one
-    row per training run).
+    Only deployed runs become the next baseline and parent.  Runs as the parallel
+    ordered fold of ``plans.fsm.scan`` with ``GateMachine``'s segment summaries, so
+    a model line with most of the rows is still spread over all partitions.
     """
     narrow = checkpoint_metrics(runs).select("model_line", "run_id", "ts", "mode", "sft_perplexity")
+    return scan(narrow, "model_line", ["ts", "run_id"], GateMachine(cfg.min_perplexity, cfg.perplexity_tolerance), GATE_SCHEMA)
+
+
+def deploy_gate_grouped(runs: DataFrame, cfg: Thresholds = DEFAULT) -> DataFrame:
+    """C2 reference form: one sequential fold per model line (``applyInPandas``); used to
+    cross-check ``deploy_gate`` in tests."""
+    narrow = checkpoint_metrics(runs).select("model_line", "run_id", "ts", "mode", "sft_perplexity")
     return narrow.groupBy("model_line").applyInPandas(_gate_fold(cfg.min_perplexity, cfg.perplexity_tolerance), GATE_SCHEMA)
 
 

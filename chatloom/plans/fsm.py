@@ -1,8 +1,10 @@
 """Ordered folds with a small finite state, parallel even when one key holds most rows.
 
-A machine has ``n_states`` states (ints), an ``initial`` state and a
-``step(state, row) -> (state, emitted_row | None)``.  ``scan`` runs it over every
-key's rows in ``order``:
+A machine has an ``initial`` state and a ``step(state, row) -> (state,
+emitted_row | None)``; finite machines (``n_states`` int states) summarise a
+segment as its exit state for every entry state, and other machines supply their
+own compact segment summary (``summary_start/feed/finish`` and ``resume``).
+``scan`` runs the machine over every key's rows in ``order``:
 
 1. range-partition on (key, order) and sort within partitions, then checkpoint
    into the shared checkpoint folder so partition contents are pinned;
@@ -31,48 +33,63 @@ from chatloom.session import cut_lineage
 
 
 class Machine:
+    """A fold with a small finite state space: states are ints 0 .. n_states-1."""
+
     n_states: int = 1
     initial: int = 0
 
     def step(self, state: int, row) -> tuple[int, dict | None]:  # pragma: no cover - interface
         raise NotImplementedError
 
+    # --- segment summaries (the default simulates every entry state at once) ---
+    def summary_start(self):
+        return {s: [s] for s in range(self.n_states)}  # current state -> entry states
+
+    def summary_feed(self, acc, row):
+        nxt: dict = {}
+        for s, entries in acc.items():
+            ns, _ = self.step(s, row)
+            nxt.setdefault(ns, []).extend(entries)
+        return nxt
+
+    def summary_finish(self, acc):
+        exit_map = [0] * self.n_states
+        for s, entries in acc.items():
+            for e in entries:
+                exit_map[e] = s
+        return exit_map
+
+    def resume(self, summary, entry):
+        return summary[entry]
+
 
 def _summaries(machine: Machine, key: str, cols: list[str]):
     def run(batches):
         pid = TaskContext.get().partitionId()
         first_key = last_key = None
-        traj: dict[int, list[int]] | None = None  # current state -> entry states
+        acc = None
         last_state = None
         for pdf in batches:
             for row in pdf[cols].itertuples(index=False, name="Row"):
                 k = getattr(row, key)
                 if first_key is None:
                     first_key = k
-                    traj = {s: [s] for s in range(machine.n_states)}
+                    acc = machine.summary_start()
                 if k == first_key:
-                    nxt: dict[int, list[int]] = {}
-                    for s, entries in traj.items():
-                        ns, _ = machine.step(s, row)
-                        nxt.setdefault(ns, []).extend(entries)
-                    traj = nxt
+                    acc = machine.summary_feed(acc, row)
                 else:
                     if k != last_key:
                         last_key, last_state = k, machine.initial
                     last_state, _ = machine.step(last_state, row)
         if first_key is None:
             return
-        exit_map = [0] * machine.n_states
-        for s, entries in traj.items():
-            for e in entries:
-                exit_map[e] = s
         yield pd.DataFrame(
             {
                 "pid": [pid],
                 "first_key": [json.dumps(first_key, default=str)],
-                "exit_map": [exit_map],
+                "summary": [json.dumps(machine.summary_finish(acc))],
                 "last_key": [json.dumps(last_key, default=str) if last_key is not None else None],
-                "last_state": [last_state],
+                "last_state": [json.dumps(last_state)],
             }
         )
 
@@ -104,6 +121,10 @@ def _replay(machine: Machine, key: str, cols: list[str], entries: dict[int, int]
     return run
 
 
+def _as_state(x):
+    return tuple(x) if isinstance(x, list) else x
+
+
 def scan(df: DataFrame, key: str, order: Sequence[str], machine: Machine, out_schema: str,
          cols: Sequence[str] | None = None) -> DataFrame:
     """Run ``machine`` over each key's rows in ``order``; returns the emitted rows."""
@@ -111,19 +132,19 @@ def scan(df: DataFrame, key: str, order: Sequence[str], machine: Machine, out_sc
     order = list(order)
     ranged = df.select(*cols).repartitionByRange(F.col(key), *[F.col(c) for c in order]).sortWithinPartitions(key, *order)
     pinned = cut_lineage(ranged)
-    summary_schema = "pid int, first_key string, exit_map array<int>, last_key string, last_state int"
+    summary_schema = "pid int, first_key string, summary string, last_key string, last_state string"
     # At most one small row per partition reaches the driver.
     rows = sorted(pinned.mapInPandas(_summaries(machine, key, cols), summary_schema).collect(), key=lambda r: r.pid)
-    entries: dict[int, int] = {}
+    entries: dict = {}
     carry_key, carry_state = None, None
     for r in rows:
         entry = carry_state if (carry_key is not None and carry_key == r.first_key) else machine.initial
         if entry != machine.initial:
             entries[r.pid] = entry
-        first_exit = r.exit_map[entry]
+        first_exit = machine.resume(json.loads(r.summary), entry)
         if r.last_key is None:
             carry_key, carry_state = r.first_key, first_exit
         else:
-            carry_key, carry_state = r.last_key, r.last_state
+            carry_key, carry_state = r.last_key, _as_state(json.loads(r.last_state))
     out_cols = [f.split()[0] for f in out_schema.split(",")]
     return pinned.mapInPandas(_replay(machine, key, cols, entries, out_cols), out_schema)
