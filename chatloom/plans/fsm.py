@@ -1,4 +1,4 @@
-"""Ordered folds with a small finite state, parallel even when one key holds most rows.
+"""Ordered folds per key, parallel even when one key holds most rows.
 
 A machine has an ``initial`` state and a ``step(state, row) -> (state,
 emitted_row | None)``; finite machines (``n_states`` int states) summarise a
