@@ -9,14 +9,16 @@ own compact segment summary (``summary_start/feed/finish`` and ``resume``).
 1. range-partition on (key, order) and sort within partitions, then checkpoint
    into the shared checkpoint folder so partition contents are pinned;
 2. per partition, only the first key (which may continue from the previous
-   partition) is simulated from every entry state at once (trajectories that
-   meet are merged, so this is usually one pass); the last key's exit state is
-   recorded — at most two tiny rows per partition;
+   partition) is summarised for every possible entry state at once
+   (trajectories that meet are merged, so this is usually one pass); the last
+   key's exit state is recorded — one summary row per partition, whose size is
+   bounded by the machine's state space (finite machines) or by its number of
+   distinct segment exits (the deploy gate);
 3. the driver chains those rows in partition order (bounded by the partition
    count) to get each continued key's entry state;
 4. every partition replays its rows from the known entry states in parallel.
 
-Nothing grows with the rows of a key except the parallel replay itself.
+Work on the rows themselves happens only in the parallel summary and replay passes.
 """
 
 from __future__ import annotations

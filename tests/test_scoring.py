@@ -146,3 +146,12 @@ def test_parse_score_reply(spark):
     assert got == [0.7, -0.35, 1.0, 1.0, -1.0, 0.0, 0.0, 0.25]
     bad = spark.createDataFrame([("0.7", 500)], "r string, status int")
     assert bad.select(parse_score_reply(F.col("r"), F.col("status"))).first()[0] == 0.0
+
+
+def test_fixture_class_counts_match_recorded_measurement(spark, sf_mid):
+    """FIXTURES.md records 24 positive, 14 negative, 141 neutral and 27 golden pairs at sf0.01."""
+    from chatloom.queries import QUERIES
+
+    got = {r.sentiment_class: (r.interactions, r.golden) for r in QUERIES["entry_feedback_by_class"](spark, sf_mid).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"positive": 24, "negative": 14, "neutral": 141}
+    assert sum(v[1] for v in got.values()) == 27
