@@ -264,15 +264,18 @@ def list_interactions(
     )
 
 
-def recent(df: DataFrame, n: int = 10) -> DataFrame:
-    """Newest n rows with full text, plus the table total."""
+def recent(df: DataFrame, n: int = 20) -> DataFrame:
+    """Newest n rows with full text (sentiment 3 dp, weight 2 dp), the table
+    total and the number returned."""
     total = df.count()
     return (
         df.orderBy(F.col("timestamp").desc(), F.col("id").desc())
         .limit(int(n))
         .select(
             "id", "timestamp", "conversation_id", "user_message", "assistant_response",
-            "sentiment", "weight", "is_golden", F.lit(total).cast("bigint").alias("total"),
+            F.round("sentiment", 3).alias("sentiment"), F.round("weight", 2).alias("weight"),
+            F.coalesce(F.col("is_golden"), F.lit(False)).alias("is_golden"),
+            F.lit(total).cast("bigint").alias("total"), F.lit(min(int(n), total)).cast("bigint").alias("returned"),
         )
     )
 

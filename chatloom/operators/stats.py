@@ -116,6 +116,7 @@ def store_overview(df: DataFrame, size_gb: float, cfg: Thresholds = DEFAULT) ->
         (F.round(F.lit(size_gb / cfg.max_size_gb * 100), 1) if cfg.max_size_gb > 0 else F.lit(0.0)).alias("usage_percentage"),
         "total_interactions",
         "golden_examples",
+        F.lit(True).alias("auto_cleanup_enabled"),
         F.lit(cfg.cleanup_fraction * 100).alias("auto_cleanup_percentage"),
     )
 

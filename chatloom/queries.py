@@ -338,8 +338,11 @@ def q_i14(spark, sf_dir):
 @register(
     "i15_recent",
     with_ctes(FXI)
-    + """SELECT id, "timestamp", conversation_id, user_message, assistant_response, sentiment, weight, is_golden,
-       (SELECT count(*) FROM fx_interactions) AS total
+    + """SELECT id, "timestamp", conversation_id, user_message, assistant_response,
+       CAST(round(CAST(CAST(sentiment AS VARCHAR) AS DECIMAL(38, 17)), 3) AS DOUBLE) AS sentiment,
+       CAST(round(CAST(CAST(weight AS VARCHAR) AS DECIMAL(38, 17)), 2) AS DOUBLE) AS weight, is_golden,
+       (SELECT count(*) FROM fx_interactions) AS total,
+       least(20, (SELECT count(*) FROM fx_interactions)) AS returned
 FROM fx_interactions ORDER BY "timestamp" DESC, id DESC LIMIT 20""",
 )
 def q_i15(spark, sf_dir):
@@ -472,7 +475,7 @@ def q_a2(spark, sf_dir):
     "a3_store_overview",
     with_ctes(FXI) + f"""SELECT {D(2.5)} AS size_gb, {D(10.0)} AS max_size_gb, {D(9.0)} AS threshold_size_gb,
   {D(25.0)} AS usage_percentage, count(*) AS total_interactions, count(*) FILTER (WHERE is_golden) AS golden_examples,
-  {D(10.0)} AS auto_cleanup_percentage FROM fx_interactions""",
+  true AS auto_cleanup_enabled, {D(10.0)} AS auto_cleanup_percentage FROM fx_interactions""",
 )
 def q_a3(spark, sf_dir):
     return A.store_overview(fxi(spark, sf_dir), 2.5)
