@@ -217,3 +217,46 @@ def advance_training_state(runs: DataFrame, group: Sequence[str] | None = None)
     ]
     g = list(group or [])
     return runs.groupBy(*g).agg(*aggs) if g else runs.agg(*aggs)
+
+
+def training_stats_from_state(df: DataFrame, state: DataFrame, now, group: Sequence[str], cfg: Thresholds = DEFAULT) -> DataFrame:
+    """A1 per group with each group's own training state (e.g. the output of A8).
+
+    ``state`` has the group columns plus ``last_training`` / ``last_dpo`` (either may
+    be null: never trained / never DPO-trained).  It holds one row per group, so the
+    join is against a table the size of the group count; groups without interactions
+    are not reported.
+    """
+    g = list(group)
+    st = state.select(*g, F.col("last_training").alias("_lt"), F.col("last_dpo").alias("_ld"))
+    j = df.join(st, g, "left")
+    ts, s = F.col("timestamp"), F.col("sentiment")
+    golden = F.coalesce(F.col("is_golden"), F.lit(False))
+    refusal = F.coalesce(F.col("is_refusal"), F.lit(False))
+    new = F.when(F.col("_lt").isNull(), F.lit(True)).otherwise(ts > F.col("_lt"))
+    since_dpo = F.when(F.col("_ld").isNull(), new).otherwise(ts > F.col("_ld"))
+    pos, neg = s > F.lit(cfg.positive), s < F.lit(cfg.negative)
+    neu = F.abs(s) <= F.lit(cfg.neutral_band)
+    raw = j.groupBy(*g).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(new).alias("new"),
+        F.max(ts).alias("_last"),
+        F.max("_lt").alias("_lt"),
+        F.max("_ld").alias("_ld"),
+        F.count_if(new & pos).alias("new_positive"),
+        F.count_if(new & neg).alias("new_negative"),
+        F.count_if(new & neu).alias("new_neutral"),
+        F.count_if(new & golden).alias("new_golden"),
+        F.count_if(new & refusal).alias("new_refusal"),
+        F.count_if(since_dpo & neg).alias("new_negative_since_dpo"),
+        F.count_if(since_dpo & refusal).alias("new_refusals_since_dpo"),
+    )
+    days = lambda c: F.when(F.col(c).isNull(), F.lit(999.0)).otherwise(_elapsed(now, F.col(c), 86400))
+    return raw.select(
+        *g, "total", "new",
+        _elapsed(now, F.col("_last"), 3600).alias("hours_since_last"),
+        days("_lt").alias("days_since_training"),
+        "new_positive", "new_negative", "new_neutral", "new_golden", "new_refusal",
+        "new_negative_since_dpo", "new_refusals_since_dpo",
+        days("_ld").alias("days_since_dpo"),
+    )

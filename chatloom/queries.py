@@ -1394,3 +1394,33 @@ SELECT model_line, array_to_string(list_filter([{', '.join(lines)}], lambda x: x
 
 
 ORACLE["a6_status_report"] = _a6_sql()
+
+
+def _a1_state_sql() -> str:
+    el = lambda a, b, unit: f"((epoch_us({a}) - epoch_us({b})) / {D(1000000.0)}) / {D(unit)}"
+    return with_ctes(FXI, FXR) + f""", st AS (
+  SELECT model_line, max(ts) AS lt, max(CASE WHEN mode = 'dpo' THEN ts END) AS ld FROM fx_runs GROUP BY model_line),
+j AS (SELECT f.*, st.lt, st.ld,
+        CASE WHEN st.lt IS NULL THEN true ELSE f."timestamp" > st.lt END AS is_new,
+        CASE WHEN st.ld IS NULL THEN (CASE WHEN st.lt IS NULL THEN true ELSE f."timestamp" > st.lt END) ELSE f."timestamp" > st.ld END AS since_dpo
+      FROM fx_interactions f LEFT JOIN st ON f.model_line = st.model_line)
+SELECT model_line, count(*) AS total, count(*) FILTER (WHERE is_new) AS new,
+  {el(TS_NOW, 'max("timestamp")', 3600.0)} AS hours_since_last,
+  CASE WHEN max(lt) IS NULL THEN {D(999.0)} ELSE {el(TS_NOW, 'max(lt)', 86400.0)} END AS days_since_training,
+  count(*) FILTER (WHERE is_new AND sentiment > 0.3) AS new_positive,
+  count(*) FILTER (WHERE is_new AND sentiment < -0.3) AS new_negative,
+  count(*) FILTER (WHERE is_new AND abs(sentiment) <= 0.3) AS new_neutral,
+  count(*) FILTER (WHERE is_new AND is_golden) AS new_golden,
+  count(*) FILTER (WHERE is_new AND is_refusal) AS new_refusal,
+  count(*) FILTER (WHERE since_dpo AND sentiment < -0.3) AS new_negative_since_dpo,
+  count(*) FILTER (WHERE since_dpo AND is_refusal) AS new_refusals_since_dpo,
+  CASE WHEN max(ld) IS NULL THEN {D(999.0)} ELSE {el(TS_NOW, 'max(ld)', 86400.0)} END AS days_since_dpo
+FROM j GROUP BY model_line"""
+
+
+@register("a1_stats_from_run_state", _a1_state_sql())
+def q_a1s(spark, sf_dir):
+    """A8 over the run log gives each model line's training state; A1 then counts that
+    line's interactions against its own state."""
+    state = A.advance_training_state(fx.fx_runs(spark, sf_dir), ["model_line"])
+    return A.training_stats_from_state(fxi(spark, sf_dir), state, NOW, ["model_line"])
