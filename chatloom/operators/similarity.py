@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CANDIDATE_SCHEMA = "qid string, cid string, similarity double"
+CHUNK = 512  # query rows per similarity matrix inside a task
 
 
 def embed(df: DataFrame, text_col: str = "document", out: str = "embedding", dim: int = 384,
@@ -46,7 +47,7 @@ def embed(df: DataFrame, text_col: str = "document", out: str = "embedding", dim
     return df.mapInPandas(run, schema)
 
 
-def _block_topk(k: int):
+def _block_topk(k: int, chunk: int = 512):
     def fn(key, pdf):
         q = pdf[pdf["_side"] == 0]
         c = pdf[pdf["_side"] == 1]
@@ -56,39 +57,46 @@ def _block_topk(k: int):
         cm = np.vstack(c["_vec"].to_numpy()).astype(np.float64)
         qm = qm / np.where((qn := np.linalg.norm(qm, axis=1, keepdims=True)) == 0, 1.0, qn)
         cm = cm / np.where((cn := np.linalg.norm(cm, axis=1, keepdims=True)) == 0, 1.0, cn)
-        sims = qm @ cm.T
-        qids = q["_id"].to_numpy()
+        qids_all = q["_id"].to_numpy()
         cids = c["_id"].to_numpy()
-        same = qids[:, None] == cids[None, :]
-        sims = np.where(same, -np.inf, sims)  # a vector is not its own neighbour
-        kk = min(k, sims.shape[1])
-        # Keep the kk best per query (ties resolved later by the exact ranking).
-        idx = np.argpartition(-sims, kk - 1, axis=1)[:, :kk]
-        rows_q = np.repeat(qids, kk)
-        picked = np.take_along_axis(sims, idx, axis=1).ravel()
-        rows_c = cids[idx.ravel()]
-        keep = np.isfinite(picked)
-        return pd.DataFrame({"qid": rows_q[keep], "cid": rows_c[keep], "similarity": picked[keep]})
+        kk = min(k, cm.shape[0])
+        parts = []
+        # Query rows in chunks: a task never holds more than CHUNK x corpus-block similarities.
+        for lo in range(0, qm.shape[0], chunk):
+            qids = qids_all[lo:lo + chunk]
+            sims = qm[lo:lo + chunk] @ cm.T
+            sims = np.where(qids[:, None] == cids[None, :], -np.inf, sims)  # a vector is not its own neighbour
+            # Keep the kk best per query (ties resolved later by the exact ranking).
+            idx = np.argpartition(-sims, kk - 1, axis=1)[:, :kk]
+            picked = np.take_along_axis(sims, idx, axis=1).ravel()
+            keep = np.isfinite(picked)
+            parts.append(pd.DataFrame({"qid": np.repeat(qids, kk)[keep], "cid": cids[idx.ravel()][keep], "similarity": picked[keep]}))
+        return pd.concat(parts, ignore_index=True)
 
     return fn
 
 
 def similar_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, id_col: str = "id", vec_col: str = "embedding",
                  query_blocks: int | None = None, corpus_blocks: int | None = None,
-                 block_rows: int = 20000) -> DataFrame:
+                 block_rows: int = 16384, chunk: int = CHUNK) -> DataFrame:
     """The k nearest corpus rows of every query by cosine similarity (exact).
 
     Returns (qid, cid, similarity, rank) with rank 1..k; ties broken by cid.  Each
-    task holds one query block and one corpus block of at most ~``block_rows`` rows
-    (more blocks when the inputs grow), replicated by block id.
+    task holds one query block and one corpus block of about ``block_rows`` rows at
+    most and multiplies them 512 query rows at a time.  The work is the exact
+    all-pairs product; for corpora too large for that, an approximate index is the
+    tool (not built here).
     """
     spark = queries.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if query_blocks is None or corpus_blocks is None:
-        # Blocks sized from the data so one task's matrices stay bounded as inputs grow.
+        # Blocks sized from the data so one task's inputs stay bounded as they grow.  The
+        # corpus is copied once per query block and queries once per corpus block, so a
+        # small query set (one block) never copies the corpus; the corpus side is spread
+        # over at least the shuffle partitions.
         n_q, n_c = queries.count(), corpus.count()
-        bq = query_blocks or max(1, min(max(1, int(math.sqrt(parts))), n_q), math.ceil(n_q / block_rows))
-        bc = corpus_blocks or max(1, min(max(1, parts // bq), n_c), math.ceil(n_c / block_rows))
+        bq = query_blocks or max(1, math.ceil(n_q / block_rows))
+        bc = corpus_blocks or max(1, min(max(1, n_c), max(parts // bq, math.ceil(n_c / block_rows))))
     else:
         bq, bc = query_blocks, corpus_blocks
     q = queries.select(F.col(id_col).cast("string").alias("_id"), F.col(vec_col).alias("_vec"))
@@ -104,7 +112,7 @@ def similar_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, id_col: str
         F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("_qb"),
         F.pmod(F.xxhash64("_id"), F.lit(bc)).alias("_cb"),
     )
-    cands = q_rep.unionByName(c_rep).groupBy("_qb", "_cb").applyInPandas(_block_topk(k), CANDIDATE_SCHEMA)
+    cands = q_rep.unionByName(c_rep).groupBy("_qb", "_cb").applyInPandas(_block_topk(k, chunk), CANDIDATE_SCHEMA)
     w = Window.partitionBy("qid").orderBy(F.col("similarity").desc(), F.col("cid").asc())
     return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

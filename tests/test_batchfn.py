@@ -51,7 +51,7 @@ def test_tokenize_with_custom_tokenizer(spark):
 
 def test_similarity_matches_brute_force(spark, sf_small):
     emb = spark.read.parquet(f"{sf_small}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
-    got = J.similar_topk(emb, emb, 3, query_blocks=3, corpus_blocks=2).collect()
+    got = J.similar_topk(emb, emb, 3, query_blocks=3, corpus_blocks=2, chunk=37).collect()
     pdf = emb.toPandas()
     m = np.vstack(pdf["embedding"].to_numpy()).astype(np.float64)
     m = m / np.linalg.norm(m, axis=1, keepdims=True)
