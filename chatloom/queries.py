@@ -930,13 +930,32 @@ def provider_replies(spark, sf_dir) -> DataFrame:
     return t.select("conv_id", "turn", F.when(k == 0, F.lit("ollama")).otherwise(F.lit("openai")).alias("provider"), body.alias("body"))
 
 
+REPLIES_CTE = """replies AS (
+  SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'ollama' ELSE 'openai' END AS provider,
+    CASE conv_id % 3
+      WHEN 0 THEN '{"message":{"content":' || to_json(text)::VARCHAR || ',"thinking":"t"},"done_reason":"stop"}'
+      WHEN 1 THEN '{"choices":[{"message":{"content":' || to_json(text)::VARCHAR || ',"reasoning":"","thoughts":"th"},"finish_reason":"length"}]}'
+      ELSE '{"error":"overloaded"}' END AS body
+  FROM fx_turns WHERE role = 'assistant')"""
+
+
 @register(
     "n5_parse_reply",
-    with_ctes(S.fx_turns_cte()) + """SELECT conv_id, turn,
-  CASE WHEN conv_id % 3 = 2 THEN '' ELSE text END AS content,
-  CASE WHEN conv_id % 3 = 0 THEN 't' WHEN conv_id % 3 = 1 THEN 'th' END AS thinking,
-  CASE conv_id % 3 WHEN 0 THEN 'stop' WHEN 1 THEN 'length' ELSE 'error' END AS finish_reason
-FROM fx_turns WHERE role = 'assistant'""",
+    with_ctes(S.fx_turns_cte(), REPLIES_CTE) + """SELECT conv_id, turn,
+  CASE WHEN provider = 'ollama'
+       THEN CASE WHEN json_extract(body, '$.message') IS NOT NULL THEN coalesce(json_extract_string(body, '$.message.content'), '') ELSE '' END
+       ELSE CASE WHEN json_extract(body, '$.choices[0]') IS NOT NULL THEN coalesce(json_extract_string(body, '$.choices[0].message.content'), '') ELSE '' END
+  END AS content,
+  CASE WHEN provider = 'ollama'
+       THEN CASE WHEN json_extract(body, '$.message') IS NOT NULL THEN json_extract_string(body, '$.message.thinking') END
+       ELSE CASE WHEN json_extract(body, '$.choices[0]') IS NOT NULL THEN
+            coalesce(nullif(json_extract_string(body, '$.choices[0].message.reasoning'), ''), json_extract_string(body, '$.choices[0].message.thoughts')) END
+  END AS thinking,
+  CASE WHEN provider = 'ollama'
+       THEN CASE WHEN json_extract(body, '$.message') IS NOT NULL THEN coalesce(json_extract_string(body, '$.done_reason'), 'stop') ELSE 'error' END
+       ELSE CASE WHEN json_extract(body, '$.choices[0]') IS NOT NULL THEN coalesce(json_extract_string(body, '$.choices[0].finish_reason'), 'stop') ELSE 'error' END
+  END AS finish_reason
+FROM replies""",
 )
 def q_n5(spark, sf_dir):
     r = provider_replies(spark, sf_dir)
@@ -971,10 +990,6 @@ def q_n6(spark, sf_dir):
     return parsed_chunks(fx.fx_chunks(spark, sf_dir))
 
 
-REASSEMBLE_SQL = with_ctes(S.fx_turns_cte()) + """SELECT conv_id * 1000 + turn AS request_id, text AS content, 'stop' AS finish_reason,
-  conv_id % 2 = 0 AS done FROM fx_turns WHERE role = 'assistant'"""
-
-
 def _n7_sql() -> str:
     inner = _n6_sql()[len("WITH "):]
     ctes, sel = inner.split("\nSELECT ", 1)
