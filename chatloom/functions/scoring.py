@@ -165,7 +165,7 @@ def parse_score_reply(reply: Column, status: Column | None = None) -> Column:
     trimmed = F.regexp_replace(F.regexp_replace(reply, r"^\s+", ""), r"\s+$", "")
     raw = F.regexp_extract(trimmed, r"-?[0-9]+\.?[0-9]*", 0)
     val = F.when(raw == "", F.lit(0.0)).otherwise(
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw.cast("double")))
+        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw.try_cast("double")))
     )
     val = F.coalesce(val, F.lit(0.0))
     if status is not None:

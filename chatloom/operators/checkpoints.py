@@ -240,7 +240,7 @@ def training_progress(meta: DataFrame, states: DataFrame, pass_dirs: DataFrame,
     latest = meta.groupBy("run").agg(F.max("timestamp").alias("_t")).orderBy(F.col("_t").desc(), F.col("run").desc()).limit(1)
     passes = meta.join(latest.select("run"), "run").join(states, ["run", "pass_dir"], "left")
     total = pass_dirs.join(latest.select("run"), "run").groupBy("run").agg(F.count(F.lit(1)).alias("total_passes"))
-    pass_no = F.regexp_extract("pass_dir", r"^pass_([0-9]+)_", 1).cast("int")
+    pass_no = F.regexp_extract("pass_dir", r"^pass_([0-9]+)_", 1).try_cast("int")
     layers = F.concat(F.regexp_extract("pass_dir", r"^pass_[0-9]+_[^_]+_([^_]+)_", 1), F.lit("-"),
                       F.regexp_extract("pass_dir", r"^pass_[0-9]+_[^_]+_[^_]+_([^_/]+)", 1))
     p = passes.select(

@@ -44,10 +44,10 @@ def latest_pair(requests: DataFrame, messages: str = "messages", skip_prompt_lik
     users = F.filter(norm, lambda m: m["role"] == "user")
     if skip_prompt_like:
         users = F.filter(users, lambda m: ~F.coalesce(strip(m["text"]).startswith("###"), F.lit(False)))
-    last_user = F.element_at(users, -1)["text"]
+    last_user = F.try_element_at(users, F.lit(-1))["text"]
     if skip_prompt_like:
         last_user = strip(last_user)
-    last_asst = F.element_at(F.filter(norm, lambda m: m["role"] == "assistant"), -1)["text"]
+    last_asst = F.try_element_at(F.filter(norm, lambda m: m["role"] == "assistant"), F.lit(-1))["text"]
     return requests.withColumn("user_message", last_user).withColumn("previous_assistant", last_asst)
 
 

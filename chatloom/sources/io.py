@@ -134,14 +134,14 @@ def read_training_history(spark: SparkSession, directory: str) -> DataFrame:
             F.regexp_extract("_rel", r"^[^/]+/(pass_[^/]+)/checkpoint-", 1).alias("pass_dir"),
             F.regexp_extract("_rel", r"checkpoint-([^/]+)/trainer_state\.json$", 1).alias("_k"),
             "global_step",
-            F.element_at("log_history", -1).alias("_last"),
+            F.try_element_at("log_history", F.lit(-1)).alias("_last"),
         )
         .withColumn("_kn", F.when(F.col("_k").rlike("^[0-9]+$"), F.col("_k").cast("bigint")).otherwise(F.lit(0)))
         .groupBy("run", "pass_dir")
         .agg(F.max_by(F.struct("global_step", "_last"), "_kn").alias("_st"))
     )
     j = meta.join(states, ["run", "pass_dir"], "left")
-    pass_no = F.regexp_extract("pass_dir", r"^pass_([0-9]+)_", 1).cast("int")
+    pass_no = F.regexp_extract("pass_dir", r"^pass_([0-9]+)_", 1).try_cast("int")
     layers = F.concat(F.regexp_extract("pass_dir", r"^pass_[^_]+_[^_]+_([^_]+)_", 1), F.lit("-"),
                       F.regexp_extract("pass_dir", r"^pass_[^_]+_[^_]+_[^_]+_([^_/]+)", 1))
     name = F.when(F.col("pass_dir") == "", F.col("run")).otherwise(
@@ -192,11 +192,11 @@ def scan_training_logs(lines: DataFrame, tail: int = 50, keep: int = 10) -> Data
     summary = firsts.select(
         "log_id",
         F.when(F.col("_cpu"), F.lit("CPU")).when(F.col("_load") & F.col("_8bit"), F.lit("GPU (8-bit)")).alias("training_mode"),
-        F.regexp_extract("_pass", pass_rx, 1).cast("int").alias("current_pass"),
-        F.regexp_extract("_pass", pass_rx, 2).cast("int").alias("total_passes"),
+        F.regexp_extract("_pass", pass_rx, 1).try_cast("int").alias("current_pass"),
+        F.regexp_extract("_pass", pass_rx, 2).try_cast("int").alias("total_passes"),
         F.when(F.col("_pass").isNotNull(), F.concat(F.regexp_extract("_pass", pass_rx, 3), F.lit("-"), F.regexp_extract("_pass", pass_rx, 4))).alias("current_layers"),
-        F.regexp_extract("_epoch", epoch_rx, 1).cast("int").alias("current_epoch"),
-        F.regexp_extract("_epoch", epoch_rx, 2).cast("int").alias("total_epochs"),
+        F.regexp_extract("_epoch", epoch_rx, 1).try_cast("int").alias("current_epoch"),
+        F.regexp_extract("_epoch", epoch_rx, 2).try_cast("int").alias("total_epochs"),
         F.when(F.col("_ts").isNotNull(), F.regexp_extract("_ts", ts_rx, 1)).alias("last_log_time"),
     )
     by_log = Window.partitionBy("log_id").orderBy(F.col("line_no").desc())
@@ -259,8 +259,8 @@ def read_pass_tree(spark: SparkSession, directory: str) -> tuple[DataFrame, Data
         .option("recursiveFileLookup", True).option("pathGlobFilter", "trainer_state.json").json(root)
         .withColumn("_rel", rel)
         .select(run.alias("run"), pdir.alias("pass_dir"),
-                F.regexp_extract("_rel", r"checkpoint-([0-9]+)/trainer_state\.json$", 1).cast("bigint").alias("_k"),
-                "epoch", "global_step", "max_steps", F.element_at("log_history", -1).alias("_last"))
+                F.regexp_extract("_rel", r"checkpoint-([0-9]+)/trainer_state\.json$", 1).try_cast("bigint").alias("_k"),
+                "epoch", "global_step", "max_steps", F.try_element_at("log_history", F.lit(-1)).alias("_last"))
         .where((F.col("pass_dir") != "") & F.col("_k").isNotNull())
         .groupBy("run", "pass_dir")
         .agg(F.max_by(F.struct("epoch", "global_step", "max_steps", "_last"), "_k").alias("_st"))
