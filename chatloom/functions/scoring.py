@@ -34,9 +34,15 @@ def char_count(text: Column, ch: str) -> Column:
 
 def _with_sentiment_steps(df: DataFrame, cfg: Thresholds) -> DataFrame:
     """E2 as one column per step (``_s0`` .. ``_s5``), keeping the reference's
-    floating-point order.  Each step reads the previous step's column, so no
-    step's expression is repeated inside a later one (the nested form would
-    duplicate earlier steps exponentially in the generated code)."""
+    floating-point order.
+
+    Steps are separate columns (evaluated once in generated code), and each step
+    refers to its predecessor as few times as exactness allows: subtracting a
+    conditional ``0.0`` or taking ``greatest`` with ``-inf`` is bit-identical to
+    skipping the step (no step value can be ``-0.0``).  This keeps the expression
+    small even if a later filter on the scores is pushed below these projections
+    and the optimizer inlines the step columns into it.
+    """
     c = {k: F.col(k) for k in ("_sp", "_sn", "_mp", "_mn", "_in", "_q", "_e", "_len", "_cont")}
     mn, mp = c["_mn"], c["_mp"]
     out = df.withColumn(
@@ -45,14 +51,14 @@ def _with_sentiment_steps(df: DataFrame, cfg: Thresholds) -> DataFrame:
         .when(mp > mn, F.lit(0.0) + F.lit(0.4) * (mp / (mn + mp + 1)))
         .otherwise(F.lit(0.0)),
     )
-    out = out.withColumn("_s1", F.when((c["_len"] < 10) & c["_cont"], F.col("_s0") - F.lit(0.1)).otherwise(F.col("_s0")))
-    out = out.withColumn("_s2", F.when(c["_q"] > 2, F.col("_s1") - F.lit(0.15)).otherwise(F.col("_s1")))
+    out = out.withColumn("_s1", F.col("_s0") - F.when((c["_len"] < 10) & c["_cont"], F.lit(0.1)).otherwise(F.lit(0.0)))
+    out = out.withColumn("_s2", F.col("_s1") - F.when(c["_q"] > 2, F.lit(0.15)).otherwise(F.lit(0.0)))
     bang = F.lit(0.1) * F.least(c["_e"], F.lit(2))
     out = out.withColumn(
         "_s3",
-        F.when(c["_e"] > 0, F.when(F.col("_s2") >= 0, F.col("_s2") + bang).otherwise(F.col("_s2") - bang)).otherwise(F.col("_s2")),
+        F.col("_s2") + F.when(c["_e"] > 0, F.when(F.col("_s2") >= 0, bang).otherwise(-bang)).otherwise(F.lit(0.0)),
     )
-    out = out.withColumn("_s4", F.when(c["_in"] > 0, F.greatest(F.col("_s3"), F.lit(0.3))).otherwise(F.col("_s3")))
+    out = out.withColumn("_s4", F.greatest(F.col("_s3"), F.when(c["_in"] > 0, F.lit(0.3)).otherwise(F.lit(float("-inf")))))
     out = out.withColumn("_s5", F.when(c["_cont"] & (F.col("_s4") == 0), F.lit(cfg.continuation)).otherwise(F.col("_s4")))
     return out.withColumn(
         "sentiment",
@@ -73,14 +79,14 @@ def _weight_base(inst, sentiment: Column, cfg: Thresholds) -> Column:
 
 
 def _weight_length(w: Column, length) -> Column:
-    """E6, second part: length factor, then the 5.0 cap."""
-    w = (
-        F.when(length > 500, w * F.lit(2.0))
-        .when(length > 200, w * F.lit(1.5))
-        .when(length < 20, w * F.lit(0.7))
-        .otherwise(w)
+    """E6, second part: length factor (multiplying by 1.0 is exact), then the 5.0 cap."""
+    factor = (
+        F.when(length > 500, F.lit(2.0))
+        .when(length > 200, F.lit(1.5))
+        .when(length < 20, F.lit(0.7))
+        .otherwise(F.lit(1.0))
     )
-    return F.least(w, F.lit(5.0))
+    return F.least(w * factor, F.lit(5.0))
 
 
 def _golden_from(sentiment: Column, weight: Column, length, directive: Column) -> Column:
