@@ -96,3 +96,24 @@ def test_partition_pruning_on_stored_table(spark, sf_small, tmp_path):
     assert since.count() == want
     kept, deleted = I.prune_by_age(stored, dt.datetime(2024, 2, 1), 20)
     assert kept.count() + deleted.count() == stored.count()
+
+
+def test_stats_from_per_line_state(spark):
+    from chatloom.operators import stats as A
+
+    ts = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    inter = spark.createDataFrame(
+        [("a", 0, ts(1), -0.8, False, True), ("b", 0, ts(5), 0.8, True, False), ("c", 0, ts(9), -0.5, False, False),
+         ("d", 1, ts(2), 0.4, False, False), ("e", 1, ts(8), -0.9, False, True)],
+        "id string, model_line long, timestamp timestamp_ntz, sentiment double, is_golden boolean, is_refusal boolean",
+    )
+    state = spark.createDataFrame(
+        [(0, ts(3), ts(7)), (1, None, None)], "model_line long, last_training timestamp_ntz, last_dpo timestamp_ntz"
+    )
+    got = {r.model_line: r for r in A.training_stats_from_state(inter, state, dt.datetime(2024, 1, 10), ["model_line"]).collect()}
+    r0, r1 = got[0], got[1]
+    assert (r0.total, r0.new, r0.new_positive, r0.new_negative, r0.new_golden) == (3, 2, 1, 1, 1)
+    assert (r0.new_negative_since_dpo, r0.new_refusals_since_dpo) == (1, 0)
+    assert r0.days_since_training == 7.0 and r0.days_since_dpo == 3.0 and r0.hours_since_last == 24.0
+    assert (r1.total, r1.new, r1.new_negative_since_dpo, r1.new_refusals_since_dpo) == (2, 2, 1, 1)
+    assert r1.days_since_training == 999.0 and r1.days_since_dpo == 999.0
