@@ -35,12 +35,16 @@ def perplexity_of(eval_loss: Column) -> Column:
 
 def checkpoint_metrics(runs: DataFrame) -> DataFrame:
     """Perplexity / train_loss / eval_loss per run.  DPO runs carry the deployed
-    baseline, which needs the gate's state: their perplexity comes from ``deploy_gate``."""
+    baseline, which needs the gate's state: their perplexity comes from ``deploy_gate``.
+    When the log has ``val_samples``, ``training_samples`` is that validation-row count
+    (the figure a checkpoint records)."""
+    extra = [F.col("val_samples").cast("bigint").alias("training_samples")] if "val_samples" in runs.columns else []
     return runs.select(
         "*",
         F.when(F.col("mode") == "dpo", F.lit(None).cast("double")).otherwise(perplexity_of(F.col("eval_loss"))).alias("sft_perplexity"),
         F.coalesce(F.col("train_loss"), F.lit(0.0)).alias("train_loss_or_0"),
         F.coalesce(F.col("eval_loss"), F.lit(0.0)).alias("eval_loss_or_0"),
+        *extra,
     )
 
 

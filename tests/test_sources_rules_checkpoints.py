@@ -198,3 +198,11 @@ def test_parallel_gate_equals_sequential_fold_under_skew(spark):
         assert par.exceptAll(seq).count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_checkpoint_metrics_training_samples(spark):
+    df = spark.createDataFrame([(1, "sft", 0.0, None, 12), (2, "dpo", 0.1, 0.2, 7), (3, "sft", 150.0, 1.0, None)],
+                               "run_id long, mode string, eval_loss double, train_loss double, val_samples int")
+    got = {r.run_id: r for r in CK.checkpoint_metrics(df).collect()}
+    assert (got[1].sft_perplexity, got[1].train_loss_or_0, got[1].training_samples) == (1.0, 0.0, 12)
+    assert got[2].sft_perplexity is None and got[3].sft_perplexity == 999.0 and got[3].training_samples is None
