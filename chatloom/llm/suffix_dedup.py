@@ -21,11 +21,15 @@ byte; all but the earliest start of a run are covered.  Contexts reach a task
 sorted by gram through Spark's shuffle files, read in sequence, and only one
 batch of them is in memory.
 
-A gram that more than ``group_limit`` places share is not put in one task:
-its distinct contexts (combined map-side) are cut into their windows, windows
-are grouped by content with map-side combining, and the joins back can be
-split by AQE.  That gives the same windows by the same rule, exactly up to
-256-bit digests.
+A gram that more than ``group_limit`` places share is not put in one task as
+it is: equal contexts are combined first, map-side.  If still more than
+``context_limit`` distinct contexts are left, they are cut into their windows,
+windows are grouped by content with map-side combining, and the join back can
+be split by AQE.  That gives the same windows by the same rule, exactly up to
+128-bit digests.
+
+Copies of a whole text are found first, by 256-bit digest, and take no part:
+all but the first lose every byte.
 """
 
 from __future__ import annotations
@@ -38,83 +42,112 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import id_of_key, keyed
+from chatloom.llm.common import id_of_key, keyed, pin
 
 #: Bytes of a gram, a power of two.
 GRAM = 32
-#: Window starts hashed at a time (bounds memory on very long texts).
-PIECE = 1 << 19
-_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
+#: Window starts hashed at a time (bounds memory on very long texts); places in a piece must fit 20 bits.
+PIECE = 1 << 17
+_PLACE_BITS = np.uint64(20)
+_SYMBOLS = np.random.default_rng(20).integers(1, 1 << 63, 256).astype(np.uint64)
+_MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
 
 
 def gram_hashes(octets: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every ``GRAM``-byte substring, by doubling."""
-    h = (octets.astype(np.uint64) + np.uint64(1)) * np.uint64(_MIX[0])
-    h ^= h >> np.uint64(29)
+    h = _SYMBOLS[octets]
     width = 1
-    for k in range(5):
-        h = h[:-width] * np.uint64(_MIX[k]) + h[width:]
-        h ^= h >> np.uint64(31)
-        width *= 2
-    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    for factor in _MIX:
+        wider = h[:-width] * factor
+        wider += h[width:]
+        h, width = wider, 2 * width
     h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(29)
     return h
 
 
-def last_least(values: np.ndarray, width: int) -> np.ndarray:
-    """For every run of ``width`` values the place of its least one, the last on ties."""
-    low, at, span = values, np.arange(len(values), dtype=np.int64), 1
-    while span < width:
-        step = min(span, width - span)
-        right = low[step:] <= low[:-step]
-        low, at = np.where(right, low[step:], low[:-step]), np.where(right, at[step:], at[:-step])
-        span += step
-    return at
+def least_places(hashes: np.ndarray, width: int) -> np.ndarray:
+    """For every run of ``width`` hashes the place of its least one, the last on ties.
 
-
-def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every anchor: gram hash (signed), place, first and last start of the windows filed there."""
-    octets = np.frombuffer(raw, np.uint8)
-    grams, places, firsts, lasts = [], [], [], []
-    for at in range(0, len(octets) - length + 1, PIECE):
+    Places fill the low bits of the compared numbers; running minima from both
+    ends of blocks of ``width`` give the minimum of any run from two of them.
+    """
+    n = len(hashes)
+    top = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
+    blocks = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    blocks[:n] = hashes | top
+    blocks[:n] -= np.arange(n, dtype=np.uint64)
+    blocks = blocks.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(behind[: n - width + 1], ahead[width - 1: n])
+    return (top - (least & top)).astype(np.int64)
+
+
+def anchors(octets: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Anchors of texts that lie end to end in ``octets``; text i ends where text i + 1 begins (``offsets``).
+
+    Per anchor: gram hash (signed), place, first and last start of the windows
+    filed there, as places in ``octets``.  Windows never cross texts.
+    """
+    inside = np.zeros(max(len(octets) - length + 1, 0), bool)
+    sizes = np.diff(offsets)
+    for a, n in zip((offsets[:-1] - offsets[0])[sizes >= length].tolist(), sizes[sizes >= length].tolist()):
+        inside[a:a + n - length + 1] = True
+    found = [[], [], [], []]
+    for at in range(0, len(inside), PIECE):
+        legal = inside[at:at + PIECE]
+        if not legal.any():
+            continue
         hashes = gram_hashes(octets[at:at + PIECE + length - 1])
-        of_window = last_least(hashes, length - GRAM + 1)
+        of_window = np.where(legal, least_places(hashes, length - GRAM + 1), -1)
         begins = np.flatnonzero(np.concatenate([[True], of_window[1:] != of_window[:-1]]))
-        place = of_window[begins]
-        grams.append(hashes[place].view(np.int64))
-        places.append(place + at)
-        firsts.append(begins + at)
-        lasts.append(np.concatenate([begins[1:], [len(of_window)]]) - 1 + at)
-    if not grams:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty
-    return tuple(map(np.concatenate, (grams, places, firsts, lasts)))
+        ends = np.concatenate([begins[1:], [len(of_window)]]) - 1
+        real = of_window[begins] >= 0
+        place = of_window[begins][real]
+        for kept, new in zip(found, (hashes[place].view(np.int64), place + at, begins[real] + at, ends[real] + at)):
+            kept.append(new)
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+
 
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, end to end, and where its texts begin and the last one ends (from 0)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    wide = pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset: column.offset + len(column) + 1].astype(np.int64)
+    octets = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return octets, offsets - offsets[0]
 
-_ANCHORS = "gram long, k1 long, k2 long, place int, lead int, span int"
-#: Rows per Arrow batch that goes back to Spark.
-_OUT = 1 << 17
+
+_ANCHORS = "gram long, k1 long, k2 long, place int, n int"
 
 
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2, texts = batch.column("k1").to_numpy(), batch.column("k2").to_numpy(), batch.column("raw")
-            held, rows = [], 0
-            for i in range(batch.num_rows):
-                gram, place, first, last = anchors(texts[i].as_buffer().to_pybytes(), length)
-                if len(gram):
-                    held.append((gram, np.full(len(gram), k1[i]), np.full(len(gram), k2[i]), place, place - first, last - first))
-                    rows += len(gram)
-                if rows >= _OUT:
-                    yield _record_batch(held, _ANCHORS)
-                    held, rows = [], 0
-            if held:
-                yield _record_batch(held, _ANCHORS)
+            octets, offsets = _texts(batch.column("raw"))
+            gram, place, _, _ = anchors(octets, offsets, length)
+            text = np.searchsorted(offsets, place, side="right") - 1
+            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
+            if len(gram):  # a gram that a text repeats is one row: its first place there and how many
+                order, heads = _pairs(text, gram)
+                own = order[heads]
+                n = np.diff(np.concatenate([heads, [len(order)]]))
+                yield _record_batch([(gram[own], k1[text[own]], k2[text[own]], place[own] - offsets[text[own]], n)], _ANCHORS)
 
     return run
 
 
+def _pairs(text: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of anchors by (text, gram), places ascending, and where each pair begins in it."""
+    order = np.lexsort((gram, text))
+    moved = (np.diff(text[order]) != 0) | (np.diff(gram[order]) != 0)
+    return order, np.concatenate([[0], np.flatnonzero(moved) + 1])
+
+
 def _record_batch(parts: list[tuple], schema: str) -> pa.RecordBatch:
     names, kinds = zip(*[x.split() for x in schema.split(", ")])
     types = {"long": (np.int64, pa.int64()), "int": (np.int32, pa.int32())}
@@ -122,30 +155,33 @@ def _record_batch(parts: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, types[k][1]) for c, k in zip(columns, kinds)], names=list(names))
 
 
+#: Contexts per Arrow batch that goes back to Spark.
+_OUT = 1 << 15
 _CONTEXTS = "gram long, k1 long, k2 long, place int, lead int, context binary"
 
 
 def _context_rows(length: int):
-    """From documents with their shared anchors to contexts: the bytes of all windows filed under an anchor."""
+    """From documents with the places of their shared grams to contexts: the bytes of all windows filed under an anchor."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2, texts = batch.column("k1").to_numpy(), batch.column("k2").to_numpy(), batch.column("raw")
+            octets, offsets = _texts(batch.column("raw"))
             lists = batch.column("found")
-            values, edges = lists.values, lists.offsets.to_numpy()
-            gram, place, lead, span = (values.field(n).to_numpy(zero_copy_only=False) for n in ("gram", "place", "lead", "span"))
-            out, contexts = [], []
-            for i in range(batch.num_rows):
-                raw = texts[i].as_buffer().to_pybytes()
-                a, b = edges[i], edges[i + 1]
-                begins = place[a:b] - lead[a:b]
-                stops = begins + span[a:b] + length
-                contexts += [raw[x:y] for x, y in zip(begins.tolist(), stops.tolist())]
-                out.append((gram[a:b], np.full(b - a, k1[i]), np.full(b - a, k2[i]), place[a:b], lead[a:b]))
-                if len(contexts) >= _OUT // 4:
-                    yield _with_binary(out, contexts)
-                    out, contexts = [], []
-            if contexts:
-                yield _with_binary(out, contexts)
+            edges = lists.offsets.to_numpy()
+            shared = np.zeros(len(octets), bool)
+            places = lists.values.to_numpy(zero_copy_only=False)[edges[0]:edges[-1]]
+            shared[places + np.repeat(offsets[:-1], np.diff(edges))] = True
+            gram, place, first, last = anchors(octets, offsets, length)
+            text_of_anchor = np.searchsorted(offsets, place, side="right") - 1
+            order, heads = _pairs(text_of_anchor, gram)
+            listed = np.logical_or.reduceat(shared[place[order]], heads)
+            kept = np.sort(order[np.repeat(listed, np.diff(np.concatenate([heads, [len(order)]])))])
+            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
+            raw = octets.tobytes()
+            for at in range(0, len(kept), _OUT):
+                own = kept[at:at + _OUT]
+                text = text_of_anchor[own]
+                contexts = [raw[a:b] for a, b in zip(first[own].tolist(), (last[own] + length).tolist())]
+                yield _with_binary([(gram[own], k1[text], k2[text], place[own] - offsets[text], place[own] - first[own])], contexts)
 
     return run
 
@@ -166,17 +202,17 @@ def covered_starts(group: np.ndarray, rank: np.ndarray, lead: np.ndarray, contex
     sizes = np.fromiter(map(len, contexts), np.int64, n)
     flat = np.frombuffer(b"".join(contexts), np.uint8)
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    column = np.arange(columns)[None, :] - (reach - lead)[:, None]
-    inside = (column >= 0) & (column < sizes[:, None])
-    symbols = np.zeros((n, columns), np.int32)
-    symbols[inside] = flat[(begin[:, None] + column)[inside]].astype(np.int32) + 1
-    last_column = int(np.flatnonzero(inside.any(axis=0))[-1]) if n else -1
+    column = np.arange(columns)[:, None] - (reach - lead)[None, :]
+    inside = (column >= 0) & (column < sizes[None, :])
+    symbols = np.zeros((columns, n), np.int16)  # 0: the context has no symbol there
+    symbols[inside] = flat[(begin[None, :] + column)[inside]].astype(np.int16) + 1
+    last_column = int(np.flatnonzero(inside.any(axis=1))[-1]) if n else -1
     covered = np.zeros((n, reach + 1), bool)
 
     order, number = np.arange(n), np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]).astype(np.int64)]))
     common = np.zeros(n + 1, np.int32)  # with the previous in order; the last entry only ends ranges
     for c in range(last_column, -1, -1):
-        here = symbols[order, c]
+        here = symbols[c][order]
         slot = number * 257 + here
         turn = np.argsort(slot, kind="stable")  # one symbol of each context is inserted
         kept = slot[turn]
@@ -241,26 +277,39 @@ def _covered_rows(length: int):
     return run
 
 
-def _crowded(contexts: DataFrame, length: int) -> DataFrame:
-    """Covered intervals of contexts whose grams occur too often for one task (native grouping)."""
+def _crowded(contexts: DataFrame, length: int, context_limit: int, partitions: int) -> DataFrame:
+    """Covered intervals of contexts whose grams occur too often to be put in one task as they are."""
     age = F.struct("k1", "k2", "place")
-    marked = contexts.withColumn("same", F.sha2("context", 256))
+    marked = contexts.withColumn("same", F.unhex(F.md5("context")))
     first = marked.groupBy("gram", "lead", "same").agg(F.min(age).alias("first"), F.max_by("context", age).alias("context"))
     # a repeated context is covered whole
     again = marked.select("gram", "lead", "same", "k1", "k2", "place", F.length("context").alias("size")).join(
         first.select("gram", "lead", "same", "first"), ["gram", "lead", "same"]).filter(age > F.col("first"))
     whole = again.select("k1", "k2", (F.col("place") - F.col("lead")).alias("begin"), (F.col("place") - F.col("lead") + F.col("size")).alias("stop"))
-    # the first of equal contexts can still share single windows with others
-    windows = first.repartition("same").select(
+    # the first of equal contexts can still share windows with others
+    counted = first.join(first.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram")
+    few = counted.filter(F.col("n").between(2, context_limit)).select("gram", "first.k1", "first.k2", "first.place", "lead", "context")
+    settled = few.repartition(partitions, "gram").sortWithinPartitions("gram").mapInArrow(_covered_rows(length), _COVERED)
+    windows = counted.filter(F.col("n") > context_limit).repartition("same").select(
         "first", F.explode(F.transform(
             F.sequence(F.lit(0), F.length("context") - length),
             lambda j: F.struct((F.col("first.place") - F.col("lead") + j).alias("begin"),
-                               F.sha2(F.expr("context").substr(j + 1, F.lit(length)), 256).alias("content")))).alias("w"))
+                               F.unhex(F.md5(F.col("context").substr(j + 1, F.lit(length)))).alias("content")))).alias("w"))
     windows = windows.select("first.k1", "first.k2", "w.begin", "w.content")
     start = F.struct("k1", "k2", "begin")
-    earliest = windows.groupBy("content").agg(F.min(start).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    single = windows.join(earliest, "content").filter(start > F.col("earliest")).select("k1", "k2", "begin", (F.col("begin") + length).alias("stop"))
-    return whole.unionByName(single)
+    earliest = windows.groupBy("content").agg(F.min(start).alias("earliest"), F.max(start).alias("latest")).filter("latest > earliest")
+    single = windows.join(earliest.select("content", "earliest"), "content").filter(start > F.col("earliest"))
+    return whole.unionByName(settled).unionByName(single.select("k1", "k2", "begin", (F.col("begin") + length).alias("stop")))
+
+
+def _copies(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, bool]:
+    """Keys and sizes of all but the first copy of a text, and whether ids alone tell the rows apart."""
+    listed = pin(keyed(docs, id_column, text_column).select("k1", "k2", F.unhex(F.sha2("text", 256)).alias("same"), F.octet_length("text").alias("size")))
+    repeats = listed.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    place = F.struct("k1", "k2")
+    first = listed.groupBy("same").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("last > first").select("same", "first")
+    copies = listed.join(first, "same").filter(place > F.col("first")).select("k1", "k2", "size").distinct()
+    return pin(copies), repeats.isEmpty()
 
 
 _RESULT = "n_bytes long, n_removed long, spans array<struct<begin:int,stop:int>>, kept_sha256 string, kept binary"
@@ -301,7 +350,7 @@ def _remove(keep_bytes: bool):
 
 
 def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = 100,
-                    group_limit: int = 1000, keep_bytes: bool = True) -> DataFrame:
+                    group_limit: int = 1000, context_limit: int = 50_000, keep_bytes: bool = True) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, spans (maximal removed runs), kept_sha256, kept (the remaining bytes).
 
     Texts are judged as UTF-8 bytes; a null text is empty; texts shorter than
@@ -313,18 +362,27 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
-    base = keyed(docs, id_column, text_column).select("k1", "k2", F.col("text").cast("binary").alias("raw"))
-    occurrences = base.filter(F.length("raw") >= length).mapInArrow(_anchor_rows(length), _ANCHORS)
-    shared = occurrences.select("gram").groupBy("gram").agg(F.count(F.lit(1)).alias("places")).filter("places > 1")
-    found = occurrences.join(shared, "gram")
+    copies, unique_ids = _copies(docs, id_column, text_column)
+    copies = copies.filter(F.col("size") >= length)
+    # where ids are unique the text hash would only widen every row
+    # (no literal, which the optimizer folds out of some joins only, nor a nullable column, which it filters in some only:
+    # one shuffle of the texts serves every join below)
+    second = F.coalesce(F.pmod("k1", F.lit(1)), F.lit(0)) if unique_ids else F.col("k2")
+    copies = copies.select("k1", second.alias("k2"), "size")
+    base = keyed(docs, id_column, text_column).select("k1", second.alias("k2"), F.col("text").cast("binary").alias("raw"))
+    own = base.join(copies, ["k1", "k2"], "left_anti")
+    occurrences = own.mapInArrow(_anchor_rows(length), _ANCHORS)
+    shared = occurrences.select("gram", "n").groupBy("gram").agg(F.sum("n").alias("places")).filter("places > 1")
+    found = occurrences.drop("n").join(shared, "gram")
 
     def contexts(which: Column) -> DataFrame:
-        by_doc = found.filter(which).groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "place", "lead", "span")).alias("found"))
+        by_doc = found.filter(which).groupBy("k1", "k2").agg(F.collect_list("place").alias("found"))
         return base.join(by_doc, ["k1", "k2"]).mapInArrow(_context_rows(length), _CONTEXTS)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     settled = contexts(F.col("places") <= group_limit).repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_covered_rows(length), _COVERED)
-    covered = settled.unionByName(_crowded(contexts(F.col("places") > group_limit), length))
-    by_doc = covered.groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "stop")).alias("found"))
+    crowded = _crowded(contexts(F.col("places") > group_limit), length, context_limit, n)
+    whole = copies.select("k1", "k2", F.lit(0).alias("begin"), F.col("size").alias("stop"))
+    by_doc = settled.unionByName(crowded).unionByName(whole).groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "stop")).alias("found"))
     result = base.join(by_doc, ["k1", "k2"], "left").select("k1", "raw", "found").mapInArrow(_remove(keep_bytes), f"k1 long, {_RESULT}")
     return result.select(id_of_key("k1").alias("doc_id"), "n_bytes", "n_removed", "spans", "kept_sha256", "kept")

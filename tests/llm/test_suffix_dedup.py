@@ -56,11 +56,11 @@ def result(df):
     return sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("group_limit", [1000, 3, 1])
-def test_matches_brute_force(spark, group_limit):
+@pytest.mark.parametrize("group_limit, context_limit", [(1000, 50_000), (3, 50_000), (1, 50_000), (1, 2), (1, 0)])
+def test_matches_brute_force(spark, group_limit, context_limit):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = result(sd.substring_dedup(docs, group_limit=group_limit))
+    got = result(sd.substring_dedup(docs, group_limit=group_limit, context_limit=context_limit))
     assert got == sorted(brute(rows, 100), key=str)
     assert any(r[2] for r in got)
 
@@ -69,10 +69,12 @@ def test_other_length_and_pieces(spark, monkeypatch):
     rows = corpus(9, 25)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert result(sd.substring_dedup(docs, length=50)) == sorted(brute(rows, 50), key=str)
-    raw = "".join(chr(97 + i % 7 * (i % 11) % 26) for i in range(5000)).encode()
+    raw = np.frombuffer("".join(chr(97 + i % 7 * (i % 11) % 26) for i in range(5000)).encode(), np.uint8)
     monkeypatch.setattr(sd, "PIECE", 1000)
-    cut = [np.concatenate([np.arange(f, t + 1) for f, t in zip(first, last)]) for _, _, first, last in [sd.anchors(raw, 100)]][0]
-    assert cut.tolist() == list(range(len(raw) - 99))  # every window is filed once, whatever the pieces
+    _, _, first, last = sd.anchors(raw, np.array([0, 2000, 2050, 5000]), 100)
+    cut = np.concatenate([np.arange(f, t + 1) for f, t in zip(first, last)])
+    # every window of every text is filed once, whatever the pieces
+    assert cut.tolist() == [*range(0, 1901), *range(2050, 4901)]
 
 
 def test_kept_bytes_are_the_text_without_the_spans(spark):
