@@ -11,6 +11,7 @@ from chatloom.session import cut_lineage
 
 #: A word: a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+GAP = r"[\x20\x09-\x0D]+"
 #: Stand-in for a null document id inside join keys: null ids sort last.
 NULL_ID = (1 << 63) - 1
 

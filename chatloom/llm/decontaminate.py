@@ -21,11 +21,13 @@ from chatloom.llm.common import id_of_key, let, packed, text_of
 
 #: The contract's words: everything but ASCII characters that are neither letters nor digits.
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORDS), 0)
+    # splitting is linear in the text; extracting all matches copies the text for each of them
+    return F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), GAPS, -1), "")
 
 
 def _gram(words: Column, start: Column, size: int) -> Column:
@@ -160,5 +162,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
 
         return let(F.split(text, WORDS, -1), join)
 
-    clean = F.when(F.size("hits") > 0, let(F.regexp_extract_all(text, F.lit(WORDS), 0), cut)).otherwise(text)
+    clean = F.when(F.size("hits") > 0, let(F.array_remove(F.split(text, GAPS, -1), ""), cut)).otherwise(text)
     return found.select(F.col("row").withField(f"`{text_column}`", clean).alias("row")).select("row.*")

@@ -77,7 +77,8 @@ def candidate_features(candidates: DataFrame, docs: DataFrame, text_column: str
     # the same value in the same surroundings has the same features: work on distinct ones
     letters = candidates.select("value").distinct().withColumn("run", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{3,}"), 0)))
     words = (
-        docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of(text_column)), F.lit(r"\p{L}{3,}"), 0))).alias("run"))
+        docs.select(F.explode(F.array_distinct(F.split(F.lower(text_of(text_column)), r"\P{L}+", -1))).alias("run"))
+        .filter(F.col("run").rlike("^[a-z]{3,}$"))
         .groupBy("run").count().filter(F.col("count") >= min_doc_frequency).select("run")
     )
     cover = letters.join(words, "run").groupBy("value").agg(F.sum(F.length("run")).alias("covered"))

@@ -14,7 +14,7 @@ import re
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +29,20 @@ _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|na
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 _LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
-_BLANKS = re.compile(r"[^\S\n]+")
-_LINE_ENDS = re.compile(r"\s*\n\s*")
+_BLANKS = re.compile(r"[^\S\n]{2,}|[^\S\n ]")
 
 
-def digests(block: bytes) -> dict[str, str]:
-    """The spellings under which a source may have written the digest of a block."""
+def digest_of(block: bytes) -> str:
+    return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+
+
+def fits(said: str, block: bytes) -> bool:
+    """Whether a digest, SHA-1 in base 32 or hexadecimal or SHA-256 in hexadecimal, is that of a block."""
+    name, _, value = said.lower().partition(":")
+    if name == "sha256":
+        return value == hashlib.sha256(block).hexdigest()
     raw = hashlib.sha1(block).digest()
-    return {"base32": "sha1:" + base64.b32encode(raw).decode(), "hex": "sha1:" + raw.hex(), "sha256": "sha256:" + hashlib.sha256(block).hexdigest()}
+    return name == "sha1" and value in (raw.hex(), base64.b32encode(raw).decode().lower())
 
 
 def decode(payload: bytes, content_type: str) -> tuple[str, str]:
@@ -52,8 +58,8 @@ def decode(payload: bytes, content_type: str) -> tuple[str, str]:
 def plain_text(markup: str) -> str:
     """Visible text: scripts, styles and comments go, block tags end lines, entities are resolved."""
     body = _TITLE.sub("", _SKIP.sub("", markup))
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", body)))
-    return _LINE_ENDS.sub("\n", _BLANKS.sub(" ", text)).strip()
+    text = _BLANKS.sub(" ", html.unescape(_TAG.sub("", _BREAK.sub("\n", body))))
+    return "\n".join(x for x in map(str.strip, text.split("\n")) if x)
 
 
 def _flat(value: str) -> str:
@@ -63,7 +69,7 @@ def _flat(value: str) -> str:
 
 def _record(kind: str, source: dict, record_id: str, content_type: str, block: str, extra: list[tuple[str, str]]) -> dict:
     octets = block.encode("utf-8", "replace")
-    digest = digests(octets)["base32"]
+    digest = digest_of(octets)
     fields = [
         ("WARC-Type", kind), ("WARC-Record-ID", record_id), ("WARC-Date", source["date"]), ("WARC-Target-URI", source["target_uri"]),
         ("WARC-Refers-To", source["record_id"]), *extra, ("WARC-Block-Digest", digest), ("Content-Type", content_type), ("Content-Length", str(len(octets))),
@@ -88,7 +94,7 @@ def derive(source: dict) -> list[dict]:
     ids = {kind: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name + '#' + kind)}>" for kind in ("metadata", "conversion")}
     conversion = _record("conversion", source, ids["conversion"], "text/plain; charset=utf-8", text, [("WARC-Source-Payload-Digest", source["payload_digest"])])
     said = source["payload_digest"]
-    verified = "absent" if not said else "true" if said.lower() in {d.lower() for d in digests(payload).values()} else "false"
+    verified = "absent" if not said else "true" if fits(said, payload) else "false"
     fields = [
         ("conversion-record", ids["conversion"]), ("conversion-digest", conversion["block_digest"]), ("conversion-length", str(conversion["content_length"])),
         ("source-status", source["http_status"]), ("source-payload-digest", said), ("source-payload-digest-verified", verified),
@@ -100,12 +106,13 @@ def derive(source: dict) -> list[dict]:
     return [metadata, conversion]
 
 
-def _derive_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
+def _derive_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"string": pa.string(), "long": pa.int64()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in SCHEMA.split(", "))])
     for batch in batches:
-        for at in range(0, len(batch), 500):
-            rows = [r for s in batch.iloc[at:at + 500].to_dict("records") for r in derive(s)]
-            yield pd.DataFrame(rows, columns=names)
+        for at in range(0, batch.num_rows, 500):
+            rows = [r for source in batch.slice(at, 500).to_pylist() for r in derive(source)]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def warc_derivatives(responses: DataFrame) -> DataFrame:
@@ -120,7 +127,7 @@ def warc_derivatives(responses: DataFrame) -> DataFrame:
     converted.  One narrow pass without a shuffle; an empty table gives an
     empty result; other columns are not read.
     """
-    return responses.select(*COLUMNS).mapInPandas(_derive_all, SCHEMA)
+    return responses.select(*COLUMNS).mapInArrow(_derive_all, SCHEMA)
 
 
 def write_warc(derivatives: DataFrame, path: str, compression: str = "gzip") -> None:
