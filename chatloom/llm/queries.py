@@ -71,10 +71,12 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def findings_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled findings (stand-in input: an analyst marks a quoted value assigned to a name as real, other long words with digits as not)."""
-    texts = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).filter(F.col("t").rlike("[0-9A-Za-z@._+/-]{16,}"))
     real = texts.select("doc_id", F.explode(F.regexp_extract_all("t", F.lit('\\w+\\s*[=:]\\s*"([A-Za-z0-9_+/=-]{16,})"'), 1)).alias("value"))
     other = texts.select("doc_id", F.explode(F.regexp_extract_all("t", F.lit(r"(?<=\s)([0-9A-Za-z@._+/-]{16,})(?=\s)"), 1)).alias("value"))
-    return real.withColumn("label", F.lit(1)).unionByName(other.withColumn("label", F.lit(0)))
+    found = real.withColumn("label", F.lit(1)).unionByName(other.withColumn("label", F.lit(0)))
+    # narrow rows meet the labels; a semi join would be pushed below the extraction and shuffle the texts
+    return found.join(labels.select("doc_id").distinct(), "doc_id")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
