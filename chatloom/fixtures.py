@@ -85,7 +85,7 @@ def fx_interactions(spark: SparkSession, sf_dir: str, ev: DataFrame | None = Non
 
 def fx_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders reshaped into a training-run log (run_id, model_line, ts, mode, losses, has_adapter)."""
-    o = read_table(spark, sf_dir, "orders").where((F.col("o_orderkey") % 20) == 0)
+    o = read_table(spark, sf_dir, "orders")
     # ln() differs in the last bit between math libraries; the stand-in loss is quantised
     # to 1e-9 so every engine starts from the same value.
     raw = F.log(F.lit(1.5) + (F.floor(F.col("o_totalprice")) % 300) / F.lit(100.0))
@@ -105,7 +105,7 @@ def fx_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate rejection replies keyed by the interaction prompt text, from events.
 
     Variant by event_id % 8: a valid string, 10 characters, 11 characters, empty with
-    thinking, a block list, whitespace only; 6 and 7 give no reply.  Many events share a
+    thinking, a block list, whitespace only; 6 failed (status 500) and 7 came back without content.  Many events share a
     prompt, so repeated prompts (last reply by seq wins) occur throughout.
     """
     ev = read_table(spark, sf_dir, "events")
@@ -120,8 +120,8 @@ def fx_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(v == 5, F.lit('"   "'))
     )
     thinking = F.when(v == 3, F.concat(F.lit("thinking about "), F.col("event_type")))
-    return ev.where(v < 6).select(
-        prompt.alias("prompt"), F.col("event_id").alias("seq"), F.lit(200).alias("status"),
+    return ev.select(
+        prompt.alias("prompt"), F.col("event_id").alias("seq"), F.when(v == 6, F.lit(500)).otherwise(F.lit(200)).alias("status"),
         content.alias("content"), thinking.alias("thinking"),
         F.timestamp_add("MINUTE", -(F.col("event_id") % 720), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")).alias("cached_at"),
     )

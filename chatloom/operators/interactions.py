@@ -170,10 +170,10 @@ def delete_ids(df: DataFrame, ids) -> DataFrame:
 
 
 def prune_by_age(df: DataFrame, now, days: int | None = None, cfg: Thresholds = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(kept, deleted); deleted = non-golden rows older than now - days."""
+    """(kept, deleted); deleted = non-golden rows older than now - days (a null timestamp is kept)."""
     days = cfg.max_age_days if days is None else days
     cutoff = _ts(now) - F.expr(f"INTERVAL {int(days)} DAYS")
-    old = (F.col("timestamp") < cutoff) & ~F.coalesce(F.col("is_golden"), F.lit(False))
+    old = F.coalesce(F.col("timestamp") < cutoff, F.lit(False)) & ~F.coalesce(F.col("is_golden"), F.lit(False))
     deleted = df.where(old)
     if "date" in df.columns:  # date-partitioned store: only partitions up to the cutoff date
         deleted = df.where((F.col("date") <= F.to_date(cutoff)) & old)

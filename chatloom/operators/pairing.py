@@ -35,12 +35,15 @@ def rstrip(col: Column) -> Column:
 def latest_pair(requests: DataFrame, messages: str = "messages", skip_prompt_like: bool = False) -> DataFrame:
     """P1 (and P3 on the request form): last user and last assistant content of each request.
 
-    Both sides are read with the scoring text rule (N2).  With ``skip_prompt_like`` the user side
-    skips messages whose stripped text starts with ``###`` and is stripped.
+    The assistant side is read with the scoring text rule (N2).  The user side is read from the
+    normalised messages (N1), as the rewrite rules see them; with ``skip_prompt_like`` (the proxy
+    path, which reads raw content) it is read with N2, skips messages whose stripped text starts
+    with ``###``, and is stripped.
     """
-    norm = F.transform(
-        F.col(messages), lambda m: F.struct(m["role"].alias("role"), C.text_content(m["content"]).alias("text"))
-    )
+    user_rule = C.text_content if skip_prompt_like else C.normalize_content
+    norm = F.transform(F.col(messages), lambda m: F.struct(
+        m["role"].alias("role"),
+        F.when(m["role"] == "user", user_rule(m["content"])).otherwise(C.text_content(m["content"])).alias("text")))
     users = F.filter(norm, lambda m: m["role"] == "user")
     if skip_prompt_like:
         users = F.filter(users, lambda m: ~F.coalesce(strip(m["text"]).startswith("###"), F.lit(False)))

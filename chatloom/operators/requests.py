@@ -36,7 +36,7 @@ def flag_invalid_requests(requests: DataFrame, configured_model: str) -> DataFra
         return F.coalesce((c < lo) | (c > hi), F.lit(False))
 
     flags = {
-        "unknown_model": ~F.coalesce(C.normalize_model(F.col("model")).isin(allowed), F.lit(False)),
+        "unknown_model": ~F.coalesce(C.normalize_model(F.col("model")).isin(allowed), F.lit(True)),  # none given: the configured one
         "n_not_1": F.coalesce(opt("n") != 1, F.lit(False)),
         "no_user_message": ~F.exists("messages", lambda m: m["role"] == "user"),
         "bad_temperature": outside("temperature", 0.0, 2.0),

@@ -58,7 +58,8 @@ def _block_topk(k: int, chunk: int = 512):
         qm = qm / np.where((qn := np.linalg.norm(qm, axis=1, keepdims=True)) == 0, 1.0, qn)
         cm = cm / np.where((cn := np.linalg.norm(cm, axis=1, keepdims=True)) == 0, 1.0, cn)
         qids_all = q["_id"].to_numpy()
-        cids = c["_id"].to_numpy()
+        by_id = np.argsort(c["_id"].to_numpy(), kind="stable")
+        cids, cm = c["_id"].to_numpy()[by_id], cm[by_id]
         kk = min(k, cm.shape[0])
         parts = []
         # Query rows in chunks: a task never holds more than CHUNK x corpus-block similarities.
@@ -66,8 +67,12 @@ def _block_topk(k: int, chunk: int = 512):
             qids = qids_all[lo:lo + chunk]
             sims = qm[lo:lo + chunk] @ cm.T
             sims = np.where(qids[:, None] == cids[None, :], -np.inf, sims)  # a vector is not its own neighbour
-            # Keep the kk best per query (ties resolved later by the exact ranking).
+            # Keep the kk best per query; where the last of them ties with others, the least ids.
             idx = np.argpartition(-sims, kk - 1, axis=1)[:, :kk]
+            last = np.take_along_axis(sims, idx, axis=1).min(axis=1, keepdims=True)
+            tied = np.flatnonzero((sims >= last).sum(axis=1) > kk)
+            for r in tied:
+                idx[r] = np.argsort(-sims[r], kind="stable")[:kk]
             picked = np.take_along_axis(sims, idx, axis=1).ravel()
             keep = np.isfinite(picked)
             parts.append(pd.DataFrame({"qid": np.repeat(qids, kk)[keep], "cid": cids[idx.ravel()][keep], "similarity": picked[keep]}))

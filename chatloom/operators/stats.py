@@ -151,8 +151,8 @@ def training_decision(cfg: Thresholds = DEFAULT, user_requested: Column | bool =
     )
 
 
-def status_report(stats: DataFrame, cfg: Thresholds = DEFAULT, has_dpo: bool = True) -> DataFrame:
-    """The human-readable status text per stats row."""
+def status_report(stats: DataFrame, cfg: Thresholds = DEFAULT) -> DataFrame:
+    """The human-readable status text per stats row; a row that never ran DPO has no DPO lines."""
     sig = _dpo_signals()
     pos_total = F.col("new_positive") + F.col("new_golden")
     ih = cfg.inactivity_hours
@@ -165,11 +165,11 @@ def status_report(stats: DataFrame, cfg: Thresholds = DEFAULT, has_dpo: bool = T
         F.format_string("Hours since last interaction: %.1f", F.col("hours_since_last")),
         F.format_string("Days since last training: %.1f", F.col("days_since_training")),
     ]
-    if has_dpo:
-        lines += [
-            F.format_string("Days since last DPO training: %.1f", F.col("days_since_dpo")),
-            F.format_string("New negatives since DPO: %d", F.col("new_negative_since_dpo")),
-        ]
+    ran_dpo = F.col("days_since_dpo") != 999.0  # A1's value for never
+    lines += [
+        F.when(ran_dpo, F.format_string("Days since last DPO training: %.1f", F.col("days_since_dpo"))),
+        F.when(ran_dpo, F.format_string("New negatives since DPO: %d", F.col("new_negative_since_dpo"))),
+    ]
     lines += [
         F.lit("\nTrigger Status:"),
         F.format_string(

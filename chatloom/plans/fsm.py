@@ -6,8 +6,9 @@ segment as its exit state for every entry state, and other machines supply their
 own compact segment summary (``summary_start/feed/finish`` and ``resume``).
 ``scan`` runs the machine over every key's rows in ``order``:
 
-1. range-partition on (key, order) and sort within partitions, then checkpoint
-   into the shared checkpoint folder so partition contents are pinned;
+1. range-partition on (key, order) and sort within partitions, tag each row with
+   its segment and its key as text (null keys are a key like any other), then
+   checkpoint into the shared checkpoint folder so segments are pinned;
 2. per partition, only the first key (which may continue from the previous
    partition) is summarised for every possible entry state at once
    (trajectories that meet are merged, so this is usually one pass); the last
@@ -16,7 +17,8 @@ own compact segment summary (``summary_start/feed/finish`` and ``resume``).
    distinct segment exits (the deploy gate);
 3. the driver chains those rows in partition order (bounded by the partition
    count) to get each continued key's entry state;
-4. every partition replays its rows from the known entry states in parallel.
+4. every segment is replayed from its known entry state in parallel.  States are
+   looked up by the segment column, so a result may be coalesced or unioned.
 
 Work on the rows themselves happens only in the parallel summary and replay passes.
 """
@@ -27,12 +29,13 @@ import json
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.session import cut_lineage
 
+KEY_TEXT, SEGMENT = "_fsm_key", "_fsm_segment"
+
 
 class Machine:
     """A fold with a small finite state space: states are ints 0 .. n_states-1."""
@@ -67,14 +70,13 @@ class Machine:
 
 def _summaries(machine: Machine, key: str, cols: list[str]):
     def run(batches):
-        pid = TaskContext.get().partitionId()
-        first_key = last_key = None
+        pid = first_key = last_key = None
         acc = None
         last_state = None
         for pdf in batches:
-            for row in pdf[cols].itertuples(index=False, name="Row"):
-                k = getattr(row, key)
+            for k, segment, row in zip(pdf[KEY_TEXT], pdf[SEGMENT], pdf[cols].itertuples(index=False, name="Row")):
                 if first_key is None:
+                    pid = int(segment)
                     first_key = k
                     acc = machine.summary_start()
                 if k == first_key:
@@ -88,9 +90,9 @@ def _summaries(machine: Machine, key: str, cols: list[str]):
         yield pd.DataFrame(
             {
                 "pid": [pid],
-                "first_key": [json.dumps(first_key, default=str)],
+                "first_key": [first_key],
                 "summary": [json.dumps(machine.summary_finish(acc))],
-                "last_key": [json.dumps(last_key, default=str) if last_key is not None else None],
+                "last_key": [last_key],
                 "last_state": [json.dumps(last_state)],
             }
         )
@@ -100,17 +102,16 @@ def _summaries(machine: Machine, key: str, cols: list[str]):
 
 def _replay(machine: Machine, key: str, cols: list[str], entries: dict[int, int], out_cols: list[str]):
     def run(batches):
-        pid = TaskContext.get().partitionId()
-        cur_key = None
+        cur_key = cur_segment = None
         state = None
-        first = True
         out: list[dict] = []
         for pdf in batches:
-            for row in pdf[cols].itertuples(index=False, name="Row"):
-                k = getattr(row, key)
-                if k != cur_key:
-                    state = entries.get(pid, machine.initial) if first else machine.initial
-                    cur_key, first = k, False
+            for k, segment, row in zip(pdf[KEY_TEXT], pdf[SEGMENT], pdf[cols].itertuples(index=False, name="Row")):
+                if segment != cur_segment:
+                    state = entries.get(int(segment), machine.initial)
+                    cur_key, cur_segment = k, segment
+                elif k != cur_key:
+                    state, cur_key = machine.initial, k
                 state, emitted = machine.step(state, row)
                 if emitted is not None:
                     out.append(emitted)
@@ -132,7 +133,11 @@ def scan(df: DataFrame, key: str, order: Sequence[str], machine: Machine, out_sc
     """Run ``machine`` over each key's rows in ``order``; returns the emitted rows."""
     cols = list(cols or df.columns)
     order = list(order)
-    ranged = df.select(*cols).repartitionByRange(F.col(key), *[F.col(c) for c in order]).sortWithinPartitions(key, *order)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated count, which AQE does not coalesce
+    ranged = (
+        df.select(*cols).repartitionByRange(n, F.col(key), *[F.col(c) for c in order]).sortWithinPartitions(key, *order)
+        .withColumns({KEY_TEXT: F.to_json(F.struct(F.col(key))), SEGMENT: F.spark_partition_id()})
+    )
     pinned = cut_lineage(ranged)
     summary_schema = "pid int, first_key string, summary string, last_key string, last_state string"
     # At most one small row per partition reaches the driver.

@@ -529,7 +529,7 @@ def q_a6(spark, sf_dir):
 
 from chatloom.operators import datasets as DS  # noqa: E402
 
-POOL_CTES = [
+CAPPED_POOL_CTES = [
     FXI,
     "golden AS (SELECT * FROM fx_interactions WHERE is_golden)",
     """pool AS (SELECT * EXCLUDE (rn) FROM (
@@ -537,6 +537,11 @@ POOL_CTES = [
        FROM fx_interactions WHERE NOT is_golden)
      WHERE rn <= (SELECT greatest(0, 1000 - count(*)) FROM golden))""",
 ]
+POOL_CTES = [
+    FXI,
+    "golden AS (SELECT * FROM fx_interactions WHERE is_golden)",
+    "pool AS (SELECT * FROM fx_interactions WHERE NOT coalesce(is_golden, false))",
+]
 
 
 def _sample_sql(src: str, typ: str, chosen: str, rejected: str, wmul: float | None, where: str) -> str:
@@ -575,7 +580,10 @@ DPO_CTE = "dpo AS (" + " UNION ALL ".join([
 
 
 def pool_and_golden(spark, sf_dir):
-    return DS.select_training_pool(fxi(spark, sf_dir))
+    """Every non-golden and every golden interaction: the cap of D1 is D1's own."""
+    rows = fxi(spark, sf_dir)
+    golden = F.coalesce(F.col("is_golden"), F.lit(False))
+    return rows.where(~golden), rows.where(golden)
 
 
 def rejections_of(spark, sf_dir, drop_short: bool = True):
@@ -592,9 +600,9 @@ def dpo_set(spark, sf_dir):
     return DS.build_dpo(pool, golden, rejections_of(spark, sf_dir, drop_short=False))
 
 
-@register("d1_training_pool", with_ctes(*POOL_CTES) + f"SELECT {INTERACTION_COLS} FROM pool UNION ALL SELECT {INTERACTION_COLS} FROM golden")
+@register("d1_training_pool", with_ctes(*CAPPED_POOL_CTES) + f"SELECT {INTERACTION_COLS} FROM pool UNION ALL SELECT {INTERACTION_COLS} FROM golden")
 def q_d1(spark, sf_dir):
-    pool, golden = pool_and_golden(spark, sf_dir)
+    pool, golden = DS.select_training_pool(fxi(spark, sf_dir))
     return pool.unionByName(golden)
 
 
@@ -997,7 +1005,7 @@ def _n7_sql() -> str:
 ended AS (SELECT request_id, min(seq) AS _end FROM parsed WHERE "end" GROUP BY request_id),
 kept AS (SELECT p.* FROM parsed p LEFT JOIN ended e ON p.request_id = e.request_id WHERE keep AND (e._end IS NULL OR p.seq < e._end))
 SELECT request_id, coalesce(string_agg(delta, '' ORDER BY seq), '') AS content,
-  arg_max(finish_reason, seq) FILTER (WHERE finish_reason IS NOT NULL) AS finish_reason, bool_or(done) AS done
+  coalesce(arg_max(finish_reason, seq) FILTER (WHERE finish_reason <> ''), 'stop') AS finish_reason, bool_or(done) AS done
 FROM kept GROUP BY request_id"""
 
 
@@ -1052,7 +1060,7 @@ def q_n10(spark, sf_dir):
 @register(
     "p1_latest_pair",
     with_ctes(*REQ_CTES) + f"""SELECT request_id,
-  {S.n2_sql("list_filter(messages, lambda m: m.role = 'user')[-1].content")} AS user_message,
+  {S.n1_sql("list_filter(messages, lambda m: m.role = 'user')[-1].content")} AS user_message,
   {S.n2_sql("list_filter(messages, lambda m: m.role = 'assistant')[-1].content")} AS previous_assistant
 FROM fx_requests""",
 )
@@ -1175,7 +1183,7 @@ def q_t6(spark, sf_dir):
 
 def _t1_sql() -> str:
     src = f"""(SELECT conversation_id, "timestamp",
-        {S.n2_sql("list_filter(messages, lambda m: m.role = 'user')[-1].content")} AS user_message,
+        {S.n1_sql("list_filter(messages, lambda m: m.role = 'user')[-1].content")} AS user_message,
         {S.n2_sql("list_filter(messages, lambda m: m.role = 'assistant')[-1].content")} AS previous_assistant
       FROM fx_requests)"""
     gated = f"(SELECT * FROM {src} WHERE user_message IS NOT NULL AND length(coalesce(previous_assistant, '')) > 0)"

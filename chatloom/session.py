@@ -2,8 +2,8 @@
 
 Library code never builds its own session; callers (tests, bench, jobs) use
 ``get_session`` for local runs. ``checkpoint_dir`` reads the cluster's shared
-``spark.checkpoint.dir`` and only falls back to a scratch folder when the
-session has none (local tests).
+``spark.checkpoint.dir``; a session in one process (``local[n]``: tests, bench)
+may do without and gets a scratch folder, a cluster may not.
 """
 
 from __future__ import annotations
@@ -38,13 +38,18 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "chat
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set a scratch one only when unset (tests)."""
+    """The shared checkpoint folder; a scratch one only where it is unset in a one-process session (tests).
+
+    On a cluster a machine-local folder would lose files with their machine, so an unset folder is an error.
+    """
     conf = spark.sparkContext.getConf()
     current = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="chatloom-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local

@@ -68,7 +68,7 @@ def fx_runs_cte() -> str:
          CASE WHEN o_orderpriority = '5-LOW' THEN 'dpo' ELSE 'sft' END AS mode,
          {ev} * {d(0.9)} AS train_loss, {ev} AS eval_loss,
          o_orderkey % 7 <> 0 AS has_adapter
-  FROM orders WHERE o_orderkey % 20 = 0
+  FROM orders
 )"""
 
 
@@ -131,7 +131,7 @@ def score_sql(src: str, text_col: str = "user_message", continuing: str = "true"
 
 def fx_replies_cte() -> str:
     return """fx_replies AS (
-  SELECT event_type || ' ' || props AS prompt, event_id AS seq, 200 AS status,
+  SELECT event_type || ' ' || props AS prompt, event_id AS seq, CASE WHEN event_id % 8 = 6 THEN 500 ELSE 200 END AS status,
          CASE event_id % 8
            WHEN 0 THEN '"Rejected answer for ' || replace(props, '"', '\\"') || '"'
            WHEN 1 THEN '"0123456789"'
@@ -141,7 +141,7 @@ def fx_replies_cte() -> str:
            WHEN 5 THEN '"   "' END AS content,
          CASE WHEN event_id % 8 = 3 THEN 'thinking about ' || event_type END AS thinking,
          TIMESTAMP '2024-02-01 00:00:00' - to_minutes(CAST(event_id % 720 AS BIGINT)) AS cached_at
-  FROM events WHERE event_id % 8 < 6
+  FROM events
 )"""
 
 

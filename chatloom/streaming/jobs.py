@@ -13,7 +13,7 @@ import datetime as dt
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -157,14 +157,15 @@ def parsed_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def reassemble_reply(chunks: DataFrame) -> DataFrame:
-    """N7 (batch): per request, non-empty deltas in seq order, last non-null finish_reason,
-    done = any done line.  Lines after an SSE ``[DONE]`` are ignored."""
-    p = parsed_chunks(chunks)
-    ended = p.where("end").groupBy("request_id").agg(F.min("seq").alias("_end"))
-    kept = p.join(ended, "request_id", "left").where(F.col("keep") & (F.col("_end").isNull() | (F.col("seq") < F.col("_end"))))
+    """N7 (batch): per request, non-empty deltas in seq order, the last non-empty finish_reason
+    (``stop`` if there is none), done = any done line.  Lines after an SSE ``[DONE]`` are ignored.
+    Every line is parsed once; window and aggregate share one shuffle by request."""
+    ended = F.min(F.when(F.col("end"), F.col("seq"))).over(Window.partitionBy("request_id"))
+    p = parsed_chunks(chunks).withColumn("_end", ended)
+    kept = p.where(F.col("keep") & (F.col("_end").isNull() | (F.col("seq") < F.col("_end"))))
     return kept.groupBy("request_id").agg(
         F.coalesce(F.expr("listagg(delta, '') WITHIN GROUP (ORDER BY seq)"), F.lit("")).alias("content"),
-        F.max_by("finish_reason", F.when(F.col("finish_reason").isNotNull(), F.col("seq"))).alias("finish_reason"),
+        F.coalesce(F.max_by("finish_reason", F.when(F.col("finish_reason") != "", F.col("seq"))), F.lit("stop")).alias("finish_reason"),
         F.bool_or("done").alias("done"),
     )
 
@@ -181,11 +182,16 @@ class ReassembleProcessor(StatefulProcessor):
         self.buf = handle.getListState(
             "chunks", "seq bigint, delta string, finish_reason string, done boolean, end boolean", self.ttl_ms
         )
+        self.sent = handle.getValueState("sent", "sent boolean", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True)
-        for r in pdf.itertuples(index=False):
-            self.buf.appendValue((int(r.seq), r.delta, r.finish_reason, bool(r.done), bool(r.end)))
+        sent = self.sent.exists()
+        for pdf in rows:  # batch by batch; lines after the reply was emitted (such as a late [DONE]) are ignored
+            if not sent:
+                for r in pdf.itertuples(index=False):
+                    self.buf.appendValue((int(r.seq), r.delta, r.finish_reason, bool(r.done), bool(r.end)))
+        if sent:
+            return
         allrows = pd.DataFrame(list(self.buf.get()), columns=["seq", "delta", "finish_reason", "done", "end"]).sort_values("seq")
         finished = allrows["done"].any() or allrows["finish_reason"].notna().any() or allrows["end"].any()
         if not finished:
@@ -193,12 +199,14 @@ class ReassembleProcessor(StatefulProcessor):
         if allrows["end"].any():
             allrows = allrows[allrows["seq"] < allrows.loc[allrows["end"], "seq"].min()]
         fin = allrows["finish_reason"].dropna()
+        fin = fin[fin != ""]
         self.buf.clear()
+        self.sent.update((True,))
         yield pd.DataFrame(
             {
                 "request_id": [int(key[0])],
                 "content": ["".join(d for d in allrows["delta"] if isinstance(d, str) and d)],
-                "finish_reason": [fin.iloc[-1] if len(fin) else None],
+                "finish_reason": [fin.iloc[-1] if len(fin) else "stop"],
                 "done": [bool(allrows["done"].any())],
             }
         )

@@ -24,9 +24,9 @@ def test_latest_pair_request_form(spark):
         (3, [_m("user", {"content": "only content"})]),
     ])
     got = {r.request_id: (r.user_message, r.previous_assistant) for r in P.latest_pair(df).collect()}
-    assert got[1] == ("second x", "answer one")
+    assert got[1] == ("second\nx", "answer one")  # normalised content joins parts by a line break
     assert got[2] == ("### system-like prompt", "hello")
-    assert got[3] == ("only content", None)
+    assert got[3] == ("", None)  # an object without type "text" normalises to the empty text
     skipped = {r.request_id: r.user_message for r in P.latest_pair(df, skip_prompt_like=True).collect()}
     assert skipped[2] == "hi there"  # walks back over '###' prompts and strips
 

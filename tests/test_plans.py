@@ -83,3 +83,36 @@ def test_fsm_scan_equals_sequential_fold(spark):
             want.append((out["conv_id"], out["turn"]))
     assert got == sorted(want)
     assert len(want) > 100
+
+
+def test_fsm_scan_over_segments_null_keys_and_moved_partitions(spark):
+    # one key spans several segments, and half of the keys are null
+    rows = [(None if i % 2 else 7, i) for i in range(400)]
+    df = spark.createDataFrame([(k, t, "user") for k, t in rows], "conv_id long, turn long, role string").repartition(3)
+    out = scan(df, "conv_id", ["turn"], Counter(), "conv_id long, turn long")
+    want = []
+    for key in (7, None):
+        state = 0
+        for k, t in rows:
+            if k == key:
+                state, emitted = Counter().step(state, type("R", (), {"conv_id": k, "turn": t, "role": "user"})())
+                want += [(k, t)] if emitted is not None else []
+    order = lambda rs: sorted(rs, key=str)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    plain = [tuple(r) for r in out.collect()]
+    assert order(plain) == order(want) and {k for k, _ in plain} == {7, None}
+    assert order(tuple(r) for r in out.coalesce(1).collect()) == order(want)
+    shifted = spark.createDataFrame([(0, 0)] * 5, "conv_id long, turn long").repartition(5).unionByName(out)
+    assert order(tuple(r) for r in shifted.where("conv_id is null or conv_id <> 0").collect()) == order(want)
+
+
+def test_cluster_without_a_shared_folder_is_an_error():
+    import types
+
+    import pytest
+
+    from chatloom.session import checkpoint_dir
+
+    context = types.SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(types.SimpleNamespace(sparkContext=context))
