@@ -48,7 +48,7 @@ def benchmark_windows(benchmark: DataFrame, id_column: str = "item_id", text_col
     return items.select("item_id", F.explode(found).alias("x")).select("item_id", "x.length", "x.window").distinct()
 
 
-def _hits_in_row(docs: DataFrame, windows: list, text: Column) -> Column:
+def _hits_in_row(windows: list, text: Column) -> Column:
     """(n_words, hits) of one text against a bounded set of windows; a hit is (start, length, window)."""
     by_length: dict[int, list[str]] = {}
     for row in windows:
@@ -70,17 +70,18 @@ def _hits_in_row(docs: DataFrame, windows: list, text: Column) -> Column:
 
 
 def _hits_by_join(docs: DataFrame, distinct: DataFrame, lengths: list[int], id_column: str, text_column: str) -> DataFrame:
-    """``(k1, k2, n_words, hits)``: document grams meet the windows in a shuffled join."""
+    """``(k1, k2, hits)``: document grams meet the windows in a shuffled join."""
     base = packed(docs, id_column, text_column).select("k1", "k2", words_of(text_of(f"row.{text_column}")).alias("w")).dropDuplicates(["k1", "k2"])
-    grams = F.concat(*[
-        F.transform(_starts(F.size("w"), n), lambda i, n=n: F.struct(i.alias("start"), F.lit(n).alias("length"), _gram(F.col("w"), i, n).alias("window")))
-        for n in lengths])
-    hits = (
+
+    def grams_of(n: int) -> Column:
+        return F.transform(_starts(F.size("w"), n), lambda i: F.struct(i.alias("start"), F.lit(n).alias("length"), _gram(F.col("w"), i, n).alias("window")))
+
+    grams = F.concat(*[grams_of(n) for n in lengths])
+    return (
         base.select("k1", "k2", F.explode(grams).alias("g")).select("k1", "k2", "g.*")
         .join(distinct.hint("merge"), ["length", "window"])
         .groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "length", "window"))).alias("hits"))
     )
-    return hits
 
 
 def with_hits(docs: DataFrame, windows: DataFrame, id_column: str = "doc_id", text_column: str = "text", set_limit: int = 50_000) -> DataFrame:
@@ -90,7 +91,7 @@ def with_hits(docs: DataFrame, windows: DataFrame, id_column: str = "doc_id", te
     rows = packed(docs, id_column, text_column)
     text = F.coalesce(F.col("row").getField(text_column).cast("string"), F.lit(""))
     if len(held) <= set_limit:
-        return rows.withColumn("s", _hits_in_row(docs, held, text)).select("k1", "k2", "row", "s.n_words", "s.hits")
+        return rows.withColumn("s", _hits_in_row(held, text)).select("k1", "k2", "row", "s.n_words", "s.hits")
     lengths = sorted(r.length for r in distinct.select("length").distinct().collect())  # at most the window size
     hits = _hits_by_join(docs, distinct, lengths, id_column, text_column)
     none = F.array().cast("array<struct<start:int,length:int,window:string>>")
