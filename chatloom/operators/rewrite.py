@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,8 @@ class CompiledRule:
     pattern: str  # JVM regex syntax
     replacement: str  # JVM replacement syntax ($n, \$ for a literal dollar)
     roles: tuple[str, ...]
-    tokens: tuple  # (("lit", text) | ("grp", n|name), ...) for other back ends
+    tokens: tuple  # (("lit", text) | ("grp", n), ...) for other back ends
+    source: str = ""  # the pattern as the rule states it
 
 
 _GROUP = re.compile(r"\\g<([^>]*)>|\\([0-9]{1,2})|\\(.)|([^\\]+)", re.S)
@@ -49,11 +52,15 @@ def _template_tokens(rep: str) -> tuple:
 
 def to_jvm_replacement(tokens) -> str:
     parts = []
+    after_group = False
     for kind, v in tokens:
         if kind == "grp":
-            parts.append(f"${v}" if isinstance(v, int) else "${" + v + "}")
+            parts.append(f"${v}")
         else:
-            parts.append(v.replace("\\", "\\\\").replace("$", "\\$"))
+            text = v.replace("\\", "\\\\").replace("$", "\\$")
+            # a digit after a group reference would be read as part of its number
+            parts.append("\\" + text if after_group and text[:1].isdigit() else text)
+        after_group = kind == "grp"
     return "".join(parts)
 
 
@@ -64,36 +71,55 @@ def to_re2_replacement(tokens) -> str:
     return "".join(parts)
 
 
-def _jvm_pattern(p: str) -> str:
-    return p.replace("(?P<", "(?<")
+#: An escape, a character class, a named group or a reference to one.
+_SYNTAX = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?P<(\w+)>|\(\?P=(\w+)\)", re.S)
 
 
-def _valid_on_jvm(spark: SparkSession | None, pattern: str) -> bool:
-    try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    if spark is None:
-        return True
+def _jvm_pattern(p: str, names: dict[str, int]) -> str:
+    """A Python pattern in JVM syntax, with the Unicode classes that Python has by default."""
+    def translate(m: re.Match) -> str:
+        found, name, back = m.group(0), m.group(1), m.group(2)
+        if name:  # names on the JVM have no underscore
+            return f"(?<g{names[name]}>"
+        if back:
+            return f"\\k<g{names[back]}>"
+        if found == "\\Z":
+            return "\\z"
+        if found[0] != "[":
+            return found
+        negated = found[1] == "^"
+        body = found[2 if negated else 1:-1]
+        body = re.sub(r"\\.|\[|&&|^\]", lambda c: c.group(0) if c.group(0)[0] == "\\" else "".join("\\" + x for x in c.group(0)), body, flags=re.S)
+        return "[" + "^" * negated + body + "]"
+
+    return "(?U)" + _SYNTAX.sub(translate, p)
+
+
+def _check_on_jvm(spark: SparkSession, rule_id: str, pattern: str) -> None:
     try:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-        return True
-    except Exception:  # noqa: BLE001 - any JVM PatternSyntaxException
-        return False
+    except (Py4JJavaError, IllegalArgumentException) as e:
+        raise ValueError(f"rule {rule_id}: the JVM has no equivalent of its pattern ({pattern})") from e
 
 
 def compile_rules(rules: list[dict], spark: SparkSession | None = None) -> list[CompiledRule]:
     """Stable sort by priority (missing = 100), drop disabled (missing = enabled)
-    and invalid patterns, translate the replacement syntax."""
+    and invalid patterns, translate pattern and replacement to the JVM's syntax.
+
+    A valid pattern that cannot be carried over is an error, never dropped."""
     ordered = sorted(rules, key=lambda r: r.get("priority", DEFAULT_PRIORITY))
     out = []
     for r in ordered:
         if not r.get("enabled", True):
             continue
-        pat = _jvm_pattern(r["pattern"])
-        if not _valid_on_jvm(spark, pat):
+        try:
+            names = dict(re.compile(r["pattern"]).groupindex)
+        except re.error:
             continue
-        toks = _template_tokens(r.get("replacement", ""))
+        pat = _jvm_pattern(r["pattern"], names)
+        if spark is not None:
+            _check_on_jvm(spark, str(r["id"]), pat)
+        toks = tuple((kind, names.get(v, v) if kind == "grp" else v) for kind, v in _template_tokens(r.get("replacement", "")))
         out.append(
             CompiledRule(
                 id=str(r["id"]),
@@ -101,6 +127,7 @@ def compile_rules(rules: list[dict], spark: SparkSession | None = None) -> list[
                 replacement=to_jvm_replacement(toks),
                 roles=tuple(r.get("target_roles", DEFAULT_ROLES)),
                 tokens=toks,
+                source=r["pattern"],
             )
         )
     return out

@@ -371,7 +371,7 @@ def _rules_sql(src: str, ignore_roles: bool = False) -> tuple[str, list]:
     compiled = R.compile_rules(DEMO_RULES)
     cur = src
     for r in compiled:
-        pat = S.q(r.pattern)
+        pat = S.q(r.source)
         rep = S.q(R.to_re2_replacement(r.tokens))
         if ignore_roles or "all" in r.roles:
             cond = "text IS NOT NULL"
@@ -396,7 +396,7 @@ def _r3_sql() -> str:
     compiled = R.compile_rules(DEMO_RULES)
     cur = "(SELECT text AS _out FROM fx_turns)"
     for i, r in enumerate(compiled):
-        pat = S.q(r.pattern)
+        pat = S.q(r.source)
         rep = S.q(R.to_re2_replacement(r.tokens))
         cur = (f"(SELECT * REPLACE (regexp_replace(_out, {pat}, {rep}, 'g') AS _out), "
                f"coalesce(regexp_replace(_out, {pat}, {rep}, 'g') <> _out, false) AS _m{i} FROM {cur})")

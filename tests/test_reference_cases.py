@@ -1,9 +1,13 @@
 """Cases in which the reference's rules are easily missed."""
 
 import datetime as dt
+import re
+
+import pytest
 
 from chatloom.operators.interactions import prune_by_age
 from chatloom.operators.requests import flag_invalid_requests
+from chatloom.operators.rewrite import apply_rules, compile_rules
 from chatloom.operators.similarity import similar_topk
 from chatloom.streaming.jobs import ReassembleProcessor, reassemble_reply
 
@@ -65,3 +69,22 @@ def test_equal_vectors_rank_by_id(spark):
     corpus = spark.createDataFrame([(f"{i:05d}", [1.0, 0.0]) for i in range(3000)], "id string, embedding array<double>")
     out = similar_topk(spark.createDataFrame([("q", [1.0, 0.0])], "id string, embedding array<double>"), corpus, k=3)
     assert [r.cid for r in out.orderBy("rank").collect()] == ["00000", "00001", "00002"]
+
+
+def test_rules_read_as_python_patterns(spark):
+    rules = [
+        {"id": "names", "pattern": r"(?P<first_word>\w+) café", "replacement": r"<\g<first_word>> X", "target_roles": ["all"]},
+        {"id": "back", "pattern": r"\b(?P<a_b>\w)(?P=a_b)\b", "replacement": r"\g<a_b>0", "target_roles": ["all"]},
+        {"id": "class", "pattern": r"[[&&]+\Z", "replacement": "!", "target_roles": ["all"]},
+        {"id": "space", "pattern": r"\d\s\d", "replacement": "D", "target_roles": ["all"]},
+    ]
+    texts = ["Bob café zz", "éé Élan café", "a [&", "٣\u00a0٤ 12", "tail[&\n"]
+    want = []
+    for t in texts:
+        for r in rules:
+            t = re.sub(r["pattern"], r["replacement"], t)
+        want.append(t)
+    df = spark.createDataFrame([("user", t) for t in texts], "role string, text string")
+    assert [r.text for r in apply_rules(df, rules).collect()] == want
+    with pytest.raises(ValueError):
+        compile_rules([{"id": "x", "pattern": r"(a)?(?(1)b|c)", "replacement": ""}], spark)
