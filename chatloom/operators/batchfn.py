@@ -38,9 +38,23 @@ def stand_in_scorer() -> Scorer:
     return score
 
 
+def _each(call: Callable, items: list, failed: tuple) -> list:
+    """``call`` on a batch; if that fails, on every item alone, so one bad item costs only itself."""
+    try:
+        return call(items)
+    except Exception:  # noqa: BLE001 - a failing model is part of its contract
+        out = []
+        for x in items:
+            try:
+                out += call([x])
+            except Exception:  # noqa: BLE001
+                out.append(failed)
+        return out
+
+
 def model_sentiment(df: DataFrame, scorer_factory: Callable[[], Scorer] = stand_in_scorer,
-                    text_col: str = "user_message", out: str = "model_sentiment") -> DataFrame:
-    """E5: score the first 500 characters of each text with a pluggable scorer.
+                    text_col: str = "user_message", out: str = "model_sentiment", max_chars: int = 500) -> DataFrame:
+    """E5: score the first ``max_chars`` characters of each text (the scorer's prompt limit) with a pluggable scorer.
 
     The reply is parsed natively (E4): first number, clamped to [-1, 1]; a
     non-200 status, an unparsable reply or a scorer failure gives 0.0.
@@ -50,11 +64,8 @@ def model_sentiment(df: DataFrame, scorer_factory: Callable[[], Scorer] = stand_
     def run(batches: Iterable[pd.DataFrame]):
         scorer = scorer_factory()
         for pdf in batches:
-            texts = pdf[text_col].fillna("").str.slice(0, 500).tolist()
-            try:
-                replies = scorer(texts)
-            except Exception:  # noqa: BLE001 - a failing scorer scores 0.0
-                replies = [(500, "")] * len(texts)
+            texts = pdf[text_col].fillna("").str.slice(0, max_chars).tolist()
+            replies = _each(scorer, texts, (500, ""))  # a failing scorer scores 0.0
             pdf["_status"] = [int(s) for s, _ in replies]
             pdf["_reply"] = [r for _, r in replies]
             yield pdf
@@ -69,7 +80,7 @@ def stand_in_generator() -> Generator:
     def gen(prompts: list[str]) -> list[tuple[int, str | None, str | None]]:
         import json
 
-        return [(200, json.dumps(f"I would rather not go into that: {p[:60]}"), None) for p in prompts]
+        return [(200, json.dumps(f"I would rather not go into that: {p}"), None) for p in prompts]
 
     return gen
 
@@ -88,10 +99,7 @@ def generate_rejections(prompts: DataFrame, generator_factory: Callable[[], Gene
     def run(batches: Iterable[pd.DataFrame]):
         gen = generator_factory()
         for pdf in batches:
-            try:
-                replies = gen(pdf["prompt"].tolist())
-            except Exception:  # noqa: BLE001 - failed generations are dropped
-                replies = [(500, None, None)] * len(pdf)
+            replies = _each(gen, pdf["prompt"].tolist(), (500, None, None))  # failed generations are dropped
             pdf = pdf.assign(status=[r[0] for r in replies], content=[r[1] for r in replies], thinking=[r[2] for r in replies])
             yield pdf
 

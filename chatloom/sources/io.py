@@ -218,13 +218,21 @@ def write_interactions(df: DataFrame, path: str, mode: str = "append") -> None:
     df.withColumn("date", F.to_date("timestamp")).write.mode(mode).partitionBy("date").parquet(path)
 
 
-def write_interactions_stream(stream: DataFrame, path: str, checkpoint: str):
-    """S6 (streaming): each micro-batch appended with ``foreachBatch``; exactly-once by batch id."""
+def batch_sink(path: str):
+    """Writes a micro-batch to a partition ``batch=<id>`` of its own, so a replayed batch replaces itself."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        write_interactions(batch, path)
+        write_interactions(batch, f"{path.rstrip('/')}/batch={batch_id}", mode="overwrite")
+
+    return sink
+
 
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
+def write_interactions_stream(stream: DataFrame, path: str, checkpoint: str):
+    """S6 (streaming): each micro-batch through ``batch_sink``; exactly-once by batch id.
+
+    The table is partitioned by ``batch`` and ``date``.
+    """
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch_sink(path))
 
 
 def export_training_set(ds: DataFrame, path: str) -> None:

@@ -15,6 +15,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from chatloom.config import DEFAULT, Thresholds
@@ -40,21 +41,20 @@ def run_available_now(stream: DataFrame, name: str, mode: str = "append", keys:
     spark = stream.sparkSession
     base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
     out, ck = f"{base}/data", f"{base}/checkpoint"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)  # there even if nothing is emitted
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
     writer = stream.writeStream.option("checkpointLocation", ck).trigger(availableNow=True)
     if mode == "append":
         q = writer.format("parquet").option("path", out).outputMode("append").start()
     else:
         def sink(batch: DataFrame, batch_id: int) -> None:
-            batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+            batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")  # a replayed batch replaces itself
 
         q = writer.outputMode("update").foreachBatch(sink).start()
     q.awaitTermination()
-    try:
-        result = spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - nothing was emitted
-        return spark.createDataFrame([], stream.schema)
     if mode == "append":
-        return result
+        return spark.read.schema(stream.schema).parquet(out)
+    result = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", LongType())])).parquet(out)
     latest = result.groupBy(*keys).agg(F.max("_batch").alias("_batch"))
     return result.join(latest, [*keys, "_batch"]).drop("_batch")
 

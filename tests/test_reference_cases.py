@@ -88,3 +88,39 @@ def test_rules_read_as_python_patterns(spark):
     assert [r.text for r in apply_rules(df, rules).collect()] == want
     with pytest.raises(ValueError):
         compile_rules([{"id": "x", "pattern": r"(a)?(?(1)b|c)", "replacement": ""}], spark)
+
+
+def test_one_failing_prompt_costs_only_itself(spark):
+    from chatloom.operators.batchfn import generate_rejections, model_sentiment
+
+    def factory():
+        def gen(prompts):
+            if "bad" in prompts:
+                raise ValueError("refused")
+            return [(200, f'"a long enough reply to {p}"', None) for p in prompts]
+
+        return gen
+
+    out, report = generate_rejections(spark.createDataFrame([("good",), ("bad",), ("fine",)], "prompt string").coalesce(1), factory)
+    assert {r.prompt for r in out.collect()} == {"good", "fine"} and report.first().succeeded == 2
+
+    def scorer_factory():
+        def score(texts):
+            if any("x" in t for t in texts):
+                raise ValueError
+            return [(200, "0.5")] * len(texts)
+
+        return score
+
+    scored = model_sentiment(spark.createDataFrame([("ok",), ("x",)], "user_message string").coalesce(1), scorer_factory)
+    assert {r.user_message: r.model_sentiment for r in scored.collect()} == {"ok": 0.5, "x": 0.0}
+
+
+def test_a_replayed_stream_batch_is_written_once(spark, tmp_path):
+    from chatloom.sources.io import batch_sink
+
+    df = spark.createDataFrame([("a", dt.datetime(2024, 1, 1)), ("b", dt.datetime(2024, 1, 2))], "id string, timestamp timestamp_ntz")
+    sink = batch_sink(str(tmp_path / "t"))
+    for batch_id in (0, 1, 1):
+        sink(df, batch_id)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4

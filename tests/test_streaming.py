@@ -95,5 +95,5 @@ def test_interaction_sink_stream(spark, sf_small, tmp_path, state_store):
     q = IO.write_interactions_stream(_stream(spark, src, inter.schema), out, str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     back = spark.read.parquet(out)
-    assert back.drop("date").exceptAll(inter).count() == 0 and back.count() == inter.count()
-    assert "date" in back.columns
+    assert back.drop("date", "batch").exceptAll(inter).count() == 0 and back.count() == inter.count()
+    assert {"date", "batch"} <= set(back.columns)
