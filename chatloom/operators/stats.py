@@ -157,6 +157,7 @@ def status_report(stats: DataFrame, cfg: Thresholds = DEFAULT) -> DataFrame:
     pos_total = F.col("new_positive") + F.col("new_golden")
     ih = cfg.inactivity_hours
     ih_txt = str(int(ih)) if float(ih).is_integer() else str(ih)
+    # fixed values: the texts of the report
     lines = [
         F.format_string("Total interactions: %d", F.col("total")),
         F.format_string("New interactions since last training: %d", F.col("new")),

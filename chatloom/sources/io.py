@@ -177,6 +177,7 @@ def scan_training_logs(lines: DataFrame, tail: int = 50, keep: int = 10) -> Data
     First matches are ``min_by`` aggregates; the tail uses rank filters that Spark
     turns into a partial per-partition limit before the shuffle.
     """
+    # fixed values: the trainer's log formats
     pass_rx = r"PASS (\d+)/(\d+): Training layers (\d+)-(\d+)"
     epoch_rx = r"Epoch (\d+)/(\d+)"
     ts_rx = r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})"
