@@ -137,54 +137,87 @@ MSG_TYPE = "array<struct<role:string,content:string,name:string,tool_calls:strin
 
 
 def fx_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One chat request per paired user turn (previous assistant turn + the user turn).
+    """One chat request per user turn, holding the whole conversation up to that turn.
 
-    Content is carried as JSON text; the representation varies by request_id % 8:
-    string, text blocks, image + text blocks, bare string in a list, object with only
-    ``content``, tool-call exchange, invalid sampling values, model with a ``:tag``.
+    Content is carried as JSON text.  The newest message's form varies by ``h`` =
+    (5 conv_id + turn) mod 16, ``h`` mod 8 being 1 text blocks, 2 image + text blocks, 3 a bare
+    string in a list, 4 an object with only ``content``, 5 a tool exchange after it, 6 invalid
+    sampling values, 7 a ``:tag`` on the model, else a string.  Also: 9 no model given, 11 no user
+    message at all, 12 another model, 14 penalties and top_logprobs out of range.
     """
-    from chatloom.operators.pairing import pair_turns
-
-    pairs = pair_turns(fx_turns(spark, sf_dir)).select(
-        "conv_id", "turn", "ts", F.col("user_message").alias("u"), F.col("assistant_response").alias("a")
-    )
-    rid = F.col("conv_id") * 1000 + F.col("turn")
-    v = rid % 8
-    u = _json_str(F.col("u"))
-    user_content = (
+    t = fx_turns(spark, sf_dir).select("conv_id", "turn", "role", "text", "ts")
+    asked = t.where(F.col("role") == "user").select("conv_id", F.col("turn").alias("upto"), F.col("ts").alias("asked_at"))
+    h = (F.col("conv_id") * 5 + F.col("upto")) % 16
+    v = h % 8
+    u = _json_str(F.col("text"))
+    shaped = (
         F.when(v == 1, F.concat(F.lit('[{"type":"text","text":'), u, F.lit("}]")))
         .when(v == 2, F.concat(F.lit('[{"type":"image_url","image_url":{"url":"data:image/png;base64,QUJD"}},{"type":"text","text":'), u, F.lit("}]")))
         .when(v == 3, F.concat(F.lit("["), u, F.lit(',{"type":"text","text":"extra"}]')))
         .when(v == 4, F.concat(F.lit('{"content":'), u, F.lit("}")))
         .otherwise(u)
     )
+    content = F.when(F.col("turn") == F.col("upto"), shaped).otherwise(u)
+    # One group per request: a long conversation's requests are spread over tasks by request.
+    hist = asked.join(t, "conv_id").where(F.col("turn") <= F.col("upto")).groupBy("conv_id", "upto", "asked_at").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", content.alias("content")))).alias("_hist"))
 
     def msg(role, content, tool_calls=None, tool_call_id=None):
         return F.struct(
-            F.lit(role).alias("role"), content.alias("content"), F.lit(None).cast("string").alias("name"),
-            (tool_calls if tool_calls is not None else F.lit(None).cast("string")).alias("tool_calls"),
-            (F.lit(tool_call_id) if tool_call_id else F.lit(None).cast("string")).alias("tool_call_id"),
+            role.alias("role"), content.alias("content"), F.lit(None).cast("string").alias("name"),
+            F.lit(tool_calls).cast("string").alias("tool_calls"), F.lit(tool_call_id).cast("string").alias("tool_call_id"),
         )
 
-    base = F.array(msg("assistant", _json_str(F.col("a"))), msg("user", user_content))
+    base = F.transform("_hist", lambda m: msg(m["role"], m["content"]))
     tool = F.array(
-        msg("assistant", F.lit("null"), F.lit('[{"id":"call_1","type":"function","function":{"name":"lookup","arguments":"{}"}}]')),
-        msg("tool", F.lit('"42"'), None, "call_1"),
+        msg(F.lit("assistant"), F.lit("null"), '[{"id":"call_1","type":"function","function":{"name":"lookup","arguments":"{}"}}]'),
+        msg(F.lit("tool"), F.lit('"42"'), None, "call_1"),
     )
-    messages = F.when(v == 5, F.concat(base, tool)).otherwise(base)
-    return pairs.select(
-        rid.alias("request_id"),
+    messages = F.when(v == 5, F.concat(base, tool)).when(h == 11, F.filter(base, lambda m: m["role"] != "user")).otherwise(base)
+    odd = h == 14
+    return hist.select(
+        (F.col("conv_id") * 1000 + F.col("upto")).alias("request_id"),
         F.col("conv_id").cast("string").alias("conversation_id"),
-        F.col("ts").alias("timestamp"),
-        F.when(v == 7, F.lit("chatloom-model:latest")).otherwise(F.lit("chatloom-model")).alias("model"),
+        F.col("asked_at").alias("timestamp"),
+        F.when(h == 9, F.lit(None)).when(h == 12, F.lit("other-model")).when(v == 7, F.lit("chatloom-model:latest"))
+        .otherwise(F.lit("chatloom-model")).alias("model"),
         F.when(v == 6, F.lit(2)).otherwise(F.lit(1)).alias("n"),
         F.when(v == 6, F.lit(3.0)).otherwise(F.lit(0.7)).alias("temperature"),
         F.when(v == 6, F.lit(1.5)).otherwise(F.lit(0.9)).alias("top_p"),
         F.when(v == 6, F.lit(0)).otherwise(F.lit(256)).alias("max_tokens"),
+        F.when(odd, F.lit(3.0)).alias("presence_penalty"),
+        F.when(odd, F.lit(-2.5)).alias("frequency_penalty"),
+        F.when(odd, F.lit(21)).alias("top_logprobs"),
         messages.cast(MSG_TYPE).alias("messages"),
     )
 
 
+def fx_request_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The provider's reply body to every request of ``fx_requests``: (request_id, provider, body).
+
+    The text is the conversation's next turn where that is an assistant turn, else empty.  By
+    (3 conv_id + turn) mod 6: 0 a finished ollama reply, 1 finished openai, 2 a tool call, 3 cut
+    at the length limit, 4 ollama without an end mark, 5 an error body.
+    """
+    t = fx_turns(spark, sf_dir).select("conv_id", "turn", "role", "text")
+    nxt = t.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    r = t.where(F.col("role") == "user").select("conv_id", "turn").join(nxt, ["conv_id", "turn"], "left")
+    g = (F.col("conv_id") * 3 + F.col("turn")) % 6
+    j = _json_str(F.coalesce("reply", F.lit("")))
+    body = (
+        F.when(g == 0, F.concat(F.lit('{"message":{"content":'), j, F.lit('},"done":true,"done_reason":"stop"}')))
+        .when(g == 1, F.concat(F.lit('{"choices":[{"message":{"content":'), j, F.lit('},"finish_reason":"stop"}]}')))
+        .when(g == 2, F.lit('{"choices":[{"message":{"content":null,"tool_calls":[{"function":{"arguments":"{}","name":"lookup"},"id":"c1","type":"function"}]},"finish_reason":"tool_calls"}]}'))
+        .when(g == 3, F.concat(F.lit('{"choices":[{"message":{"content":'), j, F.lit('},"finish_reason":"length"}]}')))
+        .when(g == 4, F.concat(F.lit('{"message":{"content":'), j, F.lit('},"done":false}')))
+        .otherwise(F.lit('{"error":"overloaded"}'))
+    )
+    return r.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
+        F.when(g.isin(1, 2, 3), F.lit("openai")).otherwise(F.lit("ollama")).alias("provider"), body.alias("body"),
+    )
+
+
 CHUNK = 16
 
 

@@ -54,6 +54,75 @@ def latest_pair(requests: DataFrame, messages: str = "messages", skip_prompt_lik
     return requests.withColumn("user_message", last_user).withColumn("previous_assistant", last_asst)
 
 
+def parsed_replies(replies: DataFrame, body: str = "body", provider: str = "provider") -> DataFrame:
+    """Reply facts the request gate reads, from whole reply bodies (N5): content, finish_reason and
+    ``done`` (the provider's end mark).  Streamed replies have them from ``reassemble_reply`` (N7)."""
+    p = C.parse_reply(F.col(body), F.col(provider))
+    done = F.coalesce(F.try_variant_get(F.try_parse_json(F.col(body)), "$.done", "boolean"), F.lit(False))
+    return replies.select("*", p["content"].alias("content"), p["finish_reason"].alias("finish_reason"), done.alias("done"))
+
+
+def gate_requests(pairs: DataFrame, replies: DataFrame, path: str = "api", key: str = "request_id") -> DataFrame:
+    """P4 on paired requests (``latest_pair``) and their reply facts (content, finish_reason, done).
+
+    ``api``: the reply ended with ``stop`` and has text, and the previous assistant text is not
+    empty.  ``proxy``: the reply is done, and both sides of the pair are not empty.  A request is
+    kept once however many of its replies pass; requests without a reply are dropped.
+    """
+    def filled(c: str) -> Column:
+        return F.coalesce(F.length(c), F.lit(0)) > 0
+
+    if path == "api":
+        final, whole = (F.col("finish_reason") == "stop") & filled("content"), filled("previous_assistant")
+    elif path == "proxy":
+        final, whole = F.col("done"), filled("user_message") & filled("previous_assistant")
+    else:
+        raise ValueError(f"path {path!r} is neither 'api' nor 'proxy'")
+    # Texts of replies stay out of the shuffle: only the ids of final ones are joined.
+    return pairs.where(whole).join(replies.where(final).select(key), key, "left_semi")
+
+
+def capture_requests(
+    requests: DataFrame,
+    replies: DataFrame,
+    path: str = "api",
+    rules=None,
+    configured_model: str | None = None,
+    models: Sequence[str] = (),
+    cfg: Thresholds = DEFAULT,
+) -> DataFrame:
+    """P6 on a request log and its reply facts: validate, pair, rewrite, gate, score, record.
+
+    ``api``: with ``configured_model``, requests that N10 rejects are not stored; the user text is
+    normalised and rewritten by the rules before scoring, the assistant text stays as given.
+    ``proxy``: the model whitelist (P5) decides what is stored, prompt-like user messages are
+    skipped (P3), and no rules apply.
+    """
+    from chatloom.operators.interactions import build_interactions
+    from chatloom.operators.requests import flag_invalid_requests
+    from chatloom.operators.rewrite import apply_rules
+
+    if path == "proxy":
+        if rules:
+            raise ValueError("rules apply on the api path only")
+        pairs = latest_pair(whitelist_models(requests, models), skip_prompt_like=True)
+    else:
+        valid = requests
+        if configured_model is not None:
+            valid = flag_invalid_requests(requests, configured_model).where(F.size("reasons") == 0)
+        pairs = latest_pair(valid.where(F.exists("messages", lambda m: m["role"] == "user")))
+        pairs = pairs.withColumn("user_message", F.coalesce("user_message", F.lit("")))
+    pairs = pairs.select("request_id", "conversation_id", "timestamp", "user_message", "previous_assistant")
+    if rules:
+        pairs = apply_rules(pairs.withColumn("_role", F.lit("user")), rules, text="user_message", role="_role").drop("_role")
+    scored = score(gate_requests(pairs, replies, path), "user_message", True, cfg)
+    return build_interactions(
+        scored.select("conversation_id", "timestamp", "user_message", F.col("previous_assistant").alias("assistant_response"),
+                      "sentiment", "weight", "is_golden", F.lit(False).alias("is_refusal")),
+        cfg,
+    )
+
+
 # --- turn form ---------------------------------------------------------------
 
 def drop_prompt_like_users(turns: DataFrame, text: str = "text", role: str = "role") -> DataFrame:

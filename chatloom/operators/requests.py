@@ -22,7 +22,7 @@ def explode_messages(requests: DataFrame, keys: Sequence[str] = ("request_id",))
 def flag_invalid_requests(requests: DataFrame, configured_model: str) -> DataFrame:
     """Boolean reasons a request is rejected, plus their names in order.
 
-    unknown model, n given and not 1, no user message, temperature outside
+    unknown model, n given (0 counts as not given) and not 1, no user message, temperature outside
     [0, 2], top_p outside [0, 1], max_tokens < 1, penalties outside [-2, 2],
     top_logprobs outside [0, 20].  Missing optional fields never flag.
     """
@@ -37,7 +37,7 @@ def flag_invalid_requests(requests: DataFrame, configured_model: str) -> DataFra
 
     flags = {
         "unknown_model": ~F.coalesce(C.normalize_model(F.col("model")).isin(allowed), F.lit(True)),  # none given: the configured one
-        "n_not_1": F.coalesce(opt("n") != 1, F.lit(False)),
+        "n_not_1": F.coalesce((opt("n") != 0) & (opt("n") != 1), F.lit(False)),  # 0 counts as not given
         "no_user_message": ~F.exists("messages", lambda m: m["role"] == "user"),
         "bad_temperature": outside("temperature", 0.0, 2.0),
         "bad_top_p": outside("top_p", 0.0, 1.0),

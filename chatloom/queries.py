@@ -842,7 +842,8 @@ def q_j3(spark, sf_dir):
 from chatloom.functions import content as C  # noqa: E402
 from chatloom.operators import requests as RQ  # noqa: E402
 
-REQ_CTES = [S.fx_turns_cte(), S.fx_pairs_cte(), S.fx_requests_cte()]
+REQ_CTES = [S.fx_turns_cte(), S.fx_requests_cte()]
+MESSAGES_SQL = "(SELECT request_id, generate_subscripts(messages, 1) - 1 AS position, unnest(messages) AS m FROM fx_requests)"
 
 
 def requests_of(spark, sf_dir):
@@ -860,10 +861,11 @@ def q_s2(spark, sf_dir):
 
 @register(
     "n1_normalize_content",
-    with_ctes(*REQ_CTES) + f"SELECT request_id, {S.n1_sql('messages[2].content')} AS text FROM fx_requests",
+    with_ctes(*REQ_CTES) + f"SELECT request_id, position, {S.n1_sql('m.content')} AS text FROM {MESSAGES_SQL}",
 )
 def q_n1(spark, sf_dir):
-    return requests_of(spark, sf_dir).select("request_id", C.normalize_content(F.col("messages")[1]["content"]).alias("text"))
+    r = requests_of(spark, sf_dir).select("request_id", F.posexplode("messages").alias("position", "m"))
+    return r.select("request_id", "position", C.normalize_content(F.col("m.content")).alias("text"))
 
 
 @register(
@@ -877,7 +879,7 @@ def q_n2(spark, sf_dir):
 
 
 def _n3_sql() -> str:
-    c = "messages[2].content"
+    c = "m.content"
     text_item = (f"lambda e: CASE WHEN json_type(e) <> 'OBJECT' THEN {S.astext('e')} "
                  "WHEN json_extract_string(e, '$.type') = 'text' THEN coalesce(json_extract_string(e, '$.text'), '') END")
     url = "coalesce(json_extract_string(e, '$.image_url.url'), '')"
@@ -885,16 +887,17 @@ def _n3_sql() -> str:
                 f"CASE WHEN starts_with({url}, 'data:') AND contains({url}, ';base64,') THEN substring({url}, strpos({url}, ';base64,') + 8) "
                 f"WHEN {url} <> '' THEN {url} END END")
     arr = f"from_json({c}, '[\"JSON\"]')"
-    return with_ctes(*REQ_CTES) + f"""SELECT request_id,
+    return with_ctes(*REQ_CTES) + f"""SELECT request_id, position,
   CASE WHEN json_valid({c}) AND json_type({c}) = 'ARRAY' THEN array_to_string(list_transform({arr}, {text_item}), chr(10)) ELSE {S.n2_sql(c)} END AS text,
   CASE WHEN json_valid({c}) AND json_type({c}) = 'ARRAY' THEN coalesce(array_to_string(list_transform({arr}, {img_item}), ','), '') ELSE '' END AS images
-FROM fx_requests"""
+FROM {MESSAGES_SQL}"""
 
 
 @register("n3_split_blocks_text_images", _n3_sql())
 def q_n3(spark, sf_dir):
-    s = C.split_blocks_text_images(F.col("messages")[1]["content"])
-    return requests_of(spark, sf_dir).select("request_id", s["text"].alias("text"), F.array_join(s["images"], ",").alias("images"))
+    r = requests_of(spark, sf_dir).select("request_id", F.posexplode("messages").alias("position", "m"))
+    s = C.split_blocks_text_images(F.col("m.content"))
+    return r.select("request_id", "position", s["text"].alias("text"), F.array_join(s["images"], ",").alias("images"))
 
 
 def thinking_replies(spark, sf_dir) -> DataFrame:
@@ -1045,11 +1048,14 @@ def q_n9(spark, sf_dir):
     "n10_flag_invalid_requests",
     with_ctes(*REQ_CTES) + """SELECT request_id, array_to_string(list_filter([
     CASE WHEN split_part(model, ':', 1) NOT IN ('chatloom-model', 'local-llm') THEN 'unknown_model' END,
-    CASE WHEN n <> 1 THEN 'n_not_1' END,
-    CASE WHEN NOT list_bool_or(list_transform(messages, lambda m: m.role = 'user')) THEN 'no_user_message' END,
+    CASE WHEN n NOT IN (0, 1) THEN 'n_not_1' END,
+    CASE WHEN len(list_filter(messages, lambda m: m.role = 'user')) = 0 THEN 'no_user_message' END,
     CASE WHEN temperature < 0 OR temperature > 2 THEN 'bad_temperature' END,
     CASE WHEN top_p < 0 OR top_p > 1 THEN 'bad_top_p' END,
-    CASE WHEN max_tokens < 1 THEN 'bad_max_tokens' END], lambda x: x IS NOT NULL), ',') AS reasons
+    CASE WHEN max_tokens < 1 THEN 'bad_max_tokens' END,
+    CASE WHEN presence_penalty < -2 OR presence_penalty > 2 THEN 'bad_presence_penalty' END,
+    CASE WHEN frequency_penalty < -2 OR frequency_penalty > 2 THEN 'bad_frequency_penalty' END,
+    CASE WHEN top_logprobs < 0 OR top_logprobs > 20 THEN 'bad_top_logprobs' END], lambda x: x IS NOT NULL), ',') AS reasons
 FROM fx_requests""",
 )
 def q_n10(spark, sf_dir):
@@ -1060,14 +1066,69 @@ def q_n10(spark, sf_dir):
 @register(
     "p1_latest_pair",
     with_ctes(*REQ_CTES) + f"""SELECT request_id,
-  {S.n1_sql("list_filter(messages, lambda m: m.role = 'user')[-1].content")} AS user_message,
-  {S.n2_sql("list_filter(messages, lambda m: m.role = 'assistant')[-1].content")} AS previous_assistant
+  {S.p1_user_sql()} AS user_message,
+  {S.p1_assistant_sql()} AS previous_assistant
 FROM fx_requests""",
 )
 def q_p1(spark, sf_dir):
     return P.latest_pair(requests_of(spark, sf_dir)).select("request_id", "user_message", "previous_assistant")
 
 
+def _gated_requests_sql(path: str) -> str:
+    """The stored pairs of the request log, by the rules of the two capture paths."""
+    if path == "api":
+        text = f"coalesce({S.p1_user_sql()}, '')"
+        where = """len(list_filter(messages, lambda m: m.role = 'user')) > 0
+      AND (model IS NULL OR split_part(model, ':', 1) IN ('chatloom-model', 'local-llm')) AND n IN (0, 1)
+      AND temperature BETWEEN 0 AND 2 AND top_p BETWEEN 0 AND 1 AND max_tokens >= 1
+      AND coalesce(presence_penalty, 0) BETWEEN -2 AND 2 AND coalesce(frequency_penalty, 0) BETWEEN -2 AND 2
+      AND coalesce(top_logprobs, 0) BETWEEN 0 AND 20"""
+        gate = "finish_reason = 'stop' AND r.content <> ''"
+    else:
+        shown = f"lambda m: m.role = 'user' AND NOT regexp_matches({S.n2_sql('m.content')}, '^{WS}*###')"
+        text = f"regexp_replace({S.n2_sql(f'list_filter(messages, {shown})[-1].content')}, '^{WS}+|{WS}+$', '', 'g')"
+        where = "split_part(model, ':', 1) = 'chatloom-model'"
+        gate = "r.done AND length(user_message) > 0"
+    return f"""paired AS (SELECT request_id, conversation_id AS conv_id, "timestamp" AS ts, false AS is_refusal,
+    {text} AS user_message, {S.p1_assistant_sql()} AS assistant_response FROM fx_requests WHERE {where}),
+gated AS (SELECT p.* FROM paired p JOIN fx_request_replies r ON r.request_id = p.request_id
+    WHERE length(assistant_response) > 0 AND {gate})"""
+
+
+def request_replies(spark, sf_dir):
+    return P.parsed_replies(fx.fx_request_replies(spark, sf_dir))
+
+
+GATE_SQL = with_ctes(*REQ_CTES, S.fx_request_replies_cte(), _gated_requests_sql("api")) + "SELECT request_id, user_message, assistant_response AS previous_assistant FROM gated"
+
+
+@register("p4_request_gate", GATE_SQL)
+def q_p4r(spark, sf_dir):
+    valid = RQ.flag_invalid_requests(requests_of(spark, sf_dir), "chatloom-model").where(F.size("reasons") == 0)
+    pairs = P.latest_pair(valid).withColumn("user_message", F.coalesce("user_message", F.lit("")))
+    return P.gate_requests(pairs, request_replies(spark, sf_dir)).select("request_id", "user_message", "previous_assistant")
+
+
+def _p6_api_sql() -> str:
+    body, _ = _rules_sql("(SELECT *, user_message AS text, 'user' AS role FROM gated)")
+    ruled = f"ruled AS (SELECT * EXCLUDE (text, role) REPLACE (text AS user_message) FROM {body})"
+    return with_ctes(*REQ_CTES, S.fx_request_replies_cte(), _gated_requests_sql("api"), ruled) + _interaction_sql_from("ruled")
+
+
+@register("p6_capture_requests_api", _p6_api_sql())
+def q_p6_api(spark, sf_dir):
+    rules = R.compile_rules(DEMO_RULES, spark)
+    return P.capture_requests(requests_of(spark, sf_dir), request_replies(spark, sf_dir), "api", rules, "chatloom-model").drop("document")
+
+
+@register(
+    "p6_capture_requests_proxy",
+    with_ctes(*REQ_CTES, S.fx_request_replies_cte(), _gated_requests_sql("proxy")) + _interaction_sql_from("gated"),
+)
+def q_p6_proxy(spark, sf_dir):
+    return P.capture_requests(requests_of(spark, sf_dir), request_replies(spark, sf_dir), "proxy", models=["chatloom-model:latest"]).drop("document")
+
+
 @register(
     "p5_whitelist_models",
     with_ctes(*REQ_CTES) + "SELECT request_id, model FROM fx_requests WHERE split_part(model, ':', 1) IN ('chatloom-model')",
@@ -1183,8 +1244,7 @@ def q_t6(spark, sf_dir):
 
 def _t1_sql() -> str:
     src = f"""(SELECT conversation_id, "timestamp",
-        {S.n1_sql("list_filter(messages, lambda m: m.role = 'user')[-1].content")} AS user_message,
-        {S.n2_sql("list_filter(messages, lambda m: m.role = 'assistant')[-1].content")} AS previous_assistant
+        {S.p1_user_sql()} AS user_message, {S.p1_assistant_sql()} AS previous_assistant
       FROM fx_requests)"""
     gated = f"(SELECT * FROM {src} WHERE user_message IS NOT NULL AND length(coalesce(previous_assistant, '')) > 0)"
     return with_ctes(*REQ_CTES) + f"""SELECT conversation_id || '_' || CAST(epoch_us("timestamp") AS VARCHAR) AS id,

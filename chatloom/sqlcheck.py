@@ -164,31 +164,59 @@ def clean_rejections_cte(src: str = "fx_replies") -> str:
 
 
 def fx_requests_cte() -> str:
-    """Needs fx_pairs (P2 over fx_turns) in scope."""
+    """Needs fx_turns in scope."""
     def msg(role, content, tool_calls="NULL", tool_call_id="NULL"):
-        return (f"{{'role': '{role}', 'content': {content}, 'name': CAST(NULL AS VARCHAR), "
+        return (f"{{'role': {role}, 'content': {content}, 'name': CAST(NULL AS VARCHAR), "
                 f"'tool_calls': CAST({tool_calls} AS VARCHAR), 'tool_call_id': CAST({tool_call_id} AS VARCHAR)}}")
-    user = """CASE v WHEN 1 THEN '[{"type":"text","text":' || uj || '}]'
-             WHEN 2 THEN '[{"type":"image_url","image_url":{"url":"data:image/png;base64,QUJD"}},{"type":"text","text":' || uj || '}]'
-             WHEN 3 THEN '[' || uj || ',{"type":"text","text":"extra"}]'
-             WHEN 4 THEN '{"content":' || uj || '}'
-             ELSE uj END"""
-    base = f"[{msg('assistant', 'aj')}, {msg('user', user)}]"
-    tool = (f"[{msg('assistant', chr(39) + 'null' + chr(39), chr(39) + '[{\"id\":\"call_1\",\"type\":\"function\",\"function\":{\"name\":\"lookup\",\"arguments\":\"{}\"}}]' + chr(39))}, "
-            f"{msg('tool', chr(39) + '\"42\"' + chr(39), 'NULL', chr(39) + 'call_1' + chr(39))}]")
+    h = "((r.conv_id * 5 + r.turn) % 16)"
+    j = "to_json(t.text)::VARCHAR"
+    content = f"""CASE WHEN t.turn < r.turn THEN {j} ELSE CASE {h} % 8 WHEN 1 THEN '[{{"type":"text","text":' || {j} || '}}]'
+             WHEN 2 THEN '[{{"type":"image_url","image_url":{{"url":"data:image/png;base64,QUJD"}}}},{{"type":"text","text":' || {j} || '}}]'
+             WHEN 3 THEN '[' || {j} || ',{{"type":"text","text":"extra"}}]'
+             WHEN 4 THEN '{{"content":' || {j} || '}}'
+             ELSE {j} END END"""
+    call = q('[{"id":"call_1","type":"function","function":{"name":"lookup","arguments":"{}"}}]')
+    tool = f"""[{msg("'assistant'", "'null'", call)}, {msg("'tool'", "'\"42\"'", 'NULL', "'call_1'")}]"""
     return f"""fx_requests AS (
   SELECT request_id, CAST(conv_id AS VARCHAR) AS conversation_id, ts AS "timestamp",
-         CASE WHEN v = 7 THEN 'chatloom-model:latest' ELSE 'chatloom-model' END AS model,
-         CASE WHEN v = 6 THEN 2 ELSE 1 END AS n,
-         CASE WHEN v = 6 THEN {d(3.0)} ELSE {d(0.7)} END AS temperature,
-         CASE WHEN v = 6 THEN {d(1.5)} ELSE {d(0.9)} END AS top_p,
-         CASE WHEN v = 6 THEN 0 ELSE 256 END AS max_tokens,
-         CASE WHEN v = 5 THEN list_concat({base}, {tool}) ELSE {base} END AS messages
-  FROM (SELECT *, conv_id * 1000 + turn AS request_id, (conv_id * 1000 + turn) % 8 AS v,
-               to_json(user_message)::VARCHAR AS uj, to_json(assistant_response)::VARCHAR AS aj FROM fx_pairs)
+         CASE WHEN h = 9 THEN NULL WHEN h = 12 THEN 'other-model' WHEN h % 8 = 7 THEN 'chatloom-model:latest' ELSE 'chatloom-model' END AS model,
+         CASE WHEN h % 8 = 6 THEN 2 ELSE 1 END AS n,
+         CASE WHEN h % 8 = 6 THEN {d(3.0)} ELSE {d(0.7)} END AS temperature,
+         CASE WHEN h % 8 = 6 THEN {d(1.5)} ELSE {d(0.9)} END AS top_p,
+         CASE WHEN h % 8 = 6 THEN 0 ELSE 256 END AS max_tokens,
+         CASE WHEN h = 14 THEN {d(3.0)} END AS presence_penalty,
+         CASE WHEN h = 14 THEN {d(-2.5)} END AS frequency_penalty,
+         CASE WHEN h = 14 THEN 21 END AS top_logprobs,
+         CASE WHEN h % 8 = 5 THEN list_concat(hist, {tool}) WHEN h = 11 THEN list_filter(hist, lambda m: m.role <> 'user') ELSE hist END AS messages
+  FROM (SELECT r.conv_id, r.turn, r.ts, r.conv_id * 1000 + r.turn AS request_id, {h} AS h, list({msg('t.role', content)} ORDER BY t.turn) AS hist
+        FROM fx_turns r JOIN fx_turns t ON r.conv_id = t.conv_id AND t.turn <= r.turn WHERE r.role = 'user' GROUP BY r.conv_id, r.turn, r.ts)
 )"""
 
 
+def fx_request_replies_cte() -> str:
+    """Needs fx_turns in scope.  (request_id, content, finish_reason, done): the facts a parsed reply body holds."""
+    return """fx_request_replies AS (
+  SELECT request_id, CASE WHEN g IN (2, 5) THEN '' ELSE reply END AS content,
+         CASE g WHEN 2 THEN 'tool_calls' WHEN 3 THEN 'length' WHEN 5 THEN 'error' ELSE 'stop' END AS finish_reason, g = 0 AS done
+  FROM (SELECT r.conv_id * 1000 + r.turn AS request_id, (r.conv_id * 3 + r.turn) % 6 AS g, coalesce(a.text, '') AS reply
+        FROM fx_turns r LEFT JOIN fx_turns a ON a.conv_id = r.conv_id AND a.turn = r.turn + 1 AND a.role = 'assistant'
+        WHERE r.role = 'user')
+)"""
+
+
+def last_of_role(role: str, col: str) -> str:
+    return f"list_filter(messages, lambda m: m.role = '{role}')[-1].{col}"
+
+
+def p1_user_sql() -> str:
+    """The newest user message's normalised text (null without one)."""
+    return n1_sql(last_of_role("user", "content"))
+
+
+def p1_assistant_sql() -> str:
+    return f"(CASE WHEN {last_of_role('assistant', 'role')} IS NOT NULL THEN {n2_sql(last_of_role('assistant', 'content'))} END)"
+
+
 def astext(e: str) -> str:
     return f"(CASE WHEN json_type({e}) = 'VARCHAR' THEN json_extract_string({e}, '$') ELSE CAST({e} AS VARCHAR) END)"
 
