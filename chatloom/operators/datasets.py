@@ -209,11 +209,9 @@ def split_train_val(ds: DataFrame, fraction: float | None = None, seed: int = 42
     window); ``key`` must be unique.
     """
     fraction = cfg.validation_split if fraction is None else fraction
-    n = ds.count()
-    k = int(n * (1 - float(fraction)))
     order = [F.md5(F.concat(F.lit(str(seed)), F.col(key))), F.col(key)]
-    # Exact position k from a sort of (hash, key) only; the set is split by predicate.
-    first_k = before_boundary(order, kth_boundary(ds, order, k))
+    # Exact position from (hash, key) only; the set is split by predicate.
+    first_k = before_boundary(order, kth_boundary(ds, order, lambda n: int(n * (1 - float(fraction)))))
     return ds.where(first_k), ds.where(~first_k)
 
 

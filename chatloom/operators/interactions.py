@@ -197,22 +197,18 @@ def prune_lowest(df: DataFrame, fraction: float | None = None, cfg: Thresholds =
     fraction = cfg.cleanup_fraction if fraction is None else fraction
     is_g = F.coalesce(F.col("is_golden"), F.lit(False))
     candidates = df.where(~is_g)
-    n = candidates.count()
-    k = int(n * float(fraction))
-    if k <= 0:
-        return df, df.limit(0)
     order = [_weight(), F.col("timestamp"), F.col("id")]
-    # Exact k-th row from a sort of the narrow order columns only; the wide table
+    # Exact boundary row from the narrow order columns only; the wide table
     # is then split by a predicate (no wide shuffle, no join back).
-    boundary = kth_boundary(candidates, order, k)
+    boundary = kth_boundary(candidates, order, lambda n: int(n * float(fraction)))
     low = ~is_g & before_boundary(order, boundary)
     return df.where(~low), df.where(low)
 
 
 def dataset_size_gb(spark: SparkSession, path: str) -> float:
-    """Total bytes of the stored table's files, in GiB (file metadata only)."""
-    files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size").distinct()
-    total = files.agg(F.sum("file_size")).first()[0] or 0
+    """Total bytes of the stored table's files, in GiB: one row per file, no contents read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    total = files.agg(F.sum("length")).first()[0] or 0
     return total / (1024 ** 3)
 
 

@@ -144,15 +144,15 @@ def pair_turns(
     """Each user turn with the most recent earlier assistant text (N : N-1).
 
     User turns without an earlier assistant turn are dropped.  With
-    ``with_next`` the immediately following turn's (role, text) is attached as
-    ``next_role`` / ``next_text`` (needed by the storage gate).
+    ``with_next`` the immediately following turn's role and whether it has text are attached
+    as ``next_role`` / ``next_filled`` (needed by the storage gate).
     """
     specs = [(F.when(F.col(role) == "assistant", F.col(text)), "assistant_response", "last")]
     if with_next:
-        specs.append((F.struct(F.col(role).alias("r"), F.col(text).alias("t")), "_next", "first"))
+        specs.append((F.struct(F.col(role).alias("r"), (F.coalesce(F.length(text), F.lit(0)) > 0).alias("f")), "_next", "first"))
     t = carry_many(turns, key, list(order), specs)
     if with_next:
-        t = t.withColumn("next_role", F.col("_next.r")).withColumn("next_text", F.col("_next.t")).drop("_next")
+        t = t.withColumn("next_role", F.col("_next.r")).withColumn("next_filled", F.col("_next.f")).drop("_next")
     t = t.where((F.col(role) == "user") & F.col("assistant_response").isNotNull())
     return t.withColumnRenamed(text, "user_message")
 
@@ -162,7 +162,7 @@ def storage_gate(pairs: DataFrame) -> DataFrame:
     the previous assistant text is non-empty."""
     return pairs.where(
         (F.col("next_role") == "assistant")
-        & (F.length(F.col("next_text")) > 0)
+        & F.col("next_filled")
         & (F.length(F.col("assistant_response")) > 0)
     )
 

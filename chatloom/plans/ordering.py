@@ -12,7 +12,7 @@ not by the data.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,89 +53,51 @@ def carry(
     return carry_many(df, key, order, [(value, out, direction)])
 
 
-def hottest_key_share(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """(rows of the largest key, total rows): one scan of the key columns with a
-    partial (map-side) count per key, so even a hot key costs one row per task."""
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    r = per_key.agg(F.max("_n").alias("m"), F.sum("_n").alias("t")).first()
-    return int(r.m or 0), int(r.t or 0)
-
-
 def carry_many(
     df: DataFrame,
     key: str | Sequence[str],
     order: Sequence[str],
     specs: Sequence[tuple[Column, str, str]],
-    strategy: str = "auto",
-    hot_factor: float = 2.0,
+    num_partitions: int | None = None,
 ) -> DataFrame:
-    """Several running values per key in one pass; exact for any key skew.
+    """Several running values per key in one pass; the same plan for any size and key skew.
 
     Each spec is (value, out, direction).  ``direction="last"``: the last
     non-null ``value`` among rows *before* each row (by ``order``) with the
     same key; ``"first"``: the first non-null ``value`` among rows *after* it.
 
-    ``strategy="auto"`` measures the largest key first.  When no key holds more
-    than ``hot_factor`` times a partition's share of the rows, a plain window
-    partitioned by the key is exact and needs a single shuffle.  Otherwise (or
-    with ``strategy="segmented"``) the segmented plan runs: a range exchange on
-    (key, order) tags segments, a hash exchange on (segment, key) evaluates the
-    in-segment windows, and the edge values (one row per segment and key,
-    bounded by partitions + keys) are stitched across segments by key.
+    A range exchange on (key, order) tags segments, a hash exchange on (segment, key)
+    evaluates the in-segment windows, and the edge values (one row per segment and key,
+    bounded by partitions + keys) are stitched across segments by key.  The values are
+    computed from the pinned rows, so no copy of them is stored.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    if strategy == "auto":
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        hottest, total = hottest_key_share(df, keys)
-        strategy = "keyed" if hottest <= max(1.0, hot_factor * total / max(1, parts)) else "segmented"
-    if strategy == "keyed":
-        return _carry_keyed(df, keys, order, specs)
-    staged = df
-    for i, (value, _out, _dir) in enumerate(specs):
-        staged = staged.withColumn(f"_cv{i}", value)
-    seg = range_segments(staged, keys + list(order))
+    seg = range_segments(df, keys + list(order), num_partitions)
     order_cols = [F.col(c) for c in order]
     w_before = Window.partitionBy(SEG, *keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     w_after = Window.partitionBy(SEG, *keys).orderBy(*order_cols).rowsBetween(1, Window.unboundedFollowing)
     s_before = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
     s_after = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(1, Window.unboundedFollowing)
     locals_, picks, acrosses = [], [], []
-    for i, (_value, _out, direction) in enumerate(specs):
-        cv = F.col(f"_cv{i}")
-        present = F.when(cv.isNotNull(), F.struct(*order_cols))
+    for i, (value, _out, direction) in enumerate(specs):
+        present = F.when(value.isNotNull(), F.struct(*order_cols))
         if direction == "last":
-            locals_.append(F.last(cv, ignorenulls=True).over(w_before).alias(f"_local{i}"))
-            picks.append(F.max_by(cv, present).alias(f"_edge{i}"))
+            locals_.append(F.last(value, ignorenulls=True).over(w_before).alias(f"_local{i}"))
+            picks.append(F.max_by(value, present).alias(f"_edge{i}"))
             acrosses.append(F.last(f"_edge{i}", ignorenulls=True).over(s_before).alias(f"_carry{i}"))
         elif direction == "first":
-            locals_.append(F.first(cv, ignorenulls=True).over(w_after).alias(f"_local{i}"))
-            picks.append(F.min_by(cv, present).alias(f"_edge{i}"))
+            locals_.append(F.first(value, ignorenulls=True).over(w_after).alias(f"_local{i}"))
+            picks.append(F.min_by(value, present).alias(f"_edge{i}"))
             acrosses.append(F.first(f"_edge{i}", ignorenulls=True).over(s_after).alias(f"_carry{i}"))
         else:
             raise ValueError(direction)
     edges = seg.groupBy(SEG, *keys).agg(*picks)
     carried = edges.select(SEG, *keys, *acrosses)
-    out = seg.select("*", *locals_).join(carried, [SEG, *keys], "left")
-    for i, (_value, name, _dir) in enumerate(specs):
-        out = out.withColumn(name, F.coalesce(F.col(f"_local{i}"), F.col(f"_carry{i}")))
-    drop = [c for i in range(len(specs)) for c in (f"_cv{i}", f"_local{i}", f"_carry{i}")]
-    return out.drop(*drop, SEG)
-
-
-def _carry_keyed(df: DataFrame, keys: list[str], order: Sequence[str], specs) -> DataFrame:
-    """The single-shuffle form of ``carry_many`` for data without a hot key."""
-    order_cols = [F.col(c) for c in order]
-    before = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(1, Window.unboundedFollowing)
-    cols = []
-    for value, name, direction in specs:
-        if direction == "last":
-            cols.append(F.last(value, ignorenulls=True).over(before).alias(name))
-        elif direction == "first":
-            cols.append(F.first(value, ignorenulls=True).over(after).alias(name))
-        else:
-            raise ValueError(direction)
-    return df.select("*", *cols)
+    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+    joined = seg.select("*", *locals_).alias("s").join(
+        carried.alias("c"), [F.col(f"s.{SEG}") == F.col(f"c.{SEG}"), *same], "left")
+    values = [F.coalesce(F.col(f"_local{i}"), F.col(f"_carry{i}")).alias(name) for i, (_v, name, _d) in enumerate(specs)]
+    return joined.select(*[F.col(f"s.{c}") for c in df.columns], *values)
 
 
 def global_index(df: DataFrame, order: Sequence[str | Column], out: str = "_idx") -> DataFrame:
@@ -163,19 +125,28 @@ def global_index(df: DataFrame, order: Sequence[str | Column], out: str = "_idx"
     )
 
 
-def kth_boundary(df: DataFrame, order: Sequence[Column], k: int):
-    """The order values of the row at 0-based position ``k`` in the total order, or None.
+def kth_boundary(df: DataFrame, order: Sequence[Column], position: Callable[[int], int]):
+    """The order values of the row at 0-based position ``position(number of rows)`` in the total
+    order, or None past the end.
 
-    Only the narrow order columns are range-sorted; one row reaches the driver.
-    Rows before the boundary are exactly ``struct(order) < boundary``.
+    One scan: only the narrow order columns are range-partitioned.  The row counts of the segments
+    (at most ``spark.sql.shuffle.partitions`` rows) and the boundary row reach the driver, and only
+    the segment that holds the position is sorted.  Rows before the boundary are exactly
+    ``struct(order) < boundary``.
     """
     names = [f"_o{i}" for i in range(len(order))]
-    narrow = df.select(*[c.alias(n) for c, n in zip(order, names)])
-    hit = global_index(narrow, [F.col(n) for n in names], "_pos").where(F.col("_pos") == k).select(*names).first()
-    if hit is None:
-        return None
-    types = {f.name: f.dataType for f in narrow.schema.fields}
-    return F.struct(*[F.lit(hit[n]).cast(types[n]).alias(n) for n in names])
+    cols = [F.col(n) for n in names]
+    seg = range_segments(df.select(*[c.alias(n) for c, n in zip(order, names)]), cols)
+    sizes = sorted((r[SEG], r["count"]) for r in seg.groupBy(SEG).count().collect())
+    k = max(0, position(sum(n for _, n in sizes)))
+    for segment, n in sizes:
+        if k < n:
+            ranked = seg.where(F.col(SEG) == segment).withColumn("_pos", F.row_number().over(Window.partitionBy(SEG).orderBy(*cols)))
+            hit = ranked.where(F.col("_pos") == k + 1).select(*names).first()
+            types = {f.name: f.dataType for f in seg.schema.fields}
+            return F.struct(*[F.lit(hit[n]).cast(types[n]).alias(n) for n in names])
+        k -= n
+    return None
 
 
 def before_boundary(order: Sequence[Column], boundary: Column | None) -> Column:

@@ -7,6 +7,7 @@ come from the hidden ``_metadata.file_path`` column.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -114,7 +115,7 @@ def read_training_history(spark: SparkSession, directory: str) -> DataFrame:
         .option("recursiveFileLookup", True).option("pathGlobFilter", "training_metadata.json").json(root)
         .withColumn("_path", F.col("_metadata.file_path"))
     )
-    rel = F.regexp_replace(F.col("_path"), r"^.*?" + _escape(root.split("://")[-1]) + "/", "")
+    rel = F.regexp_replace(F.col("_path"), _root_pattern(root), "")
     meta = meta.withColumn("_rel", rel).select(
         "*",
         F.regexp_extract("_rel", r"^([^/]+)/", 1).alias("run"),
@@ -128,7 +129,7 @@ def read_training_history(spark: SparkSession, directory: str) -> DataFrame:
     states = (
         spark.read.schema(STATE_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED")
         .option("recursiveFileLookup", True).option("pathGlobFilter", "trainer_state.json").json(root)
-        .withColumn("_rel", F.regexp_replace(F.col("_metadata.file_path"), r"^.*?" + _escape(root.split("://")[-1]) + "/", ""))
+        .withColumn("_rel", F.regexp_replace(F.col("_metadata.file_path"), _root_pattern(root), ""))
         .select(
             F.regexp_extract("_rel", r"^([^/]+)/", 1).alias("run"),
             F.regexp_extract("_rel", r"^[^/]+/(pass_[^/]+)/checkpoint-", 1).alias("pass_dir"),
@@ -160,10 +161,31 @@ def read_training_history(spark: SparkSession, directory: str) -> DataFrame:
     ).orderBy(F.coalesce(F.col("timestamp"), F.lit("")), "checkpoint_name")
 
 
-def _escape(s: str) -> str:
-    import re
+def _root_pattern(directory: str) -> str:
+    """Regex of a file path's part up to and including ``directory``, whatever scheme either is written with."""
+    path = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", directory.rstrip("/"))
+    return "^.*?" + re.escape(path) + "/"
 
-    return re.escape(s)
+
+def write_files(files: DataFrame, directory: str) -> None:
+    """One text file per row of (path relative to ``directory``, content), written by the tasks.
+
+    Rewriting a path replaces it, so a retried task leaves the same files."""
+    base = re.sub("^file:/*", "/", directory.rstrip("/"))
+
+    def write(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(base)
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                target = f"{root}/{path}"
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(target) as out:
+                    out.write(content.encode())
+            yield pdf[["path"]]
+
+    files.select("path", "content").mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
 
 
 # Keywords of the relevant-log filter.
@@ -253,7 +275,7 @@ def read_pass_tree(spark: SparkSession, directory: str) -> tuple[DataFrame, Data
     A pass directory is any ``<run>/pass_N_layers_A_B/`` holding at least one file.
     """
     root = directory.rstrip("/")
-    strip_root = r"^.*?" + _escape(root.split("://")[-1]) + "/"
+    strip_root = _root_pattern(root)
     rel = F.regexp_replace(F.col("_metadata.file_path"), strip_root, "")
     run = F.regexp_extract("_rel", r"^([^/]+)/", 1)
     pdir = F.regexp_extract("_rel", r"^[^/]+/(pass_[0-9]+_[^/]+)/", 1)

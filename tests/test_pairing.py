@@ -63,7 +63,7 @@ def test_pair_turns_drops_users_without_earlier_assistant(spark):
     turns = _turns(spark, [(5, 0, "user", "a"), (5, 1, "user", "b"), (5, 2, "assistant", "c"), (5, 3, "user", "d")])
     got = [(r.turn, r.assistant_response) for r in P.pair_turns(turns).orderBy("turn").collect()]
     assert got == [(3, "c")]
-    nxt = {r.turn: (r.next_role, r.next_text) for r in P.pair_turns(turns, with_next=True).collect()}
+    nxt = {r.turn: (r.next_role, r.next_filled) for r in P.pair_turns(turns, with_next=True).collect()}
     assert nxt == {3: (None, None)}
     assert P.storage_gate(P.pair_turns(turns, with_next=True)).count() == 0
     whitelisted = spark.createDataFrame([("m:latest",), ("other",), ("m",)], "model string")

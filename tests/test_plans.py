@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chatloom.plans.fsm import Machine, scan
-from chatloom.plans.ordering import carry_many, global_index
+from chatloom.plans.ordering import SEG, before_boundary, carry_many, global_index, kth_boundary, range_segments
 
 
 def _skewed_turns(spark, n_hot=3000, n_cold=200, seed=7):
@@ -25,9 +25,7 @@ def test_carry_matches_windows_under_skew(spark):
     df = _skewed_turns(spark)
     specs = [(F.when(F.col("role") == "assistant", F.col("text")), "prev_asst", "last"),
              (F.col("text"), "next_text", "first")]
-    got = carry_many(df, "conv_id", ["turn"], specs)  # auto: the hot key forces the segmented plan
-    seg = carry_many(df, "conv_id", ["turn"], specs, strategy="segmented")
-    keyed = carry_many(df, "conv_id", ["turn"], specs, strategy="keyed")
+    outs = [carry_many(df, "conv_id", ["turn"], specs, num_partitions=n) for n in (1, 5)]
     w_prev = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     w_next = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
     want = df.select(
@@ -35,17 +33,30 @@ def test_carry_matches_windows_under_skew(spark):
         F.last(F.when(F.col("role") == "assistant", F.col("text")), True).over(w_prev).alias("prev_asst"),
         F.first("text", True).over(w_next).alias("next_text"),
     )
-    for out in (got, seg, keyed):
+    for out in outs:
         assert out.count() == df.count()
         assert out.exceptAll(want.select(*out.columns)).count() == 0
 
 
-def test_carry_auto_detects_hot_key(spark):
-    from chatloom.plans.ordering import hottest_key_share
+def test_range_segments_split_the_hot_key(spark):
+    seg = range_segments(_skewed_turns(spark), [F.col("conv_id"), F.col("turn")], 5)
+    assert seg.where("conv_id = 0").select(SEG).distinct().count() >= 4
 
-    df = _skewed_turns(spark)
-    hottest, total = hottest_key_share(df, ["conv_id"])
-    assert hottest == 3000 and total == df.count()
+
+def test_carry_keeps_rows_of_the_null_key(spark):
+    df = spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), (1, 1, "c"), (1, 2, "d")], "k long, o long, v string")
+    out = carry_many(df, "k", ["o"], [(F.col("v"), "prev", "last")], num_partitions=3)
+    assert sorted((str(r.k), r.o, r.v, r.prev) for r in out.collect()) == [
+        ("1", 1, "c", None), ("1", 2, "d", "c"), ("None", 1, "a", None), ("None", 2, "b", "a")]
+
+
+def test_boundary_row_at_every_position(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
+    for k in (0, 1, 499, 999):
+        b = kth_boundary(df, [F.col("x")], lambda n, k=k: k)
+        assert df.where(before_boundary([F.col("x")], b)).count() == k
+    assert kth_boundary(df, [F.col("x")], lambda n: n) is None
+    assert kth_boundary(df.limit(0), [F.col("x")], lambda n: 0) is None
 
 
 def test_global_index_is_exact(spark):
