@@ -264,3 +264,98 @@ def fx_chunks(spark: SparkSession, sf_dir: str, turns: DataFrame | None = None)
         F.col("x.l").alias("line"),
     ).where(F.col("line").isNotNull())
     return body.unionByName(tail)
+
+
+def fx_score_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of a scoring model, one per event (event_id, status, reply): numbers in and out of range,
+    numbers inside text, bare and missing ones; every 16th request failed."""
+    ev = read_table(spark, sf_dir, "events")
+    e = F.col("event_id")
+    num = F.concat((e % 3).cast("string"), F.lit("."), F.lpad((e % 100).cast("string"), 2, "0"))
+    v = e % 8
+    reply = (
+        F.when(v == 0, num).when(v == 1, F.concat(F.lit("  -"), num, F.lit(" \n")))
+        .when(v == 2, F.concat(F.lit("Score: "), num, F.lit(" of 1"))).when(v == 3, F.lit("no number"))
+        .when(v == 4, F.lit("")).when(v == 5, F.concat((e % 2).cast("string"), F.lit(".")))
+        .when(v == 6, F.lit("- .5")).otherwise(F.lit("between -0.25 and 0.75"))
+    )
+    return ev.select("event_id", F.when(e % 16 == 0, F.lit(500)).otherwise(F.lit(200)).alias("status"), reply.alias("reply"))
+
+
+LOG_LINES = 60
+
+
+def fx_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trainer logs of 60 lines from events (log_id, line_no, line): mode lines, passes, epochs,
+    timestamps and keyword lines between the event texts."""
+    ev = read_table(spark, sf_dir, "events")
+    e = F.col("event_id")
+    log, no = F.floor(e / LOG_LINES), e % LOG_LINES
+    k = log % 4
+    line = (
+        F.when((no == 0) & (k == 0), F.lit("CPU TRAINING MODE ENABLED"))
+        .when((no == 0) & (k < 3), F.lit("Loading base model"))
+        .when((no == 1) & (k == 1), F.lit("Using 8-bit quantization"))
+        .when((no == 5) & (k < 3), F.concat(F.lit("  PASS "), k + 1, F.lit("/4: Training layers "), k * 5, F.lit("-"), k * 5 + 4))
+        .when(no == 7, F.concat(F.lit("Epoch "), k + 1, F.lit("/5")))
+        .when(no == 9, F.lit("2024-01-05 10:00:09 started"))
+        .when(no == 20, F.lit("PASS 4/4: Training layers 15-19, 2024-01-05 11:00:00"))
+        .when(no % 7 == 0, F.concat(F.lit("  loss after step "), e, F.lit("  ")))
+        .when(no % 11 == 3, F.lit("Merging adapter"))
+        .otherwise(F.concat(F.col("event_type"), F.lit(" "), F.col("props")))
+    )
+    return ev.select(log.alias("log_id"), no.alias("line_no"), line.alias("line"))
+
+
+def _two(c: Column) -> Column:
+    return F.lpad(c.cast("string"), 2, "0")
+
+
+def fx_checkpoint_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One checkpoint metadata file per supplier (path, content); every fifth is not JSON."""
+    k = F.col("s_suppkey")
+    body = F.to_json(F.struct(
+        F.concat(F.lit("ck_"), k).alias("checkpoint_id"), F.concat(F.lit("/adapters/"), k).alias("adapter_path"),
+        F.concat(F.lit("2024-01-"), _two(k % 28 + 1), F.lit("T00:00:00")).alias("timestamp"),
+        F.struct((k / 4).alias("perplexity")).alias("metrics"), k.alias("training_samples"),
+        (k % 2 == 0).alias("can_rollback"), (k % 7 == 0).alias("deployed")))
+    return read_table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("ck_"), k, F.lit("_metadata.json")).alias("path"),
+        F.when(k % 5 == 4, F.lit("{broken")).otherwise(body).alias("content"))
+
+
+def fx_run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of one training run per supplier (path, content).
+
+    Run k with k mod 3 = 0 is sequential: two reported passes (the second with trainer states of
+    checkpoints 3 and 12), and for even k a third pass with only a log; the others have one
+    metadata file and, for even k, one trainer state whose last entry has no evaluation loss.
+    """
+    k = F.col("s_suppkey")
+    run = F.concat(F.lit("run_"), k)
+    day = F.concat(F.lit("2024-01-"), _two(k % 28 + 1), F.lit("T"), _two(k % 24))
+
+    def meta(minute: str, extra: int) -> Column:
+        return F.to_json(F.struct(
+            F.concat(day, F.lit(f":{minute}:00")).alias("timestamp"), ((k + extra) / 4).alias("train_loss"),
+            ((k + extra) / 8).alias("eval_loss"), (k + 100).alias("train_samples"), (k % 10).alias("val_samples"), F.lit(3.0).alias("epochs")))
+
+    def state(step: int, last: str) -> str:
+        return f'{{"epoch": {step / 4}, "global_step": {step}, "max_steps": 40, "log_history": [{{"loss": 0.5, "step": 1}}, {last}]}}'
+
+    evaluated = '{"eval_loss": 0.25, "eval_runtime": 2.5, "step": 12}'
+
+    def file(path: str, content: Column, when: Column) -> Column:
+        return F.when(when, F.struct(F.concat(run, F.lit("/" + path)).alias("path"), content.alias("content")))
+
+    seq, even = k % 3 == 0, k % 2 == 0
+    files = [
+        file("training_metadata.json", meta("00", 0), F.lit(True)),
+        file("checkpoint-5/trainer_state.json", F.lit(state(5, '{"loss": 0.4, "step": 5}')), ~seq & even),
+        file("pass_1_layers_0_4/training_metadata.json", meta("10", 1), seq),
+        file("pass_2_layers_5_9/training_metadata.json", meta("30", 2), seq),
+        file("pass_2_layers_5_9/checkpoint-3/trainer_state.json", F.lit(state(3, '{"eval_loss": 0.75, "eval_runtime": 1.5, "step": 3}')), seq),
+        file("pass_2_layers_5_9/checkpoint-12/trainer_state.json", F.lit(state(12, evaluated)), seq),
+        file("pass_3_layers_10_14/train.log", F.lit("started"), seq & even),
+    ]
+    return read_table(spark, sf_dir, "supplier").select(F.inline(F.array_compact(F.array(*files))))

@@ -1280,13 +1280,25 @@ def doc_lines(spark, sf_dir) -> DataFrame:
     return d.select(F.col("doc_id").alias("log_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _s5_sql() -> str:
+DOC_LINES_SQL = "SELECT doc_id AS log_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents"
+LOG_LINES_SQL = """SELECT k0 AS log_id, no AS line_no, CASE
+    WHEN no = 0 AND k = 0 THEN 'CPU TRAINING MODE ENABLED' WHEN no = 0 AND k < 3 THEN 'Loading base model'
+    WHEN no = 1 AND k = 1 THEN 'Using 8-bit quantization'
+    WHEN no = 5 AND k < 3 THEN '  PASS ' || (k + 1) || '/4: Training layers ' || (k * 5) || '-' || (k * 5 + 4)
+    WHEN no = 7 THEN 'Epoch ' || (k + 1) || '/5' WHEN no = 9 THEN '2024-01-05 10:00:09 started'
+    WHEN no = 20 THEN 'PASS 4/4: Training layers 15-19, 2024-01-05 11:00:00'
+    WHEN no % 7 = 0 THEN '  loss after step ' || event_id || '  ' WHEN no % 11 = 3 THEN 'Merging adapter'
+    ELSE event_type || ' ' || props END AS line
+  FROM (SELECT *, event_id // 60 AS k0, event_id % 60 AS no, (event_id // 60) % 4 AS k FROM events)"""
+
+
+def _s5_sql(lines: str) -> str:
     kw = " OR ".join(f"contains(line, {S.q(k)})" for k in IO.LOG_KEYWORDS)
     pass_rx = r"PASS (\d+)/(\d+): Training layers (\d+)-(\d+)"
     epoch_rx = r"Epoch (\d+)/(\d+)"
     ts_rx = r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})"
     return f"""WITH lines AS (
-  SELECT doc_id AS log_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
+  {lines}),
 f AS (SELECT log_id,
     bool_or(contains(line, 'CPU TRAINING MODE ENABLED')) AS _cpu, bool_or(contains(line, 'Loading base model')) AS _load,
     bool_or(contains(line, '8-bit quantization')) AS _8bit,
@@ -1307,11 +1319,81 @@ SELECT f.log_id,
 FROM f LEFT JOIN g ON f.log_id = g.log_id"""
 
 
-@register("s5_scan_training_logs", _s5_sql())
+@register("s5_scan_training_logs", _s5_sql(LOG_LINES_SQL))
 def q_s5(spark, sf_dir):
+    return IO.scan_training_logs(fx.fx_log_lines(spark, sf_dir)).withColumn("logs", F.array_join("logs", "\n"))
+
+
+@register("s5_scan_document_lines", _s5_sql(DOC_LINES_SQL))
+def q_s5d(spark, sf_dir):
+    """The same scan over texts that are no logs: nothing but stray keyword lines is found."""
     return IO.scan_training_logs(doc_lines(spark, sf_dir)).withColumn("logs", F.array_join("logs", "\n"))
 
 
+@register(
+    "s3_read_checkpoints",
+    """SELECT 'ck_' || s_suppkey AS checkpoint_id, '/adapters/' || s_suppkey AS adapter_path,
+  '2024-01-' || lpad((s_suppkey % 28 + 1)::VARCHAR, 2, '0') || 'T00:00:00' AS "timestamp", s_suppkey / 4.0::DOUBLE AS perplexity,
+  s_suppkey AS training_samples, s_suppkey % 2 = 0 AS can_rollback, s_suppkey % 7 = 0 AS deployed
+FROM supplier WHERE s_suppkey % 5 <> 4""",
+)
+def q_s3(spark, sf_dir):
+    path = IO.scratch_path(spark, "checkpoints")
+    IO.write_files(fx.fx_checkpoint_files(spark, sf_dir), path)
+    return IO.read_checkpoints(spark, path).select(
+        "checkpoint_id", "adapter_path", "timestamp", F.col("metrics")["perplexity"].alias("perplexity"),
+        "training_samples", "can_rollback", "deployed")
+
+
+RUN_DAY_SQL = "'2024-01-' || lpad((s_suppkey % 28 + 1)::VARCHAR, 2, '0') || 'T' || lpad((s_suppkey % 24)::VARCHAR, 2, '0')"
+
+
+def _s4_sql() -> str:
+    def rows(minute, extra, name, where, evaluated="NULL", runtime="NULL", step="NULL"):
+        return (f"SELECT {RUN_DAY_SQL} || ':{minute}:00' AS \"timestamp\", (s_suppkey + {extra}) / 4.0::DOUBLE AS train_loss, "
+                f"coalesce({evaluated}::DOUBLE, (s_suppkey + {extra}) / 8.0::DOUBLE) AS eval_loss, s_suppkey + 100 AS train_samples, "
+                f"s_suppkey % 10 AS val_samples, 3.0::DOUBLE AS epochs, 'run_' || s_suppkey{name} AS checkpoint_name, "
+                f"{runtime}::DOUBLE AS eval_runtime, {step}::BIGINT AS global_step FROM supplier WHERE {where}")
+    return " UNION ALL ".join([
+        rows("00", 0, "", "s_suppkey % 3 <> 0", step="CASE WHEN s_suppkey % 2 = 0 THEN 5 END").replace(
+            "CASE WHEN s_suppkey % 2 = 0 THEN 5 END::BIGINT", "CAST(CASE WHEN s_suppkey % 2 = 0 THEN 5 END AS BIGINT)"),
+        rows("10", 1, " || ' - Pass 1 (Layers 0-4)'", "s_suppkey % 3 = 0"),
+        rows("30", 2, " || ' - Pass 2 (Layers 5-9)'", "s_suppkey % 3 = 0", "0.25", "2.5", "12"),
+    ])
+
+
+def run_files(spark, sf_dir) -> str:
+    path = IO.scratch_path(spark, "runs")
+    IO.write_files(fx.fx_run_files(spark, sf_dir), path)
+    return path
+
+
+@register("s4_read_training_history", _s4_sql())
+def q_s4(spark, sf_dir):
+    return IO.read_training_history(spark, run_files(spark, sf_dir))
+
+
+@register(
+    "c6_training_progress",
+    f"""WITH latest AS (SELECT *, {RUN_DAY_SQL} AS day, s_suppkey % 2 = 0 AS even FROM supplier WHERE s_suppkey % 3 = 0
+  ORDER BY {RUN_DAY_SQL} DESC, 'run_' || s_suppkey DESC LIMIT 1)
+SELECT 'run_' || s_suppkey AS checkpoint_id, p AS pass_number, CASE p WHEN 1 THEN '0-4' ELSE '5-9' END AS layers,
+  (s_suppkey + p) / 4.0::DOUBLE AS train_loss, s_suppkey + 100 AS train_samples, s_suppkey % 10 AS val_samples, 3.0::DOUBLE AS epochs,
+  day || CASE p WHEN 1 THEN ':10:00' ELSE ':30:00' END AS "timestamp",
+  CASE p WHEN 2 THEN 3.0::DOUBLE END AS epoch, CASE p WHEN 2 THEN 12 END AS global_step, CASE p WHEN 2 THEN 40 END AS max_steps,
+  CASE p WHEN 2 THEN 0.25::DOUBLE END AS eval_loss, CASE p WHEN 2 THEN 2.5::DOUBLE END AS eval_runtime,
+  CASE WHEN even THEN 3 ELSE 2 END AS total_passes, true AS training_active, 2 AS current_pass, NOT (even AND p = 2) AS completed
+FROM latest, (VALUES (1), (2)) AS passes(p)""",
+)
+def q_c6(spark, sf_dir):
+    """Progress of the newest run, seen five minutes after its last reported pass."""
+    from chatloom.operators import checkpoints as CK
+
+    meta, states, dirs = IO.read_pass_tree(spark, run_files(spark, sf_dir))
+    seen = dt.datetime.fromisoformat(meta.agg(F.max("timestamp")).first()[0]) + dt.timedelta(minutes=5)
+    return CK.training_progress(meta, states, dirs, seen)
+
+
 @register(
     "s6_write_interactions",
     with_ctes(S.fx_turns_cte(), _gated_pairs_sql()) + _interaction_sql_from("gated", 'CAST(ts AS DATE) AS "date", '),
@@ -1352,13 +1434,34 @@ def q_e3(spark, sf_dir):
     return s.select("conv_id", "turn", F.array_join("signals", ",").alias("signals"))
 
 
-@register("e5_model_sentiment")
+@register(
+    "e4_parse_score_reply",
+    """SELECT event_id, CASE WHEN event_id % 16 = 0 THEN CAST(0.0 AS DOUBLE) ELSE CASE event_id % 8
+    WHEN 0 THEN least(n, CAST(1.0 AS DOUBLE)) WHEN 1 THEN greatest(CAST(0.0 AS DOUBLE) - n, CAST(-1.0 AS DOUBLE)) WHEN 2 THEN least(n, CAST(1.0 AS DOUBLE))
+    WHEN 5 THEN CAST(event_id % 2 AS DOUBLE) WHEN 6 THEN CAST(5.0 AS DOUBLE) - 4.0 WHEN 7 THEN CAST(-0.25 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END END AS score
+FROM (SELECT event_id, CAST((event_id % 3) || '.' || lpad((event_id % 100)::VARCHAR, 2, '0') AS DOUBLE) AS n FROM events)""",
+)
+def q_e4(spark, sf_dir):
+    r = fx.fx_score_replies(spark, sf_dir)
+    return r.select("event_id", scoring.parse_score_reply(F.col("reply"), F.col("status")).alias("score"))
+
+
+@register(
+    "e5_model_sentiment",
+    with_ctes(S.fx_turns_cte(), S.fx_pairs_cte()) + """SELECT conv_id, turn,
+  greatest(CAST(-1.0 AS DOUBLE), least(CAST(1.0 AS DOUBLE), (length(t) - length(replace(t, '!', '')) - (length(t) - length(replace(t, '?', '')))) / CAST(10.0 AS DOUBLE))) AS model_sentiment
+FROM (SELECT conv_id, turn, substring(user_message, 1, 500) AS t FROM fx_pairs)""",
+)
 def q_e5(spark, sf_dir):
     pairs = P.pair_turns(fx.fx_turns(spark, sf_dir))
     return BF.model_sentiment(pairs).select("conv_id", "turn", "model_sentiment")
 
 
-@register("d7_generate_rejections")
+@register(
+    "d7_generate_rejections",
+    ORACLE["d5_rejection_prompts"].replace("SELECT id, user_message AS prompt, 0 AS source_order", f"""SELECT DISTINCT prompt, 0 AS seq,
+  regexp_replace('I would rather not go into that: ' || prompt, '{WS}+$', '') AS rejection FROM (SELECT id, user_message AS prompt, 0 AS source_order""", 1) + ")",
+)
 def q_d7(spark, sf_dir):
     pool, golden = pool_and_golden(spark, sf_dir)
     rejections, report = BF.generate_rejections(DS.rejection_prompts(pool, golden))
@@ -1391,7 +1494,17 @@ def q_d13(spark, sf_dir):
     )
 
 
-@register("d13_tokenize_custom")
+def _d13_custom_sql() -> str:
+    head, mid, tail = (x.replace("'", "''").replace("\n", "' || chr(10) || '") for x in DS.TEMPLATES["chatml"])
+    pt = f"'{head}' || prompt || '{mid}'"
+    return with_ctes(*POOL_CTES, SFT_CTE) + f"""SELECT prompt, prompt_len, 256 AS n_ids,
+  array_to_string(list_transform(list_resize(ids, 256, 0), lambda x, i: CASE WHEN i <= prompt_len THEN -100 ELSE x END), ' ') AS labels
+FROM (SELECT prompt, least(length({pt}), 128) AS prompt_len,
+        list_transform(string_split(substring({pt} || chosen || '{tail}', 1, 256), ''), lambda c: unicode(c) + 1) AS ids
+      FROM sft WHERE chosen IS NOT NULL)"""
+
+
+@register("d13_tokenize_custom", _d13_custom_sql())
 def q_d13c(spark, sf_dir):
     ds = DS.render_chat(DS.format_sft(sft_set(spark, sf_dir)), "chatml")
     t = BF.tokenize_with(ds, BF.char_tokenizer, 256)
