@@ -1151,20 +1151,21 @@ from chatloom.sources import io as IO  # noqa: E402
 from chatloom.streaming import jobs as T  # noqa: E402
 
 
-def _turn_stream(spark, sf_dir):
+def _streamed(spark, df, order, job, name, **options):
+    """``job`` over ``df`` arriving in three parts, ascending by ``order``."""
     T.enable_state_store(spark)
-    return fx.fx_turns(spark, sf_dir, IO.table_stream(spark, sf_dir, "conversations"))
+    stream, feeds = IO.sliced_stream(df, order)
+    return T.run_available_now(job(stream), name, feeds=feeds, **options)
 
 
 @register("t2_stream_pair", ORACLE["p2_pair_turns"])
 def q_t2(spark, sf_dir):
-    return T.run_available_now(T.stream_pair(_turn_stream(spark, sf_dir)), "t2")
+    return _streamed(spark, fx.fx_turns(spark, sf_dir), "turn", T.stream_pair, "t2")
 
 
 @register("t3_stream_reassemble", ORACLE["n7_reassemble_reply"])
 def q_t3(spark, sf_dir):
-    chunks = fx.fx_chunks(spark, sf_dir, _turn_stream(spark, sf_dir))
-    return T.run_available_now(T.stream_reassemble(chunks), "t3")
+    return _streamed(spark, fx.fx_chunks(spark, sf_dir), "seq", T.stream_reassemble, "t3")
 
 
 T4_SQL = with_ctes(FXI) + """SELECT date_trunc('day', "timestamp") AS window_start, date_trunc('day', "timestamp") + INTERVAL 1 DAY AS window_end,
@@ -1181,10 +1182,8 @@ def q_t4b(spark, sf_dir):
 
 @register("t4_stream_stats", T4_SQL)
 def q_t4(spark, sf_dir):
-    T.enable_state_store(spark)
-    ev = IO.table_stream(spark, sf_dir, "events")
-    return T.run_available_now(T.stream_stats(fx.fx_interactions(spark, sf_dir, ev), "1 day", "1 hour"), "t4",
-                               mode="update", keys=["window_start"])
+    return _streamed(spark, fxi(spark, sf_dir), "timestamp", lambda x: T.stream_stats(x, "1 day", "1 hour"), "t4",
+                     mode="update", keys=["window_start"])
 
 
 T5_SQL = "WITH RECURSIVE " + FXI + """,
@@ -1210,9 +1209,7 @@ def q_t5b(spark, sf_dir):
 
 @register("t5_stream_triggers", T5_SQL)
 def q_t5(spark, sf_dir):
-    T.enable_state_store(spark)
-    ev = IO.table_stream(spark, sf_dir, "events")
-    return T.run_available_now(T.stream_triggers(fx.fx_interactions(spark, sf_dir, ev)), "t5")
+    return _streamed(spark, fxi(spark, sf_dir), "timestamp", T.stream_triggers, "t5")
 
 
 T6_SQL = """WITH RECURSIVE
@@ -1238,8 +1235,7 @@ def q_t6b(spark, sf_dir):
 
 @register("t6_stream_inactivity", T6_SQL)
 def q_t6(spark, sf_dir):
-    T.enable_state_store(spark)
-    return T.run_available_now(T.stream_inactivity(IO.table_stream(spark, sf_dir, "events"), 8.0, 10), "t6")
+    return _streamed(spark, read_table(spark, sf_dir, "events"), "ts", lambda x: T.stream_inactivity(x, 8.0, 10), "t6")
 
 
 def _t1_sql() -> str:
@@ -1260,8 +1256,8 @@ FROM {S.score_sql(gated)}"""
 @register("t1_stream_score", _t1_sql())
 def q_t1(spark, sf_dir):
     path = IO.scratch_path(spark, "request-log")
-    IO.write_request_log(fx.fx_requests(spark, sf_dir), path)
-    stream = IO.read_requests(spark, path, stream=True)
+    IO.write_request_log(fx.fx_requests(spark, sf_dir).repartition(3, "request_id"), path)
+    stream = IO.read_requests(spark, path, stream=True, files_per_trigger=1)
     return T.run_available_now(T.stream_score(stream), "t1").drop("document")
 
 

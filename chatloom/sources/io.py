@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,13 +29,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A driver table (one parquet file in ``sf_dir``) as a streaming source."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(sf_dir)
+def sliced_stream(df: DataFrame, order: str, slices: int = 3) -> tuple[DataFrame, list[Callable[[], None]]]:
+    """``df`` as a stream that arrives in ``slices`` parts, ascending by ``order`` (nulls first).
+
+    Returns the stream and one function per part that adds it to the stream's folder.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "slices")
+    shares = [(i + 1) / slices for i in range(slices - 1)]
+    at = F.col(order) if df.schema[order].dataType.typeName() != "timestamp_ntz" else F.unix_micros(F.col(order).cast("timestamp"))
+    cuts = df.agg(F.percentile_approx(at, shares, 10_000).alias("cuts")).first().cuts or []
+    place = F.lit(0)
+    for cut in cuts:
+        place = place + F.coalesce(at > cut, F.lit(False)).cast("int")
+
+    def add(part: int) -> Callable[[], None]:
+        return lambda: df.where(place == part).write.mode("append").parquet(path)
+
+    df.limit(0).write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path), [add(i) for i in range(len(cuts) + 1)]
 
 
 def write_request_log(requests: DataFrame, path: str) -> None:
@@ -70,11 +83,13 @@ def _normalise_messages(df: DataFrame) -> DataFrame:
     )
 
 
-def read_requests(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+def read_requests(spark: SparkSession, path: str, stream: bool = False, files_per_trigger: int | None = None) -> DataFrame:
     """Chat-request log, one JSON object per line; bad lines kept in ``_corrupt_record``."""
     reader = (spark.readStream if stream else spark.read).schema(REQUEST_SCHEMA).option("mode", "PERMISSIVE").option(
         "columnNameOfCorruptRecord", "_corrupt_record"
     )
+    if stream and files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return _normalise_messages(reader.json(path))
 
 

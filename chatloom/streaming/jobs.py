@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -30,9 +32,13 @@ def enable_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def run_available_now(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+def run_available_now(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None,
+                      feeds: Iterable[Callable[[], None]] = (lambda: None,)) -> DataFrame:
     """Drain all available input through ``stream`` and return what the sink holds.
 
+    Each of ``feeds`` is called in turn, and what it added is drained before the next one, by a
+    query restarted from its checkpoint: state and watermark go on from where they were.
+
     append: rows are appended to a parquet sink.  update: each micro-batch's
     changed rows are appended with their batch id, and the latest version per
     ``keys`` is returned (an upsert log, so windows that are still open at the
@@ -43,15 +49,14 @@ def run_available_now(stream: DataFrame, name: str, mode: str = "append", keys:
     out, ck = f"{base}/data", f"{base}/checkpoint"
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)  # there even if nothing is emitted
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
-    writer = stream.writeStream.option("checkpointLocation", ck).trigger(availableNow=True)
-    if mode == "append":
-        q = writer.format("parquet").option("path", out).outputMode("append").start()
-    else:
-        def sink(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")  # a replayed batch replaces itself
-
-        q = writer.outputMode("update").foreachBatch(sink).start()
-    q.awaitTermination()
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")  # a replayed batch replaces itself
+
+    for feed in feeds:
+        feed()
+        writer = stream.writeStream.option("checkpointLocation", ck).trigger(availableNow=True).outputMode(mode)
+        writer = writer.format("parquet").option("path", out) if mode == "append" else writer.foreachBatch(sink)
+        writer.start().awaitTermination()
     if mode == "append":
         return spark.read.schema(stream.schema).parquet(out)
     result = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", LongType())])).parquet(out)
@@ -261,12 +266,19 @@ def stream_stats(interactions: DataFrame, window: str = "1 day", watermark: str
 
 # ----------------------------------------------------------------------------- T5
 
+def _counted(cfg: Thresholds) -> Column:
+    """Rows that move a counter of the trigger machine; all others change no state and emit nothing."""
+    s = F.col("sentiment")
+    flags = (s < cfg.negative, s > cfg.positive, F.col("is_golden"), F.col("is_refusal"))
+    return reduce(lambda a, b: a | b, [F.coalesce(f, F.lit(False)) for f in flags])
+
+
 def trigger_points(interactions: DataFrame, cfg: Thresholds = DEFAULT, key: str = "model_line") -> DataFrame:
     """T5 batch twin: the ordered counter fold per model line (skew-safe FSM scan)."""
     from chatloom.plans.fsm import scan
 
     cols = [key, "timestamp", "id", "sentiment", "is_golden", "is_refusal"]
-    return scan(interactions.select(*cols), key, ["timestamp", "id"], TriggerMachine(cfg, key), TRIGGER_SCHEMA)
+    return scan(interactions.where(_counted(cfg)).select(*cols), key, ["timestamp", "id"], TriggerMachine(cfg, key), TRIGGER_SCHEMA)
 
 
 class TriggerProcessor(StatefulProcessor):
@@ -295,7 +307,7 @@ class TriggerProcessor(StatefulProcessor):
 def stream_triggers(interactions: DataFrame, cfg: Thresholds = DEFAULT) -> DataFrame:
     """T5: emit a training decision each time a model line's counters cross a trigger."""
     cols = ["model_line", "timestamp", "id", "sentiment", "is_golden", "is_refusal"]
-    return interactions.select(*cols).groupBy("model_line").transformWithStateInPandas(
+    return interactions.where(_counted(cfg)).select(*cols).groupBy("model_line").transformWithStateInPandas(
         TriggerProcessor(cfg), TRIGGER_SCHEMA, "Append", "None"
     )
 
