@@ -112,8 +112,9 @@ def fit_compression(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id
     """
     known = (
         labels.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("int").alias("y"))
-        .filter(~is_held_out(F.col("id"))).groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y2"))
-        .filter("id IS NOT NULL AND y = y2 AND y IN (0, 1)").select("id", "y", F.xxhash64("id").alias("turn"))
+        .filter(~is_held_out(F.col("id"))).groupBy("id").agg(
+            F.min("y").alias("y"), F.max("y").alias("y2"), F.count_if(F.col("y").isNull()).alias("unsaid"))
+        .filter("id IS NOT NULL AND y = y2 AND y IN (0, 1) AND unsaid = 0").select("id", "y", F.xxhash64("id").alias("turn"))
     )
     chosen = known.filter("y = 0").orderBy("turn").limit(max_docs_per_class).unionByName(
         known.filter("y = 1").orderBy("turn").limit(max_docs_per_class))
