@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,35 +47,6 @@ def checkpoint_metrics(runs: DataFrame) -> DataFrame:
     )
 
 
-def _gate_fold(min_ppl: float, tolerance: float):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "run_id"], kind="mergesort")
-        cur_p = None
-        cur_id = None
-        out_p, out_dep, out_par = [], [], []
-        for mode, q_sft, rid in zip(pdf["mode"].to_numpy(), pdf["sft_perplexity"].to_numpy(), pdf["run_id"].to_numpy()):
-            q = (999.0 if cur_p is None else cur_p) if mode == "dpo" else float(q_sft)
-            deploy = cur_p is None or cur_p < min_ppl or q <= cur_p * tolerance
-            out_p.append(q)
-            out_dep.append(bool(deploy))
-            out_par.append(cur_id)
-            if deploy:
-                cur_p, cur_id = q, int(rid)
-        return pd.DataFrame(
-            {
-                "model_line": pdf["model_line"].to_numpy(),
-                "run_id": pdf["run_id"].to_numpy(),
-                "ts": pdf["ts"].to_numpy(),
-                "mode": pdf["mode"].to_numpy(),
-                "perplexity": out_p,
-                "deployed": out_dep,
-                "parent_run": pd.array(out_par, dtype="Int64"),
-            }
-        )
-
-    return fold
-
-
 class GateMachine(Machine):
     """C2 as an ordered fold: state = (deployed perplexity, deployed run) or None.
 
@@ -163,13 +133,6 @@ def deploy_gate(runs: DataFrame, cfg: Thresholds = DEFAULT) -> DataFrame:
     return scan(narrow, "model_line", ["ts", "run_id"], GateMachine(cfg.min_perplexity, cfg.perplexity_tolerance), GATE_SCHEMA)
 
 
-def deploy_gate_grouped(runs: DataFrame, cfg: Thresholds = DEFAULT) -> DataFrame:
-    """C2 reference form: one sequential fold per model line (``applyInPandas``); used to
-    cross-check ``deploy_gate`` in tests."""
-    narrow = checkpoint_metrics(runs).select("model_line", "run_id", "ts", "mode", "sft_perplexity")
-    return narrow.groupBy("model_line").applyInPandas(_gate_fold(cfg.min_perplexity, cfg.perplexity_tolerance), GATE_SCHEMA)
-
-
 def _newest_first() -> list[Column]:
     return [F.col("ts").desc(), F.col("run_id").desc()]
 

@@ -111,7 +111,7 @@ def apply_updates(df: DataFrame, updates: DataFrame) -> DataFrame:
     ``updates`` has ``id`` and any of ``sentiment``, ``weight``, ``is_golden``
     (null = not supplied); other columns are ignored.  When an id repeats, the
     value with the highest ``seq`` wins if the updates carry a ``seq`` column;
-    without one, repeated ids should not occur (one of the supplied values is taken).
+    without one, a repeated id is an error.
     """
     fields = [c for c in ("sentiment", "weight", "is_golden") if c in updates.columns]
     has_seq = "seq" in updates.columns
@@ -122,7 +122,10 @@ def apply_updates(df: DataFrame, updates: DataFrame) -> DataFrame:
 
     def pick(c: str) -> Column:
         v = F.col(f"_u_{c}")
-        return (F.max_by(v, F.when(v.isNotNull(), F.col("_seq"))) if has_seq else F.first(v, ignorenulls=True)).alias(f"_u_{c}")
+        if has_seq:
+            return F.max_by(v, F.when(v.isNotNull(), F.col("_seq"))).alias(f"_u_{c}")
+        repeated = F.raise_error(F.lit("updates repeat an id; give them a seq column"))
+        return F.when(F.count(F.lit(1)) > 1, repeated).otherwise(F.max(v)).alias(f"_u_{c}")
 
     # Partial aggregation: one row per id and task before the shuffle.
     u = u.groupBy("id").agg(*[pick(c) for c in fields])

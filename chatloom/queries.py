@@ -234,22 +234,20 @@ def q_i5(spark, sf_dir):
     with_ctes(FXI)
     + """SELECT f.id, f.conversation_id, f."timestamp", f.model_line, f.user_message, f.assistant_response,
        f.user_message_length, f.assistant_response_length,
-       coalesce(u.sentiment, f.sentiment) AS sentiment, coalesce(u.weight, f.weight) AS weight,
-       coalesce(u.is_golden, f.is_golden) AS is_golden, f.is_refusal, f.truncated
-FROM fx_interactions f LEFT JOIN (
-  SELECT CAST(event_id AS VARCHAR) AS id, CAST(NULL AS DOUBLE) AS sentiment,
-         CAST(5.0 AS DOUBLE) AS weight, true AS is_golden
-  FROM events WHERE value > 400) u ON f.id = u.id""",
+       CASE WHEN event_type = 'error' THEN CAST(-1.0 AS DOUBLE) ELSE f.sentiment END AS sentiment,
+       CASE WHEN value > 400 THEN CAST(5.0 AS DOUBLE) ELSE f.weight END AS weight,
+       CASE WHEN event_type = 'error' THEN false WHEN value > 400 THEN true ELSE f.is_golden END AS is_golden, f.is_refusal, f.truncated
+FROM fx_interactions f JOIN events e ON f.id = CAST(e.event_id AS VARCHAR)""",
 )
 def q_i6(spark, sf_dir):
-    ev = read_table(spark, sf_dir, "events").where(F.col("value") > 400)
-    updates = ev.select(
-        F.col("event_id").cast("string").alias("id"),
-        F.lit(None).cast("double").alias("sentiment"),
-        F.lit(5.0).alias("weight"),
-        F.lit(True).alias("is_golden"),
-    )
-    return I.apply_updates(fxi(spark, sf_dir), updates)
+    """Two waves of updates: large values get weight and golden, then errors a sentiment and no golden."""
+    ev = read_table(spark, sf_dir, "events")
+    key, none = F.col("event_id").cast("string").alias("id"), F.lit(None).cast("double")
+    first = ev.where(F.col("value") > 400).select(
+        key, none.alias("sentiment"), F.lit(5.0).alias("weight"), F.lit(True).alias("is_golden"), F.lit(1).alias("seq"))
+    then = ev.where(F.col("event_type") == "error").select(
+        key, F.lit(-1.0).alias("sentiment"), none.alias("weight"), F.lit(False).alias("is_golden"), F.lit(2).alias("seq"))
+    return I.apply_updates(fxi(spark, sf_dir), first.unionByName(then))
 
 
 @register(
@@ -928,26 +926,31 @@ def q_n4(spark, sf_dir):
     return r.select("conv_id", "turn", x["thinking"].alias("thinking"), x["content"].alias("content"))
 
 
+TOOL_CALLS = '[{"function":{"arguments":"{}","name":"lookup"},"id":"c1","type":"function"}]'
+
+
 def provider_replies(spark, sf_dir) -> DataFrame:
-    """One provider reply body per assistant turn: conv_id % 3 = 0 ollama, 1 openai, 2 openai without choices."""
+    """One provider reply body per assistant turn: conv_id % 3 = 0 ollama, 1 openai, 2 openai without choices;
+    odd turns of the first two carry a tool call."""
     t = fx.fx_turns(spark, sf_dir).where(F.col("role") == "assistant")
     j = fx._json_str(F.col("text"))
     k = F.col("conv_id") % 3
+    calls = F.when(F.col("turn") % 2 == 1, F.lit(f',"tool_calls":{TOOL_CALLS}')).otherwise(F.lit(""))
     body = (
-        F.when(k == 0, F.concat(F.lit('{"message":{"content":'), j, F.lit(',"thinking":"t"},"done_reason":"stop"}')))
-        .when(k == 1, F.concat(F.lit('{"choices":[{"message":{"content":'), j, F.lit(',"reasoning":"","thoughts":"th"},"finish_reason":"length"}]}')))
+        F.when(k == 0, F.concat(F.lit('{"message":{"content":'), j, F.lit(',"thinking":"t"'), calls, F.lit('},"done_reason":"stop"}')))
+        .when(k == 1, F.concat(F.lit('{"choices":[{"message":{"content":'), j, F.lit(',"reasoning":"","thoughts":"th"'), calls, F.lit('},"finish_reason":"length"}]}')))
         .otherwise(F.lit('{"error":"overloaded"}'))
     )
     return t.select("conv_id", "turn", F.when(k == 0, F.lit("ollama")).otherwise(F.lit("openai")).alias("provider"), body.alias("body"))
 
 
-REPLIES_CTE = """replies AS (
+REPLIES_CTE = f"""replies AS (
   SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'ollama' ELSE 'openai' END AS provider,
     CASE conv_id % 3
-      WHEN 0 THEN '{"message":{"content":' || to_json(text)::VARCHAR || ',"thinking":"t"},"done_reason":"stop"}'
-      WHEN 1 THEN '{"choices":[{"message":{"content":' || to_json(text)::VARCHAR || ',"reasoning":"","thoughts":"th"},"finish_reason":"length"}]}'
-      ELSE '{"error":"overloaded"}' END AS body
-  FROM fx_turns WHERE role = 'assistant')"""
+      WHEN 0 THEN '{{"message":{{"content":' || to_json(text)::VARCHAR || ',"thinking":"t"' || calls || '}},"done_reason":"stop"}}'
+      WHEN 1 THEN '{{"choices":[{{"message":{{"content":' || to_json(text)::VARCHAR || ',"reasoning":"","thoughts":"th"' || calls || '}},"finish_reason":"length"}}]}}'
+      ELSE '{{"error":"overloaded"}}' END AS body
+  FROM (SELECT *, CASE WHEN turn % 2 = 1 THEN ',"tool_calls":{TOOL_CALLS}' ELSE '' END AS calls FROM fx_turns) WHERE role = 'assistant')"""
 
 
 @register(
@@ -965,13 +968,15 @@ REPLIES_CTE = """replies AS (
   CASE WHEN provider = 'ollama'
        THEN CASE WHEN json_extract(body, '$.message') IS NOT NULL THEN coalesce(json_extract_string(body, '$.done_reason'), 'stop') ELSE 'error' END
        ELSE CASE WHEN json_extract(body, '$.choices[0]') IS NOT NULL THEN coalesce(json_extract_string(body, '$.choices[0].finish_reason'), 'stop') ELSE 'error' END
-  END AS finish_reason
+  END AS finish_reason,
+  CASE WHEN provider = 'ollama' THEN json_extract(body, '$.message.tool_calls')::VARCHAR
+       ELSE json_extract(body, '$.choices[0].message.tool_calls')::VARCHAR END AS tool_calls
 FROM replies""",
 )
 def q_n5(spark, sf_dir):
     r = provider_replies(spark, sf_dir)
     p = C.parse_reply(F.col("body"), F.col("provider"))
-    return r.select("conv_id", "turn", p["content"].alias("content"), p["thinking"].alias("thinking"), p["finish_reason"].alias("finish_reason"))
+    return r.select("conv_id", "turn", p["content"].alias("content"), p["thinking"].alias("thinking"), p["finish_reason"].alias("finish_reason"), p["tool_calls"].alias("tool_calls"))
 
 
 def _n6_sql() -> str:
@@ -1407,6 +1412,13 @@ def q_s7(spark, sf_dir):
     return spark.read.schema("prompt string, completion string, weight double").json(path)
 
 
+@register("s7_export_preferences", ORACLE["d11_format_dpo"])
+def q_s7_dpo(spark, sf_dir):
+    path = IO.scratch_path(spark, "dpo-export")
+    IO.export_training_set(DS.format_dpo(dpo_set(spark, sf_dir)), path)
+    return spark.read.schema("prompt string, chosen string, rejected string").json(path)
+
+
 # ---------------------------------------------------------------- signals, pluggable model steps, schedule
 
 from chatloom.operators import batchfn as BF  # noqa: E402

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from chatloom import fixtures as fx
@@ -70,6 +71,14 @@ def test_updates_only_supplied_fields(spark):
     assert set(got) == {"a", "b"}
 
 
+def test_repeated_update_ids_need_a_sequence(spark):
+    base = spark.createDataFrame([("a", 0.5, 1.0, False)], "id string, sentiment double, weight double, is_golden boolean")
+    twice = spark.createDataFrame([("a", 3.0, 2), ("a", 4.0, 1)], "id string, weight double, seq int")
+    assert I.apply_updates(base, twice).first().weight == 3.0
+    with pytest.raises(Exception, match="repeat an id"):
+        I.apply_updates(base, twice.drop("seq")).collect()
+
+
 def test_truncation(spark):
     long = "x" * 60001
     df = spark.createDataFrame(

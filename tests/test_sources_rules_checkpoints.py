@@ -4,8 +4,10 @@ import json
 import math
 import os
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from chatloom.config import DEFAULT
 from chatloom.operators import checkpoints as CK
 from chatloom.operators import rewrite as R
 from chatloom.sources import io as IO
@@ -174,6 +176,41 @@ def test_training_progress(spark, tmp_path):
     assert not later[0].training_active and later[0].current_pass == 3 and all(r.completed for r in later)
 
 
+def _gate_fold(min_ppl: float, tolerance: float):
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "run_id"], kind="mergesort")
+        cur_p = None
+        cur_id = None
+        out_p, out_dep, out_par = [], [], []
+        for mode, q_sft, rid in zip(pdf["mode"].to_numpy(), pdf["sft_perplexity"].to_numpy(), pdf["run_id"].to_numpy()):
+            q = (999.0 if cur_p is None else cur_p) if mode == "dpo" else float(q_sft)
+            deploy = cur_p is None or cur_p < min_ppl or q <= cur_p * tolerance
+            out_p.append(q)
+            out_dep.append(bool(deploy))
+            out_par.append(cur_id)
+            if deploy:
+                cur_p, cur_id = q, int(rid)
+        return pd.DataFrame(
+            {
+                "model_line": pdf["model_line"].to_numpy(),
+                "run_id": pdf["run_id"].to_numpy(),
+                "ts": pdf["ts"].to_numpy(),
+                "mode": pdf["mode"].to_numpy(),
+                "perplexity": out_p,
+                "deployed": out_dep,
+                "parent_run": pd.array(out_par, dtype="Int64"),
+            }
+        )
+
+    return fold
+
+
+def deploy_gate_grouped(runs, cfg=DEFAULT):
+    """C2 reference form: one sequential fold per model line (``applyInPandas``)."""
+    narrow = CK.checkpoint_metrics(runs).select("model_line", "run_id", "ts", "mode", "sft_perplexity")
+    return narrow.groupBy("model_line").applyInPandas(_gate_fold(cfg.min_perplexity, cfg.perplexity_tolerance), CK.GATE_SCHEMA)
+
+
 def test_parallel_gate_equals_sequential_fold_under_skew(spark):
     import random
 
@@ -193,7 +230,7 @@ def test_parallel_gate_equals_sequential_fold_under_skew(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
         par = CK.deploy_gate(df)
-        seq = CK.deploy_gate_grouped(df)
+        seq = deploy_gate_grouped(df)
         assert par.count() == seq.count() == len(rows)
         assert par.exceptAll(seq).count() == 0
     finally:
