@@ -89,13 +89,15 @@ def fx_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     # ln() differs in the last bit between math libraries; the stand-in loss is quantised
     # to 1e-9 so every engine starts from the same value.
     raw = F.log(F.lit(1.5) + (F.floor(F.col("o_totalprice")) % 300) / F.lit(100.0))
-    eval_loss = F.floor(raw * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)
+    measured = F.floor(raw * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)
+    k = F.col("o_orderkey")
+    eval_loss = F.when(k % 97 == 0, F.lit(None)).when(k % 89 == 0, F.lit(120.0)).otherwise(measured)  # not evaluated; diverged
     return o.select(
         F.col("o_orderkey").alias("run_id"),
         (F.col("o_custkey") % 5).alias("model_line"),
         F.col("o_orderdate").alias("ts"),
         F.when(F.col("o_orderpriority") == "5-LOW", F.lit("dpo")).otherwise(F.lit("sft")).alias("mode"),
-        (eval_loss * F.lit(0.9)).alias("train_loss"),
+        F.when(k % 83 != 0, measured * F.lit(0.9)).alias("train_loss"),
         eval_loss.alias("eval_loss"),
         ((F.col("o_orderkey") % 7) != 0).alias("has_adapter"),
     )

@@ -66,7 +66,8 @@ def fx_runs_cte() -> str:
     return f"""fx_runs AS (
   SELECT o_orderkey AS run_id, o_custkey % 5 AS model_line, o_orderdate AS ts,
          CASE WHEN o_orderpriority = '5-LOW' THEN 'dpo' ELSE 'sft' END AS mode,
-         {ev} * {d(0.9)} AS train_loss, {ev} AS eval_loss,
+         CASE WHEN o_orderkey % 83 <> 0 THEN {ev} * {d(0.9)} END AS train_loss,
+         CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderkey % 89 = 0 THEN {d(120.0)} ELSE {ev} END AS eval_loss,
          o_orderkey % 7 <> 0 AS has_adapter
   FROM orders
 )"""
