@@ -190,17 +190,18 @@ class ReassembleProcessor(StatefulProcessor):
         self.sent = handle.getValueState("sent", "sent boolean", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        sent = self.sent.exists()
-        for pdf in rows:  # batch by batch; lines after the reply was emitted (such as a late [DONE]) are ignored
-            if not sent:
-                for r in pdf.itertuples(index=False):
-                    self.buf.appendValue((int(r.seq), r.delta, r.finish_reason, bool(r.done), bool(r.end)))
-        if sent:
+        if self.sent.exists():  # lines after the reply was emitted (such as a late [DONE]) are ignored
+            for _ in rows:
+                pass
             return
-        allrows = pd.DataFrame(list(self.buf.get()), columns=["seq", "delta", "finish_reason", "done", "end"]).sort_values("seq")
-        finished = allrows["done"].any() or allrows["finish_reason"].notna().any() or allrows["end"].any()
-        if not finished:
+        finished = False
+        for pdf in rows:
+            for r in pdf.itertuples(index=False):
+                self.buf.appendValue((int(r.seq), r.delta, r.finish_reason, bool(r.done), bool(r.end)))
+            finished |= bool(pdf["done"].eq(True).any() or pdf["finish_reason"].notna().any() or pdf["end"].eq(True).any())
+        if not finished:  # earlier lines did not finish it either: the buffer is read once, at the end
             return
+        allrows = pd.DataFrame(list(self.buf.get()), columns=["seq", "delta", "finish_reason", "done", "end"]).sort_values("seq")
         if allrows["end"].any():
             allrows = allrows[allrows["seq"] < allrows.loc[allrows["end"], "seq"].min()]
         fin = allrows["finish_reason"].dropna()
