@@ -143,12 +143,15 @@ def simhash_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def with_components(rows: DataFrame, max_bits: int = 2, segments: int = 5, bucket_limit: int = 128) -> DataFrame:
-    """``rows`` (k1, k2, fp) with ``component``: the least k1 reachable over links."""
+    """``rows`` (k1, k2, fp) with ``root``, the least fingerprint reachable over links, and ``component``, the least k1.
+
+    Only the root tells components apart: unrelated texts may share an id, or have none.
+    """
     prints = pin(rows.groupBy("fp").agg(F.min("k1").alias("k1")))
     roots = connected_components(similar_fingerprints(prints.select("fp"), max_bits, segments, bucket_limit), "a", "b")
     of_print = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = of_print.groupBy("root").agg(F.min("k1").alias("component"))
-    return rows.join(of_print.join(least, "root").select("fp", "component"), "fp")
+    return rows.join(of_print.join(least, "root").select("fp", "root", "component"), "fp")
 
 
 def simhash_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3,
@@ -172,9 +175,10 @@ def keep_one_per_component(docs: DataFrame, id_column: str = "doc_id", text_colu
                            max_bits: int = 2, segments: int = 5, bucket_limit: int = 128) -> DataFrame:
     """The rows, with all their columns, of one document per component: the least id, then the least text hash.
 
-    Of rows that repeat both id and text one stays.
+    Of rows that repeat both id and text one stays.  Unrelated texts stay, also
+    where they share an id or have none.
     """
     rows = with_components(simhash_rows(docs, id_column, text_column, shingle), max_bits, segments, bucket_limit)
-    winners = rows.groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("w")).select("w.k1", "w.k2")
+    winners = rows.groupBy("root").agg(F.min(F.struct("k1", "k2")).alias("w")).select("w.k1", "w.k2")
     kept = packed(docs, id_column, text_column).join(winners, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     return kept.select("row.*")
