@@ -103,11 +103,13 @@ def fit_compression(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id
     """Fit on a bounded sample of labelled rows that are not held out.
 
     Bounds (of the sample only, never of what is scored): per class the
-    ``max_docs_per_class`` ids that come first by hash, of these the texts of at
-    most ``max_chars`` characters; so at most 4000 texts reach the driver.
+    ``max_docs_per_class`` ids that come first by hash among those with a text
+    in ``docs``, of each one block of at most ``max_chars`` characters (a text
+    of more is cut into such blocks and a hash of the id picks one); so at most
+    4000 blocks reach the driver.
     Every second of them, by hash, builds a dictionary and the others fit the
     logistic curve.  Ids with both labels, or a null one, teach nothing; of rows
-    that share an id the least text is taken.  A class without labelled text:
+    that share an id the least block is taken.  A class without labelled text:
     every text scores the share of label 1 (one half without any label).
     """
     known = (
@@ -116,12 +118,16 @@ def fit_compression(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id
             F.min("y").alias("y"), F.max("y").alias("y2"), F.count_if(F.col("y").isNull()).alias("unsaid"))
         .filter("id IS NOT NULL AND y = y2 AND y IN (0, 1) AND unsaid = 0").select("id", "y", F.xxhash64("id").alias("turn"))
     )
-    chosen = known.filter("y = 0").orderBy("turn").limit(max_docs_per_class).unionByName(
-        known.filter("y = 1").orderBy("turn").limit(max_docs_per_class))
+    texts_of = docs.select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text")).filter("text <> ''")
+    # narrow rows: only ids that have a text count against the bound
+    there = known.join(texts_of.select("id").distinct(), "id")
+    chosen = there.filter("y = 0").orderBy("turn").limit(max_docs_per_class).unionByName(
+        there.filter("y = 1").orderBy("turn").limit(max_docs_per_class))
+    blocks = F.ceil(F.length("text") / max_chars)
+    block = F.substr(F.col("text"), (F.pmod("turn", blocks) * max_chars + 1).cast("int"), F.lit(max_chars))
     sample = (
-        docs.select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"))
-        .join(F.broadcast(chosen), "id")  # at most 2 * max_docs_per_class rows
-        .filter(F.length("text").between(1, max_chars))
+        texts_of.join(F.broadcast(chosen), "id")  # at most 2 * max_docs_per_class rows
+        .select("id", "y", "turn", block.alias("text"))
         .groupBy("id", "y", "turn").agg(F.min("text").alias("text"))
         .orderBy("turn").collect()
     )

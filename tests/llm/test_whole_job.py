@@ -2,7 +2,7 @@
 
 import random
 
-from chatloom.llm import simhash
+from chatloom.llm import quality_classifier, simhash
 
 
 def prose(seed, n=40):
@@ -16,3 +16,18 @@ def test_near_dedup_keeps_unrelated_texts_that_share_an_id_or_have_none(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one_per_component(docs).collect()), key=str)
     assert kept == sorted([(None, a), (None, b), (None, c), (7, d), (7, prose(9))], key=str)
+
+
+def test_quality_fit_learns_from_long_texts_and_skips_labels_without_text(spark):
+    rng = random.Random(5)
+    syllables = {1: ["ta", "ri", "mo", "len", "su"], 0: ["XQ", "ZZ", "##", "$$", "!!"]}
+    text = lambda y: " ".join("".join(rng.choice(syllables[y]) for _ in range(3)) for _ in range(300))
+    texts = [(i, text(i % 2), i % 2) for i in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    labels = [(i, y) for i, _, y in texts]
+    right = lambda model: sum(r.predicted == r.doc_id % 2 for r in quality_classifier.score_quality(docs, model).collect()) / 120
+    long_texts = quality_classifier.fit_compression(docs, spark.createDataFrame(labels, "doc_id long, quality int"), max_chars=500)
+    assert long_texts.good and right(long_texts) > 0.95
+    strangers = [(i, i % 2) for i in range(1000, 5000)]
+    model = quality_classifier.fit_compression(docs, spark.createDataFrame(labels + strangers, "doc_id long, quality int"), max_docs_per_class=40)
+    assert model.good and right(model) > 0.95
