@@ -64,6 +64,28 @@ def pin(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def with_gone(rows: DataFrame, gone: DataFrame, places: DataFrame) -> DataFrame:
+    """``rows`` (k1, k2, ..) with ``gone``, the numbers of the parts to remove.
+
+    One row of a key loses what ``gone`` (k1, k2, gone) says; every further row
+    of the key repeats it and loses all its parts, those in ``places`` (k1, k2,
+    no; pinned, one row per part of every row).  Only rows of repeated keys are
+    numbered and pinned; a hot key is a skewed join with one row, no window.
+    """
+    copies = pin(
+        places.groupBy("k1", "k2", "no").count().filter("count > 1")
+        .groupBy("k1", "k2").agg(F.collect_set("no").alias("gone")))
+    if copies.isEmpty():
+        return rows.join(gone, ["k1", "k2"], "left")
+    keys = copies.select("k1", "k2")
+    several = pin(rows.join(keys, ["k1", "k2"], "left_semi").withColumn("place", F.monotonically_increasing_id()))
+    first = several.groupBy("k1", "k2").agg(F.min("place").alias("first"))
+    numbered = several.join(first, ["k1", "k2"]).withColumn("later", F.col("place") > F.col("first")).drop("place", "first")
+    marked = rows.join(keys, ["k1", "k2"], "left_anti").withColumn("later", F.lit(False)).unionByName(numbered)
+    both = gone.withColumn("later", F.lit(False)).unionByName(copies.withColumn("later", F.lit(True)))
+    return marked.join(both, ["k1", "k2", "later"], "left").drop("later")
+
+
 def fresh_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores added until no column has that name (any case)."""
     taken = {c.lower() for c in df.columns}

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import WORD, id_of_key, keyed, let, packed, pin
+from chatloom.llm.common import WORD, id_of_key, keyed, let, packed, pin, with_gone
 
 #: Modulus and base of the rolling hash; products stay below 2^52.
 PRIME = (1 << 31) - 1
@@ -57,8 +57,9 @@ def chunks_of(text: Column, window: int, divisor: int, with_text: bool) -> Colum
     return let(F.split(text, "\n", -1), build)
 
 
-def repeated_chunks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 2, divisor: int = 3) -> DataFrame:
-    """``(k1, k2, gone)``: per document key the numbers of the chunks to remove.
+def repeated_chunks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 2,
+                    divisor: int = 3) -> tuple[DataFrame, DataFrame]:
+    """``(k1, k2, gone)``: per document key the numbers of the chunks to remove; and ``(k1, k2, no)`` of all chunks that can be.
 
     Digests are counted first (narrow rows, combined map-side); only the texts
     of chunks with a repeated digest are compared, by grouping on the bytes.
@@ -76,7 +77,7 @@ def repeated_chunks(docs: DataFrame, id_column: str = "doc_id", text_column: str
     place = F.struct("k1", "k2", "no")
     first = bodies.groupBy("digest", "body").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("last > first").select("digest", "body", "first")
     gone = bodies.join(first, ["digest", "body"]).filter(place > F.col("first"))
-    return gone.groupBy("k1", "k2").agg(F.collect_set("no").alias("gone"))
+    return gone.groupBy("k1", "k2").agg(F.collect_set("no").alias("gone")), narrow.select("k1", "k2", "no")
 
 
 def without_chunks(text: Column, gone: Column, window: int, divisor: int) -> Column:
@@ -100,14 +101,14 @@ def without_chunks(text: Column, gone: Column, window: int, divisor: int) -> Col
 def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 2, divisor: int = 3) -> DataFrame:
     """Per row: doc_id, text without repeated chunks, and counts of lines and chunks before and removed.
 
-    A null text counts as empty (one empty line, never removed).  Rows that
-    repeat both id and text count as one document; rows that share only the id
-    are ordered by text hash; null ids come last.  An empty table gives an
+    A null text counts as empty (one empty line, never removed).  Of rows that
+    repeat both id and text one comes first and the others repeat its chunks;
+    rows that share only the id are ordered by text hash; null ids come last.  An empty table gives an
     empty result.  Other columns are not read.
     """
-    gone = repeated_chunks(docs, id_column, text_column, window, divisor)
+    gone, places = repeated_chunks(docs, id_column, text_column, window, divisor)
     none = F.array().cast("array<int>")
-    joined = keyed(docs, id_column, text_column).join(gone, ["k1", "k2"], "left")
+    joined = with_gone(keyed(docs, id_column, text_column), gone, places)
     return joined.select(
         id_of_key("k1").alias("doc_id"),
         without_chunks(F.col("text"), F.coalesce("gone", none), window, divisor).alias("r"),
@@ -121,8 +122,8 @@ def dedup_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     Untouched texts, nulls included, stay as they are.  ``length_column``, if
     given, is set to the length of a changed text.
     """
-    gone = repeated_chunks(docs, id_column, text_column, window, divisor)
-    joined = packed(docs, id_column, text_column).join(gone, ["k1", "k2"], "left")
+    gone, places = repeated_chunks(docs, id_column, text_column, window, divisor)
+    joined = with_gone(packed(docs, id_column, text_column), gone, places)
     old = F.col("row").getField(text_column)
     new = F.when(F.col("gone").isNull(), old).otherwise(
         without_chunks(F.coalesce(old.cast("string"), F.lit("")), F.col("gone"), window, divisor)["text"])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import NULL_ID, fresh_name, id_of_key, keyed, packed, pin
+from chatloom.llm.common import NULL_ID, fresh_name, id_of_key, keyed, packed, pin, with_gone
 
 _UNIT = "d1 long, d2 long, no int"
 
@@ -105,15 +105,15 @@ def unit_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     Units of fewer than ``min_chars`` normalised characters are never removed
     (blank lines and short headings repeat by nature).  ``rank``: a long column
     of ``docs``, least first, nulls last; by default the id decides.  Null
-    texts are empty.  Rows that repeat id and text (and rank) count as one
-    document; rows that share only the id are ordered by text hash; null ids
-    come last.  An empty table gives an empty result.  Other columns are not read.
+    texts are empty.  Of rows that repeat id and text one comes first, with the
+    least rank of them, and the others repeat its units; rows that share only
+    the id are ordered by text hash; null ids come last.  An empty table gives an empty result.  Other columns are not read.
     """
     if unit not in ("line", "paragraph"):
         raise ValueError("unit must be line or paragraph")
     raw = F.col("text").cast("binary").alias("raw")
     base = keyed(docs, id_column, text_column).select("k1", "k2", raw)
-    places = pin(base.mapInArrow(_digests(unit, min_chars), f"{_UNIT}, k1 long, k2 long"))
+    found = places = pin(base.mapInArrow(_digests(unit, min_chars), f"{_UNIT}, k1 long, k2 long"))
     order = F.struct("k1", "k2", "no")
     if rank is not None:
         best = packed(docs.withColumn(fresh_name(docs, "rank_"), rank), id_column, text_column).select(
@@ -122,5 +122,5 @@ def unit_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         order = F.struct("rank", "k1", "k2", "no")
     first = places.groupBy("d1", "d2").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("last > first").select("d1", "d2", "first")
     gone = places.join(first, ["d1", "d2"]).filter(order > F.col("first")).groupBy("k1", "k2").agg(F.collect_list("no").alias("gone"))
-    result = base.join(gone, ["k1", "k2"], "left").select("k1", "raw", "gone").mapInArrow(_drop(unit), _RESULT)
+    result = with_gone(base, gone, found.select("k1", "k2", "no")).select("k1", "raw", "gone").mapInArrow(_drop(unit), _RESULT)
     return result.select(id_of_key("k1").alias("doc_id"), "n_units", "n_removed", "removed", "kept")

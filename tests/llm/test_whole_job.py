@@ -2,7 +2,7 @@
 
 import random
 
-from chatloom.llm import quality_classifier, simhash
+from chatloom.llm import line_dedup, quality_classifier, simhash, unit_dedup
 
 
 def prose(seed, n=40):
@@ -31,3 +31,18 @@ def test_quality_fit_learns_from_long_texts_and_skips_labels_without_text(spark)
     strangers = [(i, i % 2) for i in range(1000, 5000)]
     model = quality_classifier.fit_compression(docs, spark.createDataFrame(labels + strangers, "doc_id long, quality int"), max_docs_per_class=40)
     assert model.good and right(model) > 0.95
+
+
+def test_rows_that_repeat_id_and_text_lose_their_repeats(spark):
+    a, b = ("\n".join(prose(100 * k + i, 8) for i in range(40)) for k in (5, 6))
+    docs = spark.createDataFrame([(None, a, i) for i in range(4)] + [(3, b, 4), (3, b, 5), (9, b, 6), (None, None, 7), (None, None, 8)],
+                                 "doc_id long, text string, n int").repartition(4)
+    units = [r.kept for r in unit_dedup.unit_dedup(docs).collect()]
+    assert sorted(map(len, units)) == sorted([0] * 7 + [len(a), len(b)]) and {a, b} <= set(units)
+    lined = line_dedup.line_dedup(docs).collect()
+    # a later copy keeps what a copy under another id keeps: chunks of fewer than two lines
+    (by_id,) = {r.n_removed_chunks for r in lined if r.doc_id == 9}
+    assert by_id > 5 and sorted(r.n_removed_chunks for r in lined if r.doc_id == 3) == [0, by_id]
+    assert [r.n_removed_chunks > 5 for r in sorted(lined, key=lambda r: r.n_removed_chunks) if r.doc_id is None] == [False] * 3 + [True] * 3
+    texts = line_dedup.dedup_texts(docs).collect()
+    assert sorted(r.n for r in texts) == list(range(9)) and sum(r.text == a for r in texts) == sum(r.text == b for r in texts) == 1
