@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import decontaminate, line_dedup, mixing, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, unit_dedup, warc
+from chatloom.llm import decontaminate, line_dedup, merkle, mixing, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, unit_dedup, warc
 from chatloom.session import read_table
 
 #: The contract's parameters.
@@ -97,10 +97,15 @@ def op10_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_units", "n_removed", offsets.alias("removed_offsets"), F.md5(F.col("kept").cast("binary")).alias("kept_md5"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle leaf, subroot, root and checked proof of every document."""
+    return merkle.audit(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules, op2_line_dedup, op3_quality_classifier, op4_warc_derivatives, op5_simhash_near_dedup,
-        op6_suffix_array_dedup, op7_benchmark_decontamination, op8_secret_scan, op9_mix_sources, op10_unit_dedup)
+        op6_suffix_array_dedup, op7_benchmark_decontamination, op8_secret_scan, op9_mix_sources, op10_unit_dedup, op11_merkle_manifest)
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -184,4 +189,49 @@ SELECT doc_id, count(*)::BIGINT AS n_units, (count(*) FILTER (WHERE gone))::BIGI
        coalesce(string_agg(a::BIGINT::VARCHAR || '-' || (a + length(line))::BIGINT::VARCHAR, ',' ORDER BY no) FILTER (WHERE gone), '') AS removed_offsets,
        md5(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS kept_md5
 FROM m GROUP BY doc_id""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, concat(
+           coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-'), coalesce(strlen(source) || ':' || source, '-'),
+           coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-')) AS head, text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+             lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 2 = 0 AS tampered
+  FROM documents),
+leaf AS (
+  SELECT *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) AS broken,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM d),
+up AS (
+  SELECT 0 AS lvl, source, pos, n, leaf AS digest FROM leaf
+  UNION ALL
+  SELECT lvl + 1, source, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY lvl, source, pos // 3),
+sub AS (SELECT source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, pos, n, digest FROM sub
+  UNION ALL
+  SELECT lvl + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 3),
+kin AS (
+  SELECT lvl, source, pos, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM up WHERE n > 1 WINDOW w AS (PARTITION BY lvl, source, pos // 3 ORDER BY pos)),
+topkin AS (
+  SELECT lvl, pos, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM top WHERE n > 1 WINDOW w AS (PARTITION BY lvl, pos // 3 ORDER BY pos)),
+walk AS (
+  SELECT source, pos AS k, 0 AS lvl, pos, CASE WHEN tampered THEN broken ELSE leaf END AS digest, '' AS proof FROM leaf
+  UNION ALL
+  SELECT w.source, w.k, w.lvl + 1, w.pos // 3, sha256(l || w.digest || r), w.proof || l || r
+  FROM walk w JOIN kin ON kin.lvl = w.lvl AND kin.pos = w.pos AND kin.source IS NOT DISTINCT FROM w.source),
+done AS (SELECT source, k, arg_max(digest, lvl) AS digest, arg_max(proof, lvl) AS proof FROM walk GROUP BY source, k),
+climb AS (
+  SELECT done.source, k, 0 AS lvl, sub.pos, done.digest, proof FROM done JOIN sub ON sub.source IS NOT DISTINCT FROM done.source
+  UNION ALL
+  SELECT c.source, c.k, c.lvl + 1, c.pos // 3, sha256(l || c.digest || r), c.proof || l || r FROM climb c JOIN topkin t ON t.lvl = c.lvl AND t.pos = c.pos),
+fin AS (SELECT source, k, arg_max(digest, lvl) AS digest, arg_max(proof, lvl) AS proof FROM climb GROUP BY source, k)
+SELECT doc_id, leaf, sub.digest AS subroot, top.digest AS root, sha256(fin.proof) AS proof_sha256, fin.digest AS folded_root, fin.digest = top.digest AS verified
+FROM leaf JOIN sub ON sub.source IS NOT DISTINCT FROM leaf.source
+JOIN fin ON fin.source IS NOT DISTINCT FROM leaf.source AND fin.k = leaf.pos, (SELECT digest FROM top WHERE n = 1) top""",
 }
