@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.session import cut_lineage
+from chatloom.session import checkpoint_dir, cut_lineage
 
 #: A word: a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,6 +65,14 @@ def pin(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read back; like ``pin``, for columns that encode well."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def with_gone(rows: DataFrame, gone: DataFrame, places: DataFrame) -> DataFrame:
     """``rows`` (k1, k2, ..) with ``gone``, the numbers of the parts to remove.
 
