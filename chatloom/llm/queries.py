@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import alignment, decontaminate, line_dedup, merkle, mixing, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, unit_dedup, warc
+from chatloom.llm import alignment, decontaminate, line_dedup, merkle, mixing, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, toxicity, unit_dedup, warc
 from chatloom.session import read_table
 
 #: The contract's parameters.
@@ -102,6 +102,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(read_table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Convolutional classifier fitted on labels.toxic, over all documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment of two public tokenizers over every document."""
     return alignment.cross_tokenizer_alignment(read_table(spark, sf_dir, "documents"))
@@ -111,7 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules, op2_line_dedup, op3_quality_classifier, op4_warc_derivatives, op5_simhash_near_dedup,
         op6_suffix_array_dedup, op7_benchmark_decontamination, op8_secret_scan, op9_mix_sources, op10_unit_dedup, op11_merkle_manifest,
-        op13_cross_tokenizer_alignment)
+        op12_toxicity, op13_cross_tokenizer_alignment)
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
