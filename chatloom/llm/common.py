@@ -73,17 +73,24 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_gone(rows: DataFrame, gone: DataFrame, places: DataFrame) -> DataFrame:
-    """``rows`` (k1, k2, ..) with ``gone``, the numbers of the parts to remove.
+def copies_of(places: DataFrame) -> DataFrame:
+    """``(k1, k2, gone)``, pinned: of keys that several rows share, the numbers of all parts.
 
-    One row of a key loses what ``gone`` (k1, k2, gone) says; every further row
-    of the key repeats it and loses all its parts, those in ``places`` (k1, k2,
-    no; pinned, one row per part of every row).  Only rows of repeated keys are
-    numbered and pinned; a hot key is a skewed join with one row, no window.
+    ``places``: (k1, k2, no), one row per part of every row.
     """
-    copies = pin(
+    return pin(
         places.groupBy("k1", "k2", "no").count().filter("count > 1")
         .groupBy("k1", "k2").agg(F.collect_set("no").alias("gone")))
+
+
+def with_gone(rows: DataFrame, gone: DataFrame, copies: DataFrame) -> DataFrame:
+    """``rows`` (k1, k2, ..) with ``gone``, the numbers of the parts to remove.
+
+    One row of a key loses what ``gone`` (k1, k2, gone) says; every further row
+    of the key repeats it and loses all its parts, those in ``copies`` (as of
+    ``copies_of``).  Only rows of repeated keys are numbered and pinned; a hot
+    key is a skewed join with one row, no window.
+    """
     if copies.isEmpty():
         return rows.join(gone, ["k1", "k2"], "left")
     keys = copies.select("k1", "k2")

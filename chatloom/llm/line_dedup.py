@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import WORD, id_of_key, keyed, let, packed, pin, with_gone
+from chatloom.llm.common import WORD, copies_of, id_of_key, keyed, let, packed, pin, with_gone
 
 #: Modulus and base of the rolling hash; products stay below 2^52.
 PRIME = (1 << 31) - 1
@@ -108,7 +108,7 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     """
     gone, places = repeated_chunks(docs, id_column, text_column, window, divisor)
     none = F.array().cast("array<int>")
-    joined = with_gone(keyed(docs, id_column, text_column), gone, places)
+    joined = with_gone(keyed(docs, id_column, text_column), gone, copies_of(places))
     return joined.select(
         id_of_key("k1").alias("doc_id"),
         without_chunks(F.col("text"), F.coalesce("gone", none), window, divisor).alias("r"),
@@ -123,7 +123,7 @@ def dedup_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     given, is set to the length of a changed text.
     """
     gone, places = repeated_chunks(docs, id_column, text_column, window, divisor)
-    joined = with_gone(packed(docs, id_column, text_column), gone, places)
+    joined = with_gone(packed(docs, id_column, text_column), gone, copies_of(places))
     old = F.col("row").getField(text_column)
     new = F.when(F.col("gone").isNull(), old).otherwise(
         without_chunks(F.coalesce(old.cast("string"), F.lit("")), F.col("gone"), window, divisor)["text"])

@@ -91,7 +91,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every document that occur earlier, with their offsets."""
+    """Sentences of every document in paragraphs that occur earlier, with their offsets."""
     out = unit_dedup.unit_dedup(read_table(spark, sf_dir, "documents"))
     offsets = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["begin"].cast("string"), r["stop"].cast("string"))), ",")
     return out.select("doc_id", "n_units", "n_removed", offsets.alias("removed_offsets"), F.md5(F.col("kept").cast("binary")).alias("kept_md5"))
@@ -189,18 +189,37 @@ SELECT doc_id, size, source_size, target,
 FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)""",
     "op10_unit_dedup": r"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no FROM documents),
-u AS (
-  SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS plain,
-         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
-  FROM l),
-m AS (SELECT *, length(plain) >= 20 AND row_number() OVER (PARTITION BY plain ORDER BY doc_id, no) > 1 AS gone FROM u)
-SELECT doc_id, count(*)::BIGINT AS n_units, (count(*) FILTER (WHERE gone))::BIGINT AS n_removed,
-       coalesce(string_agg(a::BIGINT::VARCHAR || '-' || (a + length(line))::BIGINT::VARCHAR, ',' ORDER BY no) FILTER (WHERE gone), '') AS removed_offsets,
-       md5(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS kept_md5
-FROM m GROUP BY doc_id""",
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS toks,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS plain
+  FROM documents),
+w AS (SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM t),
+c AS (
+  SELECT *, coalesce(sum(CASE WHEN contains(tok, chr(10)) OR regexp_matches(tok, '[.!?][\x20\x09-\x0D]+$') THEN 1 ELSE 0 END)
+                       OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no,
+         coalesce(sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM w),
+s AS (
+  SELECT doc_id, no, min(i) - 1 AS a, max(i) AS b, min(i) + 19 AS need, min(pos) AS pos, string_agg(tok, '' ORDER BY i) AS body FROM c GROUP BY doc_id, no),
+run AS (SELECT s.doc_id, s.no, s.a, e.b FROM s ASOF JOIN s e ON s.doc_id = e.doc_id AND s.need <= e.b),
+par AS (
+  SELECT * FROM run
+  UNION ALL SELECT doc_id, 0, 0, len(plain) FROM t WHERE len(plain) BETWEEN 1 AND 19),
+seen AS (
+  SELECT par.*, row_number() OVER (PARTITION BY array_to_string(plain[a + 1:b], ' ') ORDER BY doc_id, no) > 1 AS gone
+  FROM par JOIN t USING (doc_id)),
+lost AS (SELECT DISTINCT s.doc_id, s.no FROM s JOIN seen p ON p.gone AND p.doc_id = s.doc_id AND p.a <= s.a AND s.b <= p.b),
+m AS (
+  SELECT s.*, lost.no IS NOT NULL AS gone, length(t.text) - list_sum(list_transform(t.toks, lambda x: length(x))) + s.pos AS start
+  FROM s JOIN t USING (doc_id) LEFT JOIN lost ON lost.doc_id = s.doc_id AND lost.no = s.no),
+r AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS n_gone, min(start) AS lead,
+         string_agg(start::BIGINT::VARCHAR || '-' || (start + length(regexp_replace(body, '[\x20\x09-\x0D]+$', '')))::BIGINT::VARCHAR, ',' ORDER BY no) FILTER (WHERE gone) AS cut,
+         string_agg(body, '' ORDER BY no) FILTER (WHERE NOT gone) AS rest
+  FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_units, coalesce(n_gone, 0)::BIGINT AS n_removed, coalesce(cut, '') AS removed_offsets,
+       md5(CASE WHEN n IS NULL THEN text ELSE substr(text, 1, lead::BIGINT) || coalesce(rest, '') END) AS kept_md5
+FROM t LEFT JOIN r USING (doc_id)""",
     "op11_merkle_manifest": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, concat(

@@ -296,14 +296,18 @@ def test_mixing(docs, rows):
     assert mixing.mix_plan(docs.limit(0)).count() == 0
 
 
-def test_unit_dedup_offsets_and_rank(docs, rows, spark):
+def in_rank(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+
+
+def test_unit_dedup_of_lines_has_no_floor(docs, rows, spark):
     seen = set()
-    out = {r.doc_id: r for r in unit_dedup.unit_dedup(docs).collect()}
-    for doc_id, text, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+    out = {r.doc_id: r for r in unit_dedup.unit_dedup(docs, unit="line").collect()}
+    for doc_id, text, _ in in_rank(rows):
         kept, spans, at = [], [], 0
         for line in (text or "").split("\n"):
             plain = " ".join(words(line)).lower()
-            if len(plain) >= 20 and plain in seen:
+            if plain and plain in seen:
                 spans.append((at, at + len(line)))
             else:
                 kept.append(line)
@@ -311,12 +315,84 @@ def test_unit_dedup_offsets_and_rank(docs, rows, spark):
             at += len(line) + 1
         assert [(s.begin, s.stop) for s in out[doc_id].removed] == spans
         assert out[doc_id].kept == "\n".join(kept)
+    short = spark.createDataFrame([(1, "a\nb c\n"), (2, "B  C\nd\na")], "doc_id long, text string")
+    assert {r.doc_id: r.kept for r in unit_dedup.unit_dedup(short, unit="line").collect()} == {1: "a\nb c\n", 2: "d"}
+    assert unit_dedup.unit_dedup(docs.limit(0), unit="line").count() == 0
+
+
+def paragraph_brute(rows, min_words):
+    """Sentences as word ranges; every paragraph occurrence compared with all earlier ones as text."""
+    seen, out = set(), {}
+    for doc_id, text, _ in in_rank(rows):
+        text = text or ""
+        found = [(m.start(), m.end()) for m in re.finditer(SPACE, text)]
+        units, own = [], []
+        for k, (a, b) in enumerate(found):
+            own.append((a, b))
+            gap = text[b:found[k + 1][0]] if k + 1 < len(found) else "\n"
+            if "\n" in gap or text[b - 1] in ".!?":
+                units.append(own)
+                own = []
+        plain = [" ".join(text[a:b] for a, b in u) for u in units]
+        plain = ["".join(c.lower() if c.isascii() else c for c in p) for p in plain]
+        runs = []
+        for i in range(len(units)):
+            for j in range(i + 1, len(units) + 1):
+                if sum(map(len, units[i:j])) >= min_words:
+                    runs.append((i, j))
+                    break
+        gone = set()
+        for i, j in runs or [(0, len(units))]:
+            if units:
+                body = " ".join(plain[i:j])
+                if body in seen:
+                    gone.update(range(i, j))
+                seen.add(body)
+        kept, at = "", 0
+        for k, u in enumerate(units):
+            if k in gone:
+                kept += text[at:u[0][0]]
+                at = units[k + 1][0][0] if k + 1 < len(units) else len(text)
+        out[doc_id] = (len(units), [(units[k][0][0], units[k][-1][1]) for k in sorted(gone)], kept + text[at:])
+    return out
+
+
+@pytest.mark.parametrize("min_words", [20, 7, 1])
+def test_unit_dedup_of_paragraphs_equals_brute_force(spark, min_words):
+    rng = random.Random(min_words)
+    sentence = lambda: " ".join("".join(rng.choice("abcdEé") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 14))) + rng.choice([". ", "! ", ".\n", "\n", " \n\n", "?  ", ".) ", "."])
+    stock = [sentence() for _ in range(6)]
+    passage = "".join(sentence() for _ in range(9))
+    texts = []
+    for i in range(70):
+        t = "".join(sentence() if rng.random() < 0.6 else rng.choice(stock) for _ in range(rng.randint(0, 12)))
+        if i % 3 == 0:
+            at = rng.randint(0, len(passage) // 2)
+            t = t[:len(t) // 2] + " " + passage[at:at + 400].upper() + t[len(t) // 2:]
+        texts.append(rng.choice(["", " ", "\n\t"]) + t)
+    texts += [texts[5], texts[6], "same. " * 500, "word " * 3000, "x y", "X  y", None, "", " \n "]
+    rows = [(3 * i, t, None) for i, t in enumerate(texts)]
+    names = "k1 long, k2 string, no int, d1 int, raw string, gone int, rank string, n int, p int"
+    extra = tuple(None for _ in names.split(","))
+    docs = spark.createDataFrame([(*r[:2], *extra) for r in rows], f"doc_id long, text string, {names}").repartition(4)
+    out = {r.doc_id: (r.n_units, [(s.begin, s.stop) for s in r.removed], r.kept) for r in unit_dedup.unit_dedup(docs, min_words=min_words).collect()}
+    assert out == paragraph_brute(rows, min_words)
+    assert sum(len(o[1]) for o in out.values()) > 50
+    assert unit_dedup.unit_dedup(docs.limit(0), min_words=min_words).count() == 0
+
+
+def test_unit_dedup_finds_a_passage_inside_lines_and_leaves_a_stock_sentence(spark):
+    long_ = "We went down to the harbour. The boats were all gone by then. Nobody had seen them leave, or would say so. We waited until the evening tide."
+    docs = spark.createDataFrame([(1, "Start here. " + long_), (2, "All rights reserved."), (3, "Own words. All rights reserved.\nMore own words that no one else has written down here. " + long_ + " And an end."),
+                                  (4, "Licence text. All rights reserved. A last sentence of its own with many more words than the others have got in this table.")], "doc_id long, text string")
+    out = {r.doc_id: r for r in unit_dedup.unit_dedup(docs).collect()}
+    assert out[1].n_removed == out[2].n_removed == out[4].n_removed == 0
+    assert out[3].kept == "Own words. All rights reserved.\nMore own words that no one else has written down here. And an end."
     two = spark.createDataFrame([(1, "a line that is long enough", 9), (2, "A  line that is long enough", 1)], "doc_id long, text string, order_ int")
-    ranked = {r.doc_id: r.n_removed for r in unit_dedup.unit_dedup(two, rank=F.col("order_")).collect()}
-    assert ranked == {1: 1, 2: 0}
-    paragraphs = spark.createDataFrame([(1, "one two three four five\nsix seven\n\nother text of some length"), (2, "x\n\none two three four five\nsix seven\n\ny")], "doc_id long, text string")
-    assert {r.doc_id: r.kept for r in unit_dedup.unit_dedup(paragraphs, unit="paragraph").collect()}[2] == "x\n\n\ny"
-    assert unit_dedup.unit_dedup(docs.limit(0)).count() == 0
+    for unit in ("line", "paragraph"):
+        assert {r.doc_id: r.n_removed for r in unit_dedup.unit_dedup(two, unit=unit, rank=F.col("order_")).collect()} == {1: 1, 2: 0}
+    with pytest.raises(ValueError):
+        unit_dedup.unit_dedup(docs, unit="page")
 
 
 def test_pipeline_stage_by_stage(spark, sf_small):
