@@ -175,19 +175,22 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op9_mix_sources": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(concat_ws('|', 'mix', coalesce(doc_id::VARCHAR, ''), coalesce(source, ''), coalesce(text, ''))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS turn
+         md5(concat('mix', coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                    coalesce(strlen(text) || ':' || text, '-'))) AS key
   FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+n AS (SELECT *, ('0x' || substr(md5(key || '|' || (row_number() OVER (PARTITION BY key) - 1)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS turn FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, sum(size * size)::BIGINT AS squares FROM d GROUP BY source),
 p AS (SELECT *, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 3 * source_size AS stop FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY stop::DOUBLE / weight, source) AS k FROM p),
 r AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(stop) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS rest,
              (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS open FROM o),
 f AS (SELECT k, rest, open FROM r WHERE NOT stop::DOUBLE < rest::DOUBLE * weight / open::DOUBLE ORDER BY k LIMIT 1),
-t AS (SELECT o.source, o.source_size, CASE WHEN o.k < f.k THEN o.stop::DOUBLE ELSE f.rest::DOUBLE * o.weight / f.open::DOUBLE END AS target FROM o, f)
+t AS (SELECT o.source, o.source_size, o.squares, CASE WHEN o.k < f.k THEN o.stop::DOUBLE ELSE f.rest::DOUBLE * o.weight / f.open::DOUBLE END AS target FROM o, f)
 SELECT doc_id, size, source_size, target,
-       (size * (floor(rate) + CASE WHEN turn < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * (floor(rate) + CASE WHEN turn < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken,
+       sqrt((rate - floor(rate)) * (1 - (rate - floor(rate))) * squares) AS target_error
 FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)""",
+      FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source)""",
     "op10_unit_dedup": r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS toks,

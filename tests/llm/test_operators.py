@@ -296,6 +296,31 @@ def test_mixing(docs, rows):
     assert mixing.mix_plan(docs.limit(0)).count() == 0
 
 
+def test_mixing_draws_for_every_repeated_row(spark):
+    six, two = "a b c d e f", "g h"
+    rows = [(None, six, "hot")] * 400 + [(None, two, "hot")] * 300 + [(1, six, None)] * 40 + [(1, six, "")] * 40 + [(i, six, "b") for i in range(100)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, source string, n int").repartition(7)
+    plan = mixing.mix_plan(docs, weights=(2, 3, 2, 5)).collect()
+    assert len(plan) == len(rows)
+    by_source = collections.defaultdict(list)
+    for r in plan:
+        by_source[r.source_size, r.target].append(r)
+    assert len(by_source) >= 3
+    for (_, target), own in by_source.items():
+        errors = {r.target_error for r in own}
+        assert len(errors) <= 2 and all(r.taken <= 3 * r.size for r in own)
+    hot = [r for r in plan if r.source_size == 3000]
+    taken, error = sum(r.taken for r in hot), hot[0].target_error
+    assert error > 0 and abs(taken - hot[0].target) <= 3 * error and 0 < len({r.taken for r in hot if r.size == 6})
+    assert len({r.taken for r in hot if r.size == 6}) == 2  # equal rows draw for themselves
+    again = mixing.mix_plan(docs.repartition(3), weights=(2, 3, 2, 5)).collect()
+    assert collections.Counter(map(tuple, again)) == collections.Counter(map(tuple, plan))
+    one, other = ({(r.n, r.copy) for r in mixing.mix(docs.repartition(k), weights=(2, 3, 2, 5)).collect()} for k in (2, 5))
+    assert one == other and len(one) == sum(r.taken // r.size for r in plan)
+    keys = docs.select(mixing.row_key(F.col("doc_id"), F.col("source"), F.col("text"), "mix").alias("k"), "source").distinct().collect()
+    assert len({r.k for r in keys if r.source in (None, "")}) == 2  # null and empty sources are apart
+
+
 def in_rank(rows):
     return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
 
