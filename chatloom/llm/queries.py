@@ -127,15 +127,17 @@ ORACLE: dict[str, str] = {
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, count(*) OVER (PARTITION BY doc_id) AS n FROM l),
-e AS (
-  SELECT *, CASE WHEN i = n THEN 1
-                 WHEN i >= 2 AND (((lag(h) OVER w % 2147483647) * 1000003 + h) % 2147483647) % 3 = 0 THEN 1 ELSE 0 END AS ends
-  FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, regexp_matches(line, '[^\x20\x09-\x0D]') AS worded, count(*) OVER (PARTITION BY doc_id) AS n FROM l),
+r AS (
+  SELECT doc_id, i, row_number() OVER w AS j, count(*) OVER (PARTITION BY doc_id) AS m,
+         (coalesce(lag(h) OVER w % 2147483647, 0) * 1000003 + h) % 2147483647 AS roll
+  FROM h WHERE worded WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+b AS (SELECT doc_id, i FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i) QUALIFY j BETWEEN 2 AND m - 2 AND roll < lag(roll) OVER w AND roll < lead(roll) OVER w),
+e AS (SELECT h.*, CASE WHEN h.i = n OR b.i IS NOT NULL THEN 1 ELSE 0 END AS ends FROM h LEFT JOIN b ON b.doc_id = h.doc_id AND b.i = h.i),
 c AS (SELECT *, sum(ends) OVER (PARTITION BY doc_id ORDER BY i) - ends AS no FROM e),
 chunk AS (
   SELECT doc_id, no, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS lines,
-         count(*) FILTER (WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) AS worded, min(i) AS first
+         count(*) FILTER (WHERE worded) AS worded, min(i) AS first
   FROM c GROUP BY doc_id, no),
 seen AS (SELECT *, worded >= 2 AND row_number() OVER (PARTITION BY body, worded >= 2 ORDER BY doc_id, no) > 1 AS gone FROM chunk)
 SELECT doc_id, sum(lines)::BIGINT AS n_lines, count(*)::BIGINT AS n_chunks,

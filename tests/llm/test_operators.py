@@ -82,28 +82,46 @@ def test_vote_model_finds_the_bad_class():
     assert all(abs(b - want) < 0.15 for b, (_, want) in zip(model.on_bad, rates))
 
 
-def chunk_brute(rows, window=2, divisor=3):
+def chunk_brute(rows, window=2):
     prime, base, out, seen = (1 << 31) - 1, 1_000_003, {}, set()
     for doc_id, text, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         lines = (text or "").split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        kept, first = [], 0
-        for i in range(len(lines)):
+        worded = [i for i, x in enumerate(lines) if re.search(SPACE, x)]
+        rolls = []
+        for j in range(len(worded)):
             rolled = 0
-            for x in h[max(i - window + 1, 0):i + 1]:
-                rolled = (rolled * base + x) % prime
-            if i == len(lines) - 1 or (i + 1 >= window and rolled % divisor == 0):
-                body = lines[first:i + 1]
-                multi = sum(bool(re.search(SPACE, x)) for x in body) >= 2
-                if not (multi and "\n".join(body) in seen):
-                    kept += body
-                if multi:
-                    seen.add("\n".join(body))
-                first = i + 1
+            for i in worded[max(j - window + 1, 0):j + 1]:
+                rolled = (rolled * base + int(hashlib.md5(lines[i].encode()).hexdigest()[:8], 16)) % prime
+            rolls.append(rolled)
+        ends = [worded[j] for j in range(1, len(worded) - 2) if rolls[j] < rolls[j - 1] and rolls[j] < rolls[j + 1]] + [len(lines) - 1]
+        kept, first = [], 0
+        for end in ends:
+            body = lines[first:end + 1]
+            multi = sum(bool(re.search(SPACE, x)) for x in body) >= 2
+            assert multi or len(worded) < 2
+            if not (multi and "\n".join(body) in seen):
+                kept += body
+            if multi:
+                seen.add("\n".join(body))
+            first = end + 1
         out[doc_id] = "\n".join(kept)
     return out
 
 
+def test_line_dedup_removes_later_copies_whole_and_most_of_a_passage(spark):
+    rng = random.Random(8)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(2, 9)))
+    passage = [line() for _ in range(60)]
+    long_ = "\n".join(line() for _ in range(3000))
+    odd = "same line\n" * 500 + "\n \nother\n"
+    rows = [(1, "\n".join(passage)), (2, "\n".join([line(), line()] + passage + [line()])), (3, "two\nlines"), (4, "two\nlines"), (5, "one line"), (6, "one line"),
+            (7, long_), (8, long_), (9, odd), (10, odd), (11, "a\n\n\nb"), (12, "a\n\n\nb")]
+    out = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i].text == "" and out[i].n_removed_lines == out[i].n_lines for i in (4, 8, 10, 12))
+    assert out[5].n_removed_lines == out[6].n_removed_lines == 0  # a line alone is no chunk of several lines
+    assert out[1].n_removed_lines == 0 and 50 <= out[2].n_removed_lines <= 60 and out[7].n_removed_lines == 0
+
+
 def test_line_dedup(docs, rows, spark):
     want = chunk_brute(rows)
     out = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}

@@ -40,7 +40,7 @@ def test_rows_that_repeat_id_and_text_lose_their_repeats(spark):
     units = [r.kept for r in unit_dedup.unit_dedup(docs).collect()]
     assert sorted(map(len, units)) == sorted([0] * 7 + [len(a), len(b)]) and {a, b} <= set(units)
     lined = line_dedup.line_dedup(docs).collect()
-    # a later copy keeps what a copy under another id keeps: chunks of fewer than two lines
+    # a later copy, under its own id or another, loses every chunk
     (by_id,) = {r.n_removed_chunks for r in lined if r.doc_id == 9}
     assert by_id > 5 and sorted(r.n_removed_chunks for r in lined if r.doc_id == 3) == [0, by_id]
     assert [r.n_removed_chunks > 5 for r in sorted(lined, key=lambda r: r.n_removed_chunks) if r.doc_id is None] == [False] * 3 + [True] * 3
