@@ -18,6 +18,7 @@ shuffle.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -56,23 +57,50 @@ def _byte_of() -> dict[str, int]:
 _BYTE_OF = _byte_of()
 
 
+#: The pattern with which byte-level BPE of this kind splits a text before merging (fixed value).
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class ByteLevel:
-    """A byte-level BPE of a ``tokenizers`` file; special tokens in a text are plain text."""
+    """A byte-level BPE of a ``tokenizers`` file; special tokens in a text are plain text.
+
+    Where the merges are numbered in their order, an id is its merge's rank, and
+    tiktoken's faster engine gives the same tokens from the file's vocabulary.
+    """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        special = {i for i, t in self._tokenizer.get_added_tokens_decoder().items() if t.special}
-        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
-        self.token_bytes = [b""] * (max(vocabulary.values()) + 1)
+        with open(path, encoding="utf-8") as file:
+            description = json.load(file)
+        vocabulary, merges = description["model"]["vocab"], description["model"]["merges"]
+        special = {t["content"] for t in description["added_tokens"]}
+        self.token_bytes = [b""] * (max([*vocabulary.values(), *(t["id"] for t in description["added_tokens"])]) + 1)
         for token, i in vocabulary.items():
-            self.token_bytes[i] = token.encode() if i in special else byte_level_bytes(token)
+            self.token_bytes[i] = token.encode() if token in special else byte_level_bytes(token)
+        first = len(vocabulary.keys() - special) - len(merges)
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in merges)
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        if description["normalizer"] is None and plain.items() <= (description["pre_tokenizer"] or {}).items() and all(
+                vocabulary.get(x + y) == first + k for k, (x, y) in enumerate(pairs)):
+            import tiktoken
+
+            ranks = {self.token_bytes[i]: i for token, i in vocabulary.items() if token not in special}
+            ordinary = tiktoken.Encoding("byte_level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self._encode = lambda texts: [ordinary(t) for t in texts]
+        else:
+            self._encode = plain_encode(path)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return self._encode([" " + t for t in texts])
+
+
+def plain_encode(path: str) -> Callable[[list[str]], list[list[int]]]:
+    """The ``tokenizers`` library's own encoding of a file."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class Pieces:

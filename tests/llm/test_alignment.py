@@ -104,6 +104,16 @@ def test_equals_plain_python(spark, common_pairs, monkeypatch):
     assert sum(1 for r in want if r[1] == 0) >= 4 and sum(1 for r in want if r[1]) > 60
 
 
+def test_both_engines_of_the_byte_level_tokenizer_agree():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    fast = alignment.ByteLevel(path)
+    points = [c for c in range(0x20, 0x110000, 7) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(3)
+    texts = [t or "" for _, t in corpus()] + [f"a{chr(c)}{chr(c)}b1 {chr(c)}'s" for c in points]
+    texts += ["".join(rng.choice("ab 1\n\t'sé東🙂\u00a0\u3000\x1c\x85") for _ in range(40)) for _ in range(3000)]
+    assert fast.encode(texts) == alignment.plain_encode(path)([" " + t for t in texts])
+
+
 def test_empty_table(spark):
     assert alignment.cross_tokenizer_alignment(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
