@@ -228,26 +228,31 @@ def fx_chunks(spark: SparkSession, sf_dir: str, turns: DataFrame | None = None)
 
     The text is cut into 16-character pieces, one line each; even conversations use
     NDJSON (``message.content``, then a ``done`` line with ``done_reason``), odd ones SSE
-    (``data: `` + ``choices[0].delta.content``, a finish line, then ``[DONE]``).  Each
-    request also gets one blank and one malformed line.
+    (``data: `` + ``choices[0].delta.content``, a finish line, then ``[DONE]``), with an
+    empty instead of a null finish reason in every second of them.  Each request also gets
+    one blank and one malformed line.  A line's time is its turn's, a second later per piece.
     """
     t = (fx_turns(spark, sf_dir) if turns is None else turns).where(F.col("role") == "assistant")
     n = F.greatest(F.lit(1), F.ceil(F.length("text") / F.lit(CHUNK)).cast("int"))
     pieces = t.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
         F.when(F.col("conv_id") % 2 == 0, F.lit("ollama")).otherwise(F.lit("openai")).alias("provider"),
-        "text",
+        "text", "ts", F.when(F.col("conv_id") % 4 == 1, F.lit("")).alias("open"),
         F.explode(F.sequence(F.lit(0), n - 1)).alias("i"),
     )
+
+    def later(seconds: Column) -> Column:
+        return F.timestamp_add("SECOND", seconds, F.col("ts")).alias("ts")
+
     piece = F.substring("text", F.col("i") * CHUNK + 1, CHUNK)
     ollama = F.to_json(F.struct(F.struct(piece.alias("content")).alias("message"), F.lit(False).alias("done")))
     sse = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(
-        F.struct(piece.alias("content")).alias("delta"), F.lit(None).cast("string").alias("finish_reason"))).alias("choices"))))
+        F.struct(piece.alias("content")).alias("delta"), F.col("open").alias("finish_reason"))).alias("choices"))))
     body = pieces.select(
         "request_id", "provider", (F.col("i") * 10 + 10).alias("seq"),
-        F.when(F.col("provider") == "ollama", ollama).otherwise(sse).alias("line"),
+        F.when(F.col("provider") == "ollama", ollama).otherwise(sse).alias("line"), later(F.col("i")),
     )
-    reqs = pieces.where(F.col("i") == 0).select("request_id", "provider", "text")
+    reqs = pieces.where(F.col("i") == 0).select("request_id", "provider", "text", "ts")
     n_end = (F.greatest(F.lit(1), F.ceil(F.length("text") / F.lit(CHUNK)).cast("int")) * 10 + 10)
     tail = reqs.select(
         "request_id", "provider",
@@ -259,11 +264,11 @@ def fx_chunks(spark: SparkSession, sf_dir: str, turns: DataFrame | None = None)
                      .otherwise(F.lit('data: {"choices":[{"delta":{},"finish_reason":"stop"}]}')).alias("l")),
             F.struct(F.lit(-2).alias("o"), F.when(F.col("provider") == "openai", F.lit("data: [DONE]")).alias("l")),
         )).alias("x"),
-        n_end.alias("_end"),
+        n_end.alias("_end"), "ts",
     ).select(
         "request_id", "provider",
         F.when(F.col("x.o") == -1, F.col("_end")).when(F.col("x.o") == -2, F.col("_end") + 1).otherwise(F.col("x.o")).alias("seq"),
-        F.col("x.l").alias("line"),
+        F.col("x.l").alias("line"), later(F.when(F.col("x.o") < 0, F.col("_end") / 10).otherwise(F.lit(0)).cast("int")),
     ).where(F.col("line").isNotNull())
     return body.unionByName(tail)
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,12 +52,15 @@ def checkpoint_metrics(runs: DataFrame) -> DataFrame:
 class GateMachine(Machine):
     """C2 as an ordered fold: state = (deployed perplexity, deployed run) or None.
 
+    A DPO run always deploys and keeps the perplexity; so the SFT runs alone
+    decide which perplexities are deployed, and from a deployed SFT run the next
+    is the first whose perplexity is within tolerance of its own: a function of
+    that run, whatever came before.
+
     Segment summary (for a segment entered with an unknown state): an SFT run can
     only be the first to deploy if its perplexity is a strict prefix minimum of
-    the segment's SFT perplexities (a "record"), and after that deployment the
-    rest of the segment no longer depends on the entry.  The trajectories started
-    at each record are simulated together and merged as soon as they coincide;
-    consecutive records with the same exit form one group (threshold, exit).  An
+    the segment's SFT perplexities (a "record"); from there the exit follows.
+    Consecutive records with the same exit form one group (threshold, exit).  An
     entry baseline p then exits through the first group whose smallest record is
     <= p x tolerance (the very first group when p is below the sanity floor), or
     keeps p (with the last DPO run as current) when no SFT run deploys.
@@ -66,46 +71,105 @@ class GateMachine(Machine):
         self.tol = tolerance
         self.initial = None
 
-    def step(self, state, row):
-        p, cid = state if state is not None else (None, None)
-        q = (999.0 if p is None else p) if row.mode == "dpo" else float(row.sft_perplexity)
-        deploy = p is None or p < self.min_ppl or q <= p * self.tol
-        out = {"model_line": row.model_line, "run_id": row.run_id, "ts": row.ts, "mode": row.mode,
-               "perplexity": q, "deployed": bool(deploy), "parent_run": cid}
-        return ((q, int(row.run_id)) if deploy else state), out
-
-    def summary_start(self):
-        return {"none": None, "traj": {}, "records": [], "min_q": float("inf"), "last_dpo": None}
-
-    def summary_feed(self, acc, row):
-        acc["none"] = self.step(acc["none"], row)[0]
-        moved: dict = {}
-        for st, recs in acc["traj"].items():
-            moved.setdefault(self.step(st, row)[0], []).extend(recs)
-        if row.mode == "dpo":
-            acc["last_dpo"] = int(row.run_id)
-        else:
-            q = float(row.sft_perplexity)
-            if q < acc["min_q"]:
-                acc["min_q"] = q
-                acc["records"].append(q)
-                moved.setdefault((q, int(row.run_id)), []).append(len(acc["records"]) - 1)
-        acc["traj"] = moved
-        return acc
-
-    def summary_finish(self, acc):
-        exits = [None] * len(acc["records"])
-        for st, recs in acc["traj"].items():
-            for k in recs:
-                exits[k] = list(st)
-        groups = []
-        for k, ex in enumerate(exits):
-            if groups and groups[-1][1] == ex:
-                groups[-1][0] = acc["records"][k]
+    def load(self, pdf):
+        dpo = (pdf["mode"] == "dpo").to_numpy()
+        q = pdf["sft_perplexity"].astype(float).to_numpy()
+        sft = np.flatnonzero(~dpo)
+        return dpo, pdf["run_id"].to_numpy(), q, sft, q[sft]
+
+    def _next(self, q, i: int, stop: int, p: float | None) -> int:
+        """Place of the first SFT run from ``i`` on that deploys over ``p`` (``stop`` if none); looks ahead in growing steps."""
+        if p is None or p < self.min_ppl:
+            return i
+        step, limit = 16, p * self.tol
+        while i < stop:
+            hit = np.flatnonzero(q[i:min(i + step, stop)] <= limit)
+            if len(hit):
+                return i + int(hit[0])
+            i, step = i + step, step * 4
+        return stop
+
+    def _entry_baseline(self, rows, start: int, state):
+        """The perplexity that SFT runs from ``start`` on meet: 999 after a DPO run that came before any."""
+        return state[0] if state is not None else (999.0 if rows[0][start] else None)
+
+    def _deployed(self, rows, start: int, stop: int, baseline) -> tuple[list[int], int, int]:
+        """Places, among the SFT runs, of those deployed from ``baseline`` on; first and last place of the slice."""
+        _, _, _, sft, q = rows
+        first, last = (int(np.searchsorted(sft, x)) for x in (start, stop))
+        places, i, p = [], first, baseline
+        while (i := self._next(q, i, last, p)) < last:
+            places.append(i)
+            p, i = q[i], i + 1
+        return places, first, last
+
+    def run(self, rows, start: int, stop: int, state, found=None):
+        dpo, run_id, _, sft, q = rows
+        baseline = self._entry_baseline(rows, start, state)
+        places, _, _ = self._deployed(rows, start, stop, baseline)
+        deployed = dpo[start:stop].copy()
+        deployed[sft[places] - start] = True
+        if found is not None:
+            found.append((start, stop, state, baseline, deployed, sft[places], q[places]))
+        ends = np.flatnonzero(deployed)
+        if not len(ends):
+            return state
+        return float(q[places[-1]]) if places else float(baseline), int(run_id[start + ends[-1]])
+
+    def emit(self, pdf, found):
+        parts = []
+        for start, stop, state, baseline, deployed, at, q in found:
+            own = pdf[["model_line", "run_id", "ts", "mode"]].iloc[start:stop]
+            n = stop - start
+            before = np.searchsorted(at, np.arange(start, stop), side="right")  # deployed SFT runs up to each row
+            held = np.concatenate([[np.nan if baseline is None else baseline], q])[before]
+            dpo = (own["mode"] == "dpo").to_numpy()
+            last = np.maximum.accumulate(np.where(deployed, np.arange(n), -1))
+            prior = np.concatenate([[-1], last[:-1]])
+            ids = own["run_id"].to_numpy()
+            parent = pd.array(np.where(prior >= 0, ids[np.maximum(prior, 0)], 0 if state is None else state[1]), dtype="Int64")
+            parent[(prior < 0) & (state is None)] = pd.NA
+            parts.append(own.assign(perplexity=np.where(dpo, held, pdf["sft_perplexity"].astype(float).to_numpy()[start:stop]),
+                                    deployed=deployed, parent_run=parent))
+        return pd.concat(parts, ignore_index=True)
+
+    def summary(self, rows, start: int, stop: int):
+        dpo, run_id, _, sft, q = rows
+        first, last = (int(np.searchsorted(sft, x)) for x in (start, stop))
+        own = q[first:last]
+        lowest = np.minimum.accumulate(own) if len(own) else own
+        records = np.flatnonzero(own < np.concatenate([[np.inf], lowest[:-1]])) if len(own) else []
+        last_dpo = np.flatnonzero(dpo[start:stop])
+        last_dpo = start + int(last_dpo[-1]) if len(last_dpo) else None
+        final: dict[int, int] = {}  # deployed place -> last place that deploys after it
+        groups: list = []
+        for r in records:
+            path, i = [], first + int(r)
+            while i < last and i not in final:
+                path.append(i)
+                i = self._next(q, i + 1, last, q[i])
+            end = final[i] if i < last else path[-1]
+            final.update(dict.fromkeys(path, end))
+            row = int(sft[end])
+            exit_ = [float(q[end]), int(run_id[row if last_dpo is None else max(row, last_dpo)])]
+            if groups and groups[-1][1] == exit_:
+                groups[-1][0] = float(own[r])
+            else:
+                groups.append([float(own[r]), exit_])
+        none = self.run(rows, start, stop, None)
+        return {"groups": groups, "none": list(none) if none is not None else None, "last_dpo": int(run_id[last_dpo]) if last_dpo is not None else None}
+
+    def compose(self, first, second):
+        groups: list = []
+        lowest = first["groups"][-1][0] if first["groups"] else float("inf")
+        for low, exit_ in [(low, list(self.resume(second, tuple(exit_)))) for low, exit_ in first["groups"]] + [g for g in second["groups"] if g[0] < lowest]:
+            if groups and groups[-1][1] == exit_:
+                groups[-1][0] = low
             else:
-                groups.append([acc["records"][k], ex])
-        return {"groups": groups, "none": list(acc["none"]) if acc["none"] is not None else None,
-                "last_dpo": acc["last_dpo"]}
+                groups.append([low, exit_])
+        none = self.resume(second, tuple(first["none"]) if first["none"] is not None else None)
+        return {"groups": groups, "none": list(none) if none is not None else None,
+                "last_dpo": second["last_dpo"] if second["last_dpo"] is not None else first["last_dpo"]}
 
     def resume(self, summary, entry):
         if entry is None:

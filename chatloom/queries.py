@@ -1156,21 +1156,29 @@ from chatloom.sources import io as IO  # noqa: E402
 from chatloom.streaming import jobs as T  # noqa: E402
 
 
-def _streamed(spark, df, order, job, name, **options):
+def _streamed(spark, df, order, job, name, closing=None, **options):
     """``job`` over ``df`` arriving in three parts, ascending by ``order``."""
     T.enable_state_store(spark)
-    stream, feeds = IO.sliced_stream(df, order)
+    stream, feeds = IO.sliced_stream(df, order, closing=closing)
     return T.run_available_now(job(stream), name, feeds=feeds, **options)
 
 
+def _shuffled(df, minutes):
+    """``df`` with ``arrival``: its event time, up to so many minutes later (an arrival out of order)."""
+    delay = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(minutes * 60)).cast("int")
+    return df.withColumn("arrival", F.timestamp_add("SECOND", delay, F.col("ts")))
+
+
 @register("t2_stream_pair", ORACLE["p2_pair_turns"])
 def q_t2(spark, sf_dir):
-    return _streamed(spark, fx.fx_turns(spark, sf_dir), "turn", T.stream_pair, "t2")
+    turns = _shuffled(fx.fx_turns(spark, sf_dir), 50)  # within the hour that the stream waits
+    return _streamed(spark, turns, "arrival", T.stream_pair, "t2", IO.closing_row(turns, "ts", dt.timedelta(days=40)))
 
 
 @register("t3_stream_reassemble", ORACLE["n7_reassemble_reply"])
 def q_t3(spark, sf_dir):
-    return _streamed(spark, fx.fx_chunks(spark, sf_dir), "seq", T.stream_reassemble, "t3")
+    chunks = fx.fx_chunks(spark, sf_dir)
+    return _streamed(spark, chunks, "ts", T.stream_reassemble, "t3", IO.closing_row(chunks, "ts", dt.timedelta(days=2)))
 
 
 T4_SQL = with_ctes(FXI) + """SELECT date_trunc('day', "timestamp") AS window_start, date_trunc('day', "timestamp") + INTERVAL 1 DAY AS window_end,
@@ -1214,7 +1222,7 @@ def q_t5b(spark, sf_dir):
 
 @register("t5_stream_triggers", T5_SQL)
 def q_t5(spark, sf_dir):
-    return _streamed(spark, fxi(spark, sf_dir), "timestamp", T.stream_triggers, "t5")
+    return _streamed(spark, fxi(spark, sf_dir), "timestamp", lambda x: x, "t5", batch_job=T.trigger_batch(), schema=T.TRIGGER_SCHEMA)
 
 
 T6_SQL = """WITH RECURSIVE

@@ -7,6 +7,7 @@ come from the hidden ``_metadata.file_path`` column.
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 import uuid
 from collections.abc import Callable
@@ -29,8 +30,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def sliced_stream(df: DataFrame, order: str, slices: int = 3) -> tuple[DataFrame, list[Callable[[], None]]]:
-    """``df`` as a stream that arrives in ``slices`` parts, ascending by ``order`` (nulls first).
+def sliced_stream(df: DataFrame, order: str, slices: int = 3, closing: DataFrame | None = None) -> tuple[DataFrame, list[Callable[[], None]]]:
+    """``df`` as a stream that arrives in ``slices`` parts, ascending by ``order`` (nulls first), and then ``closing``.
 
     Returns the stream and one function per part that adds it to the stream's folder.
     """
@@ -47,7 +48,16 @@ def sliced_stream(df: DataFrame, order: str, slices: int = 3) -> tuple[DataFrame
         return lambda: df.where(place == part).write.mode("append").parquet(path)
 
     df.limit(0).write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path), [add(i) for i in range(len(cuts) + 1)]
+    feeds = [add(i) for i in range(len(cuts) + 1)]
+    if closing is not None:
+        feeds.append(lambda: closing.select(df.columns).write.mode("append").parquet(path))
+    return spark.readStream.schema(df.schema).parquet(path), feeds
+
+
+def closing_row(df: DataFrame, event_time: str, after: dt.timedelta) -> DataFrame:
+    """One row of nulls but for its event time, ``after`` past the latest of ``df``: it moves a stream's watermark past all of them."""
+    last = df.agg(F.max(event_time).alias("last")).select(F.timestamp_add("MICROSECOND", F.lit(int(after.total_seconds() * 1_000_000)).cast("long"), F.col("last")).alias("last"))
+    return last.select(*[(F.col("last") if f.name == event_time else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def write_request_log(requests: DataFrame, path: str) -> None:

@@ -259,7 +259,7 @@ def fx_chunks_cte() -> str:
   SELECT request_id, provider, i * 10 + 10 AS seq,
          CASE WHEN provider = 'ollama'
               THEN '{"message":{"content":' || to_json(substring(text, i * 16 + 1, 16))::VARCHAR || '},"done":false}'
-              ELSE 'data: {"choices":[{"delta":{"content":' || to_json(substring(text, i * 16 + 1, 16))::VARCHAR || '},"finish_reason":null}]}' END AS line
+              ELSE 'data: {"choices":[{"delta":{"content":' || to_json(substring(text, i * 16 + 1, 16))::VARCHAR || '},"finish_reason":' || CASE WHEN request_id // 1000 % 4 = 1 THEN '""' ELSE 'null' END || '}]}' END AS line
   FROM p
   UNION ALL SELECT request_id, provider, 5, '' FROM t
   UNION ALL SELECT request_id, provider, 7, '{not json' FROM t

@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Callable, Iterable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ def enable_state_store(spark: SparkSession) -> None:
 
 
 def run_available_now(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None,
-                      feeds: Iterable[Callable[[], None]] = (lambda: None,)) -> DataFrame:
+                      feeds: Iterable[Callable[[], None]] = (lambda: None,), batch_job: Callable | None = None, schema: str | None = None) -> DataFrame:
     """Drain all available input through ``stream`` and return what the sink holds.
 
     Each of ``feeds`` is called in turn, and what it added is drained before the next one, by a
@@ -42,21 +43,26 @@ def run_available_now(stream: DataFrame, name: str, mode: str = "append", keys:
     append: rows are appended to a parquet sink.  update: each micro-batch's
     changed rows are appended with their batch id, and the latest version per
     ``keys`` is returned (an upsert log, so windows that are still open at the
-    end are reported too).
+    end are reported too).  batch: ``batch_job(micro-batch, batch id, state folder)``
+    gives the rows (of ``schema``) that a micro-batch appends.
     """
     spark = stream.sparkSession
     base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
     out, ck = f"{base}/data", f"{base}/checkpoint"
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)  # there even if nothing is emitted
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")  # a replayed batch replaces itself
+        rows = batch_job(batch, batch_id, f"{base}/state") if batch_job else batch
+        rows.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")  # a replayed batch replaces itself
 
     for feed in feeds:
         feed()
-        writer = stream.writeStream.option("checkpointLocation", ck).trigger(availableNow=True).outputMode(mode)
-        writer = writer.format("parquet").option("path", out) if mode == "append" else writer.foreachBatch(sink)
+        writer = stream.writeStream.option("checkpointLocation", ck).trigger(availableNow=True).outputMode("append" if batch_job else mode)
+        writer = writer.format("parquet").option("path", out) if mode == "append" and not batch_job else writer.foreachBatch(sink)
         writer.start().awaitTermination()
+    if batch_job:
+        return spark.read.schema(schema).parquet(out).drop("_batch")
     if mode == "append":
         return spark.read.schema(stream.schema).parquet(out)
     result = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", LongType())])).parquet(out)
@@ -97,55 +103,132 @@ def stream_score(requests: DataFrame, rules=None, cfg: Thresholds = DEFAULT) ->
 PAIR_SCHEMA = "conv_id bigint, turn bigint, user_message string, assistant_response string"
 
 
+def _ceil_ms(us: int) -> int:
+    """The first millisecond, the timers' grid, that is not before ``us``."""
+    return -(-us // 1000)
+
+
+def _micros(column: pd.Series) -> list[int]:
+    return column.to_numpy().astype("datetime64[us]").astype("int64").tolist()
+
+
+def _texts(column: pd.Series) -> list:
+    """Strings, and None for whatever stands for null."""
+    return [t if isinstance(t, str) else None for t in column]
+
+
+def _state_key(column: str) -> Column:
+    """A long key as text, empty for null: the Python workers mix up null keys with others of their batch."""
+    return F.coalesce(F.col(column).cast("string"), F.lit("")).alias("state_key")
+
+
+def _key_column(value: str, n: int) -> pd.Series:
+    """The long (or null) column of a state key."""
+    return pd.Series([int(value) if value else None] * n, dtype="Int64")
+
+
+class OneTimer:
+    """Keeps at most one event-time timer per key; its time is a value state, since the handle lists timers only one by one."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.handle = handle
+        self.state = handle.getValueState("timer", "ms bigint")
+
+    def at(self) -> int | None:
+        return self.state.get()[0] if self.state.exists() else None
+
+    def move(self, ms: int) -> None:
+        now = self.at()
+        if now == ms:
+            return
+        if now is not None:
+            self.handle.deleteTimer(now)
+        self.handle.registerTimer(ms)
+        self.state.update((ms,))
+
+    def fired(self) -> None:
+        self.state.clear()
+
+
 class PairProcessor(StatefulProcessor):
-    """Remembers the last assistant text per conversation across micro-batches.
+    """Holds turns back until the watermark has passed them, so late ones take their place.
 
-    With a TTL the remembered text expires after that long without an update, so
-    state of finished conversations does not accumulate."""
+    State of a conversation: the turns that are not released yet, the last
+    assistant text released, and the time of its last turn.  One event-time
+    timer per conversation releases the earliest turn held; when none is held it
+    stands at the last turn plus the retention, and then everything is cleared.
+    """
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
+    def __init__(self, retention_us: int):
+        self.retention_us = retention_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last_assistant", "text string", self.ttl_ms)
+        self.held = handle.getListState("held", "turn bigint, role string, text string, us bigint")
+        self.last = handle.getValueState("last", "text string, us bigint")
+        self.timer = OneTimer(handle)
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values("turn", kind="mergesort")
-        prior = self.last.get()[0] if self.last.exists() else None
-        asst = pdf["text"].where(pdf["role"] == "assistant")
-        before = asst.shift(1).ffill()
-        if prior is not None:
-            before = before.fillna(prior)
-        users = pdf[(pdf["role"] == "user") & before.notna()]
-        last_asst = asst.dropna()
-        if len(last_asst):
-            self.last.update((last_asst.iloc[-1],))
-        yield pd.DataFrame(
-            {
-                "conv_id": users["conv_id"].astype("int64"),
-                "turn": users["turn"].astype("int64"),
-                "user_message": users["text"],
-                "assistant_response": before[users.index],
-            }
-        )
+        first = newest = None
+        for pdf in rows:
+            pdf = pdf[pdf["role"].notna() & pdf["turn"].notna()]
+            if len(pdf):
+                us = _micros(pdf["ts"])
+                self.held.appendList(list(zip(map(int, pdf["turn"]), pdf["role"], _texts(pdf["text"]), us)))
+                first = min(us) if first is None else min(first, *us)
+                newest = max(us) if newest is None else max(newest, *us)
+        if first is not None:
+            text, before = self.last.get() if self.last.exists() else (None, newest)
+            self.last.update((text, max(newest, before)))
+            now = self.timer.at()  # of the earliest turn held, or later
+            self.timer.move(_ceil_ms(first) if now is None else min(now, _ceil_ms(first)))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.timer.fired()
+        if not self.last.exists():
+            return
+        watermark = timerValues.getCurrentWatermarkInMs()
+        held = sorted(self.held.get(), key=lambda r: (r[0], r[3])) if self.held.exists() else []
+        rest = [r for r in held if _ceil_ms(r[3]) > watermark]
+        text, newest = self.last.get()
+        users = []
+        for turn, role, own, us in held:
+            if _ceil_ms(us) > watermark:
+                continue
+            if role == "user" and text is not None:
+                users.append((turn, own, text))
+            if role == "assistant" and own is not None:
+                text = own
+        if not rest and _ceil_ms(newest + self.retention_us) <= watermark:
+            self.held.clear()
+            self.last.clear()
+        else:
+            if len(rest) < len(held):
+                self.held.put(rest) if rest else self.held.clear()
+                self.last.update((text, newest))
+            self.timer.move(_ceil_ms(min(r[3] for r in rest) if rest else newest + self.retention_us))
+        if users:
+            turns, messages, texts = zip(*users)
+            yield pd.DataFrame({"conv_id": _key_column(key[0], len(users)), "turn": turns, "user_message": messages, "assistant_response": texts})
 
     def close(self) -> None:
         pass
 
 
-def stream_pair(turns: DataFrame, state_ttl_hours: float | None = None) -> DataFrame:
+def stream_pair(turns: DataFrame, delay: str = "1 hour", retention: dt.timedelta = dt.timedelta(days=30), event_time: str = "ts") -> DataFrame:
     """Pair each user turn with the last earlier assistant turn of its conversation.
 
-    Within a micro-batch rows are ordered by turn; a turn arriving after its
-    successor's batch pairs with the state at arrival.  For a continuously running
-    stream pass ``state_ttl_hours`` so conversation state expires after that much
-    processing time without an update (processing-time mode; not for ``availableNow``
-    drains, which keep scheduling no-data batches while TTL state is pending).
+    Turns may arrive in any order that is at most ``delay`` of event time late:
+    each is held until the watermark has passed it, and then takes its place by
+    turn number (event time must not fall as turns rise).  Later ones are
+    dropped by the watermark.  A conversation without a turn for ``retention``
+    of event time is forgotten, so state is bounded by what is active.  Turns
+    without a conversation are one conversation, as in the batch form; rows
+    without a role or turn number pair with nothing.
     """
-    ttl = int(state_ttl_hours * 3600 * 1000) if state_ttl_hours else None
-    return turns.select("conv_id", "turn", "role", "text").groupBy("conv_id").transformWithStateInPandas(
-        PairProcessor(ttl), PAIR_SCHEMA, "Append", "ProcessingTime" if ttl else "None"
-    )
+    src = turns.select(_state_key("conv_id"), "turn", "role", "text", F.col(event_time).cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    return src.groupBy("state_key").transformWithStateInPandas(
+        PairProcessor(int(retention.total_seconds() * 1_000_000)), PAIR_SCHEMA, "Append", "EventTime")
 
 
 # ----------------------------------------------------------------------------- T3
@@ -153,11 +236,11 @@ def stream_pair(turns: DataFrame, state_ttl_hours: float | None = None) -> DataF
 REPLY_SCHEMA = "request_id bigint, content string, finish_reason string, done boolean"
 
 
-def parsed_chunks(chunks: DataFrame) -> DataFrame:
-    """N6 on a chunk table: kept lines with (seq, delta, finish_reason, done, end)."""
+def parsed_chunks(chunks: DataFrame, *extra: str) -> DataFrame:
+    """N6 on a chunk table: kept lines with (seq, delta, finish_reason, done, end) and the ``extra`` columns."""
     p = C.parse_stream_line(F.col("line"), F.col("provider"))
-    return chunks.select("request_id", "seq", p.alias("p")).select(
-        "request_id", "seq", "p.keep", "p.delta", "p.finish_reason", "p.done", "p.end"
+    return chunks.select("request_id", "seq", *extra, p.alias("p")).select(
+        "request_id", "seq", *extra, "p.keep", "p.delta", "p.finish_reason", "p.done", "p.end"
     )
 
 
@@ -178,30 +261,39 @@ def reassemble_reply(chunks: DataFrame) -> DataFrame:
 class ReassembleProcessor(StatefulProcessor):
     """Buffer parsed chunks per request; emit the reply once it is finished.
 
-    Buffers of requests that never finish expire after the TTL."""
+    With a retention one event-time timer per request stands at its last line
+    plus the retention; then the buffer of a request that never finished, or
+    the mark of one that did, is cleared.
+    """
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
+    def __init__(self, retention_us: int | None = None):
+        self.retention_us = retention_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.buf = handle.getListState(
-            "chunks", "seq bigint, delta string, finish_reason string, done boolean, end boolean", self.ttl_ms
-        )
-        self.sent = handle.getValueState("sent", "sent boolean", self.ttl_ms)
+        self.buf = handle.getListState("chunks", "seq bigint, delta string, finish_reason string, done boolean, end boolean")
+        self.sent = handle.getValueState("sent", "sent boolean")
+        self.timer = OneTimer(handle)
 
     def handleInputRows(self, key, rows, timerValues):
-        if self.sent.exists():  # lines after the reply was emitted (such as a late [DONE]) are ignored
-            for _ in rows:
-                pass
-            return
-        finished = False
+        finished, sent, newest = False, self.sent.exists(), None
         for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                self.buf.appendValue((int(r.seq), r.delta, r.finish_reason, bool(r.done), bool(r.end)))
-            finished |= bool(pdf["done"].eq(True).any() or pdf["finish_reason"].notna().any() or pdf["end"].eq(True).any())
+            if "keep" in pdf:
+                pdf = pdf[pdf["keep"].eq(True) | pdf["end"].eq(True)]
+            if self.retention_us is not None and len(pdf):
+                newest = max([*([] if newest is None else [newest]), *_micros(pdf["ts"])])
+            if sent or not len(pdf):  # lines after the reply was emitted (such as a late [DONE]) are ignored
+                continue
+            flags = [pdf[c].eq(True).tolist() for c in ("done", "end")]
+            self.buf.appendList(list(zip(map(int, pdf["seq"]), _texts(pdf["delta"]), _texts(pdf["finish_reason"]), *flags)))
+            said = pdf["finish_reason"].notna() & (pdf["finish_reason"] != "")
+            finished |= bool(pdf["done"].eq(True).any() or said.any() or pdf["end"].eq(True).any())
+        if newest is not None:
+            now = self.timer.at()
+            expiry = _ceil_ms(newest + self.retention_us)
+            self.timer.move(expiry if now is None else max(now, expiry))
         if not finished:  # earlier lines did not finish it either: the buffer is read once, at the end
             return
-        allrows = pd.DataFrame(list(self.buf.get()), columns=["seq", "delta", "finish_reason", "done", "end"]).sort_values("seq")
+        allrows = pd.DataFrame(list(self.buf.get()), columns=["seq", "delta", "finish_reason", "done", "end"]).sort_values("seq", kind="mergesort")
         if allrows["end"].any():
             allrows = allrows[allrows["seq"] < allrows.loc[allrows["end"], "seq"].min()]
         fin = allrows["finish_reason"].dropna()
@@ -210,26 +302,35 @@ class ReassembleProcessor(StatefulProcessor):
         self.sent.update((True,))
         yield pd.DataFrame(
             {
-                "request_id": [int(key[0])],
+                "request_id": _key_column(key[0], 1),
                 "content": ["".join(d for d in allrows["delta"] if isinstance(d, str) and d)],
                 "finish_reason": [fin.iloc[-1] if len(fin) else "stop"],
                 "done": [bool(allrows["done"].any())],
             }
         )
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.timer.fired()
+        self.buf.clear()
+        self.sent.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
 
-def stream_reassemble(chunks: DataFrame, state_ttl_hours: float | None = None) -> DataFrame:
-    """N7 incrementally; a reply is emitted when its done / finish line has arrived.
-    On a continuously running stream, ``state_ttl_hours`` expires buffers of abandoned
-    requests (processing-time mode, as for ``stream_pair``)."""
-    ttl = int(state_ttl_hours * 3600 * 1000) if state_ttl_hours else None
-    p = parsed_chunks(chunks).where(F.col("keep") | F.col("end")).drop("keep")
-    return p.groupBy("request_id").transformWithStateInPandas(
-        ReassembleProcessor(ttl), REPLY_SCHEMA, "Append", "ProcessingTime" if ttl else "None"
-    )
+def stream_reassemble(chunks: DataFrame, delay: str = "1 hour", retention: dt.timedelta = dt.timedelta(hours=6), event_time: str = "ts") -> DataFrame:
+    """N7 incrementally; a reply is emitted when its done / finish line has arrived (an empty finish reason is none).
+
+    A request without a line for ``retention`` of event time is forgotten: lines
+    that never came to an end, and the mark that a reply was sent.  Lines more
+    than ``delay`` late are dropped by the watermark.  Lines without a request
+    are one request, as in the batch form.
+    """
+    timed = chunks.withColumn("ts", F.col(event_time).cast("timestamp")).withWatermark("ts", delay)
+    # lines without content are left out in the processor: a filter here would go below the watermark, which they move too
+    return parsed_chunks(timed, "ts").withColumn("state_key", _state_key("request_id")).groupBy("state_key").transformWithStateInPandas(
+        ReassembleProcessor(int(retention.total_seconds() * 1_000_000)), REPLY_SCHEMA, "Append", "EventTime")
 
 
 # ----------------------------------------------------------------------------- T4
@@ -282,35 +383,48 @@ def trigger_points(interactions: DataFrame, cfg: Thresholds = DEFAULT, key: str
     return scan(interactions.where(_counted(cfg)).select(*cols), key, ["timestamp", "id"], TriggerMachine(cfg, key), TRIGGER_SCHEMA)
 
 
-class TriggerProcessor(StatefulProcessor):
-    def __init__(self, cfg: Thresholds = DEFAULT, key: str = "model_line"):
-        self.machine = TriggerMachine(cfg, key)
+TRIGGER_STATE = "model_line bigint, state int"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("counters", "state int")
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["timestamp", "id"], kind="mergesort")
-        st = self.state.get()[0] if self.state.exists() else self.machine.initial
-        out = []
-        for r in pdf.itertuples(index=False):
-            st, emitted = self.machine.step(st, r)
-            if emitted is not None:
-                out.append(emitted)
-        self.state.update((int(st),))
-        if out:
-            yield pd.DataFrame(out, columns=["model_line", "timestamp", "id", "mode", "reason"])
+def trigger_batch(cfg: Thresholds = DEFAULT) -> Callable[[DataFrame, int, str], DataFrame]:
+    """T5 on a micro-batch: the ordered fold of the batch twin, entered with the counters that the previous batch left.
 
-    def close(self) -> None:
-        pass
+    A model line's rows are split over range partitions like any other rows; what
+    goes from batch to batch is one row per line, written whole under the batch's
+    id, so a replayed batch reads and writes the same.
+    """
+    from chatloom.plans.fsm import OrderedFold
 
+    key, order = "model_line", ["timestamp", "id"]
+    cols = [key, *order, "sentiment", "is_golden", "is_refusal"]
 
-def stream_triggers(interactions: DataFrame, cfg: Thresholds = DEFAULT) -> DataFrame:
-    """T5: emit a training decision each time a model line's counters cross a trigger."""
-    cols = ["model_line", "timestamp", "id", "sentiment", "is_golden", "is_refusal"]
-    return interactions.where(_counted(cfg)).select(*cols).groupBy("model_line").transformWithStateInPandas(
-        TriggerProcessor(cfg), TRIGGER_SCHEMA, "Append", "None"
-    )
+    def run(batch: DataFrame, batch_id: int, folder: str) -> DataFrame:
+        spark = batch.sparkSession
+        empty = spark.createDataFrame([], TRIGGER_STATE)
+        before = spark.read.schema(TRIGGER_STATE).parquet(f"{folder}/_batch={batch_id - 1}") if batch_id else empty
+        prior = before.select(F.col(key).alias("line"), "state")
+        rows = batch.where(_counted(cfg)).select(*cols).join(prior, F.col(key).eqNullSafe(F.col("line")), "left")
+        fold = OrderedFold(rows, key, order, TriggerMachine(cfg, key), cols, F.col("state"))
+        ends = fold.exits()
+        untouched = before.join(ends.select(F.col(key).alias("line")), F.col(key).eqNullSafe(F.col("line")), "left_anti")
+        ends.unionByName(untouched).write.mode("overwrite").parquet(f"{folder}/_batch={batch_id}")
+        return fold.emitted(TRIGGER_SCHEMA)
+
+    return run
+
+
+def stream_triggers(interactions: DataFrame, path: str, checkpoint: str, cfg: Thresholds = DEFAULT):
+    """T5: a training decision each time a model line's counters cross a trigger, appended to ``path``.
+
+    Returns the writer; rows of a micro-batch follow those of earlier ones.  The
+    table is partitioned by ``batch``; the counters are kept beside the checkpoint.
+    """
+    job = trigger_batch(cfg)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        job(batch, batch_id, f"{checkpoint.rstrip('/')}-counters").write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+    return interactions.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
 
 
 # ----------------------------------------------------------------------------- T6
@@ -352,34 +466,33 @@ class IdleProcessor(StatefulProcessor):
     def _timer_ms(last_us: int, gap_us: int) -> int:
         return -((-(last_us + gap_us)) // 1000)  # ceil to the timer's millisecond grid
 
-    def _emit(self, key, count, last_us):
-        return pd.DataFrame(
-            {"user_id": [int(key[0])], "idle_from": [pd.Timestamp(int(last_us), unit="us")], "events": [int(count)]}
-        )
+    def _emit(self, key, counts, last_us):
+        return pd.DataFrame({"user_id": _key_column(key[0], len(counts)), "idle_from": pd.to_datetime(last_us, unit="us"), "events": counts})
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="mergesort")
         count, last_us = (self.state.get() if self.state.exists() else (0, None))
-        out = []
         if last_us is not None:
             self.handle.deleteTimer(self._timer_ms(int(last_us), self.gap_us))
-        for t in pdf["ts"]:
-            us = int(pd.Timestamp(t).value // 1000)
-            if last_us is not None and us - last_us >= self.gap_us and count >= self.min_events:
-                out.append(self._emit(key, count, last_us))
-                count = 0
-            count, last_us = count + 1, us
-        self.state.update((int(count), int(last_us)))
-        self.handle.registerTimer(self._timer_ms(int(last_us), self.gap_us))
-        if out:
-            yield pd.concat(out, ignore_index=True)
+        times = np.sort(np.concatenate([pdf["ts"].to_numpy().astype("datetime64[us]").astype("int64") for pdf in rows]))
+        before = np.concatenate([times[:1] if last_us is None else [last_us], times[:-1]])
+        counts, ends, since = [], [], 0
+        for at in np.flatnonzero(times - before >= self.gap_us).tolist():  # idle gaps only
+            if count + at - since >= self.min_events:
+                counts.append(int(count + at - since))
+                ends.append(int(before[at]))
+                count, since = 0, at
+        count, last_us = int(count + len(times) - since), int(times[-1])
+        self.state.update((count, last_us))
+        self.handle.registerTimer(self._timer_ms(last_us, self.gap_us))
+        if counts:
+            yield self._emit(key, counts, ends)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if self.state.exists():
             count, last_us = self.state.get()
-            if count >= self.min_events:
-                self.state.update((0, int(last_us)))
-                yield self._emit(key, count, last_us)
+            if count >= self.min_events:  # nothing is carried over
+                self.state.clear()
+                yield self._emit(key, [int(count)], [int(last_us)])
 
     def close(self) -> None:
         pass
@@ -387,7 +500,7 @@ class IdleProcessor(StatefulProcessor):
 
 def stream_inactivity(events: DataFrame, gap_hours: float = 8.0, min_events: int = 10, watermark: str = "0 seconds") -> DataFrame:
     """Per user, emit when no event came for ``gap`` and enough events accumulated."""
-    src = events.select("user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", watermark)
-    return src.groupBy("user_id").transformWithStateInPandas(
+    src = events.select(_state_key("user_id"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", watermark)
+    return src.groupBy("state_key").transformWithStateInPandas(
         IdleProcessor(int(gap_hours * 3600 * 1_000_000), min_events), IDLE_SCHEMA, "Append", "EventTime"
     )

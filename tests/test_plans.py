@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chatloom.plans.fsm import Machine, scan
+from chatloom.plans.fsm import Machine, OrderedFold, scan
 from chatloom.plans.ordering import SEG, before_boundary, carry_many, global_index, kth_boundary, range_segments
 
 
@@ -67,33 +69,68 @@ def test_global_index_is_exact(spark):
     assert sorted(r.pos for r in got.select("pos").collect()) == list(range(df.count()))
 
 
+def step(state, role):
+    """The fold that ``Counter`` computes, a row at a time: emit every third 'user' row."""
+    state += role == "user"
+    return (0, True) if state >= 3 else (state, False)
+
+
 class Counter(Machine):
     """Emit every time the running count of 'user' rows reaches 3, then reset."""
 
     n_states = 3
     initial = 0
+    stride = 5
+
+    def load(self, pdf):
+        return np.cumsum([0, *pdf["role"].eq("user")])
+
+    def run(self, rows, start, stop, state, found=None):
+        since = rows[start] - state
+        while (at := np.searchsorted(rows[start:stop + 1], since + 3) + start) <= stop:
+            if found is not None:
+                found.append(at - 1)
+            since = rows[at]
+        return int(rows[stop] - since)
 
-    def step(self, state, row):
-        s = state + (1 if row.role == "user" else 0)
-        if s >= 3:
-            return 0, {"conv_id": row.conv_id, "turn": row.turn}
-        return s, None
+    def emit(self, pdf, found):
+        return pdf[["conv_id", "turn"]].iloc[found]
 
 
-def test_fsm_scan_equals_sequential_fold(spark):
+def folded(rows):
+    want, ends, states = [], {}, {}
+    for key, turn, role in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1])):
+        states[key], hit = step(states.get(key, 0), role)
+        want += [(key, turn)] if hit else []
+    return sorted(want, key=str), states
+
+
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_fsm_scan_equals_sequential_fold(spark, batch):
     df = _skewed_turns(spark)
-    got = sorted(tuple(r) for r in scan(df, "conv_id", ["turn"], Counter(), "conv_id long, turn long").collect())
-    want = []
-    rows = sorted(df.collect(), key=lambda r: (r.conv_id, r.turn))
-    state, cur = 0, None
-    for r in rows:
-        if r.conv_id != cur:
-            state, cur = 0, r.conv_id
-        state, out = Counter().step(state, r)
-        if out:
-            want.append((out["conv_id"], out["turn"]))
-    assert got == sorted(want)
-    assert len(want) > 100
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)  # summaries of a segment's batches compose
+    try:
+        fold = OrderedFold(df.select("conv_id", "turn", "role"), "conv_id", ["turn"], Counter())
+        got = sorted((tuple(r) for r in fold.emitted("conv_id long, turn long").collect()), key=str)
+        exits = {r.conv_id: r.state for r in fold.exits().collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want, states = folded([(r.conv_id, r.turn, r.role) for r in df.collect()])
+    assert got == want and len(want) > 100
+    assert exits == states
+
+
+def test_fsm_scan_in_two_parts_goes_on_from_the_exit_states(spark):
+    df = _skewed_turns(spark).select("conv_id", "turn", "role")
+    first, second = df.where("turn % 1000 < 400 and turn < 400 or conv_id > 100"), df.where("not (turn % 1000 < 400 and turn < 400 or conv_id > 100)")
+    whole = OrderedFold(df, "conv_id", ["turn"], Counter())
+    one = OrderedFold(first, "conv_id", ["turn"], Counter())
+    entries = one.exits().withColumnRenamed("state", "entry")
+    two = OrderedFold(second.join(entries, "conv_id", "left"), "conv_id", ["turn"], Counter(), ["conv_id", "turn", "role"], F.col("entry"))
+    schema = "conv_id long, turn long"
+    parts = one.emitted(schema).unionByName(two.emitted(schema))
+    assert parts.exceptAll(whole.emitted(schema)).count() == 0 and parts.count() == whole.emitted(schema).count()
 
 
 def test_fsm_scan_over_segments_null_keys_and_moved_partitions(spark):
@@ -106,8 +143,8 @@ def test_fsm_scan_over_segments_null_keys_and_moved_partitions(spark):
         state = 0
         for k, t in rows:
             if k == key:
-                state, emitted = Counter().step(state, type("R", (), {"conv_id": k, "turn": t, "role": "user"})())
-                want += [(k, t)] if emitted is not None else []
+                state, emitted = step(state, "user")
+                want += [(k, t)] if emitted else []
     order = lambda rs: sorted(rs, key=str)
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
     plain = [tuple(r) for r in out.collect()]
@@ -120,8 +157,6 @@ def test_fsm_scan_over_segments_null_keys_and_moved_partitions(spark):
 def test_cluster_without_a_shared_folder_is_an_error():
     import types
 
-    import pytest
-
     from chatloom.session import checkpoint_dir
 
     context = types.SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, getCheckpointDir=lambda: None)

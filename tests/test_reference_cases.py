@@ -28,6 +28,9 @@ class _State:
     def appendValue(self, row):
         self.rows.append(row)
 
+    def appendList(self, values):
+        self.rows += values
+
     def get(self):
         return iter(self.rows)
 
@@ -45,12 +48,12 @@ def test_late_end_line_gives_no_second_reply():
     import pandas as pd
 
     p = ReassembleProcessor()
-    p.buf, p.sent = _State(), _State()
+    p.buf, p.sent, p.timer = _State(), _State(), None
     columns = ["seq", "delta", "finish_reason", "done", "end"]
     first = pd.DataFrame([(1, "hi", None, False, False), (2, None, "stop", False, False)], columns=columns)
     late = pd.DataFrame([(3, None, None, False, True)], columns=columns)
-    assert [d.content[0] for d in p.handleInputRows((1,), iter([first]), None)] == ["hi"]
-    assert list(p.handleInputRows((1,), iter([late]), None)) == []
+    assert [d.content[0] for d in p.handleInputRows(("1",), iter([first]), None)] == ["hi"]
+    assert list(p.handleInputRows(("1",), iter([late]), None)) == []
 
 
 def test_no_model_is_the_configured_one(spark):
