@@ -240,6 +240,10 @@ def q_i5(spark, sf_dir):
 FROM fx_interactions f JOIN events e ON f.id = CAST(e.event_id AS VARCHAR)""",
 )
 def q_i6(spark, sf_dir):
+    return I.apply_updates(fxi(spark, sf_dir), event_updates(spark, sf_dir))
+
+
+def event_updates(spark, sf_dir):
     """Two waves of updates: large values get weight and golden, then errors a sentiment and no golden."""
     ev = read_table(spark, sf_dir, "events")
     key, none = F.col("event_id").cast("string").alias("id"), F.lit(None).cast("double")
@@ -247,7 +251,7 @@ def q_i6(spark, sf_dir):
         key, none.alias("sentiment"), F.lit(5.0).alias("weight"), F.lit(True).alias("is_golden"), F.lit(1).alias("seq"))
     then = ev.where(F.col("event_type") == "error").select(
         key, F.lit(-1.0).alias("sentiment"), none.alias("weight"), F.lit(False).alias("is_golden"), F.lit(2).alias("seq"))
-    return I.apply_updates(fxi(spark, sf_dir), first.unionByName(then))
+    return first.unionByName(then)
 
 
 @register(
@@ -1636,3 +1640,69 @@ def q_a1s(spark, sf_dir):
     line's interactions against its own state."""
     state = A.advance_training_state(fx.fx_runs(spark, sf_dir), ["model_line"])
     return A.training_stats_from_state(fxi(spark, sf_dir), state, NOW, ["model_line"])
+
+
+# ---------------------------------------------------------------- operations written back to the stored table
+
+from chatloom.operators import store as ST  # noqa: E402
+
+
+def _written_back(spark, sf_dir, operation):
+    """The interactions stored by date (S6), changed in place by ``operation(path, run id)`` twice, and read back."""
+    path = IO.scratch_path(spark, "store")
+    IO.write_interactions(fxi(spark, sf_dir), path)
+    for _ in range(2):  # the second time the run is marked as done
+        operation(path, "run-1")
+    return ST.read_store(spark, path).drop("date")
+
+
+@register("i6_store_updates", ORACLE["i6_apply_updates"])
+def q_i6_store(spark, sf_dir):
+    return _written_back(spark, sf_dir, lambda path, run: ST.store_updates(spark, path, run, event_updates(spark, sf_dir)))
+
+
+@register("i7_store_toggles", ORACLE["i7_toggle_golden"])
+def q_i7_store(spark, sf_dir):
+    ids = read_table(spark, sf_dir, "events").where(F.col("value") > 300).select(F.col("event_id").cast("string"))
+    return _written_back(spark, sf_dir, lambda path, run: ST.store_toggles(spark, path, run, ids))
+
+
+@register("i8_store_golden_review", with_ctes(FXI) + """SELECT * REPLACE (is_golden AND (coalesce(weight, 1.0) >= 5.0 OR sentiment >= 0.7
+        OR (abs(sentiment) >= 0.3 AND (contains(lower(user_message), 'from now on') OR contains(lower(user_message), 'going forward')
+             OR contains(lower(user_message), 'in the future') OR contains(lower(user_message), 'always do')
+             OR contains(lower(user_message), 'never do') OR contains(lower(user_message), 'remember to')))
+        OR (sentiment < -0.6 AND length(user_message) > 300)) AS is_golden) FROM fx_interactions""")
+def q_i8_store(spark, sf_dir):
+    return _written_back(spark, sf_dir, lambda path, run: ST.store_golden_review(spark, path, run))
+
+
+@register("i9_store_deletions", ORACLE["i9_delete_ids"])
+def q_i9_store(spark, sf_dir):
+    return _written_back(spark, sf_dir, lambda path, run: ST.store_deletions(spark, path, run, _error_ids(spark, sf_dir)))
+
+
+@register("i10_store_prune_by_age", ORACLE["i10_prune_by_age"])
+def q_i10_store(spark, sf_dir):
+    return _written_back(spark, sf_dir, lambda path, run: ST.store_prune_by_age(spark, path, run, NOW, 20))
+
+
+@register("i11_store_prune_by_weight", ORACLE["i11_prune_by_weight"])
+def q_i11_store(spark, sf_dir):
+    return _written_back(spark, sf_dir, lambda path, run: ST.store_prune_by_weight(spark, path, run, 0.5))
+
+
+@register("i12_store_prune_lowest", ORACLE["i12_prune_lowest"])
+def q_i12_store(spark, sf_dir):
+    return _written_back(spark, sf_dir, lambda path, run: ST.store_prune_lowest(spark, path, run, 0.1))
+
+
+@register("i13_store_prune_if_oversize", ORACLE["i12_prune_lowest"])
+def q_i13_store(spark, sf_dir):
+    """The store is over 90 % of a limit set just below its size."""
+    from dataclasses import replace
+
+    def prune(path, run):
+        cfg = replace(DEFAULT, max_size_gb=I.dataset_size_gb(spark, path) / 0.95)
+        ST.store_prune_if_oversize(spark, path, run, cfg)
+
+    return _written_back(spark, sf_dir, prune)
