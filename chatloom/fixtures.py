@@ -143,7 +143,7 @@ def fx_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Content is carried as JSON text.  The newest message's form varies by ``h`` =
     (5 conv_id + turn) mod 16, ``h`` mod 8 being 1 text blocks, 2 image + text blocks, 3 a bare
-    string in a list, 4 an object with only ``content``, 5 a tool exchange after it, 6 invalid
+    string, true and null in a list, 4 an object with only ``content``, 5 a tool exchange after it, 6 invalid
     sampling values, 7 a ``:tag`` on the model, else a string.  Also: 9 no model given, 11 no user
     message at all, 12 another model, 14 penalties and top_logprobs out of range.
     """
@@ -155,7 +155,7 @@ def fx_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     shaped = (
         F.when(v == 1, F.concat(F.lit('[{"type":"text","text":'), u, F.lit("}]")))
         .when(v == 2, F.concat(F.lit('[{"type":"image_url","image_url":{"url":"data:image/png;base64,QUJD"}},{"type":"text","text":'), u, F.lit("}]")))
-        .when(v == 3, F.concat(F.lit("["), u, F.lit(',{"type":"text","text":"extra"}]')))
+        .when(v == 3, F.concat(F.lit("["), u, F.lit(',true,null,{"type":"text","text":"extra"}]')))
         .when(v == 4, F.concat(F.lit('{"content":'), u, F.lit("}")))
         .otherwise(u)
     )
@@ -198,13 +198,14 @@ def fx_request_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The provider's reply body to every request of ``fx_requests``: (request_id, provider, body).
 
     The text is the conversation's next turn where that is an assistant turn, else empty.  By
-    (3 conv_id + turn) mod 6: 0 a finished ollama reply, 1 finished openai, 2 a tool call, 3 cut
-    at the length limit, 4 ollama without an end mark, 5 an error body.
+    (3 conv_id + turn) mod 8: 0 a finished ollama reply, 1 finished openai, 2 a tool call, 3 cut
+    at the length limit, 4 ollama without an end mark, 5 an error body, 6 openai with a null finish
+    reason, 7 ollama done with a null reason.
     """
     t = fx_turns(spark, sf_dir).select("conv_id", "turn", "role", "text")
     nxt = t.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
     r = t.where(F.col("role") == "user").select("conv_id", "turn").join(nxt, ["conv_id", "turn"], "left")
-    g = (F.col("conv_id") * 3 + F.col("turn")) % 6
+    g = (F.col("conv_id") * 3 + F.col("turn")) % 8
     j = _json_str(F.coalesce("reply", F.lit("")))
     body = (
         F.when(g == 0, F.concat(F.lit('{"message":{"content":'), j, F.lit('},"done":true,"done_reason":"stop"}')))
@@ -212,11 +213,13 @@ def fx_request_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(g == 2, F.lit('{"choices":[{"message":{"content":null,"tool_calls":[{"function":{"arguments":"{}","name":"lookup"},"id":"c1","type":"function"}]},"finish_reason":"tool_calls"}]}'))
         .when(g == 3, F.concat(F.lit('{"choices":[{"message":{"content":'), j, F.lit('},"finish_reason":"length"}]}')))
         .when(g == 4, F.concat(F.lit('{"message":{"content":'), j, F.lit('},"done":false}')))
+        .when(g == 6, F.concat(F.lit('{"choices":[{"message":{"content":'), j, F.lit('},"finish_reason":null}]}')))
+        .when(g == 7, F.concat(F.lit('{"message":{"content":'), j, F.lit('},"done":true,"done_reason":null}')))
         .otherwise(F.lit('{"error":"overloaded"}'))
     )
     return r.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
-        F.when(g.isin(1, 2, 3), F.lit("openai")).otherwise(F.lit("ollama")).alias("provider"), body.alias("body"),
+        F.when(g.isin(1, 2, 3, 6), F.lit("openai")).otherwise(F.lit("ollama")).alias("provider"), body.alias("body"),
     )
 
 
@@ -337,6 +340,8 @@ def fx_run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     Run k with k mod 3 = 0 is sequential: two reported passes (the second with trainer states of
     checkpoints 3 and 12), and for even k a third pass with only a log; the others have one
     metadata file and, for even k, one trainer state whose last entry has no evaluation loss.
+    With k mod 5 = 0 a later checkpoint folder holds weights but no state, with k mod 7 = 0 a
+    broken one.
     """
     k = F.col("s_suppkey")
     run = F.concat(F.lit("run_"), k)
@@ -364,5 +369,8 @@ def fx_run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         file("pass_2_layers_5_9/checkpoint-3/trainer_state.json", F.lit(state(3, '{"eval_loss": 0.75, "eval_runtime": 1.5, "step": 3}')), seq),
         file("pass_2_layers_5_9/checkpoint-12/trainer_state.json", F.lit(state(12, evaluated)), seq),
         file("pass_3_layers_10_14/train.log", F.lit("started"), seq & even),
+        file("checkpoint-20/weights.txt", F.lit("w"), ~seq & (k % 5 == 0)),
+        file("pass_2_layers_5_9/checkpoint-100/weights.txt", F.lit("w"), seq & (k % 5 == 0)),
+        file("pass_2_layers_5_9/checkpoint-30/trainer_state.json", F.lit('{"global_step": 30, "log_history": [{"eval_loss"'), seq & (k % 7 == 0)),
     ]
     return read_table(spark, sf_dir, "supplier").select(F.inline(F.array_compact(F.array(*files))))

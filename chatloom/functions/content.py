@@ -27,8 +27,20 @@ def _get(v: Column, path: str, typ: str = "string") -> Column:
 
 
 def _as_text(e: Column) -> Column:
-    """str(item) for a non-object JSON value: strings as-is, others as JSON text."""
-    return F.when(_kind(e) == "STRING", _get(e, "$")).otherwise(F.to_json(e))
+    """Python's str(item) of a JSON value: strings as they are, True / False / None, numbers.
+
+    Containers keep their JSON text, and a number its shortest form (1.0 is 1: the parsed value has no zero places).
+    """
+    k = _kind(e)
+    return (
+        F.when(k == "STRING", _get(e, "$")).when(k == "VOID", F.lit("None"))
+        .when(k == "BOOLEAN", F.when(_get(e, "$", "boolean"), F.lit("True")).otherwise(F.lit("False"))).otherwise(F.to_json(e))
+    )
+
+
+def _get_or(v: Column, path: str, absent: str) -> Column:
+    """``dict.get(key, absent)``: a key that is there with null gives null."""
+    return F.when(_get(v, path, "variant").isNull(), F.lit(absent)).otherwise(_get(v, path))
 
 
 def normalize_content(c: Column) -> Column:
@@ -77,7 +89,7 @@ def text_content(c: Column) -> Column:
             k.startswith("OBJECT"),
             F.coalesce(_as_text_path(v, "$.text"), _as_text_path(v, "$.content"), F.to_json(v)),
         )
-        .otherwise(F.to_json(v))
+        .otherwise(_as_text(v))
     )
 
 
@@ -131,7 +143,8 @@ def parse_reply(body: Column, provider: Column) -> Column:
 
     provider ``ollama``: ``message`` object, ``done_reason``; otherwise OpenAI
     layout: ``choices[0].message``, ``finish_reason``, thinking from
-    ``reasoning`` else ``thoughts``.
+    ``reasoning`` else ``thoughts``.  A missing content is empty and a missing
+    finish reason ``stop``; either given as null stays null.
     """
     v = _v(body)
     o_msg = _get(v, "$.message", "variant")
@@ -140,8 +153,8 @@ def parse_reply(body: Column, provider: Column) -> Column:
     o_ok = o_msg.isNotNull()
     a_ok = choice.isNotNull()
     is_ollama = provider == "ollama"
-    content = F.when(is_ollama, F.when(o_ok, F.coalesce(_get(o_msg, "$.content"), F.lit(""))).otherwise(F.lit(""))).otherwise(
-        F.when(a_ok, F.coalesce(_get(a_msg, "$.content"), F.lit(""))).otherwise(F.lit(""))
+    content = F.when(is_ollama, F.when(o_ok, _get_or(o_msg, "$.content", "")).otherwise(F.lit(""))).otherwise(
+        F.when(a_ok, _get_or(a_msg, "$.content", "")).otherwise(F.lit(""))
     )
     tool_calls = F.when(is_ollama & o_ok, F.to_json(_get(o_msg, "$.tool_calls", "variant"))).when(
         ~is_ollama & a_ok, F.to_json(_get(a_msg, "$.tool_calls", "variant"))
@@ -151,8 +164,8 @@ def parse_reply(body: Column, provider: Column) -> Column:
         _get(a_msg, "$.thoughts"),
     )
     thinking = F.when(is_ollama & o_ok, _get(o_msg, "$.thinking")).when(~is_ollama & a_ok, a_think)
-    finish = F.when(is_ollama, F.when(o_ok, F.coalesce(_get(v, "$.done_reason"), F.lit("stop"))).otherwise(F.lit("error"))).otherwise(
-        F.when(a_ok, F.coalesce(_get(choice, "$.finish_reason"), F.lit("stop"))).otherwise(F.lit("error"))
+    finish = F.when(is_ollama, F.when(o_ok, _get_or(v, "$.done_reason", "stop")).otherwise(F.lit("error"))).otherwise(
+        F.when(a_ok, _get_or(choice, "$.finish_reason", "stop")).otherwise(F.lit("error"))
     )
     return F.struct(
         content.alias("content"), tool_calls.alias("tool_calls"), thinking.alias("thinking"), finish.alias("finish_reason")

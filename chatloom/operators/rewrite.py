@@ -71,28 +71,71 @@ def to_re2_replacement(tokens) -> str:
     return "".join(parts)
 
 
-#: An escape, a character class, a named group or a reference to one.
-_SYNTAX = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?P<(\w+)>|\(\?P=(\w+)\)", re.S)
+#: An escape, a character class, a named group, a reference to one, a lazy or plain dollar or dot.
+_SYNTAX = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?P<(\w+)>|\(\?P=(\w+)\)|\(\?[aiLmsux]+\)|\$", re.S)
+# What Python's \s and \w match in text, as members of a JVM character class.
+_SPACES = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+_WORDS = r"\p{L}\p{N}_"
+_CLASS = {"s": _SPACES, "w": _WORDS}
+_IN, _OUT = (f"(?<{x}[{_WORDS}])" for x in "=!")
+_EDGES = {"\\b": f"(?:{_OUT}(?=[{_WORDS}])|{_IN}(?![{_WORDS}]))", "\\B": f"(?!\\A\\z)(?:{_OUT}(?![{_WORDS}])|{_IN}(?=[{_WORDS}]))"}
+
+
+def _jvm_pattern(p: str, names: dict[str, int], flags: int = 0) -> str:
+    """A Python pattern in JVM syntax with Python's meaning.
+
+    ``(?U)`` gives ``\\d`` its Unicode meaning, ``(?d)`` makes the line feed the
+    only line end; ``\\s \\S \\w \\W`` become explicit classes, ``\\b \\B $``
+    explicit looks to either side, for the JVM's differ.
+    """
+    multiline = bool(flags & re.MULTILINE)
+
+    def in_class(body: str) -> tuple[str, list[str]]:
+        """Class members, and the negated families, which only an alternative can hold."""
+        negated: list[str] = []
+
+        def member(c: re.Match) -> str:
+            found = c.group(0)
+            if found in ("\\s", "\\w"):
+                return _CLASS[found[1]]
+            if found == "\\b":  # a backspace
+                return "\\x08"
+            if found in ("\\S", "\\W"):
+                negated.append(f"[^{_CLASS[found[1].lower()]}]")
+                return ""
+            return found if found[0] == "\\" else "".join("\\" + x for x in found)
 
+        return re.sub(r"\\.|\[|&&|^\]", member, body, flags=re.S), negated
 
-def _jvm_pattern(p: str, names: dict[str, int]) -> str:
-    """A Python pattern in JVM syntax, with the Unicode classes that Python has by default."""
     def translate(m: re.Match) -> str:
         found, name, back = m.group(0), m.group(1), m.group(2)
         if name:  # names on the JVM have no underscore
             return f"(?<g{names[name]}>"
         if back:
             return f"\\k<g{names[back]}>"
+        if found.startswith("(?"):  # flags stand in front, in the JVM's letters
+            return ""
         if found == "\\Z":
             return "\\z"
+        if found in _EDGES:
+            return _EDGES[found]
+        if found == "$":
+            return "(?=\\n|\\z)" if multiline else "(?=\\n?\\z)"
+        if found in ("\\s", "\\w"):
+            return f"[{_CLASS[found[1]]}]"
+        if found in ("\\S", "\\W"):
+            return f"[^{_CLASS[found[1].lower()]}]"
         if found[0] != "[":
             return found
         negated = found[1] == "^"
-        body = found[2 if negated else 1:-1]
-        body = re.sub(r"\\.|\[|&&|^\]", lambda c: c.group(0) if c.group(0)[0] == "\\" else "".join("\\" + x for x in c.group(0)), body, flags=re.S)
-        return "[" + "^" * negated + body + "]"
+        body, families = in_class(found[2 if negated else 1:-1])
+        if not families:
+            return "[" + "^" * negated + body + "]"
+        union = "|".join(([f"[{body}]"] if body else []) + families)
+        return f"(?:(?!{union})(?s:.))" if negated else f"(?:{union})"
 
-    return "(?U)" + _SYNTAX.sub(translate, p)
+    letters = "".join(letter for letter, flag in (("i", re.I), ("m", re.M), ("s", re.S), ("x", re.X)) if flags & flag)
+    return f"(?Ud{letters + 'u' * ('i' in letters)})" + _SYNTAX.sub(translate, p)
 
 
 def _check_on_jvm(spark: SparkSession, rule_id: str, pattern: str) -> None:
@@ -113,10 +156,13 @@ def compile_rules(rules: list[dict], spark: SparkSession | None = None) -> list[
         if not r.get("enabled", True):
             continue
         try:
-            names = dict(re.compile(r["pattern"]).groupindex)
+            plain = re.compile(r["pattern"])
         except re.error:
             continue
-        pat = _jvm_pattern(r["pattern"], names)
+        if plain.flags & (re.ASCII | re.LOCALE):
+            raise ValueError(f"rule {r['id']}: patterns with ASCII or locale flags are not carried over")
+        names = dict(plain.groupindex)
+        pat = _jvm_pattern(r["pattern"], names, plain.flags)
         if spark is not None:
             _check_on_jvm(spark, str(r["id"]), pat)
         toks = tuple((kind, names.get(v, v) if kind == "grp" else v) for kind, v in _template_tokens(r.get("replacement", "")))

@@ -388,6 +388,42 @@ def _r2_sql() -> str:
     return with_ctes(S.fx_turns_cte()) + f"SELECT conv_id, turn, role, text FROM {body}"
 
 
+# Sample rules for the compilation itself: order, filters, and meanings in which regex engines differ.
+COMPILE_RULES = [
+    {"id": "end", "pattern": r"\.$", "replacement": "<end>", "priority": 200},
+    {"id": "spaces", "pattern": r"\s+", "replacement": "_"},
+    {"id": "off", "pattern": "e", "replacement": "x", "enabled": False},
+    {"id": "marks", "pattern": r"[^\w\s]", "replacement": "*"},
+    {"id": "broken", "pattern": "(", "replacement": "x", "priority": 0},
+    {"id": "first", "pattern": r"(?P<a_1>\w)(\w*)$", "replacement": r"\2\g<a_1>1", "priority": 1},
+    {"id": "dots", "pattern": "e.", "replacement": "$0"},
+]
+COMPILE_TAILS = ["end.\r\n", "end.\n", "e\u2028e\x1ce\x85", "²³ ½.", "e\re\n", "naïve\u00a0é_"]
+
+
+def _r1_sql() -> str:
+    """Every rule as the reference's language reads it, written for this engine by hand; in the order of (priority, place)."""
+    space, word = r"\t-\r\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}", r"\p{L}\p{N}_"
+    rules = [("first", rf"([{word}])([{word}]*)(\n?)\z", r"\2\11\3"), ("spaces", f"[{space}]+", "_"), ("marks", f"[^{word}{space}]", "*"),
+             ("dots", r"e[^\n]", "$0"), ("end", r"\.(\n?)\z", r"<end>\1")]
+    tails = ", ".join(" || ".join(f"chr({ord(c)})" for c in t) for t in COMPILE_TAILS)
+    texts = f"(SELECT conv_id, turn, text || ([{tails}])[1 + (conv_id + turn) % {len(COMPILE_TAILS)}] AS text FROM fx_turns)"
+    return with_ctes(S.fx_turns_cte()) + " UNION ALL ".join(
+        f"SELECT conv_id, turn, {i} AS position, {S.q(name)} AS rule_id, regexp_replace(text, {S.q(p)}, {S.q(r)}, 'g') AS output FROM {texts}"
+        for i, (name, p, r) in enumerate(rules))
+
+
+@register("r1_compile_rules", _r1_sql())
+def q_r1(spark, sf_dir):
+    """What every compiled rule alone makes of every turn, with endings in which regex engines differ."""
+    n = F.col("conv_id") + F.col("turn")
+    tail = F.element_at(F.array(*[F.lit(t) for t in COMPILE_TAILS]), (n % len(COMPILE_TAILS) + 1).cast("int"))
+    turns = fx.fx_turns(spark, sf_dir).select("conv_id", "turn", F.concat("text", tail).alias("text"))
+    each = [F.struct(F.lit(i).alias("position"), F.lit(r.id).alias("rule_id"), F.regexp_replace("text", r.pattern, r.replacement).alias("output"))
+            for i, r in enumerate(R.compile_rules(COMPILE_RULES, spark))]
+    return turns.select("conv_id", "turn", F.inline(F.array(*each)))
+
+
 @register("r2_apply_rules", _r2_sql())
 def q_r2(spark, sf_dir):
     turns = fx.fx_turns(spark, sf_dir).select("conv_id", "turn", "role", "text")
@@ -882,7 +918,7 @@ def q_n2(spark, sf_dir):
 
 def _n3_sql() -> str:
     c = "m.content"
-    text_item = (f"lambda e: CASE WHEN json_type(e) <> 'OBJECT' THEN {S.astext('e')} "
+    text_item = (f"lambda e: CASE WHEN e IS NULL THEN 'None' WHEN json_type(e) <> 'OBJECT' THEN {S.astext('e')} "
                  "WHEN json_extract_string(e, '$.type') = 'text' THEN coalesce(json_extract_string(e, '$.text'), '') END")
     url = "coalesce(json_extract_string(e, '$.image_url.url'), '')"
     img_item = (f"lambda e: CASE WHEN json_type(e) = 'OBJECT' AND json_extract_string(e, '$.type') = 'image_url' THEN "
@@ -935,14 +971,17 @@ TOOL_CALLS = '[{"function":{"arguments":"{}","name":"lookup"},"id":"c1","type":"
 
 def provider_replies(spark, sf_dir) -> DataFrame:
     """One provider reply body per assistant turn: conv_id % 3 = 0 ollama, 1 openai, 2 openai without choices;
-    odd turns of the first two carry a tool call."""
+    odd turns of the first two carry a tool call, and finish reasons and contents are also missing or null."""
     t = fx.fx_turns(spark, sf_dir).where(F.col("role") == "assistant")
     j = fx._json_str(F.col("text"))
     k = F.col("conv_id") % 3
     calls = F.when(F.col("turn") % 2 == 1, F.lit(f',"tool_calls":{TOOL_CALLS}')).otherwise(F.lit(""))
+    n = F.col("conv_id") + F.col("turn")
+    end = lambda key, value: F.when(n % 4 == 0, F.lit("")).when(n % 4 == 1, F.lit(f',"{key}":null')).otherwise(F.lit(f',"{key}":"{value}"'))
+    said = F.when(n % 5 == 3, F.lit("null")).otherwise(j)
     body = (
-        F.when(k == 0, F.concat(F.lit('{"message":{"content":'), j, F.lit(',"thinking":"t"'), calls, F.lit('},"done_reason":"stop"}')))
-        .when(k == 1, F.concat(F.lit('{"choices":[{"message":{"content":'), j, F.lit(',"reasoning":"","thoughts":"th"'), calls, F.lit('},"finish_reason":"length"}]}')))
+        F.when(k == 0, F.concat(F.lit('{"message":{"content":'), said, F.lit(',"thinking":"t"'), calls, F.lit("}"), end("done_reason", "stop"), F.lit("}")))
+        .when(k == 1, F.concat(F.lit('{"choices":[{"message":{"content":'), j, F.lit(',"reasoning":"","thoughts":"th"'), calls, F.lit("}"), end("finish_reason", "length"), F.lit("}]}")))
         .otherwise(F.lit('{"error":"overloaded"}'))
     )
     return t.select("conv_id", "turn", F.when(k == 0, F.lit("ollama")).otherwise(F.lit("openai")).alias("provider"), body.alias("body"))
@@ -951,8 +990,9 @@ def provider_replies(spark, sf_dir) -> DataFrame:
 REPLIES_CTE = f"""replies AS (
   SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'ollama' ELSE 'openai' END AS provider,
     CASE conv_id % 3
-      WHEN 0 THEN '{{"message":{{"content":' || to_json(text)::VARCHAR || ',"thinking":"t"' || calls || '}},"done_reason":"stop"}}'
-      WHEN 1 THEN '{{"choices":[{{"message":{{"content":' || to_json(text)::VARCHAR || ',"reasoning":"","thoughts":"th"' || calls || '}},"finish_reason":"length"}}]}}'
+      WHEN 0 THEN '{{"message":{{"content":' || CASE WHEN (conv_id + turn) % 5 = 3 THEN 'null' ELSE to_json(text)::VARCHAR END || ',"thinking":"t"' || calls || '}}'
+             || CASE (conv_id + turn) % 4 WHEN 0 THEN '' WHEN 1 THEN ',"done_reason":null' ELSE ',"done_reason":"stop"' END || '}}'
+      WHEN 1 THEN '{{"choices":[{{"message":{{"content":' || to_json(text)::VARCHAR || ',"reasoning":"","thoughts":"th"' || calls || '}}' || CASE (conv_id + turn) % 4 WHEN 0 THEN '' WHEN 1 THEN ',"finish_reason":null' ELSE ',"finish_reason":"length"' END || '}}]}}'
       ELSE '{{"error":"overloaded"}}' END AS body
   FROM (SELECT *, CASE WHEN turn % 2 = 1 THEN ',"tool_calls":{TOOL_CALLS}' ELSE '' END AS calls FROM fx_turns) WHERE role = 'assistant')"""
 
@@ -961,8 +1001,8 @@ REPLIES_CTE = f"""replies AS (
     "n5_parse_reply",
     with_ctes(S.fx_turns_cte(), REPLIES_CTE) + """SELECT conv_id, turn,
   CASE WHEN provider = 'ollama'
-       THEN CASE WHEN json_extract(body, '$.message') IS NOT NULL THEN coalesce(json_extract_string(body, '$.message.content'), '') ELSE '' END
-       ELSE CASE WHEN json_extract(body, '$.choices[0]') IS NOT NULL THEN coalesce(json_extract_string(body, '$.choices[0].message.content'), '') ELSE '' END
+       THEN CASE WHEN json_extract(body, '$.message') IS NOT NULL THEN CASE WHEN json_extract(body, '$.message.content') IS NULL THEN '' ELSE json_extract_string(body, '$.message.content') END ELSE '' END
+       ELSE CASE WHEN json_extract(body, '$.choices[0]') IS NOT NULL THEN CASE WHEN json_extract(body, '$.choices[0].message.content') IS NULL THEN '' ELSE json_extract_string(body, '$.choices[0].message.content') END ELSE '' END
   END AS content,
   CASE WHEN provider = 'ollama'
        THEN CASE WHEN json_extract(body, '$.message') IS NOT NULL THEN json_extract_string(body, '$.message.thinking') END
@@ -970,8 +1010,8 @@ REPLIES_CTE = f"""replies AS (
             coalesce(nullif(json_extract_string(body, '$.choices[0].message.reasoning'), ''), json_extract_string(body, '$.choices[0].message.thoughts')) END
   END AS thinking,
   CASE WHEN provider = 'ollama'
-       THEN CASE WHEN json_extract(body, '$.message') IS NOT NULL THEN coalesce(json_extract_string(body, '$.done_reason'), 'stop') ELSE 'error' END
-       ELSE CASE WHEN json_extract(body, '$.choices[0]') IS NOT NULL THEN coalesce(json_extract_string(body, '$.choices[0].finish_reason'), 'stop') ELSE 'error' END
+       THEN CASE WHEN json_extract(body, '$.message') IS NOT NULL THEN CASE WHEN json_extract(body, '$.done_reason') IS NULL THEN 'stop' ELSE json_extract_string(body, '$.done_reason') END ELSE 'error' END
+       ELSE CASE WHEN json_extract(body, '$.choices[0]') IS NOT NULL THEN CASE WHEN json_extract(body, '$.choices[0].finish_reason') IS NULL THEN 'stop' ELSE json_extract_string(body, '$.choices[0].finish_reason') END ELSE 'error' END
   END AS finish_reason,
   CASE WHEN provider = 'ollama' THEN json_extract(body, '$.message.tool_calls')::VARCHAR
        ELSE json_extract(body, '$.choices[0].message.tool_calls')::VARCHAR END AS tool_calls
@@ -1368,10 +1408,9 @@ def _s4_sql() -> str:
                 f"s_suppkey % 10 AS val_samples, 3.0::DOUBLE AS epochs, 'run_' || s_suppkey{name} AS checkpoint_name, "
                 f"{runtime}::DOUBLE AS eval_runtime, {step}::BIGINT AS global_step FROM supplier WHERE {where}")
     return " UNION ALL ".join([
-        rows("00", 0, "", "s_suppkey % 3 <> 0", step="CASE WHEN s_suppkey % 2 = 0 THEN 5 END").replace(
-            "CASE WHEN s_suppkey % 2 = 0 THEN 5 END::BIGINT", "CAST(CASE WHEN s_suppkey % 2 = 0 THEN 5 END AS BIGINT)"),
+        rows("00", 0, "", "s_suppkey % 3 <> 0", step="(CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 5 <> 0 THEN 5 END)"),
         rows("10", 1, " || ' - Pass 1 (Layers 0-4)'", "s_suppkey % 3 = 0"),
-        rows("30", 2, " || ' - Pass 2 (Layers 5-9)'", "s_suppkey % 3 = 0", "0.25", "2.5", "12"),
+        rows("30", 2, " || ' - Pass 2 (Layers 5-9)'", "s_suppkey % 3 = 0", *(f"(CASE WHEN s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 THEN {x} END)" for x in ("0.25", "2.5", "12"))),
     ])
 
 
@@ -1388,13 +1427,13 @@ def q_s4(spark, sf_dir):
 
 @register(
     "c6_training_progress",
-    f"""WITH latest AS (SELECT *, {RUN_DAY_SQL} AS day, s_suppkey % 2 = 0 AS even FROM supplier WHERE s_suppkey % 3 = 0
+    f"""WITH latest AS (SELECT *, {RUN_DAY_SQL} AS day, s_suppkey % 2 = 0 AS even, s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AS stated FROM supplier WHERE s_suppkey % 3 = 0
   ORDER BY {RUN_DAY_SQL} DESC, 'run_' || s_suppkey DESC LIMIT 1)
 SELECT 'run_' || s_suppkey AS checkpoint_id, p AS pass_number, CASE p WHEN 1 THEN '0-4' ELSE '5-9' END AS layers,
   (s_suppkey + p) / 4.0::DOUBLE AS train_loss, s_suppkey + 100 AS train_samples, s_suppkey % 10 AS val_samples, 3.0::DOUBLE AS epochs,
   day || CASE p WHEN 1 THEN ':10:00' ELSE ':30:00' END AS "timestamp",
-  CASE p WHEN 2 THEN 3.0::DOUBLE END AS epoch, CASE p WHEN 2 THEN 12 END AS global_step, CASE p WHEN 2 THEN 40 END AS max_steps,
-  CASE p WHEN 2 THEN 0.25::DOUBLE END AS eval_loss, CASE p WHEN 2 THEN 2.5::DOUBLE END AS eval_runtime,
+  CASE WHEN p = 2 AND stated THEN 3.0::DOUBLE END AS epoch, CASE WHEN p = 2 AND stated THEN 12 END AS global_step, CASE WHEN p = 2 AND stated THEN 40 END AS max_steps,
+  CASE WHEN p = 2 AND stated THEN 0.25::DOUBLE END AS eval_loss, CASE WHEN p = 2 AND stated THEN 2.5::DOUBLE END AS eval_runtime,
   CASE WHEN even THEN 3 ELSE 2 END AS total_passes, true AS training_active, 2 AS current_pass, NOT (even AND p = 2) AS completed
 FROM latest, (VALUES (1), (2)) AS passes(p)""",
 )

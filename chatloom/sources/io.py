@@ -127,62 +127,78 @@ META_SCHEMA = "timestamp string, train_loss double, eval_loss double, train_samp
 STATE_SCHEMA = "global_step bigint, log_history array<struct<eval_loss:double,eval_runtime:double,loss:double,step:bigint>>"
 
 
+def _run_folders(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(run, pass_dir) of all pass folders, and (run, pass_dir, folder) of the highest-numbered checkpoint folder of every run or pass.
+
+    Folders are seen through the files in them (paths only are listed); a name without a number counts as 0.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
+        F.regexp_replace("path", _root_pattern(root), "").alias("rel"))
+    run = F.regexp_extract("rel", r"^([^/]+)/", 1).alias("run")
+    passes = files.select(run, F.regexp_extract("rel", r"^[^/]+/(pass_[^/]*)/", 1).alias("pass_dir")).where("pass_dir <> ''").distinct()
+    own = files.where(F.col("rel").rlike(r"^[^/]+/(pass_[^/]*/)?checkpoint-[^/]*/")).select(
+        run, F.regexp_extract("rel", r"^[^/]+/(pass_[^/]*)/", 1).alias("pass_dir"),
+        F.regexp_extract("rel", r"^[^/]+/(?:pass_[^/]*/)?(checkpoint-[^/]*)/", 1).alias("folder"))
+    number = F.coalesce(F.regexp_extract("folder", r"^checkpoint-([0-9]+)(-|$)", 1).try_cast("bigint"), F.lit(0))
+    highest = own.groupBy("run", "pass_dir").agg(F.max_by("folder", F.struct(number, "folder")).alias("folder"))
+    return passes, highest
+
+
+def _states(spark: SparkSession, root: str, schema: str, highest: DataFrame) -> DataFrame:
+    """Trainer states in the highest checkpoint folders: (run, pass_dir, the columns of ``schema``); unreadable ones are skipped."""
+    return (
+        spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED")
+        .option("recursiveFileLookup", True).option("pathGlobFilter", "trainer_state.json").json(root)
+        .withColumn("rel", F.regexp_replace(F.col("_metadata.file_path"), _root_pattern(root), ""))
+        .where(F.col("rel").rlike(r"^[^/]+/(pass_[^/]*/)?checkpoint-[^/]*/trainer_state\.json$"))
+        .withColumns({
+            "run": F.regexp_extract("rel", r"^([^/]+)/", 1), "pass_dir": F.regexp_extract("rel", r"^[^/]+/(pass_[^/]*)/", 1),
+            "folder": F.regexp_extract("rel", r"/(checkpoint-[^/]*)/", 1)})
+        .join(highest, ["run", "pass_dir", "folder"], "left_semi").drop("rel", "folder")
+    )
+
+
 def read_training_history(spark: SparkSession, directory: str) -> DataFrame:
-    """One row per run, or per ``pass_N_layers_A_B`` directory of a sequential run.
+    """One row per run, or per ``pass_N_layers_A_B`` folder of a run that has pass folders.
 
-    The last ``log_history`` entry of the highest-numbered ``checkpoint-K/trainer_state.json``
-    overrides ``eval_loss`` when non-null and supplies ``eval_runtime`` and ``global_step``.
+    The last ``log_history`` entry of the ``trainer_state.json`` in the highest-numbered
+    ``checkpoint-K`` folder overrides ``eval_loss`` when non-null and supplies ``eval_runtime``
+    and ``global_step``; a highest folder without a readable state changes nothing.
     Ascending by timestamp.
     """
     root = directory.rstrip("/")
+    passes, highest = _run_folders(spark, root)
+    rel = F.regexp_replace(F.col("_metadata.file_path"), _root_pattern(root), "")
     meta = (
         spark.read.schema(META_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED")
         .option("recursiveFileLookup", True).option("pathGlobFilter", "training_metadata.json").json(root)
-        .withColumn("_path", F.col("_metadata.file_path"))
-    )
-    rel = F.regexp_replace(F.col("_path"), _root_pattern(root), "")
-    meta = meta.withColumn("_rel", rel).select(
-        "*",
-        F.regexp_extract("_rel", r"^([^/]+)/", 1).alias("run"),
-        F.regexp_extract("_rel", r"^[^/]+/(pass_[^/]+)/training_metadata\.json$", 1).alias("pass_dir"),
-        (F.size(F.split("_rel", "/")) == 2).alias("_top"),
-    ).where(F.col("_top") | (F.col("pass_dir") != ""))
-    runs_with_passes = meta.where(F.col("pass_dir") != "").select("run").distinct().withColumn("_seq", F.lit(True))
-    meta = meta.join(runs_with_passes, "run", "left").where(
-        (F.col("_seq").isNull() & F.col("_top")) | (F.col("_seq").isNotNull() & (F.col("pass_dir") != ""))
-    )
-    states = (
-        spark.read.schema(STATE_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED")
-        .option("recursiveFileLookup", True).option("pathGlobFilter", "trainer_state.json").json(root)
-        .withColumn("_rel", F.regexp_replace(F.col("_metadata.file_path"), _root_pattern(root), ""))
-        .select(
-            F.regexp_extract("_rel", r"^([^/]+)/", 1).alias("run"),
-            F.regexp_extract("_rel", r"^[^/]+/(pass_[^/]+)/checkpoint-", 1).alias("pass_dir"),
-            F.regexp_extract("_rel", r"checkpoint-([^/]+)/trainer_state\.json$", 1).alias("_k"),
-            "global_step",
-            F.try_element_at("log_history", F.lit(-1)).alias("_last"),
-        )
-        .withColumn("_kn", F.when(F.col("_k").rlike("^[0-9]+$"), F.col("_k").cast("bigint")).otherwise(F.lit(0)))
-        .groupBy("run", "pass_dir")
-        .agg(F.max_by(F.struct("global_step", "_last"), "_kn").alias("_st"))
+        .withColumn("_rel", rel)
+        .withColumns({"run": F.regexp_extract("_rel", r"^([^/]+)/", 1),
+                      "pass_dir": F.regexp_extract("_rel", r"^[^/]+/(pass_[^/]+)/training_metadata\.json$", 1)})
+        .where((F.size(F.split("_rel", "/")) == 2) | F.col("pass_dir").rlike("^pass_[0-9]+_[^_]*_[^_]*_[^_]*"))
     )
+    # a run with pass folders, reported or not, has rows for its passes only
+    meta = meta.join(passes.select("run").distinct().withColumn("_seq", F.lit(True)), "run", "left").where(
+        F.col("_seq").isNull() == (F.col("pass_dir") == ""))
+    states = _states(spark, root, STATE_SCHEMA, highest).where(F.size("log_history") > 0).select(
+        "run", "pass_dir", "global_step", F.element_at("log_history", -1).alias("_last"))
     j = meta.join(states, ["run", "pass_dir"], "left")
     pass_no = F.regexp_extract("pass_dir", r"^pass_([0-9]+)_", 1).try_cast("int")
-    layers = F.concat(F.regexp_extract("pass_dir", r"^pass_[^_]+_[^_]+_([^_]+)_", 1), F.lit("-"),
-                      F.regexp_extract("pass_dir", r"^pass_[^_]+_[^_]+_[^_]+_([^_/]+)", 1))
+    layers = F.concat(F.regexp_extract("pass_dir", r"^pass_[^_]+_[^_]*_([^_]*)_", 1), F.lit("-"),
+                      F.regexp_extract("pass_dir", r"^pass_[^_]+_[^_]*_[^_]*_([^_/]*)", 1))
     name = F.when(F.col("pass_dir") == "", F.col("run")).otherwise(
         F.format_string("%s - Pass %d (Layers %s)", F.col("run"), pass_no, layers)
     )
     return j.select(
         "timestamp",
         "train_loss",
-        F.coalesce(F.col("_st._last.eval_loss"), F.col("eval_loss")).alias("eval_loss"),
+        F.coalesce(F.col("_last.eval_loss"), F.col("eval_loss")).alias("eval_loss"),
         "train_samples",
         "val_samples",
         "epochs",
         name.alias("checkpoint_name"),
-        F.col("_st._last.eval_runtime").alias("eval_runtime"),
-        F.col("_st.global_step").alias("global_step"),
+        F.col("_last.eval_runtime").alias("eval_runtime"),
+        "global_step",
     ).orderBy(F.coalesce(F.col("timestamp"), F.lit("")), "checkpoint_name")
 
 
@@ -310,22 +326,7 @@ def read_pass_tree(spark: SparkSession, directory: str) -> tuple[DataFrame, Data
         .withColumn("_rel", rel).select(run.alias("run"), pdir.alias("pass_dir"), "*")
         .where(F.col("pass_dir") != "").drop("_rel")
     )
-    states = (
-        spark.read.schema(PASS_STATE_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED")
-        .option("recursiveFileLookup", True).option("pathGlobFilter", "trainer_state.json").json(root)
-        .withColumn("_rel", rel)
-        .select(run.alias("run"), pdir.alias("pass_dir"),
-                F.regexp_extract("_rel", r"checkpoint-([0-9]+)/trainer_state\.json$", 1).try_cast("bigint").alias("_k"),
-                "epoch", "global_step", "max_steps", F.try_element_at("log_history", F.lit(-1)).alias("_last"))
-        .where((F.col("pass_dir") != "") & F.col("_k").isNotNull())
-        .groupBy("run", "pass_dir")
-        .agg(F.max_by(F.struct("epoch", "global_step", "max_steps", "_last"), "_k").alias("_st"))
-    )
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    dirs = (
-        files.withColumn("_rel", F.regexp_replace("path", strip_root, ""))
-        .select(F.regexp_extract("_rel", r"^([^/]+)/", 1).alias("run"),
-                F.regexp_extract("_rel", r"^[^/]+/(pass_[0-9]+_[^/]+)/", 1).alias("pass_dir"))
-        .where(F.col("pass_dir") != "").distinct()
-    )
-    return meta, states, dirs
+    passes, highest = _run_folders(spark, root)
+    states = _states(spark, root, PASS_STATE_SCHEMA, highest).where("pass_dir <> ''").select(
+        "run", "pass_dir", F.struct("epoch", "global_step", "max_steps", F.try_element_at("log_history", F.lit(-1)).alias("_last")).alias("_st"))
+    return meta, states, passes.where(F.col("pass_dir").rlike("^pass_[0-9]+_"))

@@ -173,7 +173,7 @@ def fx_requests_cte() -> str:
     j = "to_json(t.text)::VARCHAR"
     content = f"""CASE WHEN t.turn < r.turn THEN {j} ELSE CASE {h} % 8 WHEN 1 THEN '[{{"type":"text","text":' || {j} || '}}]'
              WHEN 2 THEN '[{{"type":"image_url","image_url":{{"url":"data:image/png;base64,QUJD"}}}},{{"type":"text","text":' || {j} || '}}]'
-             WHEN 3 THEN '[' || {j} || ',{{"type":"text","text":"extra"}}]'
+             WHEN 3 THEN '[' || {j} || ',true,null,{{"type":"text","text":"extra"}}]'
              WHEN 4 THEN '{{"content":' || {j} || '}}'
              ELSE {j} END END"""
     call = q('[{"id":"call_1","type":"function","function":{"name":"lookup","arguments":"{}"}}]')
@@ -197,9 +197,9 @@ def fx_requests_cte() -> str:
 def fx_request_replies_cte() -> str:
     """Needs fx_turns in scope.  (request_id, content, finish_reason, done): the facts a parsed reply body holds."""
     return """fx_request_replies AS (
-  SELECT request_id, CASE WHEN g IN (2, 5) THEN '' ELSE reply END AS content,
-         CASE g WHEN 2 THEN 'tool_calls' WHEN 3 THEN 'length' WHEN 5 THEN 'error' ELSE 'stop' END AS finish_reason, g = 0 AS done
-  FROM (SELECT r.conv_id * 1000 + r.turn AS request_id, (r.conv_id * 3 + r.turn) % 6 AS g, coalesce(a.text, '') AS reply
+  SELECT request_id, CASE WHEN g = 2 THEN NULL WHEN g = 5 THEN '' ELSE reply END AS content,
+         CASE WHEN g = 2 THEN 'tool_calls' WHEN g = 3 THEN 'length' WHEN g = 5 THEN 'error' WHEN g < 6 THEN 'stop' END AS finish_reason, g IN (0, 7) AS done
+  FROM (SELECT r.conv_id * 1000 + r.turn AS request_id, (r.conv_id * 3 + r.turn) % 8 AS g, coalesce(a.text, '') AS reply
         FROM fx_turns r LEFT JOIN fx_turns a ON a.conv_id = r.conv_id AND a.turn = r.turn + 1 AND a.role = 'assistant'
         WHERE r.role = 'user')
 )"""
@@ -219,7 +219,8 @@ def p1_assistant_sql() -> str:
 
 
 def astext(e: str) -> str:
-    return f"(CASE WHEN json_type({e}) = 'VARCHAR' THEN json_extract_string({e}, '$') ELSE CAST({e} AS VARCHAR) END)"
+    return (f"(CASE json_type({e}) WHEN 'VARCHAR' THEN json_extract_string({e}, '$') WHEN 'NULL' THEN 'None' "
+            f"WHEN 'BOOLEAN' THEN CASE WHEN CAST({e} AS VARCHAR) = 'true' THEN 'True' ELSE 'False' END ELSE CAST({e} AS VARCHAR) END)")
 
 
 def n1_sql(c: str) -> str:
@@ -239,14 +240,15 @@ def n2_sql(c: str) -> str:
         x = f"json_extract({e}, '{path}')"
         return f"(CASE WHEN {x} IS NOT NULL THEN {astext(x)} END)"
 
-    item = f"lambda e: CASE WHEN json_type(e) = 'OBJECT' THEN coalesce({sub('e', '$.text')}, {sub('e', '$.content')}) ELSE {astext('e')} END"
+    # a null element of the list comes out of from_json as SQL's null
+    item = f"lambda e: CASE WHEN e IS NULL THEN 'None' WHEN json_type(e) = 'OBJECT' THEN coalesce({sub('e', '$.text')}, {sub('e', '$.content')}) ELSE {astext('e')} END"
     return f"""(CASE WHEN {c} IS NULL THEN ''
       WHEN NOT json_valid({c}) THEN {c}
       WHEN json_type({c}) = 'NULL' THEN ''
       WHEN json_type({c}) = 'VARCHAR' THEN json_extract_string({c}, '$')
       WHEN json_type({c}) = 'ARRAY' THEN array_to_string(list_transform(from_json({c}, '["JSON"]'), {item}), ' ')
       WHEN json_type({c}) = 'OBJECT' THEN coalesce({sub(c, '$.text')}, {sub(c, '$.content')}, {c})
-      ELSE {c} END)"""
+      ELSE {astext(c)} END)"""
 
 
 def fx_chunks_cte() -> str:

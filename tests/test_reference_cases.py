@@ -127,3 +127,68 @@ def test_a_replayed_stream_batch_is_written_once(spark, tmp_path):
     for batch_id in (0, 1, 1):
         sink(df, batch_id)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+
+
+def test_rules_mean_on_the_jvm_what_they_mean_in_python(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from chatloom.operators import rewrite as R
+
+    patterns = [r"\.$", r"\s+", r"[^\w\s]", r"a.b", r"^x", r"(?m)^x$", r"(?m)e$", r"\bcaf\w", r"\d+", r"[\S]+$", r"[^\S]x", r"[\W_]", r"(?i)é",
+                r"(?is)A.*B", r"[\s,]+", r"\w+\Z", r"(?P<q_1>\w)(?P=q_1)", r"x\$", r"[$.]", r"[^\W\d]+", r"(?x) a \s b # c", r"\S\s\S", r"$", r"(a|$)",
+                r"[]\w]", r"\\s", r"\Bx", r"(?<=\s)b", r"e(?=$)", r"[\b]", r"\b", r"\B"]
+    texts = ["end.\r\n", "end.\n", "end.\r", "a\x1cb", "²³ x", "a\u2028b", "a\rb", "x\r\nx\n", "naïve café", "٣٤", "a\u00a0b", "a\u180eb", "a\x85b", "é É",
+             "A\n\u2029B", "x$ $.", "aa bb", "_9z", ". \x1f.", "a\u200bb", "Ⅷ x", "½", "e\u0301x", "a b # c", "", "\n", "\n\n", "x]w", "\\s", "\x08"]
+    rnd = random.Random(1)
+    texts += ["".join(rnd.choice("ab x.\n\r\u2028\x1c\x85²é_9,$\u00a0") for _ in range(rnd.randint(0, 12))) for _ in range(300)]
+    rules = R.compile_rules([{"id": str(i), "pattern": p, "replacement": "<>"} for i, p in enumerate(patterns)], spark)
+    assert len(rules) == len(patterns)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", *[F.regexp_replace("t", c.pattern, c.replacement).alias(f"c{c.id}") for c in rules]).collect():
+        for i, p in enumerate(patterns):
+            assert r[f"c{i}"] == re.sub(p, "<>", r.t), (p, r.t)
+
+
+def test_null_and_missing_reply_fields(spark):
+    from pyspark.sql import functions as F
+
+    from chatloom.functions.content import parse_reply, text_content
+
+    bodies = [("openai", '{"choices":[{"message":{"content":"x"},"finish_reason":null}]}'), ("openai", '{"choices":[{"message":{"content":null}}]}'),
+              ("ollama", '{"message":{"content":"x"},"done_reason":null}'), ("ollama", '{"message":{}}'), ("openai", '{"choices":[]}')]
+    df = spark.createDataFrame(bodies, "p string, b string").coalesce(1)
+    got = [(r.r.content, r.r.finish_reason) for r in df.select(parse_reply(F.col("b"), F.col("p")).alias("r")).collect()]
+    assert got == [("x", None), (None, "stop"), ("x", None), ("", "stop"), ("", "error")]
+    contents = ['[true,false,null,7,"s",{"text":null},{"content":true}]', '{"text":null}', '{"content":false}', "null", '"x"']
+    df = spark.createDataFrame([(c,) for c in contents], "c string").coalesce(1)
+    assert [r.t for r in df.select(text_content(F.col("c")).alias("t")).collect()] == ["True False None 7 s None True", "None", "False", "", "x"]
+
+
+def test_history_follows_the_highest_checkpoint_folder(spark, tmp_path):
+    import json
+
+    from chatloom.sources import io as IO
+
+    def put(path, content):
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(content if isinstance(content, str) else json.dumps(content))
+
+    meta = lambda minute: {"timestamp": f"2024-01-01T00:0{minute}:00", "eval_loss": 2.0}
+    state = {"global_step": 10, "log_history": [{"eval_loss": 0.5, "eval_runtime": 1.0}]}
+    put(tmp_path / "a/training_metadata.json", meta(1))
+    put(tmp_path / "a/checkpoint-10/trainer_state.json", state)
+    put(tmp_path / "a/checkpoint-20/weights.bin", "w")  # the highest folder has no state
+    put(tmp_path / "b/training_metadata.json", meta(2))
+    put(tmp_path / "b/checkpoint-9/trainer_state.json", state)
+    put(tmp_path / "b/checkpoint-last/trainer_state.json", "{broken")  # no number counts as 0
+    put(tmp_path / "c/training_metadata.json", meta(3))
+    put(tmp_path / "c/checkpoint-5/trainer_state.json", "{broken")
+    put(tmp_path / "d/training_metadata.json", meta(4))
+    put(tmp_path / "d/pass_1_layers_0_4/train.log", "a pass folder without a report")
+    put(tmp_path / "e/training_metadata.json", meta(5))
+    put(tmp_path / "e/checkpoint-1/trainer_state.json", {"global_step": 3, "log_history": []})
+    got = [(r.checkpoint_name, r.eval_loss, r.global_step) for r in IO.read_training_history(spark, str(tmp_path)).collect()]
+    assert got == [("a", 2.0, None), ("b", 0.5, 10), ("c", 2.0, None), ("e", 2.0, None)]
