@@ -10,6 +10,7 @@ pipelines run without a model; they are not models.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from chatloom.config import DEFAULT, Thresholds
 from chatloom.functions.scoring import parse_score_reply
 from chatloom.session import cut_lineage
 
@@ -115,6 +117,38 @@ def generate_rejections(prompts: DataFrame, generator_factory: Callable[[], Gene
     return ok, report
 
 
+CACHE_SCHEMA = "prompt string, seq bigint, rejection string, cached_at timestamp_ntz, run string"
+
+
+def cached_rejections(prompts: DataFrame, path: str, now, run_id: str, generator_factory: Callable[[], Generator] = stand_in_generator,
+                      prompt_col: str = "prompt", cfg: Thresholds = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """D7 + D8: rejections of all prompts, asking the generator only for those without a fresh one in the cache.
+
+    The cache is a table of (prompt, seq, rejection, cached_at) partitioned by ``run``; the newest
+    fresh rejection of a prompt counts.  What is generated is written under ``run_id`` and so kept for
+    later runs; a run that crashed before is found unfinished and replaced.  Failed prompts are not
+    cached, so they are asked again next time.  Returns (prompt, rejection) and the generation report.
+    """
+    from chatloom.operators.datasets import fresh_rejections
+
+    spark = prompts.sparkSession
+    if isinstance(now, str):
+        now = dt.datetime.fromisoformat(now)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+    wanted = prompts.select(F.col(prompt_col).alias("prompt")).where(F.col("prompt").isNotNull()).distinct()
+
+    def newest() -> DataFrame:
+        fresh = fresh_rejections(spark.read.schema(CACHE_SCHEMA).parquet(path), now, cfg)
+        return fresh.groupBy("prompt").agg(F.max_by("rejection", F.struct("cached_at", "seq", "run")).alias("rejection"))
+
+    # pinned: it is read again for the report, when the cache has what was generated
+    missing = cut_lineage(wanted.join(newest().select("prompt"), "prompt", "left_anti"))
+    generated, report = generate_rejections(missing, generator_factory)
+    generated.withColumn("cached_at", F.lit(now).cast("timestamp_ntz")).write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={run_id}")
+    return newest().join(wanted, "prompt", "left_semi"), report
+
+
 def char_tokenizer() -> Tokenizer:
     """Stand-in tokenizer: one id per character (code point + 1); 0 is padding."""
 

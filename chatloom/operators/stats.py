@@ -104,12 +104,9 @@ def sentiment_distribution(df: DataFrame, group: Sequence[str] | None = None) ->
     return raw.withColumn("neutral", F.col("total") - F.col("positive") - F.col("negative"))
 
 
-def store_overview(df: DataFrame, size_gb: float, cfg: Thresholds = DEFAULT) -> DataFrame:
-    """A3: size, cleanup threshold, usage, totals and golden count in one pass."""
-    return df.agg(
-        F.count(F.lit(1)).alias("total_interactions"),
-        F.count_if(F.coalesce(F.col("is_golden"), F.lit(False))).alias("golden_examples"),
-    ).select(
+def overview_columns(size_gb: float, cfg: Thresholds = DEFAULT) -> list[Column | str]:
+    """A3's columns over a row with total_interactions and golden_examples."""
+    return [
         F.round(F.lit(float(size_gb)), 3).alias("size_gb"),
         F.lit(float(cfg.max_size_gb)).alias("max_size_gb"),
         F.round(F.lit(cfg.max_size_gb * cfg.cleanup_threshold), 3).alias("threshold_size_gb"),
@@ -118,7 +115,15 @@ def store_overview(df: DataFrame, size_gb: float, cfg: Thresholds = DEFAULT) ->
         "golden_examples",
         F.lit(True).alias("auto_cleanup_enabled"),
         F.lit(cfg.cleanup_fraction * 100).alias("auto_cleanup_percentage"),
-    )
+    ]
+
+
+def store_overview(df: DataFrame, size_gb: float, cfg: Thresholds = DEFAULT) -> DataFrame:
+    """A3: size, cleanup threshold, usage, totals and golden count in one pass."""
+    return df.agg(
+        F.count(F.lit(1)).alias("total_interactions"),
+        F.count_if(F.coalesce(F.col("is_golden"), F.lit(False))).alias("golden_examples"),
+    ).select(*overview_columns(size_gb, cfg))
 
 
 def _dpo_signals() -> Column:

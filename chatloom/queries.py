@@ -1745,3 +1745,65 @@ def q_i13_store(spark, sf_dir):
         ST.store_prune_if_oversize(spark, path, run, cfg)
 
     return _written_back(spark, sf_dir, prune)
+
+
+# ---------------------------------------------------------------- rejection cache, daily summary
+
+D5_PROMPTS = "SELECT DISTINCT prompt FROM (SELECT id, user_message AS prompt, 0 AS source_order"
+
+
+def _cached_rejections_sql() -> str:
+    """The newest fresh cached rejection of every prompt, else the generator's."""
+    fresh = f"""fresh AS (SELECT prompt, arg_max(rejection, (cached_at, seq)) AS rejection FROM cleaned
+  WHERE NOT (((epoch_us({TS_NOW}) - epoch_us(cached_at)) / {D(1000000.0)}) / {D(3600.0)} > {D(6.0)}) GROUP BY prompt)"""
+    ctes, body = ORACLE["d5_rejection_prompts"].split("SELECT id, user_message AS prompt, 0 AS source_order", 1)
+    _, replies = with_ctes(S.fx_replies_cte(), S.clean_rejections_cte()).split("WITH ", 1)
+    return f"""{ctes.rstrip()}, {replies.rstrip()}, {fresh}
+SELECT p.prompt, coalesce(f.rejection, regexp_replace('I would rather not go into that: ' || p.prompt, '{WS}+$', '')) AS rejection
+FROM (SELECT DISTINCT prompt FROM (SELECT id, user_message AS prompt, 0 AS source_order{body}) ) p LEFT JOIN fresh f ON f.prompt = p.prompt"""
+
+
+@register("d7_cached_rejections", _cached_rejections_sql())
+def q_d7_cache(spark, sf_dir):
+    """A cache of an earlier run, partly stale; the generator is asked for the rest, and a second run for nothing."""
+    path = IO.scratch_path(spark, "rejections")
+    cache = DS.clean_rejections(fx.fx_replies(spark, sf_dir)).select("prompt", "seq", "rejection", "cached_at")
+    cache.write.parquet(f"{path}/run=earlier")
+    prompts = DS.rejection_prompts(*pool_and_golden(spark, sf_dir))
+    BF.cached_rejections(prompts, path, NOW, "first")
+    return BF.cached_rejections(prompts, path, NOW, "second")[0]
+
+
+from chatloom.operators import summary as SU  # noqa: E402
+
+
+def _summarised(spark, sf_dir):
+    """The interactions stored by date, and their daily summary kept by a stream that had them in three parts."""
+    df, group = fxi(spark, sf_dir), ["model_line"]
+    store, path, ck = (IO.scratch_path(spark, x) for x in ("store", "summary", "summary-ck"))
+    IO.write_interactions(df, store)
+    stream, feeds = IO.sliced_stream(df, "weight")  # every day is in every part
+    for feed in feeds:
+        feed()
+        stream.writeStream.option("checkpointLocation", ck).trigger(availableNow=True).foreachBatch(SU.summary_sink(path, group)).start().awaitTermination()
+    return SU.read_summary(spark, path, group, "model_line bigint"), ST.read_store(spark, store)
+
+
+@register("a1_stats_from_summary", ORACLE["a1_training_stats"])
+def q_a1_summary(spark, sf_dir):
+    return SU.training_stats_from_summary(*_summarised(spark, sf_dir), NOW, LAST_TRAINING, LAST_DPO)
+
+
+@register("a1_stats_from_summary_by_model", ORACLE["a1_training_stats_by_model"])
+def q_a1_summary_model(spark, sf_dir):
+    return SU.training_stats_from_summary(*_summarised(spark, sf_dir), NOW, LAST_TRAINING, LAST_DPO, ["model_line"])
+
+
+@register("a2_distribution_from_summary", ORACLE["a2_sentiment_distribution"])
+def q_a2_summary(spark, sf_dir):
+    return SU.distribution_from_summary(_summarised(spark, sf_dir)[0], ["model_line"])
+
+
+@register("a3_overview_from_summary", ORACLE["a3_store_overview"])
+def q_a3_summary(spark, sf_dir):
+    return SU.overview_from_summary(_summarised(spark, sf_dir)[0], 2.5)
