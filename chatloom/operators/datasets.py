@@ -67,18 +67,27 @@ def _explode_samples(df: DataFrame, candidates: list[tuple[Column, str, Column,
     return df.select(F.explode(F.array_compact(F.array(*structs))).alias("_x")).select("_x.*")
 
 
-def _tagged(pool: DataFrame, golden: DataFrame) -> DataFrame:
+def whole_pool(df: DataFrame) -> DataFrame:
+    """All interactions as one training pool, golden rows marked: one scan where pool and golden rows apart are two."""
+    golden = F.coalesce(F.col("is_golden"), F.lit(False))
+    return df.select("id", "user_message", "assistant_response", "weight", "sentiment", "is_refusal", golden.alias("_from_golden"))
+
+
+def _tagged(pool: DataFrame, golden: DataFrame | None) -> DataFrame:
     cols = ["id", "user_message", "assistant_response", "weight", "sentiment", "is_refusal"]
+    if golden is None:
+        return pool.select(*cols, "_from_golden")
     return pool.select(*cols, F.lit(False).alias("_from_golden")).unionByName(
         golden.select(*cols, F.lit(True).alias("_from_golden"))
     )
 
 
-def build_sft(pool: DataFrame, golden: DataFrame, cfg: Thresholds = DEFAULT) -> DataFrame:
+def build_sft(pool: DataFrame, golden: DataFrame | None = None, cfg: Thresholds = DEFAULT) -> DataFrame:
     """Positive (chosen, w), negative (rejected only, 2w), neutral (chosen, 0.5w), golden (chosen, w).
 
     Classes are independent flags, so with asymmetric thresholds a pool row can
-    yield two samples; one pass over pool + golden emits them all.
+    yield two samples; one pass over pool + golden emits them all.  Without ``golden``
+    the pool marks its golden rows itself (``whole_pool``).
     """
     s = F.col("sentiment")
     g = F.col("_from_golden")
@@ -112,10 +121,11 @@ def attach_rejections(samples: DataFrame, rejections: DataFrame, prompt: str = "
     return samples.join(lookup, samples[prompt] == lookup["_p"], "left").drop("_p")
 
 
-def build_dpo(pool: DataFrame, golden: DataFrame, rejections: DataFrame, cfg: Thresholds = DEFAULT) -> DataFrame:
+def build_dpo(pool: DataFrame, golden: DataFrame | None, rejections: DataFrame, cfg: Thresholds = DEFAULT) -> DataFrame:
     """D3: refusals first (rejected only), then positive / neutral / golden with their
     rejections (fallbacks as stated); negatives are dropped.  The refusal split applies to
-    the pool only.  One join of (pool + golden) with the per-prompt lookup, one projection."""
+    the pool only.  One join of (pool + golden) with the per-prompt lookup, one projection.
+    ``golden`` may be None, as in ``build_sft``."""
     s = F.col("sentiment")
     g = F.col("_from_golden")
     refusal = F.coalesce(F.col("is_refusal"), F.lit(False))
@@ -201,18 +211,24 @@ def fresh_rejections(cache: DataFrame, now, cfg: Thresholds = DEFAULT) -> DataFr
     return cache.where(~(age_h > F.lit(float(cfg.rejection_cache_hours))))
 
 
-def split_train_val(ds: DataFrame, fraction: float | None = None, seed: int = 42, key: str = "sample_id",
-                    cfg: Thresholds = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Seeded shuffle by md5(seed || key); the first int(n * (1 - fraction)) rows train.
+def with_split(ds: DataFrame, fraction: float | None = None, seed: int = 42, key: str = "sample_id", cfg: Thresholds = DEFAULT) -> DataFrame:
+    """D9 as one frame: ``split`` is ``train`` for the first int(n * (1 - fraction)) rows of a
+    seeded shuffle by md5(seed || key), else ``validation``.
 
-    The boundary position is exact (range-sorted narrow columns, no unpartitioned
+    The boundary position is exact (found by counting over the narrow columns, no unpartitioned
     window); ``key`` must be unique.
     """
     fraction = cfg.validation_split if fraction is None else fraction
     order = [F.md5(F.concat(F.lit(str(seed)), F.col(key))), F.col(key)]
-    # Exact position from (hash, key) only; the set is split by predicate.
     first_k = before_boundary(order, kth_boundary(ds, order, lambda n: int(n * (1 - float(fraction)))))
-    return ds.where(first_k), ds.where(~first_k)
+    return ds.withColumn("split", F.when(first_k, F.lit("train")).otherwise(F.lit("validation")))
+
+
+def split_train_val(ds: DataFrame, fraction: float | None = None, seed: int = 42, key: str = "sample_id",
+                    cfg: Thresholds = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """D9 as two frames (``with_split`` computes the set once for both)."""
+    both = with_split(ds, fraction, seed, key, cfg)
+    return both.where("split = 'train'").drop("split"), both.where("split = 'validation'").drop("split")
 
 
 def format_sft(ds: DataFrame) -> DataFrame:

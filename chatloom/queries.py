@@ -629,13 +629,11 @@ def rejections_of(spark, sf_dir, drop_short: bool = True):
 
 
 def sft_set(spark, sf_dir):
-    pool, golden = pool_and_golden(spark, sf_dir)
-    return DS.build_sft(pool, golden)
+    return DS.build_sft(DS.whole_pool(fxi(spark, sf_dir)))
 
 
 def dpo_set(spark, sf_dir):
-    pool, golden = pool_and_golden(spark, sf_dir)
-    return DS.build_dpo(pool, golden, rejections_of(spark, sf_dir, drop_short=False))
+    return DS.build_dpo(DS.whole_pool(fxi(spark, sf_dir)), None, rejections_of(spark, sf_dir, drop_short=False))
 
 
 @register("d1_training_pool", with_ctes(*CAPPED_POOL_CTES) + f"SELECT {INTERACTION_COLS} FROM pool UNION ALL SELECT {INTERACTION_COLS} FROM golden")
@@ -698,8 +696,7 @@ def q_d8(spark, sf_dir):
 FROM (SELECT *, row_number() OVER (ORDER BY md5('42' || sample_id), sample_id) - 1 AS pos FROM sft)""",
 )
 def q_d9(spark, sf_dir):
-    train, val = DS.split_train_val(sft_set(spark, sf_dir), 0.1, seed=42)
-    return train.withColumn("split", F.lit("train")).unionByName(val.withColumn("split", F.lit("validation")))
+    return DS.with_split(sft_set(spark, sf_dir), 0.1, seed=42)
 
 
 @register("d10_format_sft", with_ctes(*POOL_CTES, SFT_CTE) + "SELECT prompt, chosen AS completion, weight FROM sft WHERE chosen IS NOT NULL")

@@ -1,5 +1,6 @@
 """Skew-safe ordered helpers: exact on data where one key holds most rows."""
 
+import datetime as dt
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chatloom.plans.fsm import Machine, OrderedFold, scan
+from chatloom.plans import ordering
 from chatloom.plans.ordering import SEG, before_boundary, carry_many, global_index, kth_boundary, range_segments
 
 
@@ -61,6 +63,34 @@ def test_boundary_row_at_every_position(spark):
     assert kth_boundary(df.limit(0), [F.col("x")], lambda n: 0) is None
 
 
+def test_boundary_by_refinement_with_ties_nulls_and_times(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "SELECT_ROWS", 20)
+    monkeypatch.setattr(ordering, "OVERSAMPLE", 2)
+    # (segments of a few rows, so that every position is found by several divisions)
+    rnd = random.Random(6)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(rnd.choice([None, 1.0, 1.0, 1.0, 2.5, -0.5, float(rnd.randint(0, 400))]), start + dt.timedelta(seconds=rnd.randint(0, 9000)), f"é{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "w double, t timestamp_ntz, id string").repartition(5)
+    order = [F.col("w"), F.col("t"), F.col("id")]
+    for k in (0, 7, 1500, 2998, 2999):
+        b = kth_boundary(df, order, lambda n, k=k: k)
+        assert df.where(before_boundary(order, b)).count() == k
+    same = spark.createDataFrame([(1.0,)] * 500 + [(2.0,)] * 3, "w double").repartition(3)
+    for k, below in ((0, 0), (499, 0), (500, 500), (502, 500)):
+        b = kth_boundary(same, [F.col("w")], lambda n, k=k: k)
+        assert same.where(before_boundary([F.col("w")], b)).count() == below
+
+
+def test_carry_moves_the_rows_once_and_stitches_crossing_keys_only(spark):
+    df = _skewed_turns(spark)
+    out = carry_many(df, "conv_id", ["turn"], [(F.when(F.col("role") == "assistant", F.col("text")), "prev", "last")], num_partitions=6)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in plan.split("\n") if "shufflepartitionidpassthrough" in line.lower()]
+    assert len(wide) == 1 and "RDDScan" not in plan.replace("ExistingRDD", "")
+    spread = out.where("conv_id = 0").select(F.spark_partition_id()).distinct().count()
+    assert spread >= 4  # the hot conversation is several tasks' work
+
+
 def test_global_index_is_exact(spark):
     df = _skewed_turns(spark)
     got = global_index(df, [F.col("conv_id"), F.col("turn")], "pos")
