@@ -70,11 +70,22 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def findings_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled findings (stand-in input: an analyst marks a quoted value assigned to a name as real, other long words with digits as not)."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).filter(F.col("t").rlike("[0-9A-Za-z@._+/-]{16,}"))
-    real = texts.select("doc_id", F.explode(F.regexp_extract_all("t", F.lit('\\w+\\s*[=:]\\s*"([A-Za-z0-9_+/=-]{16,})"'), 1)).alias("value"))
-    other = texts.select("doc_id", F.explode(F.regexp_extract_all("t", F.lit(r"(?<=\s)([0-9A-Za-z@._+/-]{16,})(?=\s)"), 1)).alias("value"))
-    found = real.withColumn("label", F.lit(1)).unionByName(other.withColumn("label", F.lit(0)))
+    """Labelled findings of documents in ``labels`` (stand-in input: there is no table of findings).
+
+    The label follows from what a value is, never from where it stands: 40 hex digits are an access
+    token (real); a number with a valid Luhn checksum, a mail or IP address and a word of letters
+    alone are not.  Other values have no label.
+    """
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).filter(F.col("t").rlike(r"[0-9A-Za-z@._+/-]{16,}|[=:]\s*[\"']"))
+    values = texts.select("doc_id", F.explode(F.array_distinct(F.concat(
+        F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9_+/.@-]{16,}={0,2}"), 0),
+        F.regexp_extract_all("t", F.lit(r"""[=:]\s*["']([^"'\s]+)"""), 1)))).alias("value"))
+    value = F.col("value")
+    label = (
+        F.when(value.rlike("^(?i)[0-9a-f]{40}$"), 1)
+        .when(value.rlike("^[0-9]{13,19}$"), F.when(F.call_function("luhn_check", value), 0))
+        .when(value.rlike(r"^[^@]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$|^[0-9]{1,3}(\.[0-9]{1,3}){3}$|^[A-Za-z]+$"), 0))
+    found = values.withColumn("label", label).filter("label IS NOT NULL")
     # narrow rows meet the labels; a semi join would be pushed below the extraction and shuffle the texts
     return found.join(labels.select("doc_id").distinct(), "doc_id")
 

@@ -1,7 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest (DataFrame functions and Spark ML only).
 
-A candidate is a run of at least 16 key characters with a digit in it.  Its
-features are its length, the transitions between its character classes, how
+A candidate is a run of at least 16 key characters, of letters alone too, or
+whatever stands in the position of a value, of any length: after ``=``, or in
+quotes after ``:``, in the same word or the next.  Its features are its length, the transitions between its character classes, how
 much of it dictionary words cover, its path, and its neighbouring words.  The
 dictionary is the corpus' own: letter runs found in at least
 ``min_doc_frequency`` documents, counted over all of them.
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 from chatloom.llm.common import let, pin, text_of
 
 CANDIDATE = r"[A-Za-z0-9_+/.@-]{16,}={0,2}"
+#: A value inside a word, at the start of the word after ``=``, and after ``:`` (or ``=``) in quotes.
+INLINE, PLAIN, QUOTED = r"""(?:=["']?|:["'])([^"'=\s]+)""", r"""^([^"'=\s]+)""", r"""^["']([^"'\s]+)"""
+_ANY = CANDIDATE + r"""|=\s*["']?[^"'=\s]|:\s*["'][^"'\s]"""
 _CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "other": r"_+/.@=\-"}
 #: Words that often stand near a secret, and parts of paths that often hold made-up ones.
 NEAR_WORDS = ("key", "token", "secret", "password", "passwd", "pwd", "auth", "credential", "api")
@@ -30,22 +34,32 @@ _HASHED = 64
 
 def find_candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path_column: str = "source") -> DataFrame:
     """``(doc_id, no, value, before, after, path)``: every candidate of every whole text, numbered from 0 in its text."""
+    def values(words: Column, i: Column) -> Column:
+        word, prior = F.get(words, i), F.coalesce(F.get(words, i - 1), F.lit(""))
+        return F.array_distinct(F.concat(
+            F.regexp_extract_all(word, F.lit(CANDIDATE), 0), F.regexp_extract_all(word, F.lit(INLINE), 1),
+            F.when(prior.rlike("[=:]$"), F.regexp_extract_all(word, F.lit(QUOTED), 1)).otherwise(F.array().cast("array<string>")),
+            F.when(prior.endswith("="), F.regexp_extract_all(word, F.lit(PLAIN), 1)).otherwise(F.array().cast("array<string>"))))
+
     def of_words(words: Column) -> Column:
         def one(i: Column) -> Column:
             word = F.get(words, i)
             before = F.lower(F.array_join(F.slice(words, F.greatest(i - BEFORE, F.lit(0)) + 1, F.least(i, F.lit(BEFORE))), " "))
             after = F.lower(F.coalesce(F.get(words, i + 1), F.lit("")))
             return F.transform(
-                F.filter(F.regexp_extract_all(word, F.lit(CANDIDATE), 0), lambda v: v.rlike("[0-9]")),
+                values(words, i),
                 lambda v: F.struct(
                     v.alias("value"),
                     F.concat_ws(" ", before, F.lower(F.substr(word, F.lit(1), F.instr(word, v) - 1))).alias("before"), after.alias("after")))
 
-        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).rlike(CANDIDATE))
+        def may(i: Column) -> Column:
+            return F.get(words, i).rlike(CANDIDATE + "|" + INLINE) | F.coalesce(F.get(words, i - 1).rlike("[=:]$"), F.lit(False))
+
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), may)
         return F.flatten(F.transform(places, one))
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(path_column).cast("string"), F.lit("")).alias("path"), text_of(text_column).alias("text"))
-    found = rows.filter(F.col("text").rlike(CANDIDATE)).select("doc_id", "path", F.posexplode(let(F.split("text", r"\s+", -1), of_words)).alias("no", "c"))
+    found = rows.filter(F.col("text").rlike(_ANY)).select("doc_id", "path", F.posexplode(let(F.split("text", r"\s+", -1), of_words)).alias("no", "c"))
     return found.select("doc_id", "no", "c.value", "c.before", "c.after", "path")
 
 
@@ -89,6 +103,13 @@ def candidate_features(candidates: DataFrame, docs: DataFrame, text_column: str
     )
 
 
+def uncovered(findings: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Labelled findings that are no candidates, whatever their label: the forest never sees them."""
+    known = findings.filter("value IS NOT NULL").select("doc_id", "value").distinct()
+    own = candidates.select(F.col("doc_id").alias("c_id"), F.col("value").alias("c_value")).distinct()
+    return known.join(own, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("value") == F.col("c_value")), "left_anti")
+
+
 def feature_names() -> list[str]:
     return ["n_chars", "distinct_share", "vowel_share", "is_hex", *(f"{a}_{b}" for a in _CLASSES for b in _CLASSES),
             "path_depth", "path_is_test", "path_bucket", "near_word", "assigned", "coverage"]
@@ -98,8 +119,8 @@ def fit_forest(features: DataFrame, findings: DataFrame, max_findings: int = 20_
     """A random forest from labelled findings ``(doc_id, value, label)``; None unless both labels occur.
 
     At most ``max_findings`` findings, the first by hash, are used (a bound of
-    the training sample only).  Findings with a null or contradictory label,
-    or that are no candidates, teach nothing.
+    the training sample only).  Findings with a null or contradictory label
+    teach nothing, nor do those that are no candidates (``uncovered`` lists them).
     """
     known = (
         findings.select(F.col("doc_id").cast("long").alias("f_id"), F.col("value").alias("f_value"), F.col("label").cast("double").alias("label"))

@@ -286,6 +286,40 @@ def test_secret_scan_learns_its_findings(spark):
     assert {(r.probability, r.secret) for r in unlearned} == {(1.0, True)} and secret_scan.secret_scan(docs.limit(0), docs.select("doc_id", "value", "label")).count() == 0
 
 
+def test_secret_candidates_equal_brute_force(spark):
+    """Every value position and long run, found anew with Python's regex on whole texts."""
+    rng = random.Random(12)
+    parts = ['password="hunter"', "pwd=ab", "key: 'x'", 'api = "short"', "plain = word", "token:notquoted", "AllLettersLongerThanSixteen", "a=b=c", "x1234567890123456789==", "word", "is", ":", "=",
+             "'quoted'", 'name="two words"', "url?a=1&b=2", "é=ü", "user@host.example.com", '""', "k='", "12.34.56.78"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(150)] + [None, "", " = ", 'secret =\n"abcdefgh"', "x" * 30_000 + " k=v"]
+    got = collections.defaultdict(list)
+    docs = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "doc_id long, text string, source string").repartition(3)
+    for r in secret_scan.find_candidates(docs).collect():
+        got[r.doc_id].append((r.no, r.value))
+    for i, text in enumerate(texts):
+        want, ws = [], re.split(r"[\s]+", text or "")
+        for k, word in enumerate(ws):
+            prior = ws[k - 1] if k else ""
+            found = [m.group(0) for m in re.finditer(r"[A-Za-z0-9_+/.@-]{16,}={0,2}", word)]
+            found += [m.group(1) for m in re.finditer(r"""(?:=["']?|:["'])([^"'=\s]+)""", word)]
+            found += re.findall(r"""^["']([^"'\s]+)""", word) if prior[-1:] in ("=", ":") and prior else []
+            found += re.findall(r"""^([^"'=\s]+)""", word) if prior.endswith("=") else []
+            want += list(dict.fromkeys(found))
+        assert [v for _, v in sorted(got[i])] == want
+    assert sum(map(len, got.values())) > 300
+
+
+def test_no_labelled_finding_is_left_out(spark, sf_mid):
+    from chatloom.llm.queries import findings_of
+
+    docs, labels = (spark.read.parquet(f"{sf_mid}/{t}.parquet") for t in ("documents", "labels"))
+    findings = findings_of(docs, labels)
+    assert secret_scan.uncovered(findings, secret_scan.find_candidates(docs)).count() == 0 and findings.filter("label = 1").count() > 5
+    short = spark.createDataFrame([(1, 'the password = "hunter" and passphrase="correcthorse" end', "s"), (2, "short AKIA key", "s")], "doc_id long, text string, source string")
+    marks = spark.createDataFrame([(1, "hunter", 1), (1, "correcthorse", 1), (2, "AKIA", 1)], "doc_id long, value string, label int")
+    assert [r.value for r in secret_scan.uncovered(marks, secret_scan.find_candidates(short)).collect()] == ["AKIA"]
+
+
 def test_mixing(docs, rows):
     plan = mixing.mix_plan(docs)
     out = {r.doc_id: r for r in plan.collect()}
