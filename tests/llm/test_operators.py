@@ -70,6 +70,56 @@ def test_quality_rules(docs, rows, spark):
     assert quality_rules.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_votes_and_posterior_equal_a_plain_em(docs, rows):
+    """Votes by hand from the counts, EM text by text in plain Python."""
+    def vote(f, good, bad):
+        return 0 if bad(f) else 1 if good(f) else -1
+
+    plain = {
+        "word_length": (lambda f: f["w"] and 3 * f["w"] <= f["c"] <= 10 * f["w"], lambda f: f["w"] and (f["c"] < 2 * f["w"] or f["c"] > 15 * f["w"])),
+        "symbols": (lambda f: f["w"] and 100 * f["s"] <= f["w"], lambda f: f["w"] and 10 * f["s"] >= f["w"]),
+        "duplicate_lines": (lambda f: f["l"] and 20 * f["d"] <= f["l"], lambda f: f["l"] and 10 * f["d"] >= 3 * f["l"]),
+        "repeated_words": (lambda f: f["w"] and 10 * f["r"] <= f["w"], lambda f: f["w"] and 10 * f["r"] >= 3 * f["w"]),
+        "capitals": (lambda f: f["a"] and 100 * f["u"] <= 15 * f["a"], lambda f: f["a"] and 10 * f["u"] >= 3 * f["a"]),
+        "letters": (lambda f: f["c"] and 100 * f["y"] >= 90 * f["c"], lambda f: f["c"] and 100 * f["y"] < 85 * f["c"]),
+        "digits": (lambda f: f["c"] and 20 * f["n"] <= f["c"], lambda f: f["c"] and 5 * f["n"] >= f["c"]),
+    }
+    assert list(plain) == [r.name for r in quality_rules.RULES]
+    out = quality_rules.quality_rules(docs).collect()
+    texts = {doc_id: text or "" for doc_id, text, _ in rows}
+    votes = []
+    for r in out:
+        t = texts[r.doc_id]
+        lines = [x for x in t.split("\n") if words(x)]
+        f = {"w": r.n_words, "c": r.word_chars, "s": r.n_symbols, "d": r.n_dup_lines, "r": r.n_repeat_words, "l": len(lines), "u": len(re.findall("[A-Z]", t)),
+             "a": len(re.findall("[A-Za-z]", t)), "n": len(re.findall("[0-9]", t)), "y": len(re.findall("[A-Za-z]", t)) + sum(ord(c) > 127 for c in t)}
+        votes.append([vote(f, *plain[name]) for name in plain])
+        assert votes[-1] == [r[f"vote_{name}"] for name in plain]
+    n, rate, g, b = len(plain), 0.9, [0.999] * len(plain), [0.4] * len(plain)
+    for _ in range(500):
+        chance = []
+        for v in votes:
+            up, down = rate, 1 - rate
+            for k in range(n):
+                up *= 1 if v[k] < 0 else g[k] if v[k] else 1 - g[k]
+                down *= 1 if v[k] < 0 else 1 - b[k] if v[k] else b[k]
+            chance.append(up / (up + down))
+        old = (rate, g, b)
+        rate = (sum(chance) + 1) / (len(votes) + 2)
+        said = [sum(v[k] >= 0 for v in votes) for k in range(n)]
+        g = [(sum(c for c, v in zip(chance, votes) if v[k] == 1) + 1 + 0.1 * said[k] * 0.99) / (sum(c for c, v in zip(chance, votes) if v[k] >= 0) + 2 + 0.1 * said[k]) for k in range(n)]
+        b = [min(1 - 1e-9, max((sum(1 - c for c, v in zip(chance, votes) if v[k] == 0) + 1) / (sum(1 - c for c, v in zip(chance, votes) if v[k] >= 0) + 2), 1 - g[k] + 1e-6)) for k in range(n)]
+        if max([abs(rate - old[0]), *(abs(x - y) for x, y in zip(g + b, old[1] + old[2]))]) < 1e-10:
+            break
+    for r, v in zip(out, votes):
+        up, down = rate, 1 - rate
+        for k in range(n):
+            up *= 1 if v[k] < 0 else g[k] if v[k] else 1 - g[k]
+            down *= 1 if v[k] < 0 else 1 - b[k] if v[k] else b[k]
+        assert r.posterior == pytest.approx(up / (up + down), abs=1e-4)
+        assert r.kept == (not r.base_failed and r.posterior >= 0.5)
+
+
 def test_vote_model_finds_the_bad_class():
     rng = np.random.default_rng(1)
     good = rng.random(4000) < 0.85
