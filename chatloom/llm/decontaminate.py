@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import id_of_key, let, packed, text_of
+from chatloom.llm.common import id_of_key, let, packed, pin, text_of
 
 #: The contract's words: everything but ASCII characters that are neither letters nor digits.
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -113,7 +113,7 @@ def _contaminated(n_hit: Column, n_words: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                  size: int = 13, set_limit: int = 50_000) -> DataFrame:
+                  size: int = 13, set_limit: int = 50_000, item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     ``contaminated``: n_hit > 0 and 20 * n_hit >= n_words.  Null and empty
@@ -121,13 +121,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     Rows that repeat are rows of the result too.  An empty table on either side
     is no error.  Columns other than the named ones are not read.
     """
-    windows = benchmark_windows(benchmark, text_column="text", size=size)
+    windows = benchmark_windows(benchmark, item_column, item_text, size)
     found = with_hits(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), windows, set_limit=set_limit)
-    # one row at least for each row of docs; the id is made once, above the only use of it
-    rows = found.select(
+    # one row at least for each row of docs; pinned, for a task that ran anew could number its rows otherwise
+    numbered = pin(found.select(
         F.monotonically_increasing_id().alias("rid"), "k1", "n_words", hit_words(F.col("hits")).alias("n_hit"),
-        F.array_distinct(F.transform("hits", lambda h: h["window"])).alias("windows"),
-    ).select("rid", "k1", "n_words", "n_hit", F.explode_outer("windows").alias("window"))
+        F.array_distinct(F.transform("hits", lambda h: h["window"])).alias("windows")))
+    rows = numbered.select("rid", "k1", "n_words", "n_hit", F.explode_outer("windows").alias("window"))
     items = windows.groupBy("window").agg(F.collect_set("item_id").alias("items"))
     joined = rows.join(items, "window", "left")
     per_row = joined.groupBy("rid", "k1", "n_words", "n_hit").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
@@ -139,7 +139,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", id_column: str = "doc_id", text_column: str = "text",
-                  size: int = 13, set_limit: int = 50_000) -> DataFrame:
+                  size: int = 13, set_limit: int = 50_000, item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows with all their columns, free of benchmark text.
 
     ``mode="documents"`` drops contaminated documents and leaves the others as
@@ -148,7 +148,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     """
     if mode not in ("documents", "spans"):
         raise ValueError("mode must be documents or spans")
-    found = with_hits(docs, benchmark_windows(benchmark, size=size), id_column, text_column, set_limit)
+    found = with_hits(docs, benchmark_windows(benchmark, item_column, item_text, size), id_column, text_column, set_limit)
     if mode == "documents":
         return found.filter(~_contaminated(hit_words(F.col("hits")), F.col("n_words"))).select("row.*")
     text = F.col("row").getField(text_column)
