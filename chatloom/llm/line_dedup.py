@@ -83,7 +83,7 @@ def repeated_chunks(docs: DataFrame, id_column: str = "doc_id", text_column: str
     base = keyed(docs, id_column, text_column)
     listed = base.select("k1", "k2", F.explode(chunks_of(F.col("text"), window, False)).alias("c")).filter("c.n_worded >= 2")
     narrow = pin(listed.select("k1", "k2", "c.no", "c.digest"))
-    shared = narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
+    shared = pin(narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"))  # for a join that splits, as below
     by_doc = narrow.join(shared, "digest").groupBy("k1", "k2").agg(F.collect_set("no").alias("numbers"))
     bodies = base.join(by_doc, ["k1", "k2"]).select(
         "k1", "k2", F.explode(let(chunks_of(F.col("text"), window, True), lambda chunks: F.transform("numbers", lambda no: F.get(chunks, no)))).alias("c"),
