@@ -9,11 +9,14 @@ pair set is materialised and neither side goes through the driver.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,38 +24,60 @@ CANDIDATE_SCHEMA = "qid string, cid string, similarity double"
 CHUNK = 512  # query rows per similarity matrix inside a task
 
 
+#: Characters between terms.
+NOT_TERM = r"[^\p{L}\p{N}_]+"
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def term_bucket(term: str, dim: int) -> int:
+    return int(hashlib.md5(term.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % dim
+
+
+def _hashed_terms(dim: int) -> Callable[[pd.Series], pd.Series]:
+    split = regex.compile(NOT_TERM).split
+
+    def encode(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            buckets = [term_bucket(x, dim) for x in split(t.lower() if isinstance(t, str) else "") if x]
+            counts = np.bincount(np.array(buckets, np.int64), minlength=dim).astype(float)
+            norm = np.sqrt((counts * counts).sum())
+            out.append((counts / norm if norm else counts).astype(np.float32).tolist())
+        return pd.Series(out)
+
+    return encode
+
+
 def embed(df: DataFrame, text_col: str = "document", out: str = "embedding", dim: int = 384,
           encoder: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
-    """Vector for each text.  Default: hashed term frequencies (Spark ML, JVM side),
-    L2-normalised.  A caller-supplied ``encoder`` (pandas Series[str] -> Series[list[float]])
-    runs batch-wise through Arrow instead."""
-    if encoder is None:
-        from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
-        from pyspark.ml.functions import vector_to_array
-
-        toks = RegexTokenizer(inputCol=text_col, outputCol="_toks", pattern=r"\W+", toLowercase=True).transform(df)
-        tf = HashingTF(inputCol="_toks", outputCol="_tf", numFeatures=dim).transform(toks)
-        normed = Normalizer(inputCol="_tf", outputCol="_vec", p=2.0).transform(tf)
-        return normed.withColumn(out, vector_to_array("_vec", "float32")).drop("_toks", "_tf", "_vec")
-
+    """Vector for each text.  Default: L2-normalised counts of lower-cased terms, hashed by
+    MD5 into ``dim`` buckets (a text without terms has zeros).  A caller-supplied ``encoder``
+    (pandas Series[str] -> Series[list[float]]) takes its place; either runs batch-wise through Arrow."""
     from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
     schema = StructType(df.schema.fields + [StructField(out, ArrayType(FloatType()))])
+    encode = encoder or _hashed_terms(dim)
 
     def run(batches):
         for pdf in batches:
-            pdf[out] = encoder(pdf[text_col]).map(lambda v: [float(x) for x in v])
+            pdf[out] = encode(pdf[text_col]).map(lambda v: [float(x) for x in v])
             yield pdf
 
     return df.mapInPandas(run, schema)
 
 
+def _candidates(qids, cids, similarities) -> pd.DataFrame:
+    """Plain object columns: Arrow-backed strings of an empty result have no chunk, which Spark cannot take."""
+    ids = {"qid": pd.Series(list(qids), dtype=object), "cid": pd.Series(list(cids), dtype=object)}
+    return pd.DataFrame({**ids, "similarity": np.asarray(similarities, float)})
+
+
 def _block_topk(k: int, chunk: int = 512):
     def fn(key, pdf):
         q = pdf[pdf["_side"] == 0]
         c = pdf[pdf["_side"] == 1]
         if q.empty or c.empty:
-            return pd.DataFrame({"qid": [], "cid": [], "similarity": []})
+            return _candidates([], [], [])
         qm = np.vstack(q["_vec"].to_numpy()).astype(np.float64)
         cm = np.vstack(c["_vec"].to_numpy()).astype(np.float64)
         qm = qm / np.where((qn := np.linalg.norm(qm, axis=1, keepdims=True)) == 0, 1.0, qn)
@@ -65,7 +90,8 @@ def _block_topk(k: int, chunk: int = 512):
         # Query rows in chunks: a task never holds more than CHUNK x corpus-block similarities.
         for lo in range(0, qm.shape[0], chunk):
             qids = qids_all[lo:lo + chunk]
-            sims = qm[lo:lo + chunk] @ cm.T
+            # compared at 1e-9: products of equal vectors may differ in the last bits
+            sims = np.floor(qm[lo:lo + chunk] @ cm.T * 1e9 + 0.5) / 1e9
             sims = np.where(qids[:, None] == cids[None, :], -np.inf, sims)  # a vector is not its own neighbour
             # Keep the kk best per query; where the last of them ties with others, the least ids.
             idx = np.argpartition(-sims, kk - 1, axis=1)[:, :kk]
@@ -75,8 +101,8 @@ def _block_topk(k: int, chunk: int = 512):
                 idx[r] = np.argsort(-sims[r], kind="stable")[:kk]
             picked = np.take_along_axis(sims, idx, axis=1).ravel()
             keep = np.isfinite(picked)
-            parts.append(pd.DataFrame({"qid": np.repeat(qids, kk)[keep], "cid": cids[idx.ravel()][keep], "similarity": picked[keep]}))
-        return pd.concat(parts, ignore_index=True)
+            parts.append((np.repeat(qids, kk)[keep], cids[idx.ravel()][keep], picked[keep]))
+        return _candidates(*(np.concatenate(x) for x in zip(*parts)))
 
     return fn
 
@@ -86,7 +112,8 @@ def similar_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, id_col: str
                  block_rows: int = 16384, chunk: int = CHUNK) -> DataFrame:
     """The k nearest corpus rows of every query by cosine similarity (exact).
 
-    Returns (qid, cid, similarity, rank) with rank 1..k; ties broken by cid.  Each
+    Returns (qid, cid, similarity, rank) with rank 1..k; similarities are rounded to
+    1e-9 and ties broken by cid.  Each
     task holds one query block and one corpus block of about ``block_rows`` rows at
     most and multiplies them 512 query rows at a time.  The work is the exact
     all-pairs product; for corpora too large for that, an approximate index is the

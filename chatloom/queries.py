@@ -845,7 +845,7 @@ from chatloom.operators import similarity as J  # noqa: E402
     "j2_similar_topk",
     """WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 n AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS nv FROM e),
-p AS (SELECT a.id AS qid, b.id AS cid, list_dot_product(a.v, b.v) / (a.nv * b.nv) AS similarity FROM n a, n b WHERE a.id <> b.id),
+p AS (SELECT a.id AS qid, b.id AS cid, floor(list_dot_product(a.v, b.v) / (a.nv * b.nv) * CAST(1000000000.0 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000000000.0 AS DOUBLE) AS similarity FROM n a, n b WHERE a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, cid) AS rank FROM p)
 SELECT qid, cid, floor(similarity * CAST(10000.0 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(10000.0 AS DOUBLE) AS similarity, rank
 FROM r WHERE rank <= 5""",
@@ -860,13 +860,39 @@ def captured(spark, sf_dir):
     return P.capture_pipeline(fx.fx_turns(spark, sf_dir))
 
 
-@register("j1_embed")
-def q_j1(spark, sf_dir):
-    emb = J.embed(captured(spark, sf_dir))
-    return emb.select("id", F.size("embedding").alias("dim"), F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("sq_norm"))
+# The captured interactions as vectors: counts of hashed terms in 384 buckets, of length 1.
+VECTORS_CTE = r"""captured AS (SELECT id, user_message, 'User: ' || user_message || chr(10) || 'Assistant: ' || assistant_response AS document FROM interactions),
+buckets AS (SELECT id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 384 AS bucket, count(*) AS n
+            FROM (SELECT id, unnest(list_filter(regexp_split_to_array(lower(document), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS t FROM captured) GROUP BY 1, 2),
+norms AS (SELECT id, sqrt(sum(n * n)::DOUBLE) AS norm FROM buckets GROUP BY id),
+vectors AS (
+  SELECT c.id, any_value(c.user_message) AS user_message, any_value(c.document) AS document,
+         list(CAST(coalesce(b.n / m.norm, 0) AS FLOAT) ORDER BY i.bucket) AS vec
+  FROM captured c CROSS JOIN (SELECT unnest(range(384)) AS bucket) i
+  LEFT JOIN buckets b ON b.id = c.id AND b.bucket = i.bucket LEFT JOIN norms m ON m.id = c.id GROUP BY c.id)"""
+
 
+def _vectors_sql(select: str) -> str:
+    ctes, body = ORACLE["p6_capture_pipeline"].split("SELECT CAST(conv_id AS VARCHAR) || '_'", 1)
+    return f"{ctes.rstrip()}, interactions AS (SELECT CAST(conv_id AS VARCHAR) || '_'{body}), {VECTORS_CTE} {select}"
 
-@register("j3_context_prompts")
+
+@register("j1_embed", _vectors_sql("""SELECT id, 384 AS dim,
+  array_to_string(list_transform(vec, lambda x: CAST(floor(CAST(x AS DOUBLE) * CAST(1000000.0 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT)), ' ') AS vector FROM vectors"""))
+def q_j1(spark, sf_dir):
+    emb = J.embed(captured(spark, sf_dir))
+    millionths = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1e6 + 0.5).cast("string"))
+    return emb.select("id", F.size("embedding").alias("dim"), F.array_join(millionths, " ").alias("vector"))
+
+
+@register("j3_context_prompts", _vectors_sql("""
+, long AS (SELECT *, CAST(vec AS DOUBLE[]) AS v, sqrt(list_dot_product(CAST(vec AS DOUBLE[]), CAST(vec AS DOUBLE[]))) AS nv FROM vectors),
+pairs AS (SELECT a.id AS qid, b.id AS cid, b.document AS doc,
+            floor(list_dot_product(a.v, b.v) / (a.nv * b.nv) * CAST(1000000000.0 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS similarity FROM long a, long b WHERE a.id <> b.id),
+best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, cid) AS rank FROM pairs),
+context AS (SELECT qid, string_agg(doc, chr(10) || chr(10) ORDER BY rank) AS text FROM best WHERE rank <= 3 GROUP BY qid)
+SELECT id, CASE WHEN text IS NOT NULL THEN 'Context:' || chr(10) || text || chr(10) || chr(10) || 'User: ' || user_message ELSE user_message END AS prompt
+FROM vectors LEFT JOIN context ON qid = id"""))
 def q_j3(spark, sf_dir):
     inter = J.embed(captured(spark, sf_dir))
     return J.context_prompts(inter, inter, 3).select("id", "prompt")

@@ -74,6 +74,12 @@ def test_equal_vectors_rank_by_id(spark):
     assert [r.cid for r in out.orderBy("rank").collect()] == ["00000", "00001", "00002"]
 
 
+def test_blocks_without_a_neighbour(spark):
+    vectors = spark.createDataFrame([(f"v{i}", [1.0, float(i)]) for i in range(3)], "id string, embedding array<double>")
+    out = similar_topk(vectors, vectors, k=5, query_blocks=2, corpus_blocks=7)  # most corpus blocks hold one vector or none
+    assert sorted((r.qid, r["rank"], r.cid) for r in out.collect()) == [("v0", 1, "v1"), ("v0", 2, "v2"), ("v1", 1, "v2"), ("v1", 2, "v0"), ("v2", 1, "v1"), ("v2", 2, "v0")]
+
+
 def test_rules_read_as_python_patterns(spark):
     rules = [
         {"id": "names", "pattern": r"(?P<first_word>\w+) café", "replacement": r"<\g<first_word>> X", "target_roles": ["all"]},
