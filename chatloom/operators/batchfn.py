@@ -126,16 +126,21 @@ def cached_rejections(prompts: DataFrame, path: str, now, run_id: str, generator
 
     The cache is a table of (prompt, seq, rejection, cached_at) partitioned by ``run``; the newest
     fresh rejection of a prompt counts.  What is generated is written under ``run_id`` and so kept for
-    later runs; a run that crashed before is found unfinished and replaced.  Failed prompts are not
-    cached, so they are asked again next time.  Returns (prompt, rejection) and the generation report.
+    later runs; a run that crashed while it wrote is found unfinished and done anew, a finished one that
+    is repeated adds what is still missing.  Failed prompts are not cached, so they are asked again next
+    time.  Returns (prompt, rejection) and the generation report.
     """
     from chatloom.operators.datasets import fresh_rejections
+    from chatloom.operators.store import _Files
 
     spark = prompts.sparkSession
     if isinstance(now, str):
         now = dt.datetime.fromisoformat(now)
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+    files, own = _Files(spark, path), f"{path.rstrip('/')}/run={run_id}"
+    files.make(path)
+    finished = files.exists(f"{own}/_SUCCESS")
+    if not finished:
+        files.delete(own)
     wanted = prompts.select(F.col(prompt_col).alias("prompt")).where(F.col("prompt").isNotNull()).distinct()
 
     def newest() -> DataFrame:
@@ -145,7 +150,7 @@ def cached_rejections(prompts: DataFrame, path: str, now, run_id: str, generator
     # pinned: it is read again for the report, when the cache has what was generated
     missing = cut_lineage(wanted.join(newest().select("prompt"), "prompt", "left_anti"))
     generated, report = generate_rejections(missing, generator_factory)
-    generated.withColumn("cached_at", F.lit(now).cast("timestamp_ntz")).write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={run_id}")
+    generated.withColumn("cached_at", F.lit(now).cast("timestamp_ntz")).write.mode("append" if finished else "overwrite").parquet(own)
     return newest().join(wanted, "prompt", "left_semi"), report
 
 

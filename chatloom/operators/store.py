@@ -35,6 +35,9 @@ class _Files:
     def exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
 
+    def make(self, path: str) -> None:
+        self._fs.mkdirs(self._path(path))
+
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 

@@ -102,6 +102,11 @@ def test_a_second_run_asks_the_generator_for_nothing(spark, tmp_path):
     assert asked() == []
     again, report = BF.cached_rejections(prompts, path, NOW, "r2", factory)
     assert {r.prompt: r.rejection for r in again.collect()} == want and asked() == ["fails"]  # only what failed is asked again
+    repeated, _ = BF.cached_rejections(prompts, path, NOW, "r1", factory)  # a finished run keeps what it has
+    assert {r.prompt: r.rejection for r in repeated.collect()} == want and asked() == ["fails"]
+    (tmp_path / "cache" / "run=r1" / "_SUCCESS").unlink()  # a run that crashed while it wrote
+    anew, _ = BF.cached_rejections(prompts, path, NOW, "r1", factory)
+    assert {r.prompt: r.rejection for r in anew.collect()} == want and asked() == ["fails", "new", "stale"]
     fine = prompts.where("prompt <> 'fails'")
     assert {r.prompt: r.rejection for r in BF.cached_rejections(fine, path, "2024-02-01T05:00:00", "r3", factory)[0].collect()} == want and asked() == []
     empty, _ = BF.cached_rejections(fine, str(tmp_path / "none"), NOW, "r1", factory)
