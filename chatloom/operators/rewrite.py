@@ -4,12 +4,18 @@ A rule set is a short driver-side list (it is configuration, not data).  It is
 compiled once into native ``regexp_replace`` expressions; the rows never leave
 the JVM.  Each rule becomes its own projection so a long chain does not
 duplicate earlier regex work inside one expression tree.
+
+A large rule set is one expression over arrays of its patterns, whatever its
+size: rules run in order over the text so far, and a rule's regex runs only
+where the text holds the literal that every match of it must contain.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from re import _constants as _CODES
+from re import _parser as _PARSER
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import IllegalArgumentException
@@ -17,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_PRIORITY = 100
+#: Rule sets of more rules are applied as one expression.
+MANY_RULES = 40
 DEFAULT_ROLES = ("system",)
 
 
@@ -28,6 +36,7 @@ class CompiledRule:
     roles: tuple[str, ...]
     tokens: tuple  # (("lit", text) | ("grp", n), ...) for other back ends
     source: str = ""  # the pattern as the rule states it
+    literal: str | None = None  # text that every match contains
 
 
 _GROUP = re.compile(r"\\g<([^>]*)>|\\([0-9]{1,2})|\\(.)|([^\\]+)", re.S)
@@ -138,6 +147,35 @@ def _jvm_pattern(p: str, names: dict[str, int], flags: int = 0) -> str:
     return f"(?Ud{letters + 'u' * ('i' in letters)})" + _SYNTAX.sub(translate, p)
 
 
+def required_literal(pattern: str, flags: int = 0) -> str | None:
+    """The longest run of characters that every match must contain, if one is told by the pattern's plain sequence."""
+    runs, run = [], []
+
+    def walk(items) -> None:
+        nonlocal run
+        for op, value in items:
+            if op is _CODES.LITERAL:
+                run.append(chr(value))
+                continue
+            if op is _CODES.SUBPATTERN and not value[1] and not value[2]:
+                walk(value[3])
+                continue
+            if op is _CODES.AT:  # takes no character
+                continue
+            if op in (_CODES.MAX_REPEAT, _CODES.MIN_REPEAT) and value[0] >= 1:
+                runs.append(run)
+                run = []
+                walk(value[2])  # once at least; what follows need not be next to it
+            runs.append(run)
+            run = []
+
+    if flags & re.IGNORECASE:
+        return None
+    walk(_PARSER.parse(pattern, flags & ~re.UNICODE))
+    best = "".join(max([*runs, run], key=len))
+    return best or None
+
+
 def _check_on_jvm(spark: SparkSession, rule_id: str, pattern: str) -> None:
     try:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
@@ -174,6 +212,7 @@ def compile_rules(rules: list[dict], spark: SparkSession | None = None) -> list[
                 roles=tuple(r.get("target_roles", DEFAULT_ROLES)),
                 tokens=toks,
                 source=r["pattern"],
+                literal=required_literal(r["pattern"], plain.flags),
             )
         )
     return out
@@ -185,12 +224,54 @@ def _applies(rule: CompiledRule, role: Column) -> Column:
     return role.isin(list(rule.roles))
 
 
+def _array(values: list, kind: str) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+
+
+class _Folded:
+    """A rule set as arrays that one expression walks over."""
+
+    def __init__(self, rules: list[CompiledRule]):
+        self.rules = rules
+        self.patterns, self.replacements = _array([r.pattern for r in rules], "string"), _array([r.replacement for r in rules], "string")
+        self.literals = _array([r.literal or "" for r in rules], "string")  # every text contains the empty one
+
+    def positions(self, role: Column | None) -> Column:
+        """Numbers of the rules for a role (None: all), in order."""
+        if role is None:
+            return F.sequence(F.lit(0), F.lit(len(self.rules) - 1))
+        of = lambda name: _array([i for i, r in enumerate(self.rules) if "all" in r.roles or name in r.roles], "int")
+        chosen = of(None)
+        for name in sorted({x for r in self.rules for x in r.roles} - {"all"}):
+            chosen = F.when(role == name, of(name)).otherwise(chosen)
+        return chosen
+
+    def replace(self, text: Column, i: Column) -> Column:
+        return F.when(F.contains(text, F.get(self.literals, i)), F.regexp_replace(text, F.get(self.patterns, i), F.get(self.replacements, i))).otherwise(text)
+
+    def apply(self, text: Column, role: Column) -> Column:
+        return F.aggregate(self.positions(role), text, lambda acc, i: self.replace(acc, i))
+
+    def report(self, text: Column) -> Column:
+        """(output, flags): the text after all rules, and for each whether it changed anything."""
+        def step(acc: Column, i: Column) -> Column:
+            def finish(new: Column) -> Column:
+                return F.struct(new.alias("output"), F.concat(acc["flags"], F.array(F.coalesce(new != acc["output"], F.lit(False)))).alias("flags"))
+
+            return F.element_at(F.transform(F.array(self.replace(acc["output"], i)), finish), 1)
+
+        start = F.struct(text.alias("output"), F.array().cast("array<boolean>").alias("flags"))
+        return F.aggregate(self.positions(None), start, step)
+
+
 def apply_rules(df: DataFrame, rules, text: str = "text", role: str = "role") -> DataFrame:
     """R2: ordered replace-all on ``text`` for rows whose role is targeted.
 
     Later rules see earlier output; null text stays null.
     """
     compiled = rules if rules and isinstance(rules[0], CompiledRule) else compile_rules(rules or [], df.sparkSession)
+    if len(compiled) > MANY_RULES:
+        return df.withColumn(text, _Folded(compiled).apply(F.col(text), F.col(role)))
     out = df
     for r in compiled:
         out = out.withColumn(
@@ -205,6 +286,13 @@ def rule_match_report(df: DataFrame, rules, text: str = "text") -> tuple[DataFra
     """R3 (test mode, roles ignored): (per-row output with per-rule changed flags,
     per-rule count of rows the rule changed)."""
     compiled = rules if rules and isinstance(rules[0], CompiledRule) else compile_rules(rules or [], df.sparkSession)
+    if len(compiled) > MANY_RULES:
+        found = df.withColumn("_r", _Folded(compiled).report(F.col(text)))
+        named = F.transform("_r.flags", lambda f, i: F.struct(F.get(_array([r.id for r in compiled], "string"), i).alias("id"), f.alias("matched")))
+        per_row = found.select(*df.columns, F.col("_r.output").alias("output"), named.alias("rules_applied"))
+        summary = found.select(F.posexplode("_r.flags").alias("no", "changed")).groupBy("no").agg(F.count_if("changed").alias("rows_changed"))
+        ids = df.sparkSession.createDataFrame([(i, r.id) for i, r in enumerate(compiled)], "no int, rule_id string")
+        return per_row, ids.join(summary, "no", "left").select("rule_id", F.coalesce("rows_changed", F.lit(0)).alias("rows_changed"))
     out = df.withColumn("_out", F.col(text))
     flags = []
     for i, r in enumerate(compiled):

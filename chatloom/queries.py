@@ -430,6 +430,28 @@ def q_r2(spark, sf_dir):
     return R.apply_rules(turns, R.compile_rules(DEMO_RULES, spark))
 
 
+# A rule for every pair of these letters: a set that is applied as one expression.
+MANY_RULES = [
+    {"id": f"{a}{b}", "pattern": f"{a}{b}+", "replacement": f"{b}<{i}>", "target_roles": ["all"] if i % 3 else ["user"], "priority": i % 7}
+    for i, (a, b) in enumerate((a, b) for a in "aeiouth" for b in "nrstlhd")
+]
+
+
+def _r2_many_sql() -> str:
+    ordered = sorted(MANY_RULES, key=lambda r: r["priority"])
+    cur = "fx_turns"
+    for r in ordered:
+        cond = "true" if r["target_roles"] == ["all"] else "role = 'user'"
+        cur = f"(SELECT * REPLACE (CASE WHEN {cond} THEN regexp_replace(text, '{r['pattern']}', '{r['replacement']}', 'g') ELSE text END AS text) FROM {cur})"
+    return with_ctes(S.fx_turns_cte()) + f"SELECT conv_id, turn, role, text FROM {cur}"
+
+
+@register("r2_apply_many_rules", _r2_many_sql())
+def q_r2_many(spark, sf_dir):
+    turns = fx.fx_turns(spark, sf_dir).select("conv_id", "turn", "role", "text")
+    return R.apply_rules(turns, R.compile_rules(MANY_RULES, spark))
+
+
 def _r3_sql() -> str:
     compiled = R.compile_rules(DEMO_RULES)
     cur = "(SELECT text AS _out FROM fx_turns)"

@@ -198,3 +198,51 @@ def test_history_follows_the_highest_checkpoint_folder(spark, tmp_path):
     put(tmp_path / "e/checkpoint-1/trainer_state.json", {"global_step": 3, "log_history": []})
     got = [(r.checkpoint_name, r.eval_loss, r.global_step) for r in IO.read_training_history(spark, str(tmp_path)).collect()]
     assert got == [("a", 2.0, None), ("b", 0.5, 10), ("c", 2.0, None), ("e", 2.0, None)]
+
+
+def test_two_hundred_rules_as_one_expression(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from chatloom.operators import rewrite as R
+
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcde") for _ in range(rnd.randint(2, 4)))
+    shapes = [lambda: word(), lambda: rf"\b{word()}\b", lambda: rf"({word()})\s+({word()})", lambda: rf"(?i){word()}", lambda: rf"[{word()}]{{3}}", lambda: rf"(?:{word()})+", lambda: rf"x?{word()}|{word()}", lambda: "^" + word()]
+    rules = [{"id": f"r{i}", "pattern": rnd.choice(shapes)(), "replacement": rnd.choice(["", word(), "$" + word(), r"[\g<0>]"]), "priority": rnd.randint(0, 5),
+              "target_roles": rnd.choice([["user"], ["assistant", "user"], ["all"], ["system"]])} for i in range(200)]
+    compiled = R.compile_rules(rules, spark)
+    assert len(compiled) == 200 and sum(r.literal is not None for r in compiled) > 120
+    rows = [(rnd.choice(["user", "assistant", "system", "tool", None]), " ".join(word() for _ in range(rnd.randint(0, 25)))) for _ in range(120)] + [("user", None), ("user", "")]
+    df = spark.createDataFrame(rows, "role string, text string").coalesce(1)
+    out = R.apply_rules(df, compiled)
+
+    def python(role, text):
+        for r in compiled:
+            if text is not None and ("all" in r.roles or role in r.roles):
+                text = re.sub(r.source, next(x["replacement"] for x in rules if x["id"] == r.id), text)
+        return text
+
+    assert [r.text for r in out.collect()] == [python(*r) for r in rows]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Project") <= 2
+    per_row, summary = R.rule_match_report(df, compiled)
+    want = dict.fromkeys((r.id for r in compiled), 0)
+    for (_, text), got in zip(rows, per_row.collect()):
+        flags = []
+        for r in compiled:
+            new = text if text is None else re.sub(r.source, next(x["replacement"] for x in rules if x["id"] == r.id), text)
+            flags.append((r.id, new != text))
+            want[r.id] += new != text
+            text = new
+        assert got.output == text and [tuple(f) for f in got.rules_applied] == flags
+    assert {r.rule_id: r.rows_changed for r in summary.collect()} == want
+
+
+def test_required_literals():
+    from chatloom.operators.rewrite import required_literal
+
+    cases = {"abc": "abc", r"\bfoo\b": "foo", "(ab)+cde": "cde", "a|b": None, "x?yz": "yz", "(?:hello) world": "hello world", "[ab]c": "c", r"\d+": None, "(?=abc)d": "d", "a{2}": "a", "(?i:ab)c": "c"}
+    assert {p: required_literal(p) for p in cases} == cases
