@@ -1852,3 +1852,26 @@ def q_a2_summary(spark, sf_dir):
 @register("a3_overview_from_summary", ORACLE["a3_store_overview"])
 def q_a3_summary(spark, sf_dir):
     return SU.overview_from_summary(_summarised(spark, sf_dir)[0], 2.5)
+
+
+# ---------------------------------------------------------------- similarity on terms
+
+from chatloom.operators import term_search as TS  # noqa: E402
+
+TERMS_CTE = r"""tokens AS (SELECT CAST(doc_id AS VARCHAR) AS id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS term FROM documents),
+counts AS (SELECT id, term, count(*) AS n FROM tokens GROUP BY 1, 2),
+docs AS (SELECT term, count(*) AS docs FROM counts GROUP BY term),
+raw AS (SELECT id, term, n * ln(((SELECT count(DISTINCT doc_id) FROM documents) + 1.0::DOUBLE) / (docs + 0.5::DOUBLE)) AS raw FROM counts JOIN docs USING (term)),
+weights AS (SELECT id, term, raw / norm AS w FROM raw JOIN (SELECT id, sqrt(sum(raw * raw)) AS norm FROM raw GROUP BY id) USING (id) WHERE raw > 0)"""
+
+
+@register("j2_sparse_topk", f"""WITH {TERMS_CTE},
+pairs AS (SELECT a.id AS qid, b.id AS cid, sum(a.w * b.w) AS s FROM weights a JOIN weights b ON a.term = b.term AND a.id <> b.id WHERE CAST(a.id AS BIGINT) % 20 = 0 GROUP BY 1, 2),
+best AS (SELECT qid, cid, floor(s * 1000000000.0::DOUBLE + 0.5::DOUBLE) / 1000000000.0::DOUBLE AS s FROM pairs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, cid) AS rank FROM best)
+SELECT qid, cid, floor(s * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS similarity, rank FROM ranked WHERE rank <= 5""")
+def q_j2_sparse(spark, sf_dir):
+    """Every twentieth document against all of them."""
+    weights = TS.term_weights(read_table(spark, sf_dir, "documents"), "text", "doc_id")
+    hits = TS.sparse_topk(weights.where(F.col("id").cast("long") % 20 == 0), weights, 5)
+    return hits.select("qid", "cid", (F.floor(F.col("similarity") * 1e6 + 0.5) / 1e6).alias("similarity"), "rank")
