@@ -24,10 +24,12 @@ SCHEMA = (
     "content_length long, block_digest string, header string, block string"
 )
 _SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^>]*>", re.I), re.compile(r"</title\s*>", re.I)
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|blockquote|pre|title|body|head|html|main|aside|form|dd|dt|dl|hr)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ANCHOR = re.compile(r"<a\b([^>]*)", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*", re.I)
+_VALUE = re.compile(r"""(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
 _BLANKS = re.compile(r"[^\S\n]{2,}|[^\S\n ]")
 
@@ -55,10 +57,40 @@ def decode(payload: bytes, content_type: str) -> tuple[str, str]:
         return payload.decode("utf-8", "replace"), "utf-8"
 
 
+def split_title(markup: str) -> tuple[str | None, str]:
+    """The first title (None without one) and the markup without any; a title that is never closed is none.  One pass."""
+    title, rest, at = None, [], 0
+    while (start := _TITLE.search(markup, at)) and (end := _TITLE_END.search(markup, start.end())):
+        if title is None:
+            title = markup[start.end():end.start()]
+        rest.append(markup[at:start.start()])
+        at = end.end()
+    return title, "".join(rest) + markup[at:]
+
+
+def links_of(markup: str) -> list[str]:
+    """Targets of the anchors, entities resolved; every character is looked at a bounded number of times."""
+    found, last = [], {q: markup.rfind(q) for q in "\"'"}
+    for anchor in _ANCHOR.finditer(markup):
+        href = _HREF.search(markup, anchor.start(1), anchor.end(1) + 1)
+        if not href:
+            continue
+        quote = markup[href.end():href.end() + 1]
+        if quote in last and last[quote] <= href.end() and quote:  # never closed: as far as the white space
+            value = re.compile(r"[^\s>]+").match(markup, href.end())
+        else:
+            value = _VALUE.match(markup, href.end())
+        if value:
+            found.append(html.unescape(next((g for g in value.groups() if g is not None), value.group(0))))
+    return found
+
+
 def plain_text(markup: str) -> str:
     """Visible text: scripts, styles and comments go, block tags end lines, entities are resolved."""
-    body = _TITLE.sub("", _SKIP.sub("", markup))
-    text = _BLANKS.sub(" ", html.unescape(_TAG.sub("", _BREAK.sub("\n", body))))
+    body = split_title(_SKIP.sub("", markup))[1]
+    whole = body.rfind(">") + 1  # beyond it no tag is closed
+    tagless = _TAG.sub("", _BREAK.sub("\n", body[:whole])) + body[whole:]
+    text = _BLANKS.sub(" ", html.unescape(tagless))
     return "\n".join(x for x in map(str.strip, text.split("\n")) if x)
 
 
@@ -88,8 +120,8 @@ def derive(source: dict) -> list[dict]:
     markup, charset = decode(payload, content_type)
     is_html = "html" in content_type.lower() or not content_type
     text = plain_text(markup) if is_html else markup
-    title = _TITLE.search(markup) if is_html else None
-    links = [html.unescape(a or b or c) for a, b, c in _LINK.findall(_SKIP.sub("", markup))] if is_html else []
+    title = split_title(markup)[0] if is_html else None
+    links = links_of(_SKIP.sub("", markup)) if is_html else []
     name = source["record_id"] or source["target_uri"] + "|" + hashlib.sha256(payload).hexdigest()
     ids = {kind: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name + '#' + kind)}>" for kind in ("metadata", "conversion")}
     conversion = _record("conversion", source, ids["conversion"], "text/plain; charset=utf-8", text, [("WARC-Source-Payload-Digest", source["payload_digest"])])
@@ -98,7 +130,7 @@ def derive(source: dict) -> list[dict]:
     fields = [
         ("conversion-record", ids["conversion"]), ("conversion-digest", conversion["block_digest"]), ("conversion-length", str(conversion["content_length"])),
         ("source-status", source["http_status"]), ("source-payload-digest", said), ("source-payload-digest-verified", verified),
-        ("source-payload-length", str(len(payload))), ("charset", charset), ("title", html.unescape(title.group(1)) if title else ""),
+        ("source-payload-length", str(len(payload))), ("charset", charset), ("title", html.unescape(title) if title else ""),
         *(("source-header", f"{k}: {v}") for k, v in headers), *(("outlink", x) for x in links),
     ]
     block = "".join(f"{k}: {_flat(v)}\r\n" for k, v in fields if v)
