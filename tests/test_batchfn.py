@@ -87,3 +87,31 @@ def test_prune_if_oversize(spark, sf_small, tmp_path):
     assert pruned and kept.count() == n - int(fx.fx_interactions(spark, sf_small).where("NOT is_golden").count() * 0.1)
     not_pruned, same = I.prune_if_oversize(spark, path, replace(DEFAULT, max_size_gb=size * 10))
     assert not not_pruned and same.count() == n
+
+
+def test_similarity_block_holds_one_tile_of_doubles():
+    """Two blocks of 4096 vectors: no matrix of all their similarities, no second copy of the vectors as doubles."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(4096, 384)).astype(np.float32)
+    ids = [f"{i:05d}" for i in range(len(m))]
+    tracemalloc.start()
+    best, place = J.nearest_rows(ids, m, ids, m, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    unit = m[:40].astype(float) / np.linalg.norm(m[:40].astype(float), axis=1, keepdims=True)
+    sims = unit @ (m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)).T
+    sims[np.arange(40), np.arange(40)] = -1
+    assert (np.argsort(-sims, axis=1)[:, :3] == place[:40]).all()
+
+
+def test_embed_hands_over_few_vectors_at_a_time(spark):
+    def encoder(texts):
+        assert len(texts) <= J.ENCODED_ROWS
+        return texts.map(lambda t: [float(len(t))])
+
+    df = spark.range(3000).selectExpr("cast(id as string) as document").coalesce(1)
+    got = J.embed(df, encoder=encoder).collect()
+    assert len(got) == 3000 and all(r.embedding == [float(len(r.document))] for r in got)
