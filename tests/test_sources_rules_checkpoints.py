@@ -243,3 +243,39 @@ def test_checkpoint_metrics_training_samples(spark):
     got = {r.run_id: r for r in CK.checkpoint_metrics(df).collect()}
     assert (got[1].sft_perplexity, got[1].train_loss_or_0, got[1].training_samples) == (1.0, 0.0, 12)
     assert got[2].sft_perplexity is None and got[3].sft_perplexity == 999.0 and got[3].training_samples is None
+
+
+def _some_runs(root):
+    for i in range(30):
+        c = root / f"run_{i}" / "checkpoint-2"
+        c.mkdir(parents=True)
+        (c.parent / "training_metadata.json").write_text(json.dumps({"timestamp": f"2024-01-{i + 1:02d}T00:00:00", "eval_loss": 2.0}))
+        (c / "trainer_state.json").write_bytes(json.dumps({"global_step": i, "log_history": [{"eval_loss": 0.5}]}).encode("utf-8-sig" if i % 2 else "utf-16-le"))
+    (root / "run_3/training_metadata.json").write_text(json.dumps([{"timestamp": "x", "train_loss": 1.0}, {"timestamp": "y"}]))
+    (root / "run_4/training_metadata.json").write_bytes(b'{"timestamp": "\xff\xfe"}')
+    (root / "run_5/training_metadata.json").write_text('{"timestamp": "z", "train_loss": "not a number"}')
+    (root / "run_6/training_metadata.json").write_text(" ")
+    (root / "_temporary/run_x").mkdir(parents=True)
+    (root / "_temporary/training_metadata.json").write_text('{"timestamp": "hidden"}')
+    (root / "training_metadata.json").write_text('{"timestamp": "in no run"}')
+
+
+def test_run_trees_are_listed_by_tasks(spark, tmp_path):
+    """Neither the status of a file nor a list of files goes through the driver."""
+    _some_runs(tmp_path)
+    history = IO.read_training_history(spark, f"file://{tmp_path}")
+    meta, states, dirs = IO.read_pass_tree(spark, str(tmp_path))
+    for df in (history, meta, states, dirs):
+        plan = df._jdf.queryExecution().toString()
+        assert not df.inputFiles() and "FileScan" not in plan and "FileIndex" not in plan
+    rows = {r.checkpoint_name: r for r in history.where("checkpoint_name <> 'run_3'").collect()}
+    assert sorted(rows) == sorted(f"run_{i}" for i in range(30) if i not in (3, 4, 5, 6))
+    assert all(r.eval_loss == 0.5 and r.global_step == int(k[4:]) for k, r in rows.items())
+    assert [r.timestamp for r in history.where("checkpoint_name = 'run_3'").collect()] == ["x", "y"]
+
+
+def test_run_trees_in_a_store_that_only_spark_opens(spark, tmp_path):
+    _some_runs(tmp_path)
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.runs.link./in", f"file://{tmp_path}")
+    far = IO.read_training_history(spark, "viewfs://runs/in")
+    assert far.exceptAll(IO.read_training_history(spark, str(tmp_path))).count() == 0 and far.count() == 28
