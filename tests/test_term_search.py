@@ -54,3 +54,18 @@ def test_empty_sides(spark):
     one = spark.createDataFrame([("a", "x", 1.0)], "id string, term string, w double")
     assert TS.sparse_topk(empty, one).count() == TS.sparse_topk(one, empty).count() == TS.sparse_topk(one, one).count() == 0
     assert TS.term_weights(spark.createDataFrame([(1, None)], "id long, text string"), "text").count() == 0
+
+
+@pytest.mark.parametrize("entries", [40, 2_000_000])
+def test_texts_that_meet_are_no_rows_of_a_shuffle(spark, monkeypatch, entries):
+    """200 texts share their terms: all pairs meet, but a block hands over k rows per query at most."""
+    monkeypatch.setattr(TS, "BLOCK_ENTRIES", entries)
+    rnd = random.Random(2)
+    df = spark.createDataFrame([(f"d{i:03d}", " ".join(rnd.choices("abcdefgh", k=12))) for i in range(200)], "id string, text string")
+    weights = TS.term_weights(df, "text")
+    asked = weights.where("substring(id, 4, 1) = '0'")
+    got = TS.sparse_topk(asked, weights, 3)
+    full = dense(spark, weights)
+    assert triples(got) == triples(similar_topk(full.join(asked.select("id").distinct(), "id"), full, 3))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Join" not in plan
