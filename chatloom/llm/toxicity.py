@@ -15,7 +15,7 @@ import collections
 import functools
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import text_of
+from chatloom.llm.common import pin, text_of
 
 WIDTHS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -184,13 +184,69 @@ class _Adam:
             v -= scale * m / (np.sqrt(s) + 1e-7)
 
 
-def train(texts: list[np.ndarray], parts: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 32, rate: float = 0.01,
-          decay: float = 1e-3, seed: int = 7) -> ConvolutionModel:
-    """Fit on texts as word numbers (rows of ``parts``); both classes weigh the same.
+class _Trainer:
+    """Weights in training: Adam on the small ones, Adagrad (``squares``) on the rows of the embedding that a batch reaches."""
+
+    def __init__(self, embedding: np.ndarray, filters: list[np.ndarray], biases: list[np.ndarray], dense: np.ndarray, intercept: np.ndarray,
+                 squares: np.ndarray, rate: float, decay: float):
+        self.embedding, self.filters, self.biases, self.dense, self.intercept, self.squares = embedding, filters, biases, dense, intercept, squares
+        self.rate, self.decay = rate, decay
+        self.step = _Adam([*filters, *biases, dense, intercept], rate)
+
+    def learn(self, texts: list[np.ndarray], parts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        """One step on a batch of texts as word numbers (rows of ``parts``, whose last row is no word).
+
+        The gradient of a maximum reaches one window per text and filter, so the
+        backward pass is small whatever the length.
+        """
+        reach = max(WIDTHS) - 1
+        lengths = np.array([len(own) for own in texts])
+        starts = np.cumsum([0, *(lengths[:-1] + reach)])
+        flat = np.full(lengths.sum() + reach * len(texts), len(parts) - 1)
+        for own, start in zip(texts, starts):
+            flat[start:start + len(own)] = own
+        used, where = np.unique(flat, return_inverse=True)
+        own_parts = parts[used]
+        vectors = self.embedding[own_parts].sum(axis=1)
+        best, places = [], []
+        for f, bias in zip(self.filters, self.biases):
+            response = np.tile(bias, (len(flat), 1))
+            for j in range(len(f)):
+                response[:len(flat) - j] += (vectors @ f[j])[where[j:]]
+            at = np.array([s + response[s:s + n].argmax(axis=0) if n else np.full(FILTERS, s) for s, n in zip(starts, lengths)])
+            best.append(np.where(lengths[:, None] > 0, np.maximum(response[at, np.arange(FILTERS)], 0), 0))
+            places.append(at)
+        features = np.concatenate(best, axis=1)
+        error = ((sigmoid(features @ self.dense + self.intercept[0]) - y) * weight / len(texts)).astype(np.float32)
+        back = error[:, None] * self.dense * (features > 0)
+        d_words, d_filters, d_biases = np.zeros_like(vectors), [], []
+        for k, f in enumerate(self.filters):
+            own = back[:, k * FILTERS:(k + 1) * FILTERS]
+            d_biases.append(own.sum(axis=0))
+            d_filter = self.decay * f
+            for j in range(len(f)):
+                seen = where[np.minimum(places[k] + j, len(flat) - 1)]
+                d_filter[j] += np.einsum("df,dfe->ef", own, vectors[seen])
+                np.add.at(d_words, seen, own[:, :, None] * f[j].T)
+            d_filters.append(d_filter)
+        self.step([*d_filters, *d_biases, features.T @ error + self.decay * self.dense, np.array([error.sum()], np.float32)])
+        touched = np.flatnonzero(np.abs(d_words).sum(axis=1))
+        rows, place = np.unique(own_parts[touched], return_inverse=True)
+        change = np.zeros((len(rows), DIMENSION), np.float32)
+        np.add.at(change, place.reshape(-1, PARTS), d_words[touched][:, None, :])
+        self.squares[rows] += (change * change).mean(axis=1)
+        self.embedding[rows] -= 5 * self.rate * change / np.sqrt(self.squares[rows])[:, None]
+        self.embedding[0] = 0
+
+
+def class_weights(ones: int, zeros: int) -> np.ndarray:
+    """Of a text of label 0 and of label 1, so that both classes weigh the same."""
+    return np.array([0.5 / max(1, zeros), 0.5 / max(1, ones)]) * (ones + zeros)
 
-    The gradient of a maximum reaches one window per text and filter, so the
-    backward pass is small whatever the length.
-    """
+
+def train(texts: list[np.ndarray], parts: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 32, rate: float = 0.01,
+          decay: float = 1e-3, seed: int = 7) -> tuple[ConvolutionModel, np.ndarray]:
+    """Fit on texts as word numbers (rows of ``parts``); both classes weigh the same.  Also the sums of squares of every bucket."""
     texts_with = np.zeros(BUCKETS, np.int64)
     for own in texts:
         texts_with[np.unique(parts[np.unique(own)])] += 1
@@ -206,55 +262,17 @@ def train(texts: list[np.ndarray], parts: np.ndarray, y: np.ndarray, epochs: int
     filters = [draw(0.3, w, DIMENSION, FILTERS) for w in WIDTHS]
     biases = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
     dense, intercept = draw(0.3, FILTERS * len(WIDTHS)), np.zeros(1, np.float32)
-    step = _Adam([*filters, *biases, dense, intercept], rate)
-    squares = np.full(len(embedding), 1e-8, np.float32)
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-    reach = max(WIDTHS) - 1
+    trainer = _Trainer(embedding, filters, biases, dense, intercept, np.full(len(embedding), 1e-8, np.float32), rate, decay)
+    weight = class_weights(y.sum(), (1 - y).sum())[y]
     for _ in range(epochs):
         for chosen in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // batch)):
-            lengths = np.array([len(texts[i]) for i in chosen])
-            starts = np.cumsum([0, *(lengths[:-1] + reach)])
-            flat = np.full(lengths.sum() + reach * len(chosen), len(parts) - 1)
-            for i, start in zip(chosen, starts):
-                flat[start:start + len(texts[i])] = texts[i]
-            used, where = np.unique(flat, return_inverse=True)
-            own_parts = parts[used]
-            vectors = embedding[own_parts].sum(axis=1)
-            best, places = [], []
-            for f, bias in zip(filters, biases):
-                response = np.tile(bias, (len(flat), 1))
-                for j in range(len(f)):
-                    response[:len(flat) - j] += (vectors @ f[j])[where[j:]]
-                at = np.array([s + response[s:s + n].argmax(axis=0) if n else np.full(FILTERS, s) for s, n in zip(starts, lengths)])
-                best.append(np.where(lengths[:, None] > 0, np.maximum(response[at, np.arange(FILTERS)], 0), 0))
-                places.append(at)
-            features = np.concatenate(best, axis=1)
-            error = ((sigmoid(features @ dense + intercept[0]) - y[chosen]) * weight[chosen] / len(chosen)).astype(np.float32)
-            back = error[:, None] * dense * (features > 0)
-            d_words, d_filters, d_biases = np.zeros_like(vectors), [], []
-            for k, f in enumerate(filters):
-                own = back[:, k * FILTERS:(k + 1) * FILTERS]
-                d_biases.append(own.sum(axis=0))
-                d_filter = decay * f
-                for j in range(len(f)):
-                    seen = where[np.minimum(places[k] + j, len(flat) - 1)]
-                    d_filter[j] += np.einsum("df,dfe->ef", own, vectors[seen])
-                    np.add.at(d_words, seen, own[:, :, None] * f[j].T)
-                d_filters.append(d_filter)
-            step([*d_filters, *d_biases, features.T @ error + decay * dense, np.array([error.sum()], np.float32)])
-            touched = np.flatnonzero(np.abs(d_words).sum(axis=1))
-            rows, place = np.unique(own_parts[touched], return_inverse=True)
-            change = np.zeros((len(rows), DIMENSION), np.float32)
-            np.add.at(change, place.reshape(-1, PARTS), d_words[touched][:, None, :])
-            squares[rows] += (change * change).mean(axis=1)
-            embedding[rows] -= 5 * rate * change / np.sqrt(squares[rows])[:, None]
-            embedding[0] = 0
-    full = np.zeros((BUCKETS, DIMENSION), np.float32)
-    full[known] = embedding[1:]
-    return ConvolutionModel(full, filters, biases, dense, float(intercept[0]))
-
-
-def _pieces(texts: list[np.ndarray], most: int = 12, seed: int = 11) -> list[np.ndarray]:
+            trainer.learn([texts[i] for i in chosen], parts, y[chosen], weight[chosen])
+    full, squares = np.zeros((BUCKETS, DIMENSION), np.float32), np.full(BUCKETS, 1e-8, np.float32)
+    full[known], squares[known] = embedding[1:], trainer.squares[1:]
+    return ConvolutionModel(full, filters, biases, dense, float(intercept[0])), squares
+
+
+def _pieces(texts: list[np.ndarray], most: int = 12, seed: int | Sequence[int] = 11) -> list[np.ndarray]:
     """A short piece, sometimes of no word, of every text: what a text of label 0 contains is of label 0, and short texts are rare."""
     rng = np.random.default_rng(seed)
     found = []
@@ -297,68 +315,275 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str,
-                    max_docs_per_class: int, max_chars_per_class: int) -> tuple[list[tuple[str, int]], float]:
-    """``(text, label)`` of a bounded sample in a fixed order, and the share of label 1 among all that may teach."""
+def _labelled(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str) -> tuple[DataFrame, DataFrame]:
+    """``(id, y, turn)`` of the ids whose label may teach, and ``(id, text)`` of the texts that are not empty."""
     known = (
         labels.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{label_column}`").cast("int").alias("y"))
         .filter(~is_held_out(F.col("id"))).groupBy("id").agg(
             F.min("y").alias("y"), F.max("y").alias("y2"), F.count_if(F.col("y").isNull()).alias("unsaid"))
         .filter("id IS NOT NULL AND y = y2 AND y IN (0, 1) AND unsaid = 0").select("id", "y", F.xxhash64("id").alias("turn")))
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), text_of(f"`{text_column}`").alias("text")).filter("text <> ''")
-    sizes = texts.groupBy("id").agg(F.max(F.length("text")).alias("size"))
-    there = known.join(sizes, "id")
-    shares = {r.y: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
+    return known, texts.filter(~is_held_out(F.col("id")))
+
+
+def _start_rows(known: DataFrame, texts: DataFrame, max_docs_per_class: int, max_chars_per_class: int) -> list:
+    """``(id, y, turn, size, text)`` of a bounded sample in a fixed order; ``size``: of the longest text of the id."""
+    there = known.join(texts.groupBy("id").agg(F.max(F.length("text")).alias("size")), "id")
     chosen = []
     for y in (0, 1):  # narrow rows, at most max_docs_per_class a class
-        total = 0
+        total = own = 0
         for r in there.filter(F.col("y") == y).orderBy("turn", "id").limit(max_docs_per_class).collect():
             total += min(r["size"], max_chars_per_class)
-            if chosen and total > max_chars_per_class:
+            if own and total > max_chars_per_class:
                 break
-            chosen.append((r.id, y, r.turn))
+            own += 1
+            chosen.append((r.id, y, r.turn, r["size"]))
     if not chosen:
-        return [], 0.5
-    named = docs.sparkSession.createDataFrame(chosen, "id long, y int, turn long")
-    rows = (texts.join(F.broadcast(named), "id")  # at most 2 * max_docs_per_class rows
-            .select("id", "y", "turn", F.substring("text", 1, max_chars_per_class).alias("text"))
-            .groupBy("id", "y", "turn").agg(F.min("text").alias("text")).orderBy("turn", "id").collect())
-    return [(r.text, r.y) for r in rows], shares.get(1, 0) / max(1, sum(shares.values()))
+        return []
+    named = known.sparkSession.createDataFrame(chosen, "id long, y int, turn long, size int")
+    return (texts.join(F.broadcast(named), "id")  # at most 2 * max_docs_per_class ids
+            .select("id", "y", "turn", "size", F.substring("text", 1, max_chars_per_class).alias("text"))
+            .groupBy("id", "y", "turn", "size").agg(F.min("text").alias("text")).orderBy("turn", "id").collect())
+
+
+def _share(known: DataFrame) -> float:
+    counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
+    return counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str,
+                    max_docs_per_class: int, max_chars_per_class: int) -> tuple[list[tuple[str, int]], float]:
+    """``(text, label)`` of a bounded sample in a fixed order, and the share of label 1 among all that may teach."""
+    known, texts = _labelled(docs, labels, id_column, text_column, label_column)
+    rows = _start_rows(known, texts, max_docs_per_class, max_chars_per_class)
+    return [(r.text, r.y) for r in rows], _share(known) if rows else 0.5
+
+
+def _checks(turn: Column | int) -> Column | int:
+    """Whether the id of this hash calibrates (3 of 4: it trains)."""
+    return (turn >> 7) % 4 == 3 if isinstance(turn, int) else F.pmod(F.shiftright(turn, 7), F.lit(4)) == 3
+
+
+def _in_shards(known: DataFrame, texts: DataFrame, shards: int, checks: bool) -> DataFrame:
+    """``(id, y, text)`` of all ids that calibrate, or of all that train, a task per shard, in order of hash.
+
+    An id's rows follow each other: its label, with a null text, then its texts,
+    with a null label, the least first.  So a text moves once, whatever the tables' sizes.
+    """
+    rows = known.select("id", "y", F.lit(None).cast("string").alias("text")).unionByName(texts.select("id", F.lit(None).cast("int").alias("y"), "text"))
+    turn = F.xxhash64("id")
+    return (rows.filter(_checks(turn) if checks else ~_checks(turn)).filter("id IS NOT NULL")
+            .repartitionById(shards, F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards)).cast("int"))
+            .sortWithinPartitions(turn, "id", F.col("text").asc_nulls_first()))
+
+
+def _batches(frames: Iterator[pd.DataFrame], most: int, chars: int = 2_000_000) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Texts and labels of the ids that have both, of each id the first text; so many at once (fewer long ones)."""
+    texts, y, held = [], [], 0
+    labelled, label = None, 0  # the id whose label was read last, until its first text
+    for frame in frames:
+        for key, own, text in zip(frame["id"].tolist(), frame["y"].tolist(), frame["text"].tolist()):
+            if not isinstance(text, str):
+                labelled, label = key, int(own)
+            elif key == labelled:
+                labelled = None
+                texts.append(text)
+                y.append(label)
+                held += len(text)
+                if len(texts) >= most or held >= chars:
+                    yield texts, np.array(y, int)
+                    texts, y, held = [], [], 0
+    if texts:
+        yield texts, np.array(y, int)
+
+
+#: Over few texts passes are repeated until about so many have trained.
+PASSES_UNTIL = 20_000
+#: Buckets of a row in which a shard's changes are brought together.
+_BLOCK = 1024
+
+
+def train_on_all(known: DataFrame, all_texts: DataFrame, shards: int, start: ConvolutionModel, squares: np.ndarray, weights: np.ndarray,
+                 batch: int = 32, rate: float = 0.003, decay: float = 1e-3) -> ConvolutionModel:
+    """One more pass from ``start`` over all labelled texts that train: a task trains on each shard, the changes are averaged.
+
+    A bucket's change is the mean over the shards that changed it, so a rare word
+    learns as fast as a frequent one.  A bucket that fewer than ``LEAST_TEXTS`` of
+    all texts have is the zero vector afterwards.  What goes to the driver is one model.
+    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        small = [*(f.copy() for f in start.filters), *(b.copy() for b in start.biases), start.dense.copy(), np.array([start.intercept], np.float32)]
+        n = len(WIDTHS)
+        t = _Trainer(start.embedding.copy(), small[:n], small[n:2 * n], small[2 * n], small[2 * n + 1], squares.copy(), rate, decay)
+        texts_with, there, shard = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, bool), None
+        for number, (texts, y) in enumerate(_batches(frames, batch)):
+            own, parts, _ = numbered_words(texts)
+            parts = np.concatenate([parts, np.zeros((1, PARTS), np.int64)])
+            for words in own:
+                there[parts[words]] = True
+                found = np.flatnonzero(there)
+                texts_with[found] += 1
+                there[found] = False
+            pieces = _pieces([words for words, label in zip(own, y) if label == 0], seed=(11, number))
+            y = np.concatenate([y, np.zeros(len(pieces), int)])
+            t.learn(own + pieces, parts, y, weights[y])
+            shard = zlib.crc32(texts[0].encode("utf-8", "surrogatepass")) if shard is None else shard  # orders the sums
+        if shard is None:
+            return
+        flat = np.concatenate([(now - then).ravel() for now, then in zip(small, [
+            *start.filters, *start.biases, start.dense, np.array([start.intercept], np.float32)])]).astype(np.float32)
+        yield pd.DataFrame({"block": [-1], "shard": [shard], "change": [flat.tobytes()], "changed": [b"\1"], "texts": [b"\0" * 8]})
+        change, changed = t.embedding - start.embedding, (t.squares > squares).astype(np.uint8)
+        cuts = range(0, BUCKETS, _BLOCK)
+        yield pd.DataFrame({
+            "block": [at // _BLOCK for at in cuts], "shard": shard, "change": [change[at:at + _BLOCK].tobytes() for at in cuts],
+            "changed": [changed[at:at + _BLOCK].tobytes() for at in cuts], "texts": [texts_with[at:at + _BLOCK].tobytes() for at in cuts]})
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["shard", "change"])
+        changed = sum(np.frombuffer(b, np.uint8).astype(np.int64) for b in rows["changed"])
+        total = sum(np.frombuffer(b, np.float32).astype(float).reshape(len(changed), -1) for b in rows["change"])
+        texts = sum(np.frombuffer(b, np.int64) for b in rows["texts"])
+        mean = (total / np.maximum(changed, 1)[:, None]).astype(np.float32)
+        return pd.DataFrame({"block": rows["block"].iloc[:1].tolist(), "change": [mean.tobytes()], "texts": [texts.tobytes()]})
+
+    merged = (_in_shards(known, all_texts, shards, False).mapInPandas(run, "block int, shard long, change binary, changed binary, texts binary")
+              .groupBy("block").applyInPandas(merge, "block int, change binary, texts binary").collect())  # one model
+    found = {r.block: r for r in merged}
+    if not found:
+        return start
+    step, at = np.frombuffer(found[-1].change, np.float32), 0
+    small = []
+    for then in [*start.filters, *start.biases, start.dense, np.array([start.intercept], np.float32)]:
+        small.append(then + step[at:at + then.size].reshape(then.shape))
+        at += then.size
+    blocks = [found[k] for k in range(BUCKETS // _BLOCK)]
+    embedding = start.embedding + np.concatenate([np.frombuffer(r.change, np.float32) for r in blocks]).reshape(BUCKETS, DIMENSION)
+    embedding[np.concatenate([np.frombuffer(r.texts, np.int64) for r in blocks]) < LEAST_TEXTS] = 0
+    n = len(WIDTHS)
+    return ConvolutionModel(embedding, small[:n], small[n:2 * n], small[2 * n], float(small[2 * n + 1][0]))
+
+
+def thresholds_of(logits: DataFrame, share: float, least: int = 12) -> np.ndarray:
+    """``calibrate`` on a table (language, logit, y): exact thresholds from all rows, sorted in ranges of logits.
+
+    Of several equally good cuts the middle one of the first range that has them is taken.
+    """
+    common = len(LANGUAGES)
+    counted = pin(
+        logits.withColumn("language", F.explode(F.array("language", F.lit(common))))
+        .groupBy("language", "logit").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
+        .repartitionByRange("language", "logit").sortWithinPartitions("language", "logit").withColumn("part", F.spark_partition_id()))
+    # a row per range and language
+    ends = counted.groupBy("language", "part").agg(
+        F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.min("logit").alias("low"), F.max("logit").alias("high")).orderBy("language", "part").collect()
+    totals: dict[int, list[int]] = {}
+    places: dict[tuple[int, int], tuple[int, int, float]] = {}  # counts before the range, highest logit before it
+    for r in ends:
+        n0, n1, *high = totals.get(r.language, [0, 0])
+        places[r.part, r.language] = n0, n1, high[0] if high else r.low - 2
+        totals[r.language] = [n0 + r.n0, n1 + r.n1, r.high]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: dict[tuple[int, int], tuple[int, int, float]] = {}
+        for frame in frames:
+            for key, own in frame.groupby(["part", "language"], sort=True):
+                n0, n1, before = at.get(key, places[key])
+                all0, all1 = max(1, totals[key[1]][0]), max(1, totals[key[1]][1])
+                x = np.concatenate([[before], own["logit"].to_numpy(float)])
+                c0, c1 = np.concatenate([[n0], n0 + own["n0"].cumsum()]), np.concatenate([[n1], n1 + own["n1"].cumsum()])
+                # the cut below each logit of the range
+                cost = c1[:-1] * share / all1 + (totals[key[1]][0] - c0[:-1]) * (1 - share) / all0
+                low = np.flatnonzero(cost <= cost.min() + 1e-12)
+                k = low[len(low) // 2]
+                yield pd.DataFrame({"language": [key[1]], "cost": [float(cost[k])], "cut": [float((x[k] + x[k + 1]) / 2)]})
+                at[key] = int(c0[-1]), int(c1[-1]), float(x[-1])
+
+    cuts = counted.mapInPandas(run, "language int, cost double, cut double").groupBy("language").agg(
+        F.min(F.struct(F.round("cost", 12), "cut")).alias("best")).collect()  # a row per language
+    best = {r.language: (r.best[0], r.best[1]) for r in cuts}
+    for language, (_, n1, high) in totals.items():  # or above all logits
+        if n1 and totals[language][1] * share / max(1, n1) < best[language][0]:
+            best[language] = share, high + 1
+        elif not n1:
+            best[language] = 0.0, high + 1
+    out = np.full(len(LANGUAGES), best[common][1] if common in best else 0.0)
+    for language, (n0, n1, _) in totals.items():
+        if language != common and min(n0, n1) >= least:
+            out[language] = best[language][1]
+    return out
+
+
+def logits_of(known: DataFrame, all_texts: DataFrame, shards: int, model: ConvolutionModel) -> DataFrame:
+    """``(language, logit, y)`` of all labelled texts that calibrate and of a short piece of each of label 0."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for number, (texts, y) in enumerate(_batches(frames, TEXTS_AT_ONCE)):
+            own, parts, sets = numbered_words(texts)
+            pieces = _pieces([words for words, label in zip(own, y) if label == 0], seed=(13, number))
+            yield pd.DataFrame({"language": [language_of(sets[n]) for n in own + pieces], "logit": model.logits(own + pieces, model.responses(parts)),
+                                "y": np.concatenate([y, np.zeros(len(pieces), int)])})
+
+    return _in_shards(known, all_texts, shards, True).mapInPandas(run, "language int, logit double, y int")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic",
-                 max_docs_per_class: int = 2000, max_chars_per_class: int = 10_000_000) -> ConvolutionModel:
-    """Train and calibrate on a bounded sample of labelled rows that are not held out.
+                 max_docs_per_class: int = 2000, max_chars_per_class: int = 10_000_000, docs_per_shard: int = 4000, max_shards: int = 256,
+                 rate: float = 0.003) -> ConvolutionModel:
+    """Train and calibrate on all labelled rows that are not held out.
 
-    Bounds (of the sample only, never of what is scored): per class the
+    The weights start from several passes over a bounded number of texts: per class the
     ``max_docs_per_class`` ids that come first by hash among those with a text,
-    until their texts have ``max_chars_per_class`` characters; whole texts, but
-    for one longer than that bound alone.  Three of four train the weights, the
-    fourth calibrates the thresholds.  Ids with both labels, or a null one,
+    until their texts have ``max_chars_per_class`` characters.  If these are not
+    all, every labelled text then trains in one more pass (in several, up to ten, if there are few), a task per shard of
+    about ``docs_per_shard`` ids (of more, if ``max_shards`` have more), and
+    bucket counts and thresholds come from all texts, too.  Three of four train
+    the weights, the fourth calibrates the thresholds.  Ids with both labels, or a null one,
     teach nothing; of rows that share an id the least text is taken.  Without
     four texts of each class every text scores the share of label 1.
     """
-    sample, share = labelled_sample(docs, labels, id_column, text_column, label_column, max_docs_per_class, max_chars_per_class)
-    y = np.array([label for _, label in sample], int)
+    known, all_texts = _labelled(docs, labels, id_column, text_column, label_column)
+    sample = _start_rows(known, all_texts, max_docs_per_class, max_chars_per_class)
+    share = _share(known)
+    y = np.array([r.y for r in sample], int)
     if min(y.sum(), (1 - y).sum()) < 4:
         model = ConvolutionModel(np.zeros((BUCKETS, DIMENSION), np.float32), [np.zeros((w, DIMENSION, FILTERS), np.float32) for w in WIDTHS],
                                  [np.zeros(FILTERS, np.float32) for _ in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), 0.0)
-        model.intercept = float(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))
+        counts = _counts(known, all_texts) if len(sample) else {}
+        model.intercept = float(np.log((sum(counts.get((1, c), 0) for c in (True, False)) + 1) / (sum(counts.get((0, c), 0) for c in (True, False)) + 1)))
         return model
-    texts, parts, sets = numbered_words([text for text, _ in sample], buckets_of.__wrapped__)  # each word once: nothing to cache on the driver
-    turn = np.zeros(len(y), int)
-    for label in (0, 1):  # every fourth of each class calibrates
-        turn[y == label] = np.arange((y == label).sum()) % 4
-    fits, checks = np.flatnonzero(turn != 3), np.flatnonzero(turn == 3)
+    counts = _counts(known, all_texts)
+    whole = sum(counts.values()) == len(sample) and max(r["size"] for r in sample) <= max_chars_per_class
+    texts, parts, sets = numbered_words([r.text for r in sample], buckets_of.__wrapped__)  # each word once: nothing to cache on the driver
+    if whole:
+        turn = np.zeros(len(y), int)
+        for label in (0, 1):  # every fourth of each class calibrates
+            turn[y == label] = np.arange((y == label).sum()) % 4
+        checked = turn == 3
+    else:
+        checked = np.array([_checks(r.turn) for r in sample])
     own = {}
-    for name, rows in (("fit", fits), ("check", checks)):
+    for name, rows in (("fit", np.flatnonzero(~checked)), ("check", np.flatnonzero(checked))):
         pieces = _pieces([texts[i] for i in rows if y[i] == 0])
         own[name] = [texts[i] for i in rows] + pieces, np.concatenate([y[rows], np.zeros(len(pieces), int)])
-    model = train(own["fit"][0], parts, own["fit"][1])
-    calibrate(model, own["check"][0], parts, sets, own["check"][1], share)
+    model, squares = train(own["fit"][0], parts, own["fit"][1])
+    if whole:
+        calibrate(model, own["check"][0], parts, sets, own["check"][1], share)
+        return model
+    del sample, texts, parts, sets, own
+    shards = min(max_shards, -(-sum(counts.values()) // docs_per_shard))
+    weights = class_weights(counts.get((1, False), 0), 2 * counts.get((0, False), 0))  # a text of label 0 has a piece
+    for _ in range(max(1, min(10, PASSES_UNTIL // sum(counts.values())))):
+        model = train_on_all(known, all_texts, shards, model, squares, weights, rate=rate)
+    model.thresholds[:] = thresholds_of(logits_of(known, all_texts, shards, model), share)
     return model
 
 
+def _counts(known: DataFrame, texts: DataFrame) -> dict[tuple[int, bool], int]:
+    """Ids with a text by label and by whether they calibrate."""
+    there = known.join(texts.select("id"), "id", "left_semi")
+    return {(r.y, r.checks): r["count"] for r in there.groupBy("y", _checks(F.col("turn")).alias("checks")).count().collect()}  # four rows
+
+
 def score_toxicity(docs: DataFrame, model: ConvolutionModel, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.5) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted (1 if score >= threshold).
 

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chatloom.llm import toxicity as tx
 
@@ -106,3 +107,44 @@ def test_sample_is_bounded_and_whole(spark):
     assert sum(y for _, y in rows) == 5 and len(rows) == 10 and 0.3 < share < 0.7
     few, _ = tx.labelled_sample(docs, marks, "doc_id", "text", "toxic", 50, 300)
     assert all(sum(len(t) for t, y in few if y == k) <= 300 or sum(1 for _, y in few if y == k) == 1 for k in (0, 1)) and {y for _, y in few} == {0, 1}
+
+
+def test_rows_beyond_the_start_teach_and_calibrate(spark):
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(3, 9))) for _ in range(200)]
+    late, docs = {}, []
+    first = [r.id for r in spark.range(600).orderBy(F.xxhash64("id")).collect()]
+    known = [i for i in first if zlib.crc32(str(i).encode()) % 5]
+    for n, i in enumerate(known):  # label 1 is another word in the rows that come late by hash
+        late[i] = n >= 60
+        words = [rng.choice(plain) for _ in range(30)]
+        if i % 2:
+            words[rng.randrange(30)] = "zwogglefritz" if late[i] else "grubblesnorf"
+        docs.append((i, " ".join(words)))
+    frame = spark.createDataFrame(docs + [(known[0], "\U0010ffff later copy"), (None, "no id")], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in known] + [(None, 1)], "doc_id long, toxic int")
+    model = tx.fit_toxicity(frame, marks, max_docs_per_class=20, docs_per_shard=300)
+    texts = [t for _, t in docs]
+    right = model.scores(texts).round() == [i % 2 for i in known]
+    assert right.mean() > 0.95 and right[[n for n, i in enumerate(known) if late[i] and i % 2]].mean() > 0.9
+    assert np.abs(model.embedding[tx.buckets_of("zwogglefritz")[0]]).max() > 0  # its bucket is in no text of the start
+
+
+def test_thresholds_of_a_table_are_those_of_the_arrays(spark):
+    rng = np.random.default_rng(3)
+    language, y = rng.integers(0, 3, 900), rng.integers(0, 2, 900)
+    logits = np.round(rng.normal(y * 1.5 + language, 1), 2)
+    language[:20] = 5  # too few for a threshold of its own
+    frame = spark.createDataFrame([(int(a), float(b), int(c)) for a, b, c in zip(language, logits, y)], "language int, logit double, y int").repartition(4)
+    got = tx.thresholds_of(frame, 0.3)
+
+    def cost(own, cut):
+        x, t = logits[own], y[own]
+        return 0.3 * ((x < cut) & (t == 1)).sum() / t.sum() + 0.7 * ((x > cut) & (t == 0)).sum() / (1 - t).sum()
+
+    every = np.ones(900, bool)
+    assert np.isclose(cost(every, got[-1]), cost(every, tx.best_threshold(logits, y, 0.3))) and got[5] == got[-1] == got[3]
+    for k in range(3):
+        own = language == k
+        assert np.isclose(cost(own, got[k]), cost(own, tx.best_threshold(logits[own], y[own], 0.3)))
+    assert (tx.thresholds_of(frame.limit(0), 0.3) == 0).all()
