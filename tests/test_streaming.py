@@ -91,6 +91,22 @@ def test_replies_with_empty_finish_reasons_null_requests_and_expiry(spark, tmp_p
     assert got.exceptAll(want).count() == 0 and left == 0
 
 
+def test_requests_of_a_bucket_keep_apart(spark, tmp_path, state_store):
+    at = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=n)
+    line = lambda text, done=False: '{"message":{"content":"%s"},"done":%s}' % (text, str(done).lower())
+    schema = "request_id long, provider string, seq long, line string, ts timestamp_ntz"
+    parts = [[], [], []]
+    for r in range(30):  # finished in the first, second or third part, or never; a late line to those of the first
+        parts[0] += [(r, "ollama", 1, line(f"a{r}"), at(r)), (r, "ollama", 2, line("b", r % 4 == 0), at(r))]
+        parts[1] += [(r, "ollama", 3, line(f"c{r}", r % 4 == 1), at(40))]
+        parts[2] += [(r, "ollama", 4, line("d", True), at(60))] if r % 4 == 2 else []
+    frames = [spark.createDataFrame(p, schema) for p in parts]
+    chunks = spark.createDataFrame(sum(parts, []), schema)
+    got, left = _drain_parts(spark, lambda c: T.stream_reassemble(c, buckets=2), [*frames, IO.closing_row(chunks, "ts", dt.timedelta(days=2))], tmp_path)
+    want = {(r, f"a{r}b") for r in range(0, 30, 4)} | {(r, f"a{r}bc{r}") for r in range(1, 30, 4)} | {(r, f"a{r}bc{r}d") for r in range(2, 30, 4)}
+    assert {(r.request_id, r.content) for r in got.collect()} == want and got.count() == len(want) and left == 0
+
+
 def test_inactivity_of_null_users(spark, tmp_path, state_store):
     rows = [(u, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)) for u in (None, 5) for m in [*range(0, 60, 5), *range(800, 830, 10), 5000]]
     events = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz")
