@@ -1,5 +1,6 @@
 """The inverted-index search equals the blocked dense search on the same vectors."""
 
+import math
 import random
 
 import pytest
@@ -69,3 +70,42 @@ def test_texts_that_meet_are_no_rows_of_a_shuffle(spark, monkeypatch, entries):
     assert triples(got) == triples(similar_topk(full.join(asked.select("id").distinct(), "id"), full, 3))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "Join" not in plan
+
+
+def shuffled(spark):
+    """Bytes by name of the shuffle files there are."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName(): f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+
+def test_entries_of_the_corpus_are_no_rows_of_a_shuffle(spark):
+    """Of 300 texts with about 200 terms each only the dictionaries and the ten queries are shuffled."""
+    rnd = random.Random(3)
+    words = [f"word{i}" for i in range(600)]
+    df = spark.createDataFrame([(f"d{i:03d}", " ".join(rnd.choices(words, k=240))) for i in range(300)], "id string, text string").coalesce(2)
+    before = shuffled(spark)
+    weights = TS.term_weights(df, "text")
+    got = triples(TS.sparse_topk(weights.where("substring(id, 3, 2) = '00' or id < 'd007'"), weights, 3))
+    written = sum(n for name, n in shuffled(spark).items() if name not in before)
+    assert len(got) == 3 * 9
+    assert written < 5 * weights.count()
+
+
+def test_rows_of_a_text_may_lie_anywhere(spark, monkeypatch):
+    """Texts whose rows are spread over partitions and blocks are whole again, also where nothing is known of the frame."""
+    monkeypatch.setattr(TS, "BLOCK_ENTRIES", 50)
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(f"d{i:02d}", " ".join(rnd.choices("abcdefghijklmnop", k=9))) for i in range(60)], "id string, text string")
+    weights = TS.term_weights(df, "text")
+    want = triples(TS.sparse_topk(weights.where("id < 'd12'"), weights, 4))
+    spread = spark.createDataFrame(weights.collect(), weights.schema).repartition(3, "term")
+    assert len(want) == 48 and triples(TS.sparse_topk(spread.where("id < 'd12'"), spread, 4)) == want
+
+
+def test_rows_that_share_an_id_are_one_text(spark):
+    rows = [("a", "x y y"), ("a", "y z"), ("b", "x"), ("c", "z z"), (None, "x q"), (None, "q")]
+    weights = {(r.id, r.term): r.w for r in TS.term_weights(spark.createDataFrame(rows, "id string, text string"), "text").collect()}
+    raw = {"x": math.log(5 / 3.5), "y": 3 * math.log(5 / 1.5), "z": math.log(5 / 2.5)}
+    norm = math.sqrt(sum(x * x for x in raw.values()))
+    assert weights.keys() == {("a", "x"), ("a", "y"), ("a", "z"), ("b", "x"), ("c", "z")}
+    assert all(abs(weights["a", t] - x / norm) < 1e-12 for t, x in raw.items()) and abs(weights["c", "z"] - 1) < 1e-12
